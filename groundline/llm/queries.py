@@ -1,8 +1,12 @@
 """The queries of this package and their SQL, where SQL can express them."""
 
+from .chat import op5_chat
+from .hilbert import op4_hilbert
 from .simhash import op8_simhash
 
 QUERIES = {
+    "op4_hilbert": op4_hilbert,
+    "op5_chat": op5_chat,
     "op8_simhash": op8_simhash,
 }
 
