@@ -151,9 +151,11 @@ def near_links(prints: DataFrame, words: int, segments: int, radius: int, most:
     # Without radius, blocks of one value hold all; only values of many blocks are looked up again.
     ball = [_slot(n, v if bit is None else v.bitwiseXOR(F.lit(1 << bit).cast("long"))) for n, v, bits in _segments("fp", words, segments, radius) for bit in [None, *(range(bits) if radius else [])]]
     probes = prints.select("id", "fp", F.explode(F.array(*ball)).alias("slot"))
-    found = probes.join(blocks.select("slot", "fps", "ids", "parts"), "slot").where(F.size("ids") > F.when(F.array_contains("ids", F.col("id")), 1).otherwise(0))
-    near = F.filter(F.arrays_zip("fps", "parts"), lambda x: distance(x["fps"], F.col("fp"), words) <= most)
-    across = found.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.transform(near, lambda x: x["parts"]))).alias("b")).where("a != b")
+    # Complete distances are verified in the join's own condition, so that only blocks with a near fingerprint come out.
+    near = lambda x: (distance(x["fps"], F.col("p.fp"), words) <= most) & (x["parts"] != F.col("p.id"))
+    entries = F.arrays_zip("t.fps", "t.parts")
+    found = probes.alias("p").join(blocks.alias("t"), (F.col("p.slot") == F.col("t.slot")) & F.exists(entries, near))
+    across = found.select(F.col("p.id").alias("a"), F.explode(F.array_distinct(F.transform(F.filter(entries, near), lambda x: x["parts"]))).alias("b"))
     return inside.unionAll(across)
 
 
