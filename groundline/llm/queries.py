@@ -2,9 +2,11 @@
 
 from .chat import op5_chat
 from .hilbert import op4_hilbert
+from .mixing import op2_mixing
 from .simhash import op8_simhash
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op4_hilbert": op4_hilbert,
     "op5_chat": op5_chat,
     "op8_simhash": op8_simhash,
