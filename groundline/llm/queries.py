@@ -1,6 +1,7 @@
 """The queries of this package and their SQL, where SQL can express them."""
 
 from .chat import op5_chat
+from .decontam import op10_decontam
 from .hilbert import op4_hilbert
 from .mixing import op2_mixing
 from .simhash import op8_simhash
@@ -10,6 +11,7 @@ QUERIES = {
     "op4_hilbert": op4_hilbert,
     "op5_chat": op5_chat,
     "op8_simhash": op8_simhash,
+    "op10_decontam": op10_decontam,
 }
 
 ORACLES: dict[str, str] = {}
