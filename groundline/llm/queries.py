@@ -3,6 +3,7 @@
 from .chat import op5_chat
 from .decontam import op10_decontam
 from .hilbert import op4_hilbert
+from .licenses import op9_licenses
 from .mixing import op2_mixing
 from .simhash import op8_simhash
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op4_hilbert": op4_hilbert,
     "op5_chat": op5_chat,
     "op8_simhash": op8_simhash,
+    "op9_licenses": op9_licenses,
     "op10_decontam": op10_decontam,
 }
 
