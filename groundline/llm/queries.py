@@ -1,5 +1,6 @@
 """The queries of this package and their SQL, where SQL can express them."""
 
+from .ann import op3_ann
 from .chat import op5_chat
 from .decontam import op10_decontam
 from .hilbert import op4_hilbert
@@ -9,6 +10,7 @@ from .simhash import op8_simhash
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_ann": op3_ann,
     "op4_hilbert": op4_hilbert,
     "op5_chat": op5_chat,
     "op8_simhash": op8_simhash,
