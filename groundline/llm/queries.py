@@ -7,9 +7,11 @@ from .hilbert import op4_hilbert
 from .licenses import op9_licenses
 from .mixing import op2_mixing
 from .pii import op6_pii
+from .quality import op1_quality
 from .simhash import op8_simhash
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
     "op3_ann": op3_ann,
     "op4_hilbert": op4_hilbert,
