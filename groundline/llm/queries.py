@@ -6,6 +6,7 @@ from .decontam import op10_decontam
 from .hilbert import op4_hilbert
 from .licenses import op9_licenses
 from .mixing import op2_mixing
+from .packing import op7_packing
 from .pii import op6_pii
 from .quality import op1_quality
 from .simhash import op8_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_hilbert": op4_hilbert,
     "op5_chat": op5_chat,
     "op6_pii": op6_pii,
+    "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op9_licenses": op9_licenses,
     "op10_decontam": op10_decontam,
