@@ -75,19 +75,19 @@ def fingerprints(docs: DataFrame, key: str, shingle: int, words: int) -> DataFra
     return docs.select(key, "text").mapInArrow(run, f"key {key_type}, fp array<bigint>")
 
 
-def _segments(fp: str, words: int, segments: int, radius: int) -> list[tuple[int, Column, int]]:
-    """(segment number, its value, its bits); each 64-bit word is cut into segments / words parts."""
+def _slots(prints: DataFrame, words: int, segments: int, radius: int) -> DataFrame:
+    """prints with slot: a row for each segment and each value within `radius` bits of it, tagged by the segment's number.
+
+    Each 64-bit word is cut into segments / words parts. What differs from row to row is a folded constant, so that the generated
+    code stays small.
+    """
     per = segments // words
     cuts = [round(64 * i / per) for i in range(per + 1)]
-    return [
-        (w * per + i, F.shiftrightunsigned(F.col(fp)[w], a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")), b - a)
-        for w in range(words)
-        for i, (a, b) in enumerate(zip(cuts, cuts[1:]))
-    ]
-
-
-def _slot(number: int, value: Column) -> Column:
-    return (F.lit(number << 40).cast("long") + value).alias("slot")
+    looks = [(w, a, b - a, w * per + i, flip) for w in range(words) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) for flip in [0, *(1 << bit for bit in range(b - a) if radius)]]
+    long = lambda x: F.lit(x).cast("long")
+    constant = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(a).alias("a"), long((1 << bits) - 1).alias("mask"), long(number << 40).alias("tag"), long(flip).alias("flip")) for w, a, bits, number, flip in looks])
+    value = F.call_function("shiftrightunsigned", F.get("fp", F.col("_s.w")), F.col("_s.a")).bitwiseAND(F.col("_s.mask")).bitwiseXOR(F.col("_s.flip"))
+    return prints.select("*", F.explode(constant).alias("_s")).withColumn("slot", F.col("_s.tag") + value).drop("_s")
 
 
 def distance(a: Column, b: Column, words: int) -> Column:
@@ -135,7 +135,7 @@ def _join_blocks(blocks: DataFrame, words: int, most: int) -> DataFrame:
 
 def _blocks(prints: DataFrame, words: int, segments: int) -> DataFrame:
     """(slot, fps, ids): fingerprints that share a segment value, in blocks dealt by a hash so that none outgrows memory."""
-    rows = prints.select("id", "fp", F.explode(F.array(*[_slot(n, v) for n, v, _ in _segments("fp", words, segments, 0)])).alias("slot"))
+    rows = _slots(prints.select("id", "fp"), words, segments, 0)
     counts = rows.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n")).where("n > 1")
     salted = rows.join(counts, "slot", "left").withColumn("salt", F.when(F.col("n") > 1, F.pmod(F.xxhash64("id"), F.col("n"))).otherwise(F.lit(0)))
     grouped = salted.groupBy("slot", "salt").agg(F.collect_list(F.struct("fp", "id")).alias("rows"))
@@ -148,9 +148,7 @@ def near_links(prints: DataFrame, words: int, segments: int, radius: int, most:
         raise ValueError("radius is 0 or 1, and each 64-bit word has equally many segments")
     blocks = spool(_join_blocks(_blocks(prints, words, segments), words, most), "blocks")
     inside = blocks.where(F.size("ids") > 1).select(F.explode(F.arrays_zip("ids", "parts")).alias("x")).select(F.col("x.ids").alias("a"), F.col("x.parts").alias("b")).where("a != b")
-    # Without radius, blocks of one value hold all; only values of many blocks are looked up again.
-    ball = [_slot(n, v if bit is None else v.bitwiseXOR(F.lit(1 << bit).cast("long"))) for n, v, bits in _segments("fp", words, segments, radius) for bit in [None, *(range(bits) if radius else [])]]
-    probes = prints.select("id", "fp", F.explode(F.array(*ball)).alias("slot"))
+    probes = _slots(prints.select("id", "fp"), words, segments, radius)
     # Complete distances are verified in the join's own condition, so that only blocks with a near fingerprint come out.
     near = lambda x: (distance(x["fps"], F.col("p.fp"), words) <= most) & (x["parts"] != F.col("p.id"))
     entries = F.arrays_zip("t.fps", "t.parts")
@@ -178,6 +176,76 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 4, words
     return prints.join(labels, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
+#: Bits of 256 up to which two texts link without a look at their shingles (a Jaccard similarity of 0.8 gives
+#: 37 on average, with a deviation of 6), and up to which their shingles are compared.
+SURE, PERHAPS = 22, 60
+
+
+def _pairs_to_compare(prints: DataFrame, words: int, segments: int, most: int) -> DataFrame:
+    """prints(id, fp, root) -> (a, b): for each id and each other root, the nearest id of that root within `most` bits.
+
+    What is already joined is not compared again, so a large group of near copies gives pairs in proportion to its rows.
+    """
+    keyed = prints.select("fp", "id", "root")
+    rows = _slots(keyed, words, segments, 0).select(F.struct("fp", "id", "root").alias("e"), "slot", "id")
+    counts = rows.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n")).where("n > 1")
+    salted = rows.join(counts, "slot", "left").withColumn("salt", F.when(F.col("n") > 1, F.pmod(F.xxhash64("id"), F.col("n"))).otherwise(F.lit(0)))
+    blocks = salted.groupBy("slot", "salt").agg(F.collect_list("e").alias("entries"))
+    probes = _slots(keyed, words, segments, 1)
+    near = lambda x: (x["root"] != F.col("p.root")) & (distance(x["fp"], F.col("p.fp"), words) <= most)
+    met = probes.alias("p").join(blocks.alias("t"), (F.col("p.slot") == F.col("t.slot")) & F.exists("t.entries", near))
+    ranked = F.transform(F.filter("t.entries", near), lambda x: F.struct(distance(x["fp"], F.col("p.fp"), words).alias("d"), x["root"].alias("root"), x["id"].alias("id")))
+    found = met.select(F.col("p.id").alias("a"), F.explode(ranked).alias("x"))
+    best = found.groupBy("a", "x.root").agg(F.min(F.struct("x.d", "x.id")).alias("m")).select("a", F.col("m.id").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs(text_key, text) -> text_key, shingles: the distinct shingle hashes of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py() or b"", shingle)).view(np.int64) for x in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "shingles"])
+
+    return docs.select("text_key", "text").mapInArrow(run, "text_key binary, shingles array<bigint>")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, segments: int = 12) -> DataFrame:
+    """(row_key, keep): one row for each distinct (doc_id, text) of docs; keep marks the least doc_id of each group.
+
+    A 4-bit difference finds few texts of similarity 0.8 (about a seventh of the bits differ), so fingerprints have
+    256 bits here and 12 segments looked up within one bit, which finds over nine in ten pairs of 0.8 and nearly all of
+    0.9. Up to SURE bits fingerprints link at once; up to PERHAPS bits texts link if the Jaccard similarity of their
+    shingle sets is at least `similarity`. Null texts count as empty; a null doc_id is kept only where its group has
+    no other. row_key is xxhash64(doc_id, text_key), text_key the MD5 of the text.
+    """
+    docs = docs.select(*row_keys(), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    prints = spool(fingerprints(docs.select(F.struct("row_key", "text_key", "doc_id").alias("row"), "text"), "row", shingle, words).select("key.*", "fp"), "prints")
+    distinct = spool(prints.groupBy("fp").agg(F.min("text_key").alias("text_key")).select(F.xxhash64("fp").alias("id"), "fp", "text_key"), "distinct")
+    sure = spool(near_links(distinct, words, segments, 1, SURE), "sure")
+    roots = connected_components(sure)
+    rooted = spool(distinct.join(roots, distinct.id == roots.node, "left").select("id", "fp", "text_key", F.coalesce("root", "id").alias("root")), "rooted")
+    pairs = spool(_pairs_to_compare(rooted.select("id", "fp", "root"), words, segments, PERHAPS), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(rooted, "id").select("id", "text_key")
+    wanted = spool(wanted, "wanted")
+    sets = shingle_sets(docs.join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"]), shingle)
+    sets = spool(sets.join(wanted, "text_key").select("id", "shingles"), "shingles")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
+    shared = F.size(F.array_intersect("s", "t"))
+    alike = both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b")
+    groups = connected_components(alike.unionAll(rooted.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    named = rooted.join(groups, rooted.id == groups.node, "left").select("fp", F.coalesce(groups.root, rooted.root).alias("group"))
+    rows = prints.join(named, "fp").select("group", "row_key", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key").alias("order"))
+    first = rows.groupBy("group").agg(F.min("order").alias("first"))
+    return rows.join(first, "group").select("row_key", (F.col("order") == F.col("first")).alias("keep")).distinct()
+
+
+def row_keys() -> list[Column]:
+    text_key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    return [F.xxhash64("doc_id", text_key).alias("row_key"), text_key.alias("text_key")]
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
