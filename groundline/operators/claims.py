@@ -9,13 +9,13 @@ from ..functions.text import gate_relation, locate_span, parse_findings, slice_b
 
 #: Dot-ended words that close no sentence (fixed values).
 ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "prof", "v", "vs", "no", "cl", "s", "ss", "art", "para", "p", "pp", "approx", "e.g", "i.e", "etc", "cf"]
-_S, _E = "", ""
+_S, _E = "\ue000", "\ue001"
 MOST_CLAIMS, MOST_CANDIDATES, MOST_REFERENCES = 500, 3, 5
 
 
 def _marked(text: Column) -> Column:
     """The text with an end mark after each sentence and line. Marks that it holds itself become others of the same width."""
-    plain = F.translate(text, _S + _E, "")
+    plain = F.translate(text, _S + _E, "\ue010\ue011")
     runs = F.regexp_replace(plain, r"([.!?][.!?\"')\]]*[”’»›]*)", f"{_S}$1{_E}")
     words = "|".join(a.replace(".", rf"{_S}?\.{_E}?") for a in ABBREVIATIONS)
     dot = rf"{_S}(\.[^{_E}]*){_E}"
