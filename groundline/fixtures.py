@@ -90,10 +90,10 @@ KB = "kb AS (SELECT sha256(text) AS file_id, 'doc_' || min(doc_id) || '.txt' AS
 
 #: Passages as SQL over kb: lines, long ones in windows of 200 words that overlap by 40.
 PASSAGES = """lines AS (SELECT file_id, file_name, owner_id, doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM kb),
-worded AS (SELECT file_id, file_name, owner_id, doc_id, line, list_filter(regexp_split_to_array(trim(body), '\\s+'), w -> w <> '') AS words FROM lines),
-windowed AS (SELECT *, unnest(generate_series(0, greatest(0, len(words) - 41), 160)) AS at FROM worded WHERE len(words) > 0),
-passages AS (SELECT file_id || ':' || lpad(line::VARCHAR, 6, '0') || ':' || lpad(at::VARCHAR, 6, '0') AS passage_id, file_id, file_name, owner_id, doc_id, line, at,
- array_to_string(words[at + 1 : at + 200], ' ') AS text FROM windowed)"""
+worded AS (SELECT file_id, file_name, owner_id, doc_id, line, list_filter(regexp_split_to_array(trim(body), '\\s+'), lambda w: w <> '') AS words FROM lines),
+windowed AS (SELECT *, unnest(generate_series(0, greatest(0, len(words) - 41), 160)) AS off FROM worded WHERE len(words) > 0),
+passages AS (SELECT file_id || ':' || lpad(line::VARCHAR, 6, '0') || ':' || lpad(off::VARCHAR, 6, '0') AS passage_id, file_id, file_name, owner_id, doc_id, line, off,
+ array_to_string(words[off + 1 : off + 200], ' ') AS text FROM windowed)"""
 
 POSTINGS = """toks AS (SELECT passage_id, file_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS t FROM passages),
 flat AS (SELECT passage_id, file_id, len(t) AS length, unnest(t) AS term FROM toks),
