@@ -26,14 +26,14 @@ def _marked(text: Column) -> Column:
 
 def split_claims(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """texts(keys, text) -> keys, claim_idx, claim, start, end: each sentence and its byte range; nothing without a letter or digit."""
-    pieces = texts.select(*keys, text, F.posexplode(F.split(_marked(F.col(text)), _E)).alias("pos", "piece"))
-    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.coalesce(F.sum(F.octet_length("piece")).over(before), F.lit(0))
-    trimmed = F.btrim("piece", F.lit(" \t\n\r"))
-    left = F.octet_length("piece") - F.octet_length(F.ltrim("piece", F.lit(" \t\n\r")))
-    found = pieces.select("*", (base + left).alias("start"), (base + left + F.octet_length(trimmed)).alias("end")).where(F.col("piece").rlike(r"[\p{L}\p{Nd}]"))
-    numbered = found.withColumn("claim_idx", F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1)
-    return numbered.select(*keys, "claim_idx", slice_bytes(F.col(text), F.col("start"), F.col("end")).alias("claim"), F.col("start").cast("long"), F.col("end").cast("long"))
+    pieces = texts.select(*keys, text, F.posexplode(F.split(_marked(F.col(text)), _E)).alias("_pos", "_piece"))
+    before = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum(F.octet_length("_piece")).over(before), F.lit(0))
+    trimmed = F.btrim("_piece", F.lit(" \t\n\r"))
+    left = F.octet_length("_piece") - F.octet_length(F.ltrim("_piece", F.lit(" \t\n\r")))
+    found = pieces.select("*", (base + left).alias("_start"), (base + left + F.octet_length(trimmed)).alias("_end")).where(F.col("_piece").rlike(r"[\p{L}\p{Nd}]"))
+    numbered = found.withColumn("_idx", F.row_number().over(Window.partitionBy(*keys).orderBy("_pos")) - 1)
+    return numbered.select(*keys, F.col("_idx").alias("claim_idx"), slice_bytes(F.col(text), F.col("_start"), F.col("_end")).alias("claim"), F.col("_start").cast("long").alias("start"), F.col("_end").cast("long").alias("end"))
 
 
 def match_findings_to_candidates(findings: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, failed_file_ids, file_key, parse_answer, sidecar_json, tokens, verbatim_matches
 from ..operators import answers, claims, files, search
+from ..sources.tables import written
 
 MODEL_TRIES, BACKOFF_S, MOST_BACKOFF_S = 4, 0.5, 8.0
 
@@ -151,7 +152,7 @@ def tool_loop(conversations: DataFrame, step: Callable[[DataFrame, int], DataFra
     """
     done, open_rows = None, conversations.select("id", "prompt")
     for n in range(1, most_rounds + 1):
-        said = step(open_rows, n).join(open_rows, "id").persist()
+        said = written(step(open_rows, n).join(open_rows, "id"), "round")
         ended = said.where("tool is null").select("id", "reply", F.lit(n).alias("rounds"), F.lit("").alias("error"))
         done = ended if done is None else done.unionByName(ended)
         asked = said.where("tool is not null")

@@ -653,3 +653,371 @@ def _updates(spark, sf):
 @query("W9_latest_state", f"""WITH {fx.EVENTS}, {_UPDATES.replace("us * 100000 + event_id % 100000 AS seq", "us")} SELECT id, status, event_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN status IN ('done','failed') THEN 0 ELSE 1 END, CASE WHEN status IN ('done','failed') THEN us ELSE -us END, CASE WHEN status IN ('done','failed') THEN event_id ELSE -event_id END) AS n FROM updates) WHERE n = 1""")
 def _w9(spark, sf):
     return metrics.latest_state(_updates(spark, sf)).select("id", "status", "event_id")
+
+
+# Sources and sinks.
+
+_RAW = """raw AS (SELECT event_id, 'uploads/a b' || event_id || '+' AS upload_key, k AS real_size FROM ev)"""
+
+
+def _messages(spark, sf):
+    """Each event as a queue message around an object event, the key escaped."""
+    e = fx.events(spark, sf)
+    key = F.url_encode(F.concat(F.lit("uploads/a b"), F.col("event_id").cast("string"), F.lit("+")))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.struct(key.alias("key"), F.col("k").alias("size")).alias("object")).alias("s3"))).alias("Records")))
+    return e.select("event_id", "ts", F.to_json(F.struct(F.array(F.struct(F.lit("aws:sqs").alias("eventSource"), body.alias("body"))).alias("Records"))).alias("raw"))
+
+
+@query("S2_parse_upload_events", f"WITH {fx.EVENTS}, {_RAW} SELECT event_id, upload_key, real_size FROM raw")
+def _s2(spark, sf):
+    from .sources import io
+
+    return io.parse_upload_events(_messages(spark, sf).select("event_id", "raw"))
+
+
+@query("S3_classify_event", "SELECT event_id, ['request','upload_queue','upload','schedule','check'][event_id % 5 + 1] AS kind FROM events")
+def _s3(spark, sf):
+    from .sources import io
+
+    n = F.col("event_id").cast("string")
+    kinds = F.array(
+        F.concat(F.lit('{"path":"/files/'), n, F.lit('"}')), F.col("raw"),
+        F.concat(F.lit('{"Records":[{"eventSource":"aws:s3","s3":{"object":{"key":"uploads/'), n, F.lit('"}}}]}')),
+        F.concat(F.lit('{"source":"aws.events","id":"'), n, F.lit('"}')), F.concat(F.lit('{"checkId":"'), n, F.lit('"}')),
+    )
+    return _messages(spark, sf).select("event_id", io.classify_event(F.get(kinds, (F.col("event_id") % 5).cast("int"))).alias("kind"))
+
+
+@query("S4_expand_archives", f"WITH {_TREE} SELECT archive_id, count(*) AS n_entries, sum(size)::BIGINT AS n_bytes FROM tree WHERE {_USABLE} GROUP BY archive_id")
+def _s4(spark, sf):
+    """The documents of each owner and hundred as archives, packed in tasks and expanded again."""
+    from .sources import io
+
+    def pack(x):
+        import io as bytes_io
+        import zipfile
+
+        import pandas as pd
+
+        held = bytes_io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for path, body in zip(x["path"], x["body"]):
+                z.writestr(path, body)
+        return pd.DataFrame({"archive_id": [x["archive_id"].iloc[0]], "content": [held.getvalue()]})
+
+    texts = fx.table(spark, sf, "documents").select("doc_id", "text")
+    tree = _tree(spark, sf).join(texts, "doc_id").select(F.concat_ws("-", "archive_id", F.floor(F.col("doc_id") / 100).cast("string")).alias("archive_id"), F.col("path"), F.when(F.col("size") > 0, F.encode("text", "UTF-8")).otherwise(F.encode(F.lit(""), "UTF-8")).alias("body"))
+    archives = tree.groupBy("archive_id").applyInPandas(pack, "archive_id string, content binary")
+    found = io.expand_archives(archives).where("path is not null")
+    return found.groupBy(F.regexp_replace("archive_id", "-[0-9]+$", "").alias("archive_id")).agg(F.count(F.lit(1)).alias("n_entries"), F.sum("size").alias("n_bytes"))
+
+
+@query("S6_metric_lines", f"""WITH {fx.EVENTS} SELECT '{{"timestamp":' || (us // 1000) || ',"namespace":"app","dimensions":["event","user"],"labels":{{"event":"' || event_type || '","user":"' || user_id || '"}},"metrics":{{"count":"1"}}}}' AS value FROM ev WHERE event_type <> 'view'""")
+def _s6(spark, sf):
+    e = fx.events(spark, sf)
+    dims = F.map_from_arrays(F.array(F.lit("user"), F.lit("event")), F.array(F.col("user_id").cast("string"), F.col("event_type")))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    values = F.when(F.col("event_type") == "view", none).otherwise(F.create_map(F.lit("count"), F.lit("1")))
+    return metrics.metric_lines(e.select(F.floor(F.col("us") / 1000).alias("ts_ms"), F.lit("app").alias("namespace"), dims.alias("dims"), values.alias("metrics")))
+
+
+@query("S8_upsert_records", f"WITH {fx.FILES} SELECT f.id, CASE WHEN l.doc_id IS NOT NULL THEN 'changed' ELSE name END AS name, CASE WHEN l.doc_id IS NOT NULL THEN created_s + 1 ELSE created_s END AS version FROM files f LEFT JOIN labels l ON l.doc_id = f.doc_id AND l.quality = 1")
+def _s8(spark, sf):
+    base = fx.files(spark, sf).select("id", "name", F.col("created_s").alias("version"), "doc_id")
+    changed = base.join(fx.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    step = F.when(F.col("quality") == 1, 1).otherwise(-1)  # an older version changes nothing
+    changes = changed.select("id", F.lit("changed").alias("name"), (F.col("version") + step).alias("version"))
+    return files.upsert_records(base.drop("doc_id"), changes, ["id"], ["version"])
+
+
+# Jobs.
+
+
+@query("C1_ingest", f"WITH {fx.DROPS}, settled AS (SELECT * FROM drops WHERE doc_id % 4 <> 3) SELECT sha256(text) AS id, arg_max(owner_id, doc_id) AS owner_id, arg_max(name, doc_id) AS name, any_value(strlen(text)) AS size, 'landed' AS status FROM settled GROUP BY sha256(text)")
+def _c1(spark, sf):
+    """Every document uploaded twice (a redelivery); records whose number leaves 3 by 4 had failed before."""
+    from .plans import jobs
+
+    d = fx.drops(spark, sf)
+    pending = d.select(F.col("upload_id").alias("id"), "owner_id", "name", "content_type", F.when(F.col("doc_id") % 4 == 3, "failed").otherwise("pending").alias("status"), F.col("created_s").alias("created_at"))
+    uploads = d.select("upload_id", F.encode("text", "UTF-8").alias("content"))
+    landed, _ = jobs.ingest(uploads.unionAll(uploads), pending, fx.AS_OF)
+    return landed.select("id", "owner_id", "name", "size", "status")
+
+
+@query("C2_build_index", f"WITH {_INDEX} SELECT passage_id, file_id, any_value(length) AS length, count(*) AS terms, sum(tf)::BIGINT AS words FROM postings GROUP BY passage_id, file_id")
+def _c2(spark, sf):
+    return _index(spark, sf)["postings"].groupBy("passage_id", "file_id").agg(F.first("length").alias("length"), F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("words"))
+
+
+_PVEC = "pvec AS (SELECT passage_id, embedding FROM passages JOIN embeddings ON vec_id = doc_id WHERE line = 0 AND off = 0)"
+
+
+@query("C3_hybrid_search", f"""WITH {_INDEX}, {fx.BM25}, {_PVEC},
+lex AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM bm),
+vd AS (SELECT q.vec_id AS query_id, passage_id, sqrt(list_sum(list_transform(generate_series(1, len(v.embedding)), lambda i: (q.embedding[i]::DOUBLE - v.embedding[i]) * (q.embedding[i]::DOUBLE - v.embedding[i])))) AS d FROM embeddings q JOIN benchmark ON item_id = q.vec_id, pvec v),
+vec AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY d, passage_id) AS rank FROM vd),
+fused AS (SELECT query_id, passage_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM lex WHERE rank <= 50 UNION ALL SELECT * FROM vec WHERE rank <= 50) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM fused) SELECT query_id, rank, passage_id, split_part(passage_id, ':', 1) AS file_id, score FROM ranked WHERE rank <= 12""")
+def _c3(spark, sf):
+    """The vector of a document with its number stands for its first passage, and that of an item with its number for the query."""
+    from .plans import jobs
+
+    index, kb = _index(spark, sf), fx.kb_source(spark, sf)
+    first = kb.select("file_id", "doc_id").join(fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
+    vectors = index["passages"].where(F.col("passage_id").endswith(":000000:000000")).join(first, "file_id").select("passage_id", "vector")
+    asked = fx.requests(spark, sf)
+    query_vectors = asked.select("query_id").join(fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    return jobs.hybrid_search(asked, index, query_vectors, vectors, 12)
+
+
+@query("C4_ask", f"""WITH {_hits_sql(20)}, mine AS (SELECT query_id, file_id, min(rank) AS rank FROM hits WHERE file_owner = 'src' || (query_id % 20) GROUP BY query_id, file_id),
+best AS (SELECT query_id, arg_min(file_id, rank) AS file_id FROM mine GROUP BY query_id) SELECT query_id, 0 AS pos, file_id, kb.file_name AS name FROM best JOIN kb USING (file_id)""")
+def _c4(spark, sf):
+    """The scripted model cites the first passage that it sees, and a file that nobody has."""
+    from .plans import jobs
+
+    owners = fx.kb_source(spark, sf).select(F.col("file_id").alias("id"), "owner_id", F.col("file_name").alias("name"))
+
+    def scripted(prompts):
+        first = F.get_json_object("passages", "$[0].fileId")
+        ids = F.array_compact(F.array(first, F.lit("nobody")))
+        return prompts.select("query_id", F.concat(F.lit("Found: "), F.to_json(F.struct(F.lit("see source").alias("answer"), ids.alias("fileIds")))).alias("reply"))
+
+    _, cited = jobs.ask(fx.requests(spark, sf), _index(spark, sf), owners, scripted)
+    return cited
+
+
+@query("C5_fill", f"""WITH {_FORMS}, f AS (SELECT form_id, unnest(raw) AS field, unnest(range(len(raw))) AS pos FROM forms) SELECT form_id, pos, field, CASE WHEN pos % 2 = 0 THEN 'value of ' || left(field, 10) ELSE '' END AS value, pos % 2 = 0 AS found, '' AS error FROM f""")
+def _c5(spark, sf):
+    """Each field is a question; the scripted model has a sourced answer for every other one."""
+    forms, _ = answers.validate_fields(_forms(spark, sf))
+    asked = forms.select("form_id", F.posexplode("fields").alias("pos", "field"))
+    reply = F.when(F.col("pos") % 2 == 0, F.to_json(F.struct(F.concat(F.lit("value of "), F.substring("field", 1, 10)).alias("answer"), F.array(F.lit("f1")).alias("fileIds")))).otherwise("nothing was found")
+    parsed = asked.select("form_id", "pos", fn.parse_answer(reply).alias("a"))
+    results = parsed.select("form_id", "pos", F.col("a.answer").alias("value"), F.col("a.file_ids").alias("sources"), F.lit(None).cast("string").alias("error"))
+    return answers.fill_answers(forms, results)
+
+
+def _check_sql(last: str) -> str:
+    toks = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{Nd}}]+'))"
+    mine, theirs = toks.format("claim"), toks.format("span")
+    neg = "list_has_any({0}, ['not','no','never','none','nor'])"
+    return f"""WITH {fx.KB}, {fx.PASSAGES}, {fx.POSTINGS}, {claims_cte('benchmark', 'item_id', 'c')},
+qterms AS (SELECT DISTINCT item_id, claim_idx, unnest(regexp_extract_all(lower(claim), '[\\p{{L}}\\p{{Nd}}]+')) AS term FROM c),
+bm AS (SELECT item_id, claim_idx, passage_id, file_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM qterms JOIN freq USING (term) JOIN postings USING (term), stats GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item_id, claim_idx ORDER BY score DESC, passage_id) AS rank FROM bm),
+mg AS (SELECT item_id, claim_idx, r.file_id, any_value(owner_id) AS o, string_agg(text, chr(10) ORDER BY rank) AS candidate, min(rank) AS rank FROM rk r JOIN passages USING (passage_id) WHERE rank <= 12 GROUP BY item_id, claim_idx, r.file_id),
+cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, claim_idx ORDER BY rank) AS pos FROM mg WHERE o = 'src' || (item_id % 20)) WHERE pos <= 3),
+ck AS (SELECT item_id || '/' || claim_idx || '/' || file_id AS ckey, * FROM cand), src AS (SELECT ckey, candidate AS text FROM ck),
+{claims_cte('src', 'ckey', 's')},
+pr AS (SELECT ck.item_id, ck.claim_idx, ck.file_id, pos * 1000000 + s.claim_idx AS idx, c.claim, s.claim AS span, candidate FROM s JOIN ck USING (ckey) JOIN c ON c.item_id = ck.item_id AND c.claim_idx = ck.claim_idx),
+rel AS (SELECT *, CASE WHEN {_NORM.format('claim')} = {_NORM.format('span')} THEN 'verbatim' WHEN len(list_intersect({mine}, {theirs}))::DOUBLE / len({mine}) >= 0.6 THEN CASE WHEN {neg.format(mine)} <> {neg.format(theirs)} THEN 'contradicts' ELSE 'paraphrase' END END AS relation FROM pr),
+refs AS (SELECT item_id AS check_id, claim_idx, idx, file_id, span AS span_text, strlen(substr(candidate, 1, strpos(candidate, span) - 1))::BIGINT AS start, (strlen(substr(candidate, 1, strpos(candidate, span) - 1)) + strlen(span))::BIGINT AS "end", relation FROM rel WHERE relation IS NOT NULL),
+verdicts AS (SELECT c.item_id AS check_id, c.claim_idx, claim, c.start, c."end", CASE WHEN bool_or(relation = 'contradicts') THEN 'disputed' WHEN bool_or(relation = 'verbatim') THEN 'verified' WHEN bool_or(relation = 'paraphrase') THEN 'review' ELSE 'unsupported' END AS verdict, count(relation) AS n_refs FROM c LEFT JOIN refs r ON r.check_id = c.item_id AND r.claim_idx = c.claim_idx GROUP BY ALL),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY check_id, claim_idx ORDER BY CASE WHEN n > 5 AND relation <> 'contradicts' THEN 1 ELSE 0 END, idx) - 1 AS ref_idx FROM (SELECT *, count(*) OVER (PARTITION BY check_id, claim_idx) AS n FROM refs)) WHERE ref_idx < 5)
+{last}"""
+
+
+def _check(spark, sf):
+    from .plans import jobs
+
+    owners = fx.kb_source(spark, sf).select(F.col("file_id").alias("id"), "owner_id")
+    return jobs.check(fx.requests(spark, sf).select("check_id", "owner_id", "text"), _index(spark, sf), owners)
+
+
+@query("C6_check", _check_sql('SELECT check_id, claim_idx, claim, start, "end", verdict, n_refs FROM verdicts'))
+def _c6(spark, sf):
+    return _check(spark, sf)["verdicts"]
+
+
+@query("C6_check_references", _check_sql('SELECT check_id, claim_idx, ref_idx, file_id, span_text, start, "end", relation FROM capped'))
+def _c6_refs(spark, sf):
+    return _check(spark, sf)["references"].drop("idx")
+
+
+@query("C7_model_map", "SELECT conv_id * 100 + turn AS id, 'reply' AS op, 1 AS attempt, md5(text) AS digest, length(text) AS input_tokens, TRUE AS ok FROM conversations WHERE role = 'user'")
+def _c7(spark, sf):
+    from .plans import jobs
+
+    def echo(batch):
+        import hashlib
+
+        import pandas as pd
+
+        return pd.DataFrame({"id": batch["id"], "reply": [hashlib.md5(p.encode()).hexdigest() for p in batch["prompt"]], "input_tokens": batch["prompt"].str.len(), "output_tokens": 1})
+
+    asked = fx.table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("prompt"))
+    return jobs.model_map(asked, echo, "reply").select("id", "op", "attempt", F.col("reply").alias("digest"), "input_tokens", "ok")
+
+
+@query("C8_tool_loop", "SELECT conv_id AS id, CASE WHEN conv_id % 8 < 6 THEN 'done' END AS reply, least(conv_id % 8 + 1, 6)::INT AS rounds, CASE WHEN conv_id % 8 < 6 THEN '' ELSE 'too many rounds' END AS error FROM (SELECT DISTINCT conv_id FROM conversations)")
+def _c8(spark, sf):
+    """A conversation asks for a tool as often as its number leaves by 8, then answers; six rounds at most."""
+    from .plans import jobs
+
+    rows = fx.table(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt")).withColumnRenamed("conv_id", "id")
+
+    def step(open_rows, n):
+        more = F.col("id") % 8 >= n
+        return open_rows.select("id", F.when(more, "search").alias("tool"), F.lit("x").alias("argument"), F.when(~more, "done").alias("reply"))
+
+    return jobs.tool_loop(rows, step, lambda asked: asked.select("id", F.lit("a result").alias("result")))
+
+
+@query("C9_sync_landed", f"WITH {fx.FILES}, batch AS (SELECT id, doc_id FROM files WHERE status = 'landed' ORDER BY id LIMIT 100) SELECT f.id, CASE WHEN b.id IS NULL THEN status WHEN f.doc_id IN (SELECT doc_id FROM labels) THEN 'failed' ELSE 'ingested' END AS status FROM files f LEFT JOIN batch b ON b.id = f.id")
+def _c9(spark, sf):
+    from .plans import jobs
+
+    reasons = fx.table(spark, sf, "labels").select(F.concat(F.lit("failed: s3://store/kb/f"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".metadata.json")).alias("reason"))
+    return jobs.sync_landed(fx.files(spark, sf), reasons).select("id", "status")
+
+
+@query("C11_run_evals", f"""WITH {_hits_sql(20)}, own AS (SELECT check_id, file_id FROM (SELECT query_id AS check_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM hits WHERE file_owner = 'src' || (query_id % 20)) WHERE n = 1)
+SELECT item_id AS "case", 1 AS n_expected, CASE WHEN check_id IS NULL THEN 0 ELSE 1 END AS n_cited, check_id IS NOT NULL AND item_id % 2 = 0 AS passed FROM benchmark LEFT JOIN own ON check_id = item_id""")
+def _c11(spark, sf):
+    """Golden cases: every item must cite the owner's best file and say its number, which the script does for even ones."""
+    from .plans import jobs
+
+    owners = fx.kb_source(spark, sf).select(F.col("file_id").alias("id"), "owner_id", F.col("file_name").alias("name"))
+    asked = fx.requests(spark, sf)
+
+    def scripted(prompts):
+        ids = F.array_compact(F.array(F.get_json_object("passages", "$[0].fileId")))
+        said = F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("no. "), F.col("query_id").cast("string"))).otherwise("unknown")
+        return prompts.select("query_id", F.to_json(F.struct(said.alias("answer"), ids.alias("fileIds"))).alias("reply"))
+
+    said, _ = jobs.ask(asked, _index(spark, sf), owners, scripted)
+    given = said.select(F.col("query_id").alias("case"), "answer", F.col("file_ids").alias("cited"))
+    best = given.select("case", F.when(F.size("cited") == 0, F.array(F.lit("missing"))).otherwise(F.col("cited")).alias("expected_ids"))
+    cases = best.withColumn("contains", F.array(F.concat(F.lit("no. "), F.col("case").cast("string"))))
+    return answers.eval_report(cases, given)
+
+
+@query("F20_passages_json", f"""WITH {_hits_sql(5)} SELECT query_id, '[' || string_agg('{{"fileId":"' || file_id || '","fileName":"' || file_name || '","text":' || CAST(to_json(text) AS VARCHAR) || '}}', ',' ORDER BY rank) || ']' AS passages FROM hits GROUP BY query_id""")
+def _f20(spark, sf):
+    return answers.passages_json(_hits(spark, sf, 5))
+
+
+# Streams, each drained to the end of what there is. Complete or update mode gives open windows too.
+
+
+def _stream(spark, sf):
+    from .streaming import flows
+
+    return flows.read_events(spark, f"{sf}/events.parquet")
+
+
+def _k(column: str = "props"):
+    return F.get_json_object(column, "$.k").cast("long")
+
+
+@query("T1_stream_uploads", f"WITH {fx.EVENTS} SELECT 'upl-' || k AS id, arg_max(event_id, [us, event_id]) AS event_id FROM ev GROUP BY k")
+def _t1(spark, sf):
+    """Deliveries name an upload by the number in props; each micro-batch is upserted, so redeliveries change only the version."""
+    from .sources.tables import shared_path
+    from .streaming import flows
+
+    root = shared_path(spark, "uploads")
+    records = flows.VersionedTable(spark, f"{root}/table", "id string, us long, event_id long", ["id"], ["us", "event_id"])
+    arrivals = _stream(spark, sf).select(F.concat(F.lit("upl-"), _k().cast("string")).alias("id"), F.expr("unix_micros(ts)").alias("us"), "event_id")
+    flows.stream_into(arrivals, records.upsert, f"{root}/state").awaitTermination()
+    return records.read().select("id", "event_id")
+
+
+@query("T2_stream_dedupe", f"WITH {fx.EVENTS} SELECT DISTINCT k AS upload_id FROM ev")
+def _t2(spark, sf):
+    from .streaming import flows
+
+    arrivals = _stream(spark, sf).select("ts", _k().alias("upload_id"))
+    return flows.drain(flows.stream_dedupe_deliveries(arrivals), "dedupe").select("upload_id")
+
+
+@query("T3_stream_sync", f"WITH {fx.EVENTS} SELECT 'f' || lpad(event_id::VARCHAR, 8, '0') AS id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ingested' END AS status FROM ev")
+def _t3(spark, sf):
+    """Landed files arrive as a stream; the snapshot of a run is the micro-batch, and all of it is decided."""
+    from .plans import jobs
+    from .sources.tables import shared_path
+    from .streaming import flows
+
+    root = shared_path(spark, "sync")
+    number = F.lpad(F.col("event_id").cast("string"), 8, "0")
+    landed = _stream(spark, sf).select(F.concat(F.lit("f"), number).alias("id"), F.lit("landed").alias("status"), F.when(F.col("event_type") == "error", F.concat(F.lit("s3://store/kb/f"), number)).alias("reason"))
+
+    def each(batch, n):
+        reasons = batch.where("reason is not null").select("reason")
+        jobs.sync_landed(batch.select("id", "status"), reasons, batch=2**31 - 1).write.mode("overwrite").parquet(f"{root}/rows/n={n}")
+
+    flows.stream_into(landed, each, f"{root}/state").awaitTermination()
+    return spark.read.schema("id string, status string").parquet(f"{root}/rows/n=*")
+
+
+@query("T4_stream_checks", _check_sql("SELECT check_id, claim_idx, verdict, n_refs FROM verdicts"))
+def _t4(spark, sf):
+    """Check tasks as a stream of benchmark items; a failing batch would record failed rows instead."""
+    from .plans import jobs
+    from .sources.tables import shared_path
+    from .streaming import flows
+
+    root = shared_path(spark, "checks")
+    kb = fx.kb_source(spark, sf)
+    index, owners = jobs.build_index(kb), kb.select(F.col("file_id").alias("id"), "owner_id")
+    tasks = flows.read_files(spark, f"{sf}/benchmark.parquet").select(F.col("item_id").alias("check_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("owner_id"), "text")
+    failed = lambda batch, error: batch.select("check_id", F.lit(-1).alias("claim_idx"), F.lit("failed: " + error).alias("verdict"), F.lit(0).cast("long").alias("n_refs"))
+    verify = flows.guarded(lambda batch: jobs.check(batch, index, owners)["verdicts"].select("check_id", "claim_idx", "verdict", "n_refs"), failed)
+    flows.stream_into(tasks, lambda batch, n: verify(batch).write.mode("overwrite").parquet(f"{root}/rows/n={n}"), f"{root}/state").awaitTermination()
+    return spark.read.schema("check_id long, claim_idx int, verdict string, n_refs long").parquet(f"{root}/rows/n=*")
+
+
+@query("T5_stream_red_metrics", f"WITH {fx.EVENTS}, {_LOG} SELECT epoch_us(date_trunc('minute', ts)) // 1000000 AS window_s, route, method, status_class, count(*) AS request_count, count(*) FILTER (WHERE failed) AS error_count, round(avg(ms), 6) AS avg_ms FROM log GROUP BY ALL")
+def _t5(spark, sf):
+    from .streaming import flows
+
+    out = flows.drain(flows.stream_red_metrics(_log_stream(spark, sf)), "red", "complete")
+    return out.select(F.col("window_start").cast("long").alias("window_s"), "route", "method", "status_class", "request_count", "error_count", F.round("avg_ms", 6).alias("avg_ms"))
+
+
+def _log_stream(spark, sf):
+    e = _stream(spark, sf)
+    method = F.element_at(F.array(*map(F.lit, ["GET", "POST", "PATCH", "DELETE", "BREW"])), (F.col("event_id") % 5 + 1).cast("int"))
+    path = F.element_at(F.array(*map(F.lit, ["/files", "/files/abc", "/ask", "/checks/42", "/nowhere", "/calls"])), (F.col("event_id") % 6 + 1).cast("int"))
+    code = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, 503).otherwise(404)).otherwise(200)
+    return e.select("ts", fn.route_label(method, path).alias("route"), fn.method_label(method).alias("method"), fn.status_class(code).alias("status_class"), F.col("value").alias("ms"), (code >= 400).alias("failed"))
+
+
+@query("T6_stream_call_metrics", f"""WITH {fx.EVENTS}, w AS (SELECT *, unnest([us // 300000000 * 300, us // 300000000 * 300 - 300]) AS window_s FROM ev)
+SELECT window_s, event_type AS op, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 6) AS avg_latency_ms, sum(k)::BIGINT AS input_tokens, sum(k * 2)::BIGINT AS output_tokens FROM w GROUP BY window_s, event_type""")
+def _t6(spark, sf):
+    from .streaming import flows
+
+    calls = _stream(spark, sf).select("ts", F.col("event_type").alias("op"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency_ms"), _k().alias("input_tokens"), (_k() * 2).alias("output_tokens"))
+    out = flows.drain(flows.stream_call_metrics(calls), "calls", "complete")
+    return out.select(F.col("window_start").cast("long").alias("window_s"), "op", "calls", "errors", F.round("avg_latency_ms", 6).alias("avg_latency_ms"), "input_tokens", "output_tokens")
+
+
+@query("T7_stream_lifecycle", ORACLES["W9_latest_state"])
+def _t7(spark, sf):
+    from .streaming import flows
+
+    t, k = F.col("event_type"), _k()
+    status = F.when((t == "purchase") & (k > 95), "done").when((t == "error") & (k > 95), "failed").when(t == "signup", "pending").otherwise("running")
+    updates = _stream(spark, sf).select(F.col("user_id").alias("id"), F.expr("unix_micros(ts)").alias("us"), "event_id", status.alias("status"))
+    return flows.drain(flows.stream_lifecycle_state(updates), "lifecycle", "update", ["id"]).select("id", "status", "event_id")
+
+
+@query("T8_stream_dead_letters", f"WITH {fx.EVENTS} SELECT k AS upload_id, count(*) AS failures FROM ev WHERE event_type = 'error' GROUP BY k HAVING count(*) >= 5")
+def _t8(spark, sf):
+    from .streaming import flows
+
+    deliveries = _stream(spark, sf).select(_k().alias("upload_id"), (F.col("event_type") == "error").alias("failed"))
+    return flows.drain(flows.stream_dead_letters(deliveries), "dead", "update", ["upload_id"])
+
+
+@query("T9_stream_ask_sessions", """WITH e AS (SELECT user_id AS owner_id, epoch_us(ts) AS us FROM events), g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY owner_id ORDER BY us) < 1800000000 THEN 0 ELSE 1 END AS new FROM e),
+s AS (SELECT *, sum(new) OVER (PARTITION BY owner_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT owner_id, min(us) AS start_us, max(us) + 1800000000 AS end_us, count(*) AS asks FROM s GROUP BY owner_id, n""")
+def _t9(spark, sf):
+    from .streaming import flows
+
+    asks = _stream(spark, sf).select("ts", F.col("user_id").alias("owner_id"))
+    out = flows.drain(flows.stream_ask_sessions(asks), "sessions", "complete")
+    return out.select("owner_id", F.expr("unix_micros(session_start)").alias("start_us"), F.expr("unix_micros(session_end)").alias("end_us"), "asks")
