@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,18 @@ from ..operators.files import upsert_records
 from ..sources.tables import shared_path
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start in here keep their state in RocksDB: arbitrary state needs it, and large state fits on disk."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append", key: list[str] | None = None) -> DataFrame:
     """Run a stream over what there is now and return what it wrote.
 
@@ -25,7 +38,8 @@ def drain(stream: DataFrame, name: str, mode: str = "append", key: list[str] | N
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/n={number}")  # a repeated batch replaces itself
 
-    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}/state").foreachBatch(write).start().awaitTermination()
+    with rocksdb_state(spark):
+        stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}/state").foreachBatch(write).start().awaitTermination()
     rows = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", IntegerType())])).parquet(f"{out}/rows/n=*")
     if mode == "complete":
         last = rows.agg(F.max("_batch")).first()[0]
