@@ -76,8 +76,9 @@ def fingerprints(docs: DataFrame, key: str, shingle: int, words: int) -> DataFra
 
 
 def _slots(prints: DataFrame, words: int, segments: int, radius: int) -> DataFrame:
-    """prints with slot: a row for each segment and each value within `radius` bits of it, tagged by the segment's number.
+    """prints with slot and check: a row for each segment and each value within `radius` bits of it, tagged by the segment's number.
 
+    check is a word of the fingerprint in which the segment isn't (the only one, where there is one).
     Each 64-bit word is cut into segments / words parts. What differs from row to row is a folded constant, so that the generated
     code stays small.
     """
@@ -87,7 +88,7 @@ def _slots(prints: DataFrame, words: int, segments: int, radius: int) -> DataFra
     long = lambda x: F.lit(x).cast("long")
     constant = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(a).alias("a"), long((1 << bits) - 1).alias("mask"), long(number << 40).alias("tag"), long(flip).alias("flip")) for w, a, bits, number, flip in looks])
     value = F.call_function("shiftrightunsigned", F.get("fp", F.col("_s.w")), F.col("_s.a")).bitwiseAND(F.col("_s.mask")).bitwiseXOR(F.col("_s.flip"))
-    return prints.select("*", F.explode(constant).alias("_s")).withColumn("slot", F.col("_s.tag") + value).drop("_s")
+    return prints.select("*", F.explode(constant).alias("_s")).withColumns({"slot": F.col("_s.tag") + value, "check": F.get("fp", (F.col("_s.w") + 1) % words)}).drop("_s")
 
 
 def distance(a: Column, b: Column, words: int) -> Column:
@@ -176,28 +177,90 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 4, words
     return prints.join(labels, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-#: Bits of 256 up to which two texts link without a look at their shingles (a Jaccard similarity of 0.8 gives
-#: 37 on average, with a deviation of 6), and up to which their shingles are compared.
-SURE, PERHAPS = 22, 60
+#: Bits of 256 up to which two texts link without a look at their shingles (a Jaccard similarity of 0.8 gives 37 on
+#: average, with a deviation of 6), and up to which their shingles are compared; the same for the 64 bits that lookups carry.
+SURE, PERHAPS, CHECK = 22, 56, 20
+#: An id with so many near entries in one block finds its group's centre by climbing instead of by lookups, in so many steps.
+DENSE, CLIMB = 8, 4
 
 
-def _pairs_to_compare(prints: DataFrame, words: int, segments: int, most: int) -> DataFrame:
-    """prints(id, fp, root) -> (a, b): for each id and each other root, the nearest id of that root within `most` bits.
+def _compared_blocks(prints: DataFrame, words: int, segments: int) -> DataFrame:
+    """(slot, checks, ids, degrees, parts, pivots): blocks of equal segment values, each compared inside itself.
 
-    What is already joined is not compared again, so a large group of near copies gives pairs in proportion to its rows.
+    parts[i]: the least id that i is joined to by links of at most SURE bits. degrees[i]: how many entries lie within PERHAPS
+    bits. pivots[i]: the one of these that is nearest to its own near entries on average, or i itself.
     """
-    keyed = prints.select("fp", "id", "root")
-    rows = _slots(keyed, words, segments, 0).select(F.struct("fp", "id", "root").alias("e"), "slot", "id")
+
+    def compared(fps: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        gap = sum(np.bitwise_count(fps[:, None, w] ^ fps[None, :, w]).astype(np.int16) for w in range(words))
+        near, root = gap <= SURE, np.arange(len(ids))
+        while True:
+            low = np.where(near, root[None, :], len(ids)).min(1)
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        close = (gap <= PERHAPS) & ~np.eye(len(ids), dtype=bool)
+        degree = close.sum(1)
+        mean = np.where(close, gap, 0).sum(1) / np.maximum(degree, 1)
+        pivot = np.where(close.any(1), np.where(close, mean[None, :], np.inf).argmin(1), np.arange(len(ids)))
+        return degree, ids[root], ids[pivot]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(2).flatten())
+            fps = np.asarray(batch.column(3).flatten().flatten()).view(np.uint64).reshape(-1, words)
+            sizes = np.asarray(batch.column(2).value_lengths())
+            degrees, parts, pivots, at = np.zeros(len(ids), dtype=np.int64), ids.copy(), ids.copy(), 0
+            for n in sizes.tolist():
+                if n > 1:
+                    order = at + np.argsort(ids[at : at + n], kind="stable")
+                    degrees[order], parts[order], pivots[order] = compared(fps[order], ids[order])
+                at += n
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (degrees, parts, pivots)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *lists], names=["slot", "checks", "ids", "degrees", "parts", "pivots"])
+
+    rows = _slots(prints, words, segments, 0).select("slot", "id", F.struct("check", "id", "fp").alias("e"))
     counts = rows.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n")).where("n > 1")
     salted = rows.join(counts, "slot", "left").withColumn("salt", F.when(F.col("n") > 1, F.pmod(F.xxhash64("id"), F.col("n"))).otherwise(F.lit(0)))
-    blocks = salted.groupBy("slot", "salt").agg(F.collect_list("e").alias("entries"))
-    probes = _slots(keyed, words, segments, 1)
-    near = lambda x: (x["root"] != F.col("p.root")) & (distance(x["fp"], F.col("p.fp"), words) <= most)
-    met = probes.alias("p").join(blocks.alias("t"), (F.col("p.slot") == F.col("t.slot")) & F.exists("t.entries", near))
-    ranked = F.transform(F.filter("t.entries", near), lambda x: F.struct(distance(x["fp"], F.col("p.fp"), words).alias("d"), x["root"].alias("root"), x["id"].alias("id")))
-    found = met.select(F.col("p.id").alias("a"), F.explode(ranked).alias("x"))
-    best = found.groupBy("a", "x.root").agg(F.min(F.struct("x.d", "x.id")).alias("m")).select("a", F.col("m.id").alias("b"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    blocks = salted.groupBy("slot", "salt").agg(F.collect_list("e").alias("e")).select("slot", F.col("e.check").alias("checks"), F.col("e.id").alias("ids"), F.col("e.fp").alias("fps"))
+    longs = "array<bigint>"
+    return blocks.mapInArrow(run, f"slot bigint, checks {longs}, ids {longs}, degrees {longs}, parts {longs}, pivots {longs}")
+
+
+def _likely_pairs(prints: DataFrame, words: int, segments: int) -> tuple[DataFrame, DataFrame]:
+    """prints(id, fp) -> sure links (a, b), and pairs (a, b) whose shingles must be compared.
+
+    In its own blocks an id is paired with the block's centre. An id of few near entries there is also paired, in each
+    block that its lookups reach, with the nearest and the best connected entry that a 64-bit word of the fingerprint lets
+    through. An id in a crowd climbs: it is paired with its centre's centre and so on, which leads to the text that
+    a large group's copies come from. All of this gives pairs in proportion to the rows, whatever the size of a group.
+    """
+    blocks = spool(_compared_blocks(prints, words, segments), "blocks")
+    several = blocks.where(F.size("ids") > 1).select(F.explode(F.arrays_zip("ids", "parts", "pivots", "degrees")).alias("x"))
+    sure = several.where("x.ids != x.parts").select(F.col("x.ids").alias("a"), F.col("x.parts").alias("b"))
+    centres = several.where("x.ids != x.pivots").groupBy(F.col("x.ids").alias("a")).agg(F.max(F.struct("x.degrees", (-F.col("x.pivots")).alias("p"))).alias("m"))
+    centres = spool(centres.select("a", (-F.col("m.p")).alias("b"), F.col("m.degrees").alias("degree")), "centres")
+    inside, step = several.where("x.ids != x.pivots").select(F.col("x.ids").alias("a"), F.col("x.pivots").alias("b")), centres.where(F.col("degree") >= DENSE).select("a", "b")
+    for _ in range(CLIMB):
+        step = step.join(centres.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).where("a != b")
+        inside = inside.unionAll(step)
+    sparse = prints.join(centres.where(F.col("degree") >= DENSE).select(F.col("a").alias("id")), "id", "left_anti")
+    probes = _slots(sparse, words, segments, 1).select("slot", "id", "check")
+    gap = lambda x: F.bit_count(x["checks"].bitwiseXOR(F.col("p.check")))
+    near = lambda x: (gap(x) <= CHECK) & (x["ids"] != F.col("p.id"))
+    entries = F.arrays_zip("t.checks", "t.ids", "t.degrees")
+    met = probes.alias("p").join(blocks.alias("t"), (F.col("p.slot") == F.col("t.slot")) & F.exists(entries, near))
+    let = F.filter(entries, near)
+    nearest = F.array_min(F.transform(let, lambda x: F.struct(gap(x).alias("d"), x["ids"].alias("id"))))
+    central = F.array_max(F.transform(let, lambda x: F.struct(x["degrees"].alias("n"), (-gap(x)).alias("d"), (-x["ids"]).alias("id"))))
+    met = spool(met.select(F.col("p.id").alias("a"), nearest["id"].alias("b"), (-central["id"]).alias("c")), "met")
+    pairs = inside.unionAll(met.select("a", "b")).unionAll(met.select("a", F.col("c").alias("b")))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    prints_a, prints_b = (prints.select(F.col("id").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+    close = pairs.join(prints_a, "a").join(prints_b, "b").where(distance(F.col("fp_a"), F.col("fp_b"), words) <= PERHAPS)
+    return sure, close.select("a", "b")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -215,7 +278,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """(row_key, keep): one row for each distinct (doc_id, text) of docs; keep marks the least doc_id of each group.
 
     A 4-bit difference finds few texts of similarity 0.8 (about a seventh of the bits differ), so fingerprints have
-    256 bits here and 12 segments looked up within one bit, which finds over nine in ten pairs of 0.8 and nearly all of
+    256 bits here and 12 segments looked up within one bit, which reaches over nine in ten pairs of 0.8 and nearly all of
     0.9. Up to SURE bits fingerprints link at once; up to PERHAPS bits texts link if the Jaccard similarity of their
     shingle sets is at least `similarity`. Null texts count as empty; a null doc_id is kept only where its group has
     no other. row_key is xxhash64(doc_id, text_key), text_key the MD5 of the text.
@@ -223,19 +286,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     docs = docs.select(*row_keys(), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     prints = spool(fingerprints(docs.select(F.struct("row_key", "text_key", "doc_id").alias("row"), "text"), "row", shingle, words).select("key.*", "fp"), "prints")
     distinct = spool(prints.groupBy("fp").agg(F.min("text_key").alias("text_key")).select(F.xxhash64("fp").alias("id"), "fp", "text_key"), "distinct")
-    sure = spool(near_links(distinct, words, segments, 1, SURE), "sure")
-    roots = connected_components(sure)
-    rooted = spool(distinct.join(roots, distinct.id == roots.node, "left").select("id", "fp", "text_key", F.coalesce("root", "id").alias("root")), "rooted")
-    pairs = spool(_pairs_to_compare(rooted.select("id", "fp", "root"), words, segments, PERHAPS), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(rooted, "id").select("id", "text_key")
+    sure, pairs = _likely_pairs(distinct.select("id", "fp"), words, segments)
+    sure, pairs = spool(sure, "sure"), spool(pairs, "pairs")
+    wanted = pairs.select("a").unionAll(pairs.select(F.col("b"))).distinct().join(distinct, F.col("a") == F.col("id")).select("id", "text_key")
     wanted = spool(wanted, "wanted")
     sets = shingle_sets(docs.join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"]), shingle)
     sets = spool(sets.join(wanted, "text_key").select("id", "shingles"), "shingles")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
     alike = both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b")
-    groups = connected_components(alike.unionAll(rooted.select(F.col("id").alias("a"), F.col("root").alias("b"))))
-    named = rooted.join(groups, rooted.id == groups.node, "left").select("fp", F.coalesce(groups.root, rooted.root).alias("group"))
+    groups = connected_components(alike.unionAll(sure))
+    named = distinct.join(groups, distinct.id == groups.node, "left").select("fp", F.coalesce("root", "id").alias("group"))
     rows = prints.join(named, "fp").select("group", "row_key", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key").alias("order"))
     first = rows.groupBy("group").agg(F.min("order").alias("first"))
     return rows.join(first, "group").select("row_key", (F.col("order") == F.col("first")).alias("keep")).distinct()
