@@ -23,7 +23,7 @@ from .text_hash import ALNUM, SPACED, slices, word_hashes
 
 #: Labelled rows and pool rows that fitting sees at most; rounds; pool rows that a view labels in a round, as a share.
 LABELLED, POOL, ROUNDS, SHARE = 6000, 6000, 4, 0.08
-_KIND = np.array([0 if c in (9, 10, 11, 12, 13, 32) else 1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c >= 128 else 6 if c in b".,;:'\"-?" else 5 for c in range(256)], dtype=np.int64)
+_KIND = np.array([0 if c in (9, 10, 11, 12, 13, 32) else 1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c >= 128 else 6 if c in b".,;:'\"-?" else 5 for c in range(256)], dtype=np.uint8)
 TEXT_FEATURES, SOURCES = 20, 64
 
 
@@ -34,7 +34,7 @@ def text_features(texts: list[bytes]) -> np.ndarray:
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
     joined = b"\n".join(texts) + b"\n"
     kind = _KIND[np.frombuffer(joined, dtype=np.uint8)]
-    owner = np.repeat(np.arange(n), np.diff(bounds))
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
     share = np.bincount(owner * 7 + kind, minlength=7 * n).reshape(n, 7) / np.maximum(sizes, 1)[:, None]
     raw = np.frombuffer(joined, dtype=np.uint8)
     single = [np.bincount(owner[raw == c], minlength=n) / np.maximum(sizes, 1) for c in b"|!\n{"]

@@ -31,7 +31,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as bytes; null as empty) in runs of about `most_bytes`, so that memory is bounded."""
     first, run, held = 0, [], 0
     for i, x in enumerate(texts.cast(pa.large_binary())):
