@@ -30,10 +30,11 @@ def ingest(uploads: DataFrame, pending: DataFrame, as_of: str) -> tuple[DataFram
 
 
 def build_index(kb_source: DataFrame) -> dict[str, DataFrame]:
-    """passages, postings, stats and frequencies. Callers write or persist them where they are used often."""
-    passages = search.passages_of(kb_source)
-    stats, frequencies = search.index_stats(passages)
-    return {"passages": passages, "postings": search.postings_of(passages), "stats": stats, "frequencies": frequencies}
+    """passages, postings, stats and frequencies, each written once, so that searches don't cut and count the texts again."""
+    passages = written(search.passages_of(kb_source), "passages")
+    postings = written(search.postings_of(passages), "postings")
+    stats, _ = search.index_stats(passages)
+    return {"passages": passages, "postings": postings, "stats": stats, "frequencies": written(search.frequencies_of(postings), "frequencies")}
 
 
 def lexical_search(queries: DataFrame, index: dict[str, DataFrame], k: int) -> DataFrame:
@@ -86,12 +87,13 @@ def check(requests: DataFrame, index: dict[str, DataFrame], owners: DataFrame, p
     valid, bad = answers.validate_checks(requests)
     rows = claims.split_claims(valid.select("check_id", "text"), ["check_id"])
     many = rows.groupBy("check_id").count().where(F.col("count") > claims.MOST_CLAIMS).select("check_id")
-    rows = rows.join(many, "check_id", "left_anti")
+    rows = written(rows.join(many, "check_id", "left_anti"), "claims")
     asked = rows.join(requests.select("check_id", "owner_id"), "check_id").select(F.struct("check_id", "claim_idx").alias("query_id"), F.col("claim").alias("text"), "owner_id")
     hits = lexical_search(asked, index, k)
     offered = owned_candidates(hits, asked, owners).select("query_id.check_id", "query_id.claim_idx", "file_id", F.col("text").alias("candidate_text"), "pos")
+    offered = written(offered, "candidates")
     matched = claims.match_findings_to_candidates(propose(rows, offered), offered.drop("pos"))
-    references = claims.gate_findings(matched.join(rows.select("check_id", "claim_idx", "claim"), ["check_id", "claim_idx"]))
+    references = written(claims.gate_findings(matched.join(rows.select("check_id", "claim_idx", "claim"), ["check_id", "claim_idx"])), "references")
     failed = bad.select("check_id", "reason").unionByName(many.select("check_id", F.lit("too many claims").alias("reason")))
     return {"verdicts": claims.claim_verdict(rows, references), "references": claims.cap_references(references), "failed": failed}
 
