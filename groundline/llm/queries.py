@@ -24,4 +24,13 @@ QUERIES = {
     "op10_decontam": op10_decontam,
 }
 
-ORACLES: dict[str, str] = {}
+_CONTROL = "length(regexp_replace({0}, '[^<\\[\\\\]', '', 'g'))"
+ORACLES: dict[str, str] = {
+    # Each turn has 24 characters of marks, and one more for each <, [ and backslash in its role and text.
+    "op5_chat": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ sum(24 + length(role) + length(text) + {_CONTROL.format("role")} + {_CONTROL.format("text")})::BIGINT AS formatted_chars FROM t GROUP BY conv_id""",
+}
