@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,9 +49,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents_in(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that extra columns with clashing names can't get in the way."""
-    return df.select(*columns)
+def map_texts(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """rows.mapInArrow with batches of at most 1000 rows and 8 MB, because texts can be long.
+
+    The session's limits are set to these and stay so (a lower number of rows is kept).
+    """
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return rows.mapInArrow(run, schema)
 
 
 def row_buckets(df: DataFrame, groups: list[str], spread: Column, rows_per_bucket: int, name: str = "bucket") -> DataFrame:

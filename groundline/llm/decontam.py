@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool, table
+from .common import map_texts, spool, table
 from .text_hash import grams, slices, word_hashes
 
 NGRAM = 5
@@ -52,7 +52,7 @@ def text_grams(rows: DataFrame, key: str, n: int = NGRAM) -> DataFrame:
                 place = np.concatenate([at - begin[text[at]], np.zeros(len(short), dtype=np.int64)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + own)), pa.array(h.view(np.int64)), pa.array(place, pa.int32()), pa.array(count[own], pa.int32())], names=["key", "gram", "at", "words"])
 
-    return rows.select(key, "text").mapInArrow(run, f"key {kind}, gram bigint, at int, words int")
+    return map_texts(rows.select(key, "text"), run, f"key {kind}, gram bigint, at int, words int")
 
 
 def bitmap(grams_: DataFrame) -> np.ndarray:
@@ -103,7 +103,7 @@ def scan(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), hits], names=["digest", "text", "hits"])
 
     lengths = {r.words for r in items.where(F.col("words") < NGRAM).select("words").distinct().collect()}
-    return docs.select("digest", "text").mapInArrow(run, "digest binary, text string, hits array<struct<gram: bigint, at: int>>")
+    return map_texts(docs.select("digest", "text"), run, "digest binary, text string, hits array<struct<gram: bigint, at: int>>")
 
 
 def local_alignment(a: np.ndarray, b: np.ndarray) -> int:

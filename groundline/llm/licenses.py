@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import map_texts, table
 from .text_hash import ALNUM, slices
 
 #: Marker phrases and their labels (fixed values).
@@ -203,7 +203,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", templates: dict[str, str
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["key", *names])
 
-    out = docs.select(key, "text").mapInArrow(run, f"key {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans string")
+    out = map_texts(docs.select(key, "text"), run, f"key {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans string")
     return out.withColumnRenamed("key", key)
 
 

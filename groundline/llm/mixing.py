@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_start, spool, table
+from .common import map_texts, running_start, spool, table
 from .text_hash import SPACED, mixed, slices
 
 BLOCK_WORDS = 64
@@ -35,7 +35,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(sizes, pa.int64())], names=[*others, "size"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    return docs.select(*others, "text").mapInArrow(run, f"{fields}, size bigint")
+    return map_texts(docs.select(*others, "text"), run, f"{fields}, size bigint")
 
 
 def targets(sources: pd.DataFrame, weights: list[float], share: float, most_epochs: float) -> pd.DataFrame:

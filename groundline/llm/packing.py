@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 #: How the vocabulary's texts are cut before merging (a fixed value of the public tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,7 +52,7 @@ def token_pieces(docs: DataFrame, row: int = ROW, path: str = VOCABULARY) -> Dat
             at = np.array(offset, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), pa.array((at // row).astype(np.int32)), pa.array(at), pa.array([len(x) // 2 for x in ids], pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "piece", "offset", "n", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, offset bigint, n int, ids binary")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, offset bigint, n int, ids binary")
 
 
 class Capacities:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, of its core that counts, and documents that the tagger is fitted on at most.
@@ -340,7 +340,7 @@ def find_pii(docs: DataFrame, tagger: Tagger, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["key", *names])
 
     counts = ", ".join(f"{n} bigint" for n in names[: len(KINDS)])
-    return docs.select(key, "text").mapInArrow(run, f"key {kind}, {counts}, base_sha256 string, spans string").withColumnRenamed("key", key)
+    return map_texts(docs.select(key, "text"), run, f"key {kind}, {counts}, base_sha256 string, spans string").withColumnRenamed("key", key)
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:

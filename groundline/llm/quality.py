@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 from .text_hash import ALNUM, SPACED, slices, word_hashes
 
 #: Labelled rows and pool rows that fitting sees at most; rounds; pool rows that a view labels in a round, as a share.
@@ -165,7 +165,7 @@ def _featured(docs: DataFrame, extra: str = "") -> DataFrame:
             text, meta = _views(batch)
             yield pa.RecordBatch.from_arrays([pa.array(text.tolist(), pa.list_(pa.float64())), pa.array(meta.tolist(), pa.list_(pa.float64())), batch.column("quality").cast(pa.float64())], names=["text_view", "meta_view", "quality"])
 
-    return docs.select("text", "source", "lang", "n_chars", F.col("quality").cast("double").alias("quality")).mapInArrow(run, f"{_FEATURES}, quality double")
+    return map_texts(docs.select("text", "source", "lang", "n_chars", F.col("quality").cast("double").alias("quality")), run, f"{_FEATURES}, quality double")
 
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +216,7 @@ def score_quality(docs: DataFrame, model: CoTrained | None, whole: bool = False)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(o) for o in out)], names=[*kept, *scores])
 
     fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{c} double" for c in scores)])
-    return docs.select(*inner).mapInArrow(run, fields)
+    return map_texts(docs.select(*inner), run, fields)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

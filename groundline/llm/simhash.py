@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import map_texts, spool
 from .components import connected_components
 from .text_hash import SPACED, mixed
 
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, key: str, shingle: int, words: int) -> DataFra
             at = pa.array(np.arange(0, len(flat) + 1, words, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(flat))], names=["key", "fp"])
 
-    return docs.select(key, "text").mapInArrow(run, f"key {key_type}, fp array<bigint>")
+    return map_texts(docs.select(key, "text"), run, f"key {key_type}, fp array<bigint>")
 
 
 def _slots(prints: DataFrame, words: int, segments: int, radius: int) -> DataFrame:
@@ -226,7 +226,7 @@ def _compared_blocks(prints: DataFrame, words: int, segments: int) -> DataFrame:
     salted = rows.join(counts, "slot", "left").withColumn("salt", F.when(F.col("n") > 1, F.pmod(F.xxhash64("id"), F.col("n"))).otherwise(F.lit(0)))
     blocks = salted.groupBy("slot", "salt").agg(F.collect_list("e").alias("e")).select("slot", F.col("e.check").alias("checks"), F.col("e.id").alias("ids"), F.col("e.fp").alias("fps"))
     longs = "array<bigint>"
-    return blocks.mapInArrow(run, f"slot bigint, checks {longs}, ids {longs}, degrees {longs}, parts {longs}, pivots {longs}")
+    return map_texts(blocks, run, f"slot bigint, checks {longs}, ids {longs}, degrees {longs}, parts {longs}, pivots {longs}")
 
 
 def _likely_pairs(prints: DataFrame, words: int, segments: int) -> tuple[DataFrame, DataFrame]:
@@ -271,7 +271,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(x.as_py() or b"", shingle)).view(np.int64) for x in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "shingles"])
 
-    return docs.select("text_key", "text").mapInArrow(run, "text_key binary, shingles array<bigint>")
+    return map_texts(docs.select("text_key", "text"), run, "text_key binary, shingles array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, segments: int = 12) -> DataFrame:
