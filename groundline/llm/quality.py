@@ -174,6 +174,11 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(text) if text else np.zeros((0, TEXT_FEATURES))), meta
 
 
+def _fixed_order(rows: pd.DataFrame) -> np.ndarray:
+    """An order by content, the same however the rows arrive."""
+    return np.lexsort((rows["quality"], rows["meta_view"].map(lambda v: hash(tuple(v))), rows["text_view"].map(lambda v: hash(tuple(v)))))
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained | None:
     """The classifier from at most `labelled` labelled rows (labels: doc_id, quality 0 or 1) and a pool of about `pool` documents.
 
@@ -188,9 +193,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, po
     y = known["quality"].to_numpy(dtype=float)
     if len(y) < 2 or len(set(y)) < 2:
         return None
-    order = np.lexsort((known["meta_view"].map(lambda v: v[-1]), known["text_view"].map(lambda v: hash(tuple(v)))))  # the same whatever order the rows come in
+    order = _fixed_order(known)
     views = tuple(np.stack(known[c].to_numpy())[order] for c in ("text_view", "meta_view"))
     free = _featured(_sample(documents, pool).withColumn("quality", F.lit(0.0))).toPandas()
+    free = free.iloc[_fixed_order(free)]
     extra = tuple(np.stack(free[c].to_numpy()) if len(free) else np.zeros((0, v.shape[1])) for c, v in zip(("text_view", "meta_view"), views))
     return co_train(views, y[order], extra)
 
