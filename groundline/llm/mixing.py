@@ -140,7 +140,8 @@ def mix_sources(docs: DataFrame, weights: list[float], share: float = 1.0, most_
     end, edge = F.col("start") + F.col("size"), F.col("block") * BLOCK_WORDS
     pieces = placed.where("size > 0").select("code", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / BLOCK_WORDS), F.floor((end - 1) / BLOCK_WORDS))).alias("block"))
     pieces = pieces.select("code", "block", "start", (F.greatest("start", edge) - edge).alias("lo"), (F.least(end, edge + BLOCK_WORDS) - edge).alias("hi"))
-    got = pieces.join(drawn_blocks, ["code", "block"]).groupBy("code", "start").agg(F.sum(F.greatest(F.lit(0), F.least("hi", "take") - F.col("lo"))).alias("got"))
+    # Spark can't foresee how many rows the slots unroll to and would broadcast them, so the join is a merge by hint.
+    got = pieces.join(drawn_blocks.hint("merge"), ["code", "block"]).groupBy("code", "start").agg(F.sum(F.greatest(F.lit(0), F.least("hi", "take") - F.col("lo"))).alias("got"))
     same = (F.col("p.code") == F.col("g.code")) & (F.col("p.start") == F.col("g.start")) & (F.col("p.size") > 0)
     kept = [f"p.{c}" for c in docs.columns if c not in ("text", "size", "source_size", "target", "taken")]
     return placed.alias("p").join(got.alias("g"), same, "left").select(*kept, "p.size", "p.source_size", "p.target", F.coalesce("g.got", F.lit(0)).cast("long").alias("taken"))
