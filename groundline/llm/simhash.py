@@ -217,8 +217,9 @@ def _compared_blocks(prints: DataFrame, words: int, segments: int) -> DataFrame:
                     order = at + np.argsort(ids[at : at + n], kind="stable")
                     degrees[order], parts[order], pivots[order] = compared(fps[order], ids[order])
                 at += n
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (degrees, parts, pivots)]
+            several = np.repeat(sizes > 1, sizes)  # for the many blocks of one entry there is nothing to tell
+            offsets = pa.array(np.concatenate(([0], np.cumsum(np.where(sizes > 1, sizes, 0)))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[several])) for x in (degrees, parts, pivots)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *lists], names=["slot", "checks", "ids", "degrees", "parts", "pivots"])
 
     rows = _slots(prints, words, segments, 0).select("slot", "id", F.struct("check", "id", "fp").alias("e"))
