@@ -177,128 +177,135 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 4, words
     return prints.join(labels, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-#: Bits of 256 up to which two texts link without a look at their shingles (a Jaccard similarity of 0.8 gives 37 on
-#: average, with a deviation of 6), and up to which their shingles are compared; the same for the 64 bits that lookups carry.
-SURE, PERHAPS, CHECK = 22, 56, 20
-#: An id with so many near entries in one block finds its group's centre by climbing instead of by lookups, in so many steps.
-DENSE, CLIMB = 8, 4
+#: Of the shingles of about SAMPLED texts the most frequent, at most HOT, come last in the order of shingles. Any order
+#: finds the same pairs; this one keeps common lines out of the blocks.
+SAMPLED, HOT = 20000, 1 << 15
 
 
-def _compared_blocks(prints: DataFrame, words: int, segments: int) -> DataFrame:
-    """(slot, checks, ids, degrees, parts, pivots): blocks of equal segment values, each compared inside itself.
+def shingle_set(text: bytes, n: int) -> np.ndarray:
+    """Distinct shingle hashes; a text without words has one of its own, so that such texts are alike."""
+    return np.unique(shingle_hashes(text, n)) if text.translate(SPACED).strip(b" ") else np.zeros(1, dtype="<u8")
 
-    parts[i]: the least id that i is joined to by links of at most SURE bits. degrees[i]: how many entries lie within PERHAPS
-    bits. pivots[i]: the one of these that is nearest to its own near entries on average, or i itself.
-    """
 
-    def compared(fps: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        gap = sum(np.bitwise_count(fps[:, None, w] ^ fps[None, :, w]).astype(np.int16) for w in range(words))
-        near, root = gap <= SURE, np.arange(len(ids))
-        while True:
-            low = np.where(near, root[None, :], len(ids)).min(1)
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
-        close = (gap <= PERHAPS) & ~np.eye(len(ids), dtype=bool)
-        degree = close.sum(1)
-        mean = np.where(close, gap, 0).sum(1) / np.maximum(degree, 1)
-        pivot = np.where(close.any(1), np.where(close, mean[None, :], np.inf).argmin(1), np.arange(len(ids)))
-        return degree, ids[root], ids[pivot]
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs(text_key, text) -> text_key, shingles: the distinct shingle hashes of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(2).flatten())
-            fps = np.asarray(batch.column(3).flatten().flatten()).view(np.uint64).reshape(-1, words)
-            sizes = np.asarray(batch.column(2).value_lengths())
-            degrees, parts, pivots, at = np.zeros(len(ids), dtype=np.int64), ids.copy(), ids.copy(), 0
-            for n in sizes.tolist():
-                if n > 1:
-                    order = at + np.argsort(ids[at : at + n], kind="stable")
-                    degrees[order], parts[order], pivots[order] = compared(fps[order], ids[order])
-                at += n
-            several = np.repeat(sizes > 1, sizes)  # for the many blocks of one entry there is nothing to tell
-            offsets = pa.array(np.concatenate(([0], np.cumsum(np.where(sizes > 1, sizes, 0)))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[several])) for x in (degrees, parts, pivots)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *lists], names=["slot", "checks", "ids", "degrees", "parts", "pivots"])
+            sets = [shingle_set(x.as_py() or b"", shingle).view(np.int64) for x in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "shingles"])
 
-    rows = _slots(prints, words, segments, 0).select("slot", "id", F.struct("check", "id", "fp").alias("e"))
-    counts = rows.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n")).where("n > 1")
-    salted = rows.join(counts, "slot", "left").withColumn("salt", F.when(F.col("n") > 1, F.pmod(F.xxhash64("id"), F.col("n"))).otherwise(F.lit(0)))
-    blocks = salted.groupBy("slot", "salt").agg(F.collect_list("e").alias("e")).select("slot", F.col("e.check").alias("checks"), F.col("e.id").alias("ids"), F.col("e.fp").alias("fps"))
-    longs = "array<bigint>"
-    return map_texts(blocks, run, f"slot bigint, checks {longs}, ids {longs}, degrees {longs}, parts {longs}, pivots {longs}")
+    return map_texts(docs.select("text_key", "text"), run, "text_key binary, shingles array<bigint>")
 
 
-def _likely_pairs(prints: DataFrame, words: int, segments: int) -> tuple[DataFrame, DataFrame]:
-    """prints(id, fp) -> sure links (a, b), and pairs (a, b) whose shingles must be compared.
+def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """docs(text_key, text), distinct or not -> (id, n, bits, prefix), a row for each distinct text.
 
-    In its own blocks an id is paired with the block's centre. An id of few near entries there is also paired, in each
-    block that its lookups reach, with the nearest and the best connected entry that a 64-bit word of the fingerprint lets
-    through. An id in a crowd climbs: it is paired with its centre's centre and so on, which leads to the text that
-    a large group's copies come from. All of this gives pairs in proportion to the rows, whatever the size of a group.
+    n is the number of distinct shingles. prefix is the first n - ceil(similarity * n) + 1 of them in one order for all
+    texts: two texts that are alike share one of these. bits are the parities of the shingles in 256 classes: two sets
+    differ in at least as many shingles as their bits differ.
     """
-    blocks = spool(_compared_blocks(prints, words, segments), "blocks")
-    several = blocks.where(F.size("ids") > 1).select(F.explode(F.arrays_zip("ids", "parts", "pivots", "degrees")).alias("x"))
-    sure = several.where("x.ids != x.parts").select(F.col("x.ids").alias("a"), F.col("x.parts").alias("b"))
-    centres = several.where("x.ids != x.pivots").groupBy(F.col("x.ids").alias("a")).agg(F.max(F.struct("x.degrees", (-F.col("x.pivots")).alias("p"))).alias("m"))
-    centres = spool(centres.select("a", (-F.col("m.p")).alias("b"), F.col("m.degrees").alias("degree")), "centres")
-    inside, step = several.where("x.ids != x.pivots").select(F.col("x.ids").alias("a"), F.col("x.pivots").alias("b")), centres.where(F.col("degree") >= DENSE).select("a", "b")
-    for _ in range(CLIMB):
-        step = step.join(centres.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).where("a != b")
-        inside = inside.unionAll(step)
-    sparse = prints.join(centres.where(F.col("degree") >= DENSE).select(F.col("a").alias("id")), "id", "left_anti")
-    probes = _slots(sparse, words, segments, 1).select("slot", "id", "check")
-    gap = lambda x: F.bit_count(x["checks"].bitwiseXOR(F.col("p.check")))
-    near = lambda x: (gap(x) <= CHECK) & (x["ids"] != F.col("p.id"))
-    entries = F.arrays_zip("t.checks", "t.ids", "t.degrees")
-    met = probes.alias("p").join(blocks.alias("t"), (F.col("p.slot") == F.col("t.slot")) & F.exists(entries, near))
-    let = F.filter(entries, near)
-    nearest = F.array_min(F.transform(let, lambda x: F.struct(gap(x).alias("d"), x["ids"].alias("id"))))
-    central = F.array_max(F.transform(let, lambda x: F.struct(x["degrees"].alias("n"), (-gap(x)).alias("d"), (-x["ids"]).alias("id"))))
-    met = spool(met.select(F.col("p.id").alias("a"), nearest["id"].alias("b"), (-central["id"]).alias("c")), "met")
-    pairs = inside.unionAll(met.select("a", "b")).unionAll(met.select("a", F.col("c").alias("b")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    prints_a, prints_b = (prints.select(F.col("id").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-    close = pairs.join(prints_a, "a").join(prints_b, "b").where(distance(F.col("fp_a"), F.col("fp_b"), words) <= PERHAPS)
-    return sure, close.select("a", "b")
-
-
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs(text_key, text) -> text_key, shingles: the distinct shingle hashes of each row."""
+    every = -(-docs.count() // SAMPLED)
+    sample = docs.where(F.pmod(F.xxhash64("text_key"), F.lit(max(1, every))) == 0).dropDuplicates(["text_key"])
+    counted = shingle_sets(sample, shingle).select(F.explode("shingles").alias("h")).groupBy("h").count().where("count >= 8")
+    hot = np.array(sorted((r.h, r["count"]) for r in counted.orderBy(F.desc("count"), "h").limit(HOT).collect()), dtype=np.int64).reshape(-1, 2)
+    held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = held.value[:, 0], held.value[:, 1]
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x.as_py() or b"", shingle)).view(np.int64) for x in batch.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "shingles"])
+            sizes, bits, prefixes = [], [], []
+            for x in batch.column(1).cast(pa.large_binary()):
+                h = shingle_set(x.as_py() or b"", shingle).view(np.int64)
+                bits.append(np.packbits((np.bincount(h & 255, minlength=256) & 1).astype(np.uint8)).view(np.int64))
+                rank = np.zeros(len(h), dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rank = np.where(known[at] == h, count[at], 0)
+                sizes.append(len(h))
+                prefixes.append(h[np.lexsort((h, rank))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(bits, longs), pa.array(prefixes, longs)], names=["text_key", "n", "bits", "prefix"])
+
+    rows = map_texts(docs.select("text_key", "text"), run, "text_key binary, n int, bits array<bigint>, prefix array<bigint>")
+    return rows.dropDuplicates(["text_key"]).withColumn("id", F.xxhash64("text_key"))
+
+
+def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
+    """entries(slot, id, n, bits, root) -> pairs (a, b) of one slot and two roots that sizes and bits let be alike.
+
+    All pairs are looked at. A slot of more than BLOCK entries is dealt into tiles, each pair of which is one cell.
+    """
+    most = (1 - similarity) / (1 + similarity)
 
-    return map_texts(docs.select("text_key", "text"), run, "text_key binary, shingles array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch.column(0).value_lengths())
+            ids, n, bits, root, tile = batch.column(0).flatten().flatten()
+            ids, n, root, tile = (np.asarray(x) for x in (ids, n, root, tile))
+            bits = np.asarray(bits.flatten()).view(np.uint64).reshape(-1, 4)
+            at = 0
+            for size in sizes.tolist():
+                own = at + np.argsort(tile[at : at + size], kind="stable")
+                at += size
+                first = own[tile[own] == tile[own[0]]]
+                second = own[len(first) :] if len(first) < size else first
+                total = n[first][:, None] + n[second][None, :]
+                gap = sum(np.bitwise_count(bits[first][:, None, w] ^ bits[second][None, :, w]).astype(np.int16) for w in range(4))
+                ok = (root[first][:, None] != root[second][None, :]) & (gap <= most * total + 1e-9)
+                ok &= np.minimum(n[first][:, None], n[second][None, :]) >= similarity * np.maximum(n[first][:, None], n[second][None, :]) - 1e-9
+                i, j = np.nonzero(ok)
+                a, b = ids[first][i], ids[second][j]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    counts = entries.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("tiles")).where("low != high")
+    dealt = entries.join(counts, "slot").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    dealt = dealt.select("slot", "id", "n", "bits", "root", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    cells = dealt.groupBy("slot", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).agg(F.collect_list(F.struct("id", "n", "bits", "root", "tile")).alias("e"))
+    return map_texts(cells.select("e"), run, "a bigint, b bigint").distinct()
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`."""
+    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct().join(texts.select("id", "text_key"), "id")
+    wanted = spool(wanted, "wanted")
+    sets = shingle_sets(docs.join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"]), shingle)
+    sets = spool(sets.join(wanted, "text_key").select("id", "shingles"), "shingles")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
+    shared = F.size(F.array_intersect("s", "t"))
+    return both.where(shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared) - 1e-9).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, segments: int = 12) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row_key, keep): one row for each distinct (doc_id, text) of docs; keep marks the least doc_id of each group.
 
-    A 4-bit difference finds few texts of similarity 0.8 (about a seventh of the bits differ), so fingerprints have
-    256 bits here and 12 segments looked up within one bit, which reaches over nine in ten pairs of 0.8 and nearly all of
-    0.9. Up to SURE bits fingerprints link at once; up to PERHAPS bits texts link if the Jaccard similarity of their
-    shingle sets is at least `similarity`. Null texts count as empty; a null doc_id is kept only where its group has
-    no other. row_key is xxhash64(doc_id, text_key), text_key the MD5 of the text.
+    Groups are the components of all pairs of texts whose sets of distinct shingles have a Jaccard similarity of at least
+    `similarity`; every link is verified on the sets. A 4-bit difference of SimHashes finds few such pairs and repeated
+    lines spoil it, so pairs are found by a prefix join of shingles, which misses none. Texts of a block are first compared with one of up to four
+    centres; then all pairs in a block that these links leave in two groups. Null texts count as empty; a null doc_id is
+    kept only where its group has no other. row_key is xxhash64(doc_id, text_key), text_key the MD5 of the text.
     """
     docs = docs.select(*row_keys(), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    prints = spool(fingerprints(docs.select(F.struct("row_key", "text_key", "doc_id").alias("row"), "text"), "row", shingle, words).select("key.*", "fp"), "prints")
-    distinct = spool(prints.groupBy("fp").agg(F.min("text_key").alias("text_key")).select(F.xxhash64("fp").alias("id"), "fp", "text_key"), "distinct")
-    sure, pairs = _likely_pairs(distinct.select("id", "fp"), words, segments)
-    sure, pairs = spool(sure, "sure"), spool(pairs, "pairs")
-    wanted = pairs.select("a").unionAll(pairs.select(F.col("b"))).distinct().join(distinct, F.col("a") == F.col("id")).select("id", "text_key")
-    wanted = spool(wanted, "wanted")
-    sets = shingle_sets(docs.join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"]), shingle)
-    sets = spool(sets.join(wanted, "text_key").select("id", "shingles"), "shingles")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
-    shared = F.size(F.array_intersect("s", "t"))
-    alike = both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b")
-    groups = connected_components(alike.unionAll(sure))
-    named = distinct.join(groups, distinct.id == groups.node, "left").select("fp", F.coalesce("root", "id").alias("group"))
-    rows = prints.join(named, "fp").select("group", "row_key", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key").alias("order"))
+    texts = spool(_prefixes(docs.select("text_key", "text"), shingle, similarity), "texts")
+    blocks = texts.select("id", F.explode("prefix").alias("slot")).groupBy("slot").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1)
+    blocks = spool(blocks, "blocks")
+    centre = F.array_min(F.transform("ids", lambda x: F.named_struct(F.lit("h"), F.xxhash64(x, F.pmod("slot", F.lit(4))), F.lit("id"), x)))["id"]
+    stars = blocks.select(F.explode("ids").alias("x"), centre.alias("c")).where("x != c").select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
+    facts = texts.select("id", "n", "bits")
+    for x in "ab":
+        stars = stars.join(facts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+    fits = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9
+    differ = distance(F.col("bits_a"), F.col("bits_b"), 4) <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9
+    stars = spool(stars.where(fits & differ).select("a", "b"), "stars")
+    links = spool(_alike(stars, texts, docs, shingle, similarity), "sure")
+    roots = spool(connected_components(links), "roots")
+    rooted = facts.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    pairs = _cross_pairs(blocks.select("slot", F.explode("ids").alias("id")).join(rooted, "id"), similarity)
+    pairs = spool(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    groups = connected_components(links.unionAll(_alike(pairs, texts, docs, shingle, similarity)))
+    rows = docs.select("row_key", "doc_id", F.xxhash64("text_key").alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left")
+    rows = rows.select(F.coalesce("root", "id").alias("group"), "row_key", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key").alias("order"))
     first = rows.groupBy("group").agg(F.min("order").alias("first"))
     return rows.join(first, "group").select("row_key", (F.col("order") == F.col("first")).alias("keep")).distinct()
 

@@ -89,6 +89,43 @@ def test_near_duplicates_keeps_one_of_each_group(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def kept_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r.row_key for r in simhash.near_duplicates(df).where("keep").collect()}
+    return {r.doc_id for r in df.select("doc_id", simhash.row_keys()[0]).collect() if r.row_key in keys}
+
+
+def first_of_groups(texts):
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return set(root)
+
+
+def edited(rng, base, times):
+    out = list(base)
+    for at in rng.sample(range(len(base)), times):
+        out[at] = f"edit{rng.randrange(10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_near_duplicates_finds_pairs_inside_a_family(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(21)
+    base = words(rng, 400).split()
+    family = [edited(rng, base, 11) for _ in range(60)]  # about 0.7 to each other
+    pairs = [edited(rng, family[i], 7) for i in range(40)]  # 0.8 to 0.9 to one of these
+    texts = [" ".join(t) for t in family + pairs]
+    want = first_of_groups(texts)
+    assert 50 < len(want) < 70
+    assert kept_of(spark, texts) == want
+
+
 def test_mixing_hits_targets(spark, docs, rows, empty):
     out = mixing.mix_sources(docs.select("doc_id", "source", "text"), [5.0, 2.0, 1.0]).toPandas()
     assert len(out) == len(rows)
