@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 1. One scan of the texts keeps the n-grams whose hash passes a bitmap of all benchmark n-grams. The bitmap has a
    fixed size, so it is broadcast whatever the benchmark's size; what wrongly passes falls out in the equi-join.
-2. A hit is a seed when it is rare: its document frequency is at most RARE_TIMES the least one among its item's
-   n-grams, plus RARE_PLUS. An item that thousands of texts copy so keeps its seeds; common phrases are none.
-3. Each text with a seed is aligned with the item around the seed's diagonal. A text is contaminated where the best
-   local alignment scores at least `threshold` of the item's words (match 1, mismatch and gap -1).
+2. Every n-gram that a text shares with an item is a seed, however many texts hold it.
+3. Each text is aligned with each such item around its seeds' diagonals. A text is contaminated where the best
+   local alignment scores at least `threshold` of the item's words (match 1, mismatch and gap -1). Windows that hold
+   fewer of the item's words than that can't score it and are not aligned.
 
 The work depends on the text alone, so texts are keyed by a digest and exact copies are scored once.
 """
@@ -25,7 +25,6 @@ from .common import map_texts, spool, table
 from .text_hash import grams, slices, word_hashes
 
 NGRAM = 5
-RARE_TIMES, RARE_PLUS = 8, 16
 THRESHOLD = 0.6
 #: The bitmap's size: 2**BITS bits, 2 MB, for two probes a hash.
 BITS = 24
@@ -118,8 +117,11 @@ def local_alignment(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-def align(pairs: DataFrame) -> DataFrame:
-    """pairs(digest, text, item_id, item, at array<int> of diagonals) -> (digest, item_id, score): share of the item's words."""
+def align(pairs: DataFrame, threshold: float) -> DataFrame:
+    """pairs(digest, text, item_id, item, at array<int> of diagonals) -> (digest, item_id, score): share of the item's words.
+
+    The score is 0 where no window holds `threshold` of the item's words.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -135,6 +137,8 @@ def align(pairs: DataFrame) -> DataFrame:
                     else:
                         spans.append([lo, end := hi])
                 for lo, hi in spans:
+                    if np.isin(b, a[lo:hi]).sum() < threshold * len(b) - 1e-9:  # an alignment matches each word once at most
+                        continue
                     best = max(best, local_alignment(b, a[lo:hi]))
                 scores.append(best / len(b))
             yield pd.DataFrame({"digest": x["digest"], "item_id": x["item_id"], "score": np.array(scores, dtype=float)})
@@ -154,15 +158,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     keyed = docs.where("text is not null").select(F.unhex(F.sha2("text", 256)).alias("digest"), "text")
     hits = spool(scan(keyed, index), "hits")
     flat = hits.select("digest", F.explode("hits").alias("h")).select("digest", "h.gram", "h.at").distinct()
-    pairs = flat.alias("h").join(index.alias("i"), "gram").select("digest", "gram", F.col("i.key").alias("item_key"), (F.col("h.at") - F.col("i.at")).alias("diagonal"))
+    pairs = flat.alias("h").join(index.alias("i"), "gram").select("digest", F.col("i.key").alias("item_key"), (F.col("h.at") - F.col("i.at")).alias("diagonal"))
     pairs = spool(pairs, "pairs")
-    frequency = pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    least = pairs.select("item_key", "gram").distinct().join(frequency, "gram").groupBy("item_key").agg(F.min("df").alias("least"))
-    rare = pairs.select("item_key", "gram").distinct().join(frequency, "gram").join(least, "item_key").where(F.col("df") <= F.col("least") * RARE_TIMES + RARE_PLUS).select("item_key", "gram")
-    seeds = pairs.join(rare, ["item_key", "gram"]).groupBy("digest", "item_key").agg(F.collect_set("diagonal").alias("at"))
+    seeds = pairs.groupBy("digest", "item_key").agg(F.collect_set("diagonal").alias("at"))
     texts = hits.select("digest", "text").dropDuplicates(["digest"])
     joined = seeds.join(items, "item_key").join(texts, "digest").select("digest", "text", "item_id", "item", "at")
-    return align(joined).where(F.col("score") >= threshold)
+    return align(joined, threshold).where(F.col("score") >= threshold)
 
 
 def op10_decontam(spark, sf_dir: str) -> DataFrame:

@@ -349,6 +349,17 @@ def test_decontamination_finds_copies_and_edits(spark, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(df, bench.where("item_id < 0")).count() == 0
 
 
+def test_decontam_finds_edited_copies_beside_a_verbatim_one(spark):
+    rng = random.Random(23)
+    item = [f"item{i}" for i in range(38)]
+    changed = " ".join(item[:18] + ["other"] + item[19:])
+    texts = [words(rng, 30) + f" {changed} own{i}" for i in range(1000)] + [words(rng, 30) + " " + " ".join(item)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontam.contaminated(df, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string"))
+    scores = sorted(round(r.score * 38) for r in found.collect())
+    assert scores == [36] * 1000 + [38]
+
+
 def junk(rng):
     return " ".join(w.upper() + "!!" for w in words(rng, rng.randrange(20, 80)).split())
 
