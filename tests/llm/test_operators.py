@@ -126,6 +126,14 @@ def test_near_duplicates_finds_pairs_inside_a_family(spark, monkeypatch, block):
     assert kept_of(spark, texts) == want
 
 
+def test_near_duplicates_keeps_texts_that_share_only_a_repeated_line(spark):
+    rng = random.Random(22)
+    line, own = words(rng, 11), lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(150))
+    texts = [" ".join([line] * 40) + " " + own() for _ in range(30)]
+    texts += [" ".join([line] * 40), " ".join([line] * 41), " \n", "\t"]  # equal sets
+    assert kept_of(spark, texts) == first_of_groups(texts) - {33} == {*range(31), 32}
+
+
 def test_mixing_hits_targets(spark, docs, rows, empty):
     out = mixing.mix_sources(docs.select("doc_id", "source", "text"), [5.0, 2.0, 1.0]).toPandas()
     assert len(out) == len(rows)
