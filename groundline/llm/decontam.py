@@ -66,6 +66,15 @@ def bitmap(grams_: DataFrame) -> np.ndarray:
     return out
 
 
+def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes a bitmap lets through."""
+    ok = np.ones(len(h), dtype=bool)
+    for by in (0, 64 - BITS):
+        b = (h >> np.uint64(by)) & np.uint64((1 << BITS) - 1)
+        ok &= (bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return ok
+
+
 def scan(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs(digest, text) -> (digest, text, hits array<struct<gram, at>>) of the texts with any benchmark n-gram, or nearly so."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap(items))
@@ -73,13 +82,6 @@ def scan(docs: DataFrame, items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
 
-        def known(h: np.ndarray) -> np.ndarray:
-            ok = np.ones(len(h), dtype=bool)
-            for by in (0, 64 - BITS):
-                b = (h >> np.uint64(by)) & np.uint64((1 << BITS) - 1)
-                ok &= (bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            return ok
-
         for batch in batches:
             for first, texts in slices(pc.utf8_lower(batch.column(1))):
                 words, text, *_ = word_hashes(texts)
@@ -89,7 +91,7 @@ def scan(docs: DataFrame, items: DataFrame) -> DataFrame:
                     if n < NGRAM and n not in lengths:
                         continue
                     gram, whole = grams(words, text, n)
-                    at = np.flatnonzero(whole & known(gram)) if len(gram) else np.zeros(0, dtype=np.int64)
+                    at = np.flatnonzero(whole & in_bitmap(bits, gram)) if len(gram) else np.zeros(0, dtype=np.int64)
                     found.append((text[at], gram[at], at - begin[text[at]]))
                 own, gram, at = (np.concatenate(x) for x in zip(*found))
                 order = np.argsort(own, kind="stable")

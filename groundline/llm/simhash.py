@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, spool
 from .components import connected_components
+from .decontam import bitmap, in_bitmap
 from .text_hash import SPACED, mixed
 
 #: Rows of a segment value that one block holds at most; a hotter value has more blocks.
@@ -199,11 +200,11 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """docs(text_key, text), distinct or not -> (id, n, bits, prefix), a row for each distinct text.
+    """docs(text_key, text), distinct or not -> (id, n, bits, wide, prefix), a row for each distinct text.
 
     n is the number of distinct shingles. prefix is the first n - ceil(similarity * n) + 1 of them in one order for all
-    texts: two texts that are alike share one of these. bits are the parities of the shingles in 256 classes: two sets
-    differ in at least as many shingles as their bits differ.
+    texts: two texts that are alike share one of these. bits are the parities of the shingles in 256 classes, wide those in
+    2048: two sets differ in at least as many shingles as their bits differ.
     """
     every = -(-docs.count() // SAMPLED)
     sample = docs.where(F.pmod(F.xxhash64("text_key"), F.lit(max(1, every))) == 0).dropDuplicates(["text_key"])
@@ -214,10 +215,12 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = held.value[:, 0], held.value[:, 1]
         for batch in batches:
-            sizes, bits, prefixes = [], [], []
+            sizes, bits, wide, prefixes = [], [], [], []
             for x in batch.column(1).cast(pa.large_binary()):
                 h = shingle_set(x.as_py() or b"", shingle).view(np.int64)
-                bits.append(np.packbits((np.bincount(h & 255, minlength=256) & 1).astype(np.uint8)).view(np.int64))
+                odd = (np.bincount(h & 2047, minlength=2048) & 1).astype(np.uint8)
+                wide.append(np.packbits(odd).view(np.int64))
+                bits.append(np.bitwise_xor.reduce(wide[-1].reshape(8, 4), axis=0))
                 rank = np.zeros(len(h), dtype=np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -225,16 +228,16 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 sizes.append(len(h))
                 prefixes.append(h[np.lexsort((h, rank))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(bits, longs), pa.array(prefixes, longs)], names=["text_key", "n", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(bits, longs), pa.array(wide, longs), pa.array(prefixes, longs)], names=["text_key", "n", "bits", "wide", "prefix"])
 
-    rows = map_texts(docs.select("text_key", "text"), run, "text_key binary, n int, bits array<bigint>, prefix array<bigint>")
+    rows = map_texts(docs.select("text_key", "text"), run, "text_key binary, n int, bits array<bigint>, wide array<bigint>, prefix array<bigint>")
     return rows.dropDuplicates(["text_key"]).withColumn("id", F.xxhash64("text_key"))
 
 
 def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
-    """entries(slot, id, n, bits, root) -> pairs (a, b) of one slot and two roots that sizes and bits let be alike.
+    """entries(slot, tiles, id, n, bits, root) -> pairs (a, b) of one slot and two roots that sizes and bits let be alike.
 
-    All pairs are looked at. A slot of more than BLOCK entries is dealt into tiles, each pair of which is one cell.
+    All pairs are looked at. A slot of more than BLOCK entries is dealt into `tiles`, each pair of which is one cell.
     """
     most = (1 - similarity) / (1 + similarity)
 
@@ -259,22 +262,44 @@ def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    counts = entries.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("tiles")).where("low != high")
-    dealt = entries.join(counts, "slot").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    crowded = entries.where("tiles > 1")
+    mixed_ = crowded.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("slot")
+    dealt = entries.where("tiles = 1").unionAll(crowded.join(mixed_, "slot", "left_semi").select(*entries.columns)).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     dealt = dealt.select("slot", "id", "n", "bits", "root", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     cells = dealt.groupBy("slot", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).agg(F.collect_list(F.struct("id", "n", "bits", "root", "tile")).alias("e"))
+    cells = cells.where(F.array_min("e.root") != F.array_max("e.root"))
     return map_texts(cells.select("e"), run, "a bigint, b bigint").distinct()
 
 
+def _fitting(pairs: DataFrame, texts: DataFrame, bits: str, similarity: float) -> DataFrame:
+    """The pairs (a, b) that sizes and the parities `bits` let be alike."""
+    for x in "ab":
+        pairs = pairs.join(texts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col(bits).alias(f"bits_{x}")), x)
+    fits = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return pairs.where(fits & (differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9)).select("a", "b")
+
+
 def _alike(pairs: DataFrame, texts: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`."""
-    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct().join(texts.select("id", "text_key"), "id")
+    pairs = spool(_fitting(pairs, texts, "wide", similarity), "fitting")
+    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
     wanted = spool(wanted, "wanted")
-    sets = shingle_sets(docs.join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"]), shingle)
-    sets = spool(sets.join(wanted, "text_key").select("id", "shingles"), "shingles")
+    # A bitmap of fixed size keeps most other texts out of the shuffle; the join is exact.
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("id").alias("gram"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            batch = batch.filter(pa.array(in_bitmap(held.value, ids.view(np.uint64))))
+            sets = [shingle_set(x.as_py() or b"", shingle).view(np.int64) for x in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    sets = map_texts(docs.select(F.xxhash64("text_key").alias("id"), "text"), run, "id bigint, shingles array<bigint>")
+    sets = spool(sets.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "shingles")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
-    return both.where(shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared) - 1e-9).select("a", "b")
+    return spool(both.where(shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared) - 1e-9).select("a", "b"), "alike")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -292,16 +317,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     blocks = spool(blocks, "blocks")
     centre = F.array_min(F.transform("ids", lambda x: F.named_struct(F.lit("h"), F.xxhash64(x, F.pmod("slot", F.lit(4))), F.lit("id"), x)))["id"]
     stars = blocks.select(F.explode("ids").alias("x"), centre.alias("c")).where("x != c").select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
-    facts = texts.select("id", "n", "bits")
-    for x in "ab":
-        stars = stars.join(facts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
-    fits = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9
-    differ = distance(F.col("bits_a"), F.col("bits_b"), 4) <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9
-    stars = spool(stars.where(fits & differ).select("a", "b"), "stars")
-    links = spool(_alike(stars, texts, docs, shingle, similarity), "sure")
+    stars = spool(_fitting(stars, texts, "bits", similarity), "stars")
+    links = _alike(stars, texts, docs, shingle, similarity)
     roots = spool(connected_components(links), "roots")
-    rooted = facts.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    pairs = _cross_pairs(blocks.select("slot", F.explode("ids").alias("id")).join(rooted, "id"), similarity)
+    rooted = texts.select("id", "n", "bits").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    pairs = _cross_pairs(blocks.select("slot", F.ceil(F.size("ids") / BLOCK).alias("tiles"), F.explode("ids").alias("id")).join(rooted, "id"), similarity)
     pairs = spool(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     groups = connected_components(links.unionAll(_alike(pairs, texts, docs, shingle, similarity)))
     rows = docs.select("row_key", "doc_id", F.xxhash64("text_key").alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left")
