@@ -12,10 +12,18 @@ from pyspark.sql import functions as F
 from .common import spool
 
 
-def _starred(directed: DataFrame) -> DataFrame:
-    """(u, v, m): each link with the least node next to u, u itself included."""
-    least = directed.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return directed.join(least, "u")
+#: Nodes with at least this many links, and this share of all links, are hubs. Links have two ends, so at most 2 / HUB_SHARE
+#: nodes are hubs, however many links there are, and a broadcast of them is bounded.
+HUB_LINKS, HUB_SHARE = 256, 1 / 5000
+
+
+def _starred(directed: DataFrame, links: int) -> DataFrame:
+    """(u, v, m): each link with the least node next to u, u itself included. A hub's links stay where they are."""
+    least = directed.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    most = max(HUB_LINKS, int(links * HUB_SHARE))
+    hubs = F.broadcast(least.where(F.col("n") >= most).select("u", "m"))
+    rest = least.where(F.col("n") < most).select("u", "m")
+    return directed.join(hubs, "u").unionAll(directed.join(hubs, "u", "left_anti").join(rest, "u"))
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -31,8 +39,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not seen.n:
             break
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _starred(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _starred(large)
+        large = _starred(both, seen.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _starred(large, seen.n)
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).distinct()
         edges = spool(small, "links")
         now = digest(edges)

@@ -13,7 +13,7 @@ rows, not to its pairs, and yet no group is left unjoined.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, spool
 from .components import connected_components
 from .decontam import bitmap, in_bitmap
-from .text_hash import SPACED, mixed
+from .text_hash import SPACED, grams, mixed, powers, slices, word_hashes
 
 #: Rows of a segment value that one block holds at most; a hotter value has more blocks.
 BLOCK = 1024
@@ -181,22 +181,69 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 4, words
 #: Of the shingles of about SAMPLED texts the most frequent, at most HOT, come last in the order of shingles. Any order
 #: finds the same pairs; this one keeps common lines out of the blocks.
 SAMPLED, HOT = 20000, 1 << 15
+#: Entries of a shared shingle prefer one of as many centres.
+CENTRES = 4
 
 
-def shingle_set(text: bytes, n: int) -> np.ndarray:
-    """Distinct shingle hashes; a text without words has one of its own, so that such texts are alike."""
-    return np.unique(shingle_hashes(text, n)) if text.translate(SPACED).strip(b" ") else np.zeros(1, dtype="<u8")
+def shingle_sets_of(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of its text) of the distinct shingles of each text, by text, then hash.
 
-
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs(text_key, text) -> text_key, shingles: the distinct shingle hashes of each row."""
+    Fewer than n words: the whole sequence is one shingle. A text without words has the shingle 0, so that such texts are alike.
+    """
+    words, text, *_ = word_hashes(texts, SPACED)
+    count = np.bincount(text, minlength=len(texts))
+    first = np.concatenate(([0], np.cumsum(count)))
+    h, whole = grams(words, text, n)
+    short = np.flatnonzero(count < n)
+    rest = []
+    for i in short.tolist():
+        own = words[first[i] : first[i + 1]]
+        with np.errstate(over="ignore"):
+            rest.append(mixed((own * powers(_SHORT, len(own) + 1)[1:]).sum(keepdims=True) + np.uint64(len(own)))[0] if len(own) else np.uint64(0))
+    h = np.concatenate([h[whole], np.array(rest, dtype=np.uint64)])
+    owner = np.concatenate([text[: len(whole)][whole], short])
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], owner[new]
+
+
+_SHORT = np.uint64(0xA24BAED4963EE407)
+
+
+def _rows_of(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
+    """A list of values for each of n owners; owners ascend."""
+    ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+
+
+def _unseen(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """The rows whose key (column 0) this task hasn't met: copies are combined before they are shuffled."""
+    keep = []
+    for key in batch.column(0).to_pylist():
+        keep.append(key not in seen)
+        seen.add(key)
+    return batch.filter(pa.array(keep, pa.bool_()))
+
+
+def shingle_sets(docs: DataFrame, shingle: int, key: str = "text_key", wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """docs(key, text) -> key, shingles: the distinct shingle hashes of each key's text, a row for each key that a task meets.
+
+    With `wanted`, only of keys (longs) for which it holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
-            sets = [shingle_set(x.as_py() or b"", shingle).view(np.int64) for x in batch.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "shingles"])
+            if wanted:
+                batch = batch.filter(pa.array(wanted(np.asarray(batch.column(0)))))
+            batch = _unseen(batch, seen)
+            for first, texts in slices(batch.column(1)):
+                h, owner = shingle_sets_of(texts, shingle)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), _rows_of(h, owner, len(texts))], names=[key, "shingles"])
 
-    return map_texts(docs.select("text_key", "text"), run, "text_key binary, shingles array<bigint>")
+    return map_texts(docs.select(key, "text"), run, f"{key} {docs.schema[key].dataType.simpleString()}, shingles array<bigint>")
 
 
 def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -207,33 +254,59 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     2048: two sets differ in at least as many shingles as their bits differ.
     """
     every = -(-docs.count() // SAMPLED)
-    sample = docs.where(F.pmod(F.xxhash64("text_key"), F.lit(max(1, every))) == 0).dropDuplicates(["text_key"])
-    counted = shingle_sets(sample, shingle).select(F.explode("shingles").alias("h")).groupBy("h").count().where("count >= 8")
+    sample = docs.where(F.pmod(F.xxhash64("text_key"), F.lit(max(1, every))) == 0)
+    counted = shingle_sets(sample, shingle).dropDuplicates(["text_key"]).select(F.explode("shingles").alias("h")).groupBy("h").count().where("count >= 8")
     hot = np.array(sorted((r.h, r["count"]) for r in counted.orderBy(F.desc("count"), "h").limit(HOT).collect()), dtype=np.int64).reshape(-1, 2)
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = held.value[:, 0], held.value[:, 1]
+        known, times = held.value[:, 0], held.value[:, 1]
+        seen: set = set()
         for batch in batches:
-            sizes, bits, wide, prefixes = [], [], [], []
-            for x in batch.column(1).cast(pa.large_binary()):
-                h = shingle_set(x.as_py() or b"", shingle).view(np.int64)
-                odd = (np.bincount(h & 2047, minlength=2048) & 1).astype(np.uint8)
-                wide.append(np.packbits(odd).view(np.int64))
-                bits.append(np.bitwise_xor.reduce(wide[-1].reshape(8, 4), axis=0))
+            batch = _unseen(batch, seen)
+            for first, texts in slices(batch.column(1)):
+                h, owner = shingle_sets_of(texts, shingle)
+                n = np.bincount(owner, minlength=len(texts))
+                odd = (np.bincount(owner * 2048 + (h & np.uint64(2047)).astype(np.int64), minlength=2048 * len(texts)) & 1).astype(np.uint8)
+                wide = np.packbits(odd.reshape(-1, 2048), axis=1).view(np.int64).reshape(-1, 32)
+                bits = np.bitwise_xor.reduce(wide.reshape(-1, 8, 4), axis=1)
                 rank = np.zeros(len(h), dtype=np.int64)
                 if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    rank = np.where(known[at] == h, count[at], 0)
-                sizes.append(len(h))
-                prefixes.append(h[np.lexsort((h, rank))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]])
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(bits, longs), pa.array(wide, longs), pa.array(prefixes, longs)], names=["text_key", "n", "bits", "wide", "prefix"])
+                    at = np.minimum(np.searchsorted(known, h.view(np.int64)), len(known) - 1)
+                    rank = np.where(known[at] == h.view(np.int64), times[at], 0)
+                order = np.lexsort((h.view(np.int64), rank, owner))
+                place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                front = place < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[owner]
+                own = np.arange(len(texts))
+                columns = [pa.array(n, pa.int32()), _rows_of(bits.ravel(), own.repeat(4), len(texts)), _rows_of(wide.ravel(), own.repeat(32), len(texts)), _rows_of(h[order][front], owner[front], len(texts))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *columns], names=["text_key", "n", "bits", "wide", "prefix"])
 
     rows = map_texts(docs.select("text_key", "text"), run, "text_key binary, n int, bits array<bigint>, wide array<bigint>, prefix array<bigint>")
     return rows.dropDuplicates(["text_key"]).withColumn("id", F.xxhash64("text_key"))
 
 
+def _shared(texts: DataFrame) -> DataFrame:
+    """texts(id, prefix) -> (slot, m, centre, id): the entries of each prefix shingle that m > 1 texts have.
+
+    Counts and centres are partial aggregates, so that no task holds all entries of a shingle. The centre of a slot is its
+    entry that comes first in one of CENTRES orders.
+    """
+    entries = texts.select("id", F.explode("prefix").alias("slot"))
+    turn = F.get(F.array(*[F.lit(int(x)) for x in np.random.default_rng(9).integers(-(2**63), 2**63, CENTRES)]), F.pmod("slot", F.lit(CENTRES)).cast("int"))
+    slots = entries.groupBy("slot").agg(F.count(F.lit(1)).alias("m"), F.min(F.col("id").bitwiseXOR(turn)).alias("least")).where("m > 1")
+    slots = spool(slots.select("slot", "m", F.col("least").bitwiseXOR(turn).alias("centre")), "slots")
+    # A bitmap of fixed size keeps most shingles of one text out of the shuffle; the join is exact.
+    held = texts.sparkSession.sparkContext.broadcast(bitmap(slots.select(F.col("slot").alias("gram"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, size = batch.column(1).flatten(), np.asarray(batch.column(1).value_lengths())
+            keep = in_bitmap(held.value, np.asarray(flat).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0)).repeat(size)[keep]), flat.filter(pa.array(keep))], names=["id", "slot"])
+
+    return map_texts(texts.select("id", "prefix"), run, "id bigint, slot bigint").join(slots, "slot").select("slot", "m", "centre", "id")
+
+
 def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
     """entries(slot, tiles, id, n, bits, root) -> pairs (a, b) of one slot and two roots that sizes and bits let be alike.
 
@@ -247,7 +320,7 @@ def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
             ids, n, bits, root, tile = batch.column(0).flatten().flatten()
             ids, n, root, tile = (np.asarray(x) for x in (ids, n, root, tile))
             bits = np.asarray(bits.flatten()).view(np.uint64).reshape(-1, 4)
-            at = 0
+            at, found = 0, []
             for size in sizes.tolist():
                 own = at + np.argsort(tile[at : at + size], kind="stable")
                 at += size
@@ -258,13 +331,14 @@ def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
                 ok = (root[first][:, None] != root[second][None, :]) & (gap <= most * total + 1e-9)
                 ok &= np.minimum(n[first][:, None], n[second][None, :]) >= similarity * np.maximum(n[first][:, None], n[second][None, :]) - 1e-9
                 i, j = np.nonzero(ok)
-                a, b = ids[first][i], ids[second][j]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    crowded = entries.where("tiles > 1")
-    mixed_ = crowded.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("slot")
-    dealt = entries.where("tiles = 1").unionAll(crowded.join(mixed_, "slot", "left_semi").select(*entries.columns)).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+                if len(i):
+                    found.append(np.stack([ids[first][i], ids[second][j]]))
+            if found:
+                pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    mixed_ = entries.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("slot")
+    dealt = entries.join(mixed_, "slot", "left_semi").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     dealt = dealt.select("slot", "id", "n", "bits", "root", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     cells = dealt.groupBy("slot", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).agg(F.collect_list(F.struct("id", "n", "bits", "root", "tile")).alias("e"))
     cells = cells.where(F.array_min("e.root") != F.array_max("e.root"))
@@ -283,19 +357,10 @@ def _fitting(pairs: DataFrame, texts: DataFrame, bits: str, similarity: float) -
 def _alike(pairs: DataFrame, texts: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`."""
     pairs = spool(_fitting(pairs, texts, "wide", similarity), "fitting")
-    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    wanted = spool(wanted, "wanted")
+    wanted = spool(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "wanted")
     # A bitmap of fixed size keeps most other texts out of the shuffle; the join is exact.
     held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("id").alias("gram"))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.asarray(batch.column(0))
-            batch = batch.filter(pa.array(in_bitmap(held.value, ids.view(np.uint64))))
-            sets = [shingle_set(x.as_py() or b"", shingle).view(np.int64) for x in batch.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    sets = map_texts(docs.select(F.xxhash64("text_key").alias("id"), "text"), run, "id bigint, shingles array<bigint>")
+    sets = shingle_sets(docs.select(F.xxhash64("text_key").alias("id"), "text"), shingle, "id", lambda ids: in_bitmap(held.value, ids.view(np.uint64)))
     sets = spool(sets.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "shingles")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
@@ -306,23 +371,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """(row_key, keep): one row for each distinct (doc_id, text) of docs; keep marks the least doc_id of each group.
 
     Groups are the components of all pairs of texts whose sets of distinct shingles have a Jaccard similarity of at least
-    `similarity`; every link is verified on the sets. A 4-bit difference of SimHashes finds few such pairs and repeated
-    lines spoil it, so pairs are found by a prefix join of shingles, which misses none. Texts of a block are first compared with one of up to four
-    centres; then all pairs in a block that these links leave in two groups. Null texts count as empty; a null doc_id is
-    kept only where its group has no other. row_key is xxhash64(doc_id, text_key), text_key the MD5 of the text.
+    `similarity`; every link is verified on the sets (of 64-bit hashes). A 4-bit difference of SimHashes finds few such pairs and
+    repeated lines spoil it, so pairs are found by a prefix join of shingles, which misses none. Texts that share a shingle are first compared
+    with one of a few centres; then all pairs of three or more that these links leave in two groups. Null texts count as empty; a null
+    doc_id is kept only where its group has no other. row_key is xxhash64(doc_id, text_key), text_key the MD5 of the text.
     """
     docs = docs.select(*row_keys(), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = spool(_prefixes(docs.select("text_key", "text"), shingle, similarity), "texts")
-    blocks = texts.select("id", F.explode("prefix").alias("slot")).groupBy("slot").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1)
-    blocks = spool(blocks, "blocks")
-    centre = F.array_min(F.transform("ids", lambda x: F.named_struct(F.lit("h"), F.xxhash64(x, F.pmod("slot", F.lit(4))), F.lit("id"), x)))["id"]
-    stars = blocks.select(F.explode("ids").alias("x"), centre.alias("c")).where("x != c").select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
+    entries = spool(_shared(texts), "entries")
+    stars = entries.where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     stars = spool(_fitting(stars, texts, "bits", similarity), "stars")
     links = _alike(stars, texts, docs, shingle, similarity)
     roots = spool(connected_components(links), "roots")
     rooted = texts.select("id", "n", "bits").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    pairs = _cross_pairs(blocks.select("slot", F.ceil(F.size("ids") / BLOCK).alias("tiles"), F.explode("ids").alias("id")).join(rooted, "id"), similarity)
-    pairs = spool(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    # Two entries of one slot are a centre and its partner, so they have been compared.
+    crowded = entries.where("m > 2").select("slot", F.ceil(F.col("m") / BLOCK).alias("tiles"), "id").join(rooted, "id")
+    pairs = spool(_cross_pairs(crowded, similarity).join(stars, ["a", "b"], "left_anti"), "pairs")
     groups = connected_components(links.unionAll(_alike(pairs, texts, docs, shingle, similarity)))
     rows = docs.select("row_key", "doc_id", F.xxhash64("text_key").alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left")
     rows = rows.select(F.coalesce("root", "id").alias("group"), "row_key", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key").alias("order"))
