@@ -56,58 +56,79 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     return _let(_let(_let(x, gray), corrected), interleaved)
 
 
-def prefix_number(value: Column) -> Column:
-    """The first seven bytes of a string as a number in the same order; null stays null."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(value, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
-
-
 def quantised(docs: DataFrame, values: dict[str, Column], bits: int) -> dict[str, Column]:
     """Codes 1 to 2**bits - 1 by quantiles of each dimension's distinct values, 0 for null.
 
-    The quantiles are aggregates over all rows; only 2**bits - 2 numbers a dimension come to the driver.
+    Numbers are cut by percentiles, strings by the ranks of their whole values; both are aggregates over all rows, and only
+    2**bits - 2 cuts a dimension come to the driver.
     """
-    at = [i / (2**bits - 1) for i in range(1, 2**bits - 1)]
+    parts = 2**bits - 1
     codes = {}
     for name, value in values.items():
-        splits = docs.select(value.alias("v")).where("v is not null").distinct().agg(F.percentile_approx("v", at, 10000).alias("s")).first()
-        cuts = sorted(set((splits and splits.s) or []))
-        over = F.aggregate(F.array(*[F.lit(c).cast("long") for c in cuts]), F.lit(1).cast("long"), lambda n, c: n + (value > c).cast("long")) if cuts else F.lit(1).cast("long")
+        distinct = docs.select(value.alias("v")).where("v is not null").distinct()
+        if dict(distinct.dtypes)["v"] == "string":
+            cuts = _string_cuts(spool(distinct, "values"), parts)
+        else:
+            splits = distinct.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 10000).alias("s")).first()
+            cuts = sorted(set((splits and splits.s) or []))
+        over = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(1).cast("long"), lambda n, c: n + (value > c).cast("long")) if cuts else F.lit(1).cast("long")
         codes[name] = F.coalesce(F.when(value.isNotNull(), over), F.lit(0).cast("long"))
     return codes
 
 
+def _string_cuts(distinct: DataFrame, parts: int) -> list[str]:
+    """Up to parts - 1 of the distinct strings v that cut them into runs of about equal number, in their order.
+
+    The strings are sorted in ranges; a line for each range comes to the driver, and then the cuts by their ranks.
+    """
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the place in it in the lower 33
+    ranked = distinct.repartitionByRange("v").sortWithinPartitions("v")
+    ranked = spool(ranked.select("v", F.call_function("shiftright", place, F.lit(33)).alias("range"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("i")), "ranks")
+    before, wanted = 0, []
+    counts = sorted(tuple(r) for r in ranked.groupBy("range").count().collect())
+    total = sum(n for _, n in counts)
+    ranks = {-(-i * total // parts) - 1 for i in range(1, parts)}  # a cut is the last string of its run
+    for part, n in counts:
+        wanted += [(part, r - before) for r in ranks if before <= r < before + n]
+        before += n
+    if not wanted:
+        return []
+    return sorted(r.v for r in ranked.where(F.struct("range", "i").isin([F.struct(F.lit(p).cast("long"), F.lit(i).cast("long")) for p, i in wanted])).select("v").collect())
+
+
 def hilbert_shards(docs: DataFrame, dimensions: dict[str, Column], shards: int, spread: Column, tie: list[Column], bits: int = 6) -> DataFrame:
-    """docs with shard int and slot long: runs of the Hilbert order over `dimensions` (long columns).
+    """docs with shard int and slot long: runs of the Hilbert order over `dimensions` (numbers or strings).
 
     Row counts of the shards differ by at most one and slots run from 0 without gaps. In one cell rows stand by the
-    hash `spread`'s bucket, then `tie`, then whole row hash. Null dimensions have a code of their own. Repeated rows are
-    rows; which of two equal rows stands first makes no difference. An empty table gives an empty result.
+    hash `spread`'s bucket, then `tie`. Null dimensions have a code of their own. Repeated rows are rows; which of two equal
+    rows stands first makes no difference. Columns of docs named shard or slot give way to these. An empty table gives an
+    empty result.
     """
     if len(dimensions) * bits > 18:
         raise ValueError("at most 18 bits in all: the table of cells is broadcast and so has at most 2**18 rows")
     codes = quantised(docs, dimensions, bits)
-    keyed = docs.select("*", hilbert_index(list(codes.values()), bits).alias("_cell"), spread.alias("_spread"))
-    whole = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = keyed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    cells = spool(cells.select("_cell", F.ceil(F.col("_n") / ROWS_PER_BUCKET).alias("_buckets"), F.coalesce(F.sum("_n").over(whole), F.lit(0)).alias("_first"), F.sum("_n").over(Window.partitionBy()).alias("_all")), "cells")
-    dealt = keyed.join(F.broadcast(cells), "_cell").withColumn("_bucket", F.pmod("_spread", "_buckets"))
-    within = Window.partitionBy("_cell").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("_cell", "_bucket").agg(F.count(F.lit(1)).alias("_m"))
-    starts = spool(starts.select("_cell", "_bucket", F.coalesce(F.sum("_m").over(within), F.lit(0)).alias("_before")), "buckets")
-    order = Window.partitionBy("_cell", "_bucket").orderBy(*tie, "_spread")
-    ranked = dealt.withColumn("_r", F.row_number().over(order)).join(starts, ["_cell", "_bucket"])
-    rank = F.col("_first") + F.col("_before") + F.col("_r") - 1
-    shard = F.expr(f"({shards} * (_first + _before + _r - 1)) div _all")
-    placed = ranked.withColumn("_rank", rank).withColumn("shard", shard.cast("int"))
-    placed = placed.withColumn("slot", (F.col("_rank") - F.ceil(F.col("shard").cast("long") * F.col("_all") / F.lit(shards))).cast("long"))
-    return placed.select(*docs.columns, "shard", "slot")
+    # A row is one value beside the helper columns, so that no name clashes.
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")])
+    keyed = docs.select(kept.alias("row"), hilbert_index(list(codes.values()), bits).alias("cell"), spread.alias("spread"), F.struct(*tie, spread).alias("tie"))
+    whole = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = spool(cells.select("cell", F.ceil(F.col("n") / ROWS_PER_BUCKET).alias("buckets"), F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy()).alias("rows")), "cells")
+    dealt = keyed.join(F.broadcast(cells), "cell").withColumn("bucket", F.pmod("spread", "buckets"))
+    within = Window.partitionBy("cell").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("cell", "bucket").agg(F.count(F.lit(1)).alias("m"))
+    starts = spool(starts.select("cell", "bucket", F.coalesce(F.sum("m").over(within), F.lit(0)).alias("before")), "buckets")
+    order = Window.partitionBy("cell", "bucket").orderBy("tie")
+    ranked = dealt.withColumn("r", F.row_number().over(order)).join(starts, ["cell", "bucket"]).withColumn("rank", F.col("first") + F.col("before") + F.col("r") - 1)
+    placed = ranked.withColumn("shard", F.expr(f"({shards} * rank) div rows").cast("int"))
+    slot = F.col("rank") - F.ceil(F.col("shard").cast("long") * F.col("rows") / F.lit(shards))
+    return placed.select("row.*", "shard", slot.cast("long").alias("slot"))
 
 
 def document_dimensions() -> dict[str, Column]:
     """Source, language and length on a scale of quarter powers of two."""
     return {
-        "source": prefix_number(F.col("source")),
-        "lang": prefix_number(F.col("lang")),
+        "source": F.col("source"),
+        "lang": F.col("lang"),
         "length": F.floor(F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + 1) * 4),
     }
 

@@ -201,7 +201,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, po
     return co_train(views, y[order], extra)
 
 
-def score_quality(docs: DataFrame, model: CoTrained | None, whole: bool = False) -> DataFrame:
+SCORES = ("content_score", "metadata_score", "score")
+
+
+def score_quality(docs: DataFrame, model: CoTrained | None, whole: bool = False, names: tuple[str, ...] | list[str] = SCORES) -> DataFrame:
     """doc_id (with `whole`, all columns of docs), content_score, metadata_score and score for each row of docs.
 
     Scores are calibrated probabilities of good quality. Without a model all are 0.5. Null and empty texts are scored as
@@ -209,7 +212,7 @@ def score_quality(docs: DataFrame, model: CoTrained | None, whole: bool = False)
     """
     kept = docs.columns if whole else ["doc_id"]
     inner = list(dict.fromkeys([*kept, "text", "source", "lang", "n_chars"]))
-    scores = ["content_score", "metadata_score", "score"]
+    scores = list(names)  # with `whole`, names that docs doesn't have
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
