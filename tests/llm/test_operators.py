@@ -151,6 +151,54 @@ def test_mixing_hits_targets(spark, docs, rows, empty):
     assert mixing.mix_sources(empty.select("doc_id", "source", "text"), [1.0]).count() == 0
 
 
+@pytest.mark.parametrize("length", [7, 64, 8192])
+def test_mixing_equals_a_simulation_of_the_draw(spark, docs, rows, length):
+    """Slots drawn shard by shard, permuted block by block, words handed out one by one."""
+    plain = docs.select("doc_id", "source", "text")
+    out = mixing.mix_sources(plain, [5.0, 2.0, 1.0], shard_slots=length).toPandas()
+    order = sorted({r[3] for r in rows if r[3] is not None}) + [None]
+    taken, shards, slots, keys = {}, {}, [], []
+    for code, name in enumerate(order):
+        own = out[out["source"].isna()] if name is None else out[out["source"] == name]
+        size, words = int(own["size"].sum()), round(own["target"].iloc[0])
+        owner = {}
+        for i, r in own.iterrows():
+            owner.update(dict.fromkeys(range(r["start"], r["start"] + r["size"]), i))
+        assert sorted(owner) == list(range(size))
+        n, left, taking = -(-size // mixing.BLOCK_WORDS), words, []
+        while left > 0:
+            k = len(taking)
+            key = mixing.pass_key(np.array([code]), np.array([k // n]), 7)
+            block = int(mixing.permuted(np.array([k % n]), np.array([n]), key)[0])
+            has = range(block * mixing.BLOCK_WORDS, min(size, (block + 1) * mixing.BLOCK_WORDS))[:left]
+            taking.append([owner[w] for w in has])
+            left -= len(has)
+        slots.append(taking)
+    draws = mixing.ShardDraws([len(t) for t in slots], length, 7)
+    total = np.zeros(len(order), dtype=int)
+    for shard in range(draws.shards):
+        first, counts = draws.shard(shard)
+        assert first == total.tolist() and (sum(counts) == length or shard == draws.shards - 1)
+        for code, (a, c) in enumerate(zip(first, counts)):
+            for words in slots[code][a : a + c]:
+                for i in words:
+                    taken[i] = taken.get(i, 0) + 1
+                    shards.setdefault(i, []).append(shard)
+        total += counts
+    assert total.tolist() == [len(t) for t in slots]
+    assert out["taken"].tolist() == [taken.get(i, 0) for i in out.index]
+    assert all((r["first_shard"], r["last_shard"]) == (min(shards[i]), max(shards[i])) for i, r in out.iterrows() if i in shards)
+    blocks = mixing.mixed_blocks(plain, [5.0, 2.0, 1.0], shard_slots=length).toPandas()
+    assert len(blocks) == draws.total and sum(len(t.split()) for t in blocks["text"]) == out["taken"].sum()
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in blocks.groupby("shard"))
+
+
+def test_shard_draws_are_multinomial_given_their_sums():
+    first = [mixing.ShardDraws([600, 300, 100], 100, seed).shard(0)[1] for seed in range(400)]
+    assert np.abs(np.mean(first, 0) - [60, 30, 10]).max() < 1.5 and 3 < np.std([f[0] for f in first]) < 6
+    assert mixing.hypergeometric(np.random.default_rng(1), 3 * 10**9, 10**9, 1000) in range(650, 850)
+
+
 def test_targets_reshare_what_is_above_the_cap():
     import pandas as pd
 
