@@ -4,8 +4,10 @@ Vectors are dealt to shards by a hash. In each shard points enter in batches of
 from the point nearest the mean proposes neighbours, relaxed distance pruning keeps diverse ones, and edges back are
 added and pruned in turn. Every query is answered by a beam search in each shard; the best over shards are its result.
 
-Equal vectors are one point. A point keeps only as many of its smallest ids as a result can need, so a vector with
-millions of copies is one point with few ids and yet no neighbour is lost.
+Equal vectors are one row with as many of its smallest ids as a result can need, so a vector with millions of copies is one
+row with few ids and yet no neighbour is lost. Rows of equal direction (multiples of each other) are one point of the
+graph; they are told apart when the found points' rows are scored exactly. Points that pruning would leave
+unreachable hang on the nearest point that has a free link of its own.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spool, table
+from .common import map_texts, spool, table
 
 #: Points of a shard on average; out-degree; beam widths as it is built and searched; slack of the relaxed pruning; queries of a block.
 SHARD_POINTS, DEGREE, BEAM, SEARCH_BEAM, ALPHA, QUERY_BLOCK = 4096, 32, 64, 192, 1.2, 512
@@ -103,6 +106,28 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alph
     return edges, start
 
 
+def connected(points: np.ndarray, edges: np.ndarray, start: int) -> np.ndarray:
+    """edges with one column more, by which points that can't be reached from start hang on near ones that can."""
+    n = len(points)
+    extra = np.full(n, -1, dtype=np.int64)
+    reached = np.zeros(n, dtype=bool)
+
+    def spread(front: np.ndarray) -> None:
+        while len(front):
+            reached[front] = True
+            near = np.unique(edges[front])
+            near = near[near >= 0]
+            front = near[~reached[near]]
+
+    spread(np.array([start]))
+    for own in range(n):
+        if not reached[own]:
+            free = np.flatnonzero(reached & (extra < 0))  # never empty: each link gives a point with a free one
+            extra[free[np.argmax(points[free] @ points[own])]] = own
+            spread(np.array([own]))
+    return np.concatenate([edges, extra[:, None]], axis=1)
+
+
 def usable(vector: str):
     """True for vectors without null, with finite components and some length."""
     v = F.col(vector)
@@ -110,74 +135,109 @@ def usable(vector: str):
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors times a power of two each, their norms): sizes near 1, so that nothing overflows and nothing is rounded."""
+    v = vectors * np.exp2(-np.frexp(np.abs(vectors).max(1, keepdims=True))[1].astype(np.float64))
+    return v, np.sqrt((v * v).sum(1))
+
+
+def _pack(x: pd.DataFrame, k: int) -> pd.DataFrame:
+    """One row with the graph over the directions of a shard's rows (id, ids, embedding)."""
+    x = x.sort_values("id")
+    exact = np.array(x["embedding"].tolist(), dtype=np.float64)
+    v, norm = scaled(exact)
+    # Multiples can differ in their last bits; such neighbours at no distance are points of their own.
+    directions, of = np.unique((v / norm[:, None]).astype(np.float32), axis=0, return_inverse=True)
+    edges, start = build_graph(directions)
+    edges = connected(directions, edges, start)
+    order = np.argsort(of.ravel(), kind="stable")
+    ids = np.full((len(x), k + 1), -1, dtype=np.int64)
+    known = np.zeros((len(x), k + 1), dtype=np.int8)
+    for i, own in enumerate(x["ids"].to_numpy()[order]):
+        ids[i, : len(own)], known[i, : len(own)] = own, 1
+    ends = np.cumsum(np.bincount(of.ravel(), minlength=len(directions)))
+    row = {"dim": int(x["dim"].iloc[0]), "shard": int(x["shard"].iloc[0]), "n": len(x), "points": len(directions), "start": start}
+    parts = {"directions": directions, "edges": edges.astype(np.int32), "ends": ends.astype(np.int64), "vectors": exact[order], "ids": ids, "known": known}
+    return pd.DataFrame([row | {name: part.tobytes() for name, part in parts.items()}])
+
+
+class Shard:
+    """A shard's graph as its packed row has it."""
+
+    def __init__(self, row, k: int):
+        n, points, dim = int(row.n), int(row.points), int(row.dim)  # the blocks' rows have nulls here, so pandas has floats
+        self.start, self.k = int(row.start), k
+        self.directions = np.frombuffer(row.directions, dtype=np.float32).reshape(points, dim)
+        self.edges = np.frombuffer(row.edges, dtype=np.int32).reshape(points, DEGREE + 1)
+        self.ends = np.concatenate(([0], np.frombuffer(row.ends, dtype=np.int64)))
+        self.vectors, self.norm = scaled(np.frombuffer(row.vectors, dtype=np.float64).reshape(n, dim))
+        self.ids = np.frombuffer(row.ids, dtype=np.int64).reshape(n, k + 1)
+        self.known = np.frombuffer(row.known, dtype=np.int8).reshape(n, k + 1) > 0
+
+    def search(self, asked: np.ndarray, embeddings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query_id, vec_id, score) of the best k of each query; all rows of the found points are scored exactly."""
+        exact, own_norm = scaled(embeddings)
+        found, _ = beam_search(self.directions, self.edges, self.start, (exact / own_norm[:, None]).astype(np.float32), SEARCH_BEAM)
+        out = []
+        for i, hit in enumerate(found):
+            hit = hit[hit >= 0]
+            count = self.ends[hit + 1] - self.ends[hit]
+            rows = np.arange(count.sum()) + np.repeat(self.ends[hit] - np.cumsum(count) + count, count)
+            score = (self.vectors[rows] * exact[i]).sum(1) / (self.norm[rows] * own_norm[i])
+            s, v, ok = np.repeat(score, self.k + 1), self.ids[rows].ravel(), self.known[rows].ravel()
+            ok &= v != asked[i]
+            s, v = s[ok], v[ok]
+            best = np.lexsort((v, -s))
+            _, first = np.unique(v[best], return_index=True)  # an id with several vectors counts by its nearest
+            best = best[np.sort(first)][: self.k]
+            out.append((np.full(len(best), asked[i]), v[best], s[best]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, points_per_shard: int = SHARD_POINTS) -> DataFrame:
     """vectors(vec_id, embedding), queries(query_id, embedding) -> query_id, rank (from 1), vec_id, score (cosine in double).
 
     A query's own id is no candidate for it; ties go to the smaller vec_id; rows of null id and unusable vectors (see
-    `usable`) take no part, nor do vectors of another dimension than the query's. Repeated rows count once a vec_id and
-    vector. Fewer than k candidates: all that are reachable. Empty tables give an empty result.
+    `usable`) take no part, nor do vectors of another dimension than the query's. Repeated rows count once; an id with several vectors
+    counts by the nearest, a query_id with several vectors asks with each. Fewer than k candidates: all. Empty tables give
+    an empty result. Each shard's graph is loaded once, and the queries pass it in blocks.
     """
-    cast = F.col("embedding").cast("array<double>").alias("embedding")
     rows = vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).select("vec_id", "embedding")
     first = Window.partitionBy("embedding").orderBy("vec_id")
     points = rows.withColumn("i", F.dense_rank().over(first)).where(F.col("i") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
-    points = spool(points.select(F.size("embedding").alias("dim"), F.col("ids")[0].alias("id"), "ids", "embedding"), "points")
-    dims = [r.asDict() for r in points.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / points_per_shard).alias("shards")).collect()]
+    points = spool(points.select(F.size("embedding").alias("dim"), F.col("ids")[0].alias("id"), "ids", F.col("embedding").cast("array<double>").alias("embedding")), "points")
+    dims = [(r.dim, r.shards) for r in points.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / points_per_shard).alias("shards")).collect()]
     spark = vectors.sparkSession
-    shards = spark.createDataFrame([(d["dim"], d["shards"]) for d in dims], "dim int, shards long")
-    dealt = points.join(F.broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("id"), "shards"))
-
-    def unit(embedding: pd.Series) -> np.ndarray:
-        v = np.array(embedding.tolist(), dtype=np.float64)
-        v /= np.abs(v).max(1, keepdims=True)
-        return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-
-    def build(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("id")
-        edges, start = build_graph(unit(x["embedding"]))
-        vectors = np.array(x["embedding"].tolist(), dtype=np.float32)
-        ids = np.full((len(x), k + 1), -1, dtype=np.int64)
-        known = np.zeros((len(x), k + 1), dtype=np.int8)
-        for i, own in enumerate(x["ids"]):
-            ids[i, : len(own)], known[i, : len(own)] = own, 1
-        return pd.DataFrame({"dim": [int(x["dim"].iloc[0])], "shard": [int(x["shard"].iloc[0])], "n": [len(x)], "start": [start], "vectors": [vectors.tobytes()], "edges": [edges.astype(np.int32).tobytes()], "ids": [ids.tobytes()], "known": [known.tobytes()]})
-
-    index = dealt.select("dim", "shard", "id", "ids", "embedding").groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, n long, start long, vectors binary, edges binary, ids binary, known binary")
-    index = spool(index, "graphs")
-
-    asked = queries.where(F.col("query_id").isNotNull() & usable("embedding")).select("query_id", "embedding").distinct()
+    shards = spark.createDataFrame(dims, "dim int, shards long")
+    dealt = points.join(F.broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("id", "embedding"), "shards"))
+    graph = "dim int, shard long, n long, points long, start long, directions binary, edges binary, ends binary, vectors binary, ids binary, known binary"
+    index = spool(dealt.select("dim", "shard", "id", "ids", "embedding").groupBy("dim", "shard").applyInPandas(lambda x: _pack(x, k), graph), "graphs")
+
+    asked = queries.where(F.col("query_id").isNotNull() & usable("embedding")).select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).distinct()
     asked = asked.withColumn("dim", F.size("embedding"))
     per_dim = asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks"))
-    blocks = asked.join(per_dim, "dim").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks")).groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", cast)).alias("q"))
-    met = blocks.join(F.broadcast(shards), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).join(index, ["dim", "shard"])
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    blocks = asked.join(per_dim, "dim").withColumn("block", F.pmod(F.xxhash64("query_id", "embedding"), "blocks")).groupBy("dim", "block").agg(F.collect_list("query_id").alias("query_ids"), F.flatten(F.collect_list("embedding")).alias("query_vectors"))
+    blocks = blocks.join(F.broadcast(shards), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    # A shard's graph, then the blocks of queries that meet it.
+    both = index.withColumn("block", F.lit(-1).cast("long")).unionByName(blocks.select("dim", "shard", "block", "query_ids", "query_vectors"), allowMissingColumns=True)
+    parts = max(1, sum(n for _, n in dims))
+    both = both.repartition(parts, "dim", "shard").sortWithinPartitions("dim", "shard", "block")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            for r in batch.itertuples():
-                vectors = np.frombuffer(r.vectors, dtype=np.float32).reshape(r.n, r.dim)
-                edges = np.frombuffer(r.edges, dtype=np.int32).reshape(r.n, DEGREE)
-                ids = np.frombuffer(r.ids, dtype=np.int64).reshape(r.n, k + 1)
-                known = np.frombuffer(r.known, dtype=np.int8).reshape(r.n, k + 1) > 0
-                asked_id = np.array([q["query_id"] for q in r.q], dtype=np.int64)
-                exact = np.array([q["embedding"] for q in r.q], dtype=np.float64)
-                size = np.abs(vectors).max(1, keepdims=True)
-                norm = np.linalg.norm(vectors.astype(np.float64) / size, axis=1) * size[:, 0]
-                points = (vectors / norm[:, None]).astype(np.float32)
-                own_norm = np.abs(exact).max(1) * np.linalg.norm(exact / np.abs(exact).max(1, keepdims=True), axis=1)
-                found, _ = beam_search(points, edges, r.start, (exact / own_norm[:, None]).astype(np.float32), SEARCH_BEAM)
-                found = found[:, : 4 * k]
-                for i, hit in enumerate(found):
-                    hit = hit[hit >= 0]
-                    score = (vectors[hit].astype(np.float64) * exact[i]).sum(1) / (norm[hit] * own_norm[i])
-                    s, v, ok = np.repeat(score, k + 1), ids[hit].ravel(), known[hit].ravel()
-                    ok &= v != asked_id[i]
-                    s, v = s[ok], v[ok]
-                    best = np.lexsort((v, -s))[:k]
-                    yield pd.DataFrame({"query_id": np.full(len(best), asked_id[i]), "vec_id": v[best], "score": s[best]})
-
-    hits = met.select("dim", "n", "start", "vectors", "edges", "ids", "known", "q").repartition("q").mapInPandas(search, "query_id long, vec_id long, score double")
+            for row in batch.to_pandas().itertuples():
+                if row.block < 0:
+                    held = Shard(row, k)
+                else:
+                    q, v, s = held.search(np.asarray(row.query_ids, dtype=np.int64), np.asarray(row.query_vectors, dtype=np.float64).reshape(-1, row.dim))
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
+
+    hits = map_texts(both, search, "query_id long, vec_id long, score double")
+    # An id has its best score only; the ranks then are of the shards' best.
+    best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_ann(spark, sf_dir: str) -> DataFrame:

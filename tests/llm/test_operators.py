@@ -240,6 +240,31 @@ def test_ann_recall_and_edge_rows(spark):
     assert ann.nearest(df.where("vec_id < 0"), asked).count() == 0
 
 
+def test_ann_equal_directions_give_all_rows(spark):
+    base = np.random.default_rng(2).normal(size=8)
+    data = [(i, (base * 2.0 ** (i % 7 - 3)).tolist()) for i in range(1, 201)] + [(500, (-base).tolist()), (501, (base * 1e300).tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id in (1, 150, 500)").withColumnRenamed("vec_id", "query_id")
+    got = {}
+    for size in (4096, 32):
+        for r in ann.nearest(df, asked, points_per_shard=size).orderBy("query_id", "rank").collect():
+            got.setdefault((size, r.query_id), []).append(r.vec_id)
+        assert got[size, 1][:4] == [2, 3, 4, 5] and len(got[size, 1]) == 5
+        assert got[size, 150][:4] == [1, 2, 3, 4] and len(got[size, 500]) == 5
+    assert ann.nearest(df, asked.where("query_id < 0")).count() == 0
+
+
+def test_ann_graph_reaches_every_point():
+    x = np.repeat(np.eye(6, dtype=np.float32), 40, axis=0) + np.random.default_rng(3).normal(0, 1e-4, (240, 6)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    edges, start = ann.build_graph(x, degree=4, beam=8)
+    edges = ann.connected(x, edges, start)
+    seen, front = {start}, [start]
+    while front:
+        front = [j for i in front for j in edges[i].tolist() if j >= 0 and j not in seen and not seen.add(j)]
+    assert len(seen) == 240
+
+
 def test_hilbert_curve_visits_every_cell_by_neighbours(spark):
     cells = spark.range(256).select((F.col("id") % 4).alias("a"), (F.floor(F.col("id") / 4) % 4).alias("b"), (F.floor(F.col("id") / 16) % 4).alias("c"), F.floor(F.col("id") / 64).alias("d"))
     path = cells.select("*", hilbert.hilbert_index([F.col(c) for c in "abcd"], 2).alias("h")).orderBy("h").collect()
