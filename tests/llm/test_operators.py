@@ -380,9 +380,17 @@ def test_packing_round_trip(docs, rows, empty):
     assert 300 not in pieces and 301 not in pieces and packing.pack_tokens(empty).count() == 0
 
 
+def test_packing_spreads_repeated_rows(spark):
+    rows = packing.pack_tokens(spark.range(600).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one more equal row of words").alias("text")), row=64, shard_bytes=1000).collect()
+    held = {}
+    for r in rows:
+        held[r.shard] = held.get(r.shard, 0) + len(r.segments)
+    assert sum(held.values()) == 600 and len(held) > 10 and max(held.values()) < 120
+
+
 def test_license_automaton_matches_brute_force():
     s, rng = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES), random.Random(1)
-    runs = [t.split() for t in [*licenses.TEMPLATES.values(), *licenses.PHRASES]]
+    runs = [t.split() for t in [*(t for own in licenses.TEMPLATES.values() for t in own), *licenses.PHRASES]]
     known = {tuple(r[i:j]) for r in runs for i in range(len(r)) for j in range(i + 1, len(r) + 1)}
     for _ in range(60):
         text = []
@@ -392,17 +400,47 @@ def test_license_automaton_matches_brute_force():
             text += r[at : at + rng.randrange(1, 9)]
         for end, (_, length) in enumerate(s.automaton.walk([s.ids[w.encode()] for w in text])):
             assert length == max(n for n in range(end + 2) if not n or tuple(text[end + 1 - n : end + 1]) in known)
-        places = [(i, n) for i in range(len(text)) for n, p in enumerate(licenses.PHRASES, len(licenses.TEMPLATES)) if text[i : i + len(p.split())] == p.split()]
+        places = [(i, n) for i in range(len(text)) for n, p in enumerate(licenses.PHRASES, s.first_phrase) if text[i : i + len(p.split())] == p.split()]
         assert s.matches([w.encode() for w in text])[0] == sorted(places)
 
 
+def test_license_matches_and_chains_by_brute_force():
+    rng = random.Random(7)
+    for _ in range(40):
+        templates = {str(i): (" ".join(rng.choice("abcde") for _ in range(rng.randrange(4, 12))),) for i in range(3)}
+        s = licenses.Scanner(templates, {"a b": "p", "e": "q"})
+        text = [rng.choice("abcdex") for _ in range(30)]
+        places, long = s.matches([w.encode() for w in text])
+        assert places == sorted([(i, 3) for i in range(29) if text[i : i + 2] == ["a", "b"]] + [(i, 4) for i in range(30) if text[i] == "e"])
+        for number, (template,) in enumerate(templates.values()):
+            t, ends = template.split(), {}
+            for end in range(1, 31):
+                fit = [n for n in range(licenses.LEAST_MATCH, end + 1) if any(t[p : p + n] == text[end - n : end] for p in range(len(t) - n + 1))]
+                if fit:
+                    ends[end - max(fit)] = max(ends.get(end - max(fit), 0), max(fit))
+            assert {first: n for first, (n, _) in long.get(number, {}).items()} == ends
+            found = [(f, p, n) for f, n in ends.items() for p in range(len(t) - n + 1) if t[p : p + n] == text[f : f + n]]
+
+            def grow(end, at, left):
+                best = 0
+                for f, p, n in left:
+                    cut = max(0, end - f, at - p) if end is not None else 0
+                    if cut < n and (end is None or f + cut - end <= licenses.MOST_GAP and p + cut - at <= licenses.MOST_GAP):
+                        best = max(best, n - cut + grow(f + n, p + n, [x for x in left if x > (f, p, n)]))
+                return best
+
+            assert licenses.best_chain(sorted(found)) == grow(None, None, found)
+    s = licenses.Scanner({"t": ("a b c d e f a b c g h i",)}, {})
+    assert s.covered(s.matches([w.encode() for w in "d e f zz a b c zz g h i".split()])[1]) == {0: 0.75}
+
+
 def test_license_rows(spark, docs, rows, empty):
     texts = ["Released UNDER the MIT-License. Under the mit license", "cc-by-nc", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies", "the of and software", None, ""]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, score string")
     out = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
     assert (out[0].n_words, out[0].n_base, out[0].first_word, out[0].last_word, out[0].base_labels) == (9, 2, 1, 5, "mit")
     assert (out[1].base_labels, out[1].labels, out[1].score) == ("cc-by-nc", "cc-by-nc", 1.0)
-    assert out[2].base_labels == "" and out[2].labels == "mit-text" and 0.75 < out[2].score <= 1
+    assert out[2].base_labels == "" and out[2].labels == "mit" and 0.75 < out[2].score <= 1
     assert all((out[i].labels, out[i].n_base, out[i].first_word) == ("", 0, None) for i in (3, 4, 5)) and out[5].score == 0
     assert licenses.scan_licenses(docs).count() == len(rows) and licenses.scan_licenses(empty).count() == 0
 
