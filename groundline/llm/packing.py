@@ -9,6 +9,7 @@ cumulative segment lengths and the places where positions start again from 0.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,26 +34,31 @@ def tokenizer(path: str = VOCABULARY) -> tiktoken.Encoding:
 
 
 def token_pieces(docs: DataFrame, row: int = ROW, path: str = VOCABULARY) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, piece, offset (in tokens), n, ids (uint16, little-endian): at most `row` tokens each.
+    """docs(doc_id, text) -> doc_id, again, piece, offset (in tokens), n, ids (uint16, little-endian): at most `row` tokens each.
 
-    Null and empty texts have no piece; repeated rows have theirs each.
+    Null and empty texts have no piece; repeated rows have theirs each, and again counts those that a task has met before.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_ordinary
+        met: dict[bytes, int] = {}
         for batch in batches:
-            owner, offset, ids = [], [], []
-            for i, text in enumerate(batch.column(1)):
-                own = np.array(encode(text.as_py() or ""), dtype="<u2")
+            owner, offset, ids, again = [], [], [], []
+            for i, (key, text) in enumerate(zip(batch.column(0), batch.column(1))):
+                text = text.as_py() or ""
+                own = np.array(encode(text), dtype="<u2")
+                same = hashlib.blake2b(repr((key.as_py(), text)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                met[same] = met.get(same, -1) + 1
                 for at in range(0, len(own), row):
+                    again.append(met[same])
                     owner.append(i)
                     offset.append(at)
                     ids.append(own[at : at + row].tobytes())
             at = np.array(offset, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), pa.array((at // row).astype(np.int32)), pa.array(at), pa.array([len(x) // 2 for x in ids], pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "piece", "offset", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), pa.array(again, pa.int64()), pa.array((at // row).astype(np.int32)), pa.array(at), pa.array([len(x) // 2 for x in ids], pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "again", "piece", "offset", "n", "ids"])
 
-    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, offset bigint, n int, ids binary")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, again bigint, piece int, offset bigint, n int, ids binary")
 
 
 class Capacities:
@@ -105,7 +111,7 @@ def pack_tokens(docs: DataFrame, row: int = ROW, path: str = VOCABULARY, shard_b
 
     ids is a row of the shard's id matrix: `row` uint16 numbers, little-endian, filled up with FILL after n_tokens. cu_seqlens
     has 0 and each segment's end, position_resets each segment's start, segments its doc_id, piece, offset in the document
-    and tokens. The number of shards follows from the bytes of all texts. An empty table, or one of empty texts, has no row.
+    and tokens. The number of shards follows from the bytes of all texts; repeated rows are spread over shards. An empty table, or one of empty texts, has no row.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -125,7 +131,7 @@ def pack_tokens(docs: DataFrame, row: int = ROW, path: str = VOCABULARY, shard_b
             out.append((int(x["shard"].iloc[0]), number, ends[-1], ids + fill, ends, ends[:-1], segments))
         return pd.DataFrame(out, columns=["shard", "row", "n_tokens", "ids", "cu_seqlens", "position_resets", "segments"])
 
-    pieces = token_pieces(docs, row, path).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(shards)))
+    pieces = token_pieces(docs, row, path).withColumn("shard", F.pmod(F.xxhash64("doc_id", "again", "piece", "ids"), F.lit(shards)))
     schema = f"shard bigint, row int, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, segments array<struct<doc_id: {kind}, piece: int, offset: bigint, n: int>>"
     return pieces.groupBy("shard").applyInPandas(pack, schema)
 
