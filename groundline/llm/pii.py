@@ -1,11 +1,12 @@
 """Personal data: a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled spans.
 
 Base patterns find e-mail addresses, IPv4 addresses, payment cards and phone numbers; their spans always stay. The tagger
-learns the kinds from base spans of a bounded sample of documents and from written variants of them set into real
-contexts, and adds spans that the patterns miss (numbers without +, spelled-out @, dotted cards). Its windows overlap; each character
+reads the characters themselves. It learns the kinds from base spans of a bounded sample of documents and from written
+spans set into real contexts, and adds spans that the patterns miss: phone numbers without +, spelled-out @, dotted cards, and
+secrets (keys and tokens that stand where one is named), which have no pattern. Its windows overlap; each character
 takes its tag from the window in which it is most central, and the tags of a text are then read as one sequence, so a
-span across windows is one span. A span must hold a digit, an @ or a written (at), so only windows near these are
-tagged: it is the same result as tagging all. What the tagger proposes must pass its kind's exact check.
+span across windows is one span. A span must hold a digit, an @ or a written (at), so what is tagged is the unbroken
+words around these and a margin; no span that passes its kind's check is longer than that. The check is of form only.
 """
 
 from __future__ import annotations
@@ -22,10 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
-KINDS = ("email", "ip", "card", "phone")
-#: Characters of a window, of its core that counts, and documents that the tagger is fitted on at most.
-WINDOW, CORE, SAMPLE = 96, 64, 300
-HIDDEN, STEPS, BATCH = 16, 400, 48
+#: Those of the base patterns, and all that the tagger knows.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
+#: Characters of a window, of its core that counts, and documents that the tagger is fitted on at most, with the windows of one.
+WINDOW, CORE, SAMPLE, SAMPLE_WINDOWS = 160, 112, 300, 8
+#: Characters on both sides of the words around a digit or sign that are tagged with them.
+MARGIN = 32
+HIDDEN, STEPS, BATCH = 20, 280, 32
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -46,6 +51,10 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+_SECRET = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_INSIDE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+/=-")
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns, leftmost and non-overlapping per kind; failing matches are dropped."""
     found, done = [], 0
@@ -82,66 +91,71 @@ def plausible(kind: int, span: str) -> bool:
         return bool(parts) and all(int(p) <= 255 for p in parts.groups())
     if kind == 2:
         return bool(re.fullmatch(r"[0-9](?:[ .-]?[0-9])+", span)) and 14 <= len(digits) <= 19 and luhn(digits)
+    if kind == 4:
+        return bool(_SECRET.fullmatch(span)) and any(c.isalpha() for c in span) and len(digits) > 2
     return bool(re.fullmatch(r"\+?[0-9]{0,3}[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", span)) and 10 <= len(digits) <= 15
 
 
-_CLASS = {"@": 4, ".": 5, "-": 6, "+": 7, "(": 8, ")": 9, " ": 10, "_": 11, "%": 11, "\n": 12, "\t": 12, "\r": 12, "[": 13, "]": 13, ":": 14, ",": 14, ";": 14}
-_ASCII = np.array([3 if "0" <= c <= "9" else 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else _CLASS.get(c, 0) for c in map(chr, range(128))] + [15], dtype=np.int64)
-CLASSES = 17  # the last is padding
+#: 0 other white space, then the printable ASCII characters, one class of all others, and padding.
+CLASSES = 98
 
 
 def classes(text: str) -> np.ndarray:
-    return _ASCII[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 128)]
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    return np.where(code > 126, 96, np.maximum(code - 31, 0))
 
 
 class Tagger:
-    """Bidirectional LSTM over character classes, a linear layer and CRF transitions."""
+    """Bidirectional LSTM over characters, a linear layer and CRF transitions. Both directions run as one batch of matrices."""
 
-    def __init__(self, seed: int = 3):
+    def __init__(self, seed: int = 3, real: type = np.float32):
         rng = np.random.default_rng(seed)
-        small = lambda *shape: rng.normal(0, 0.2, shape)
-        self.p = {f"{n}{d}": v for d in "fb" for n, v in (("W", small(CLASSES, 4 * HIDDEN)), ("U", small(HIDDEN, 4 * HIDDEN)))}
-        self.p |= {"V": small(2 * HIDDEN, TAGS), "c": np.zeros(TAGS), "A": np.zeros((TAGS, TAGS))}
-        for d in "fb":
-            self.p[f"W{d}"][:, HIDDEN : 2 * HIDDEN] += 1.0  # remember at first
+        small = lambda *shape: rng.normal(0, 0.2, shape).astype(real)
+        self.p = {"W": small(2, CLASSES, 4 * HIDDEN), "U": small(2, HIDDEN, 4 * HIDDEN), "V": small(2 * HIDDEN, TAGS), "c": small(TAGS), "A": small(TAGS, TAGS)}
+        self.p["W"][:, :, HIDDEN : 2 * HIDDEN] += 1.0  # remember at first
 
-    def _lstm(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+    def _lstm(self, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+        """(hidden states of both directions side by side, what the way back needs)."""
         n, steps = x.shape
-        h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
-        out, held, u, w = np.empty((n, steps, HIDDEN)), [], self.p[f"U{d}"], self.p[f"W{d}"]
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = w[x[:, t]] + h @ u
-            gate = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
-            i, f, o = gate[:, :HIDDEN], gate[:, HIDDEN : 2 * HIDDEN], gate[:, 2 * HIDDEN :]
-            g = np.tanh(z[:, 3 * HIDDEN :])
+        u, w, both = self.p["U"], self.p["W"], np.stack([x, x[:, ::-1]])
+        inputs = np.stack([w[d][both[d].T] for d in (0, 1)], axis=1)  # steps, directions, rows
+        h, c = np.zeros((2, n, HIDDEN), w.dtype), np.zeros((2, n, HIDDEN), w.dtype)
+        out, held = np.empty((2, n, steps, HIDDEN), w.dtype), []
+        for t in range(steps):
+            z = inputs[t] + h @ u
+            gate = 1 / (1 + np.exp(-z[..., : 3 * HIDDEN]))
+            i, f, o = gate[..., :HIDDEN], gate[..., HIDDEN : 2 * HIDDEN], gate[..., 2 * HIDDEN :]
+            g = np.tanh(z[..., 3 * HIDDEN :])
             before, c = c, f * c + i * g
             tc = np.tanh(c)
             if keep:
-                held.append((t, h, before, i, f, o, g, tc))
+                held.append((h, before, i, f, o, g, tc))
             h = o * tc
-            out[:, t] = h
-        return out, held
-
-    def _lstm_back(self, x: np.ndarray, d: str, dout: np.ndarray, held: list) -> tuple[np.ndarray, np.ndarray]:
-        u, dw, du = self.p[f"U{d}"], np.zeros_like(self.p[f"W{d}"]), np.zeros_like(self.p[f"U{d}"])
-        dh, dc, one_hot = np.zeros_like(dout[:, 0]), np.zeros_like(dout[:, 0]), np.eye(CLASSES)[x]
-        for t, h, before, i, f, o, g, tc in reversed(held):
-            dh = dh + dout[:, t]
+            out[:, :, t] = h
+        return np.concatenate([out[0], out[1][:, ::-1]], axis=2), held
+
+    def _lstm_back(self, x: np.ndarray, dboth: np.ndarray, held: list) -> tuple[np.ndarray, np.ndarray]:
+        both = np.stack([x, x[:, ::-1]])
+        dout = np.stack([dboth[:, :, :HIDDEN], dboth[:, ::-1, HIDDEN:]])
+        u, du, dzs = self.p["U"], np.zeros_like(self.p["U"]), np.empty((2, len(held), len(x), 4 * HIDDEN), dboth.dtype)
+        dh, dc = np.zeros_like(dout[:, :, 0]), np.zeros_like(dout[:, :, 0])
+        for t in range(len(held) - 1, -1, -1):
+            h, before, i, f, o, g, tc = held[t]
+            dh = dh + dout[:, :, t]
             dc = dc + dh * o * (1 - tc * tc)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-            dw += one_hot[:, t].T @ dz
-            du += h.T @ dz
-            dh, dc = dz @ u.T, dc * f
-        return dw, du
+            dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=2)
+            dzs[:, t] = dz
+            du += h.transpose(0, 2, 1) @ dz
+            dh, dc = dz @ u.transpose(0, 2, 1), dc * f
+        dw = [np.eye(CLASSES, dtype=dz.dtype)[both[d].T.ravel()].T @ dzs[d].reshape(-1, 4 * HIDDEN) for d in (0, 1)]
+        return np.stack(dw), du
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._lstm(x, "f", False)[0], self._lstm(x, "b", False)[0]], axis=2)
-        return both @ self.p["V"] + self.p["c"]
+        return self._lstm(x, False)[0] @ self.p["V"] + self.p["c"]
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tags and its gradients."""
-        (hf, kf), (hb, kb) = self._lstm(x, "f", True), self._lstm(x, "b", True)
-        both = np.concatenate([hf, hb], axis=2)
+        both, held = self._lstm(x, True)
         e, a = both @ self.p["V"] + self.p["c"], self.p["A"]
         n, steps, _ = e.shape
         alpha, beta = np.empty_like(e), np.zeros_like(e)
@@ -164,9 +178,7 @@ class Tagger:
         gold = e[rows, np.arange(steps), y].sum(1) + a[y[:, :-1], y[:, 1:]].sum(1)
         de /= n
         grads = {"V": np.einsum("nth,ntk->hk", both, de), "c": de.sum((0, 1)), "A": pair / n}
-        dboth = de @ self.p["V"].T
-        grads["Wf"], grads["Uf"] = self._lstm_back(x, "f", dboth[:, :, :HIDDEN], kf)
-        grads["Wb"], grads["Ub"] = self._lstm_back(x, "b", dboth[:, :, HIDDEN:], kb)
+        grads["W"], grads["U"] = self._lstm_back(x, de @ self.p["V"].T, held)
         return float((z - gold).mean()), grads
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 5) -> list[float]:
@@ -182,7 +194,7 @@ class Tagger:
                 g = g * min(1.0, 5.0 / (norm + 1e-9))
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
-                self.p[k] -= 0.02 * (m[k] / (1 - 0.9**s)) / (np.sqrt(v[k] / (1 - 0.99**s)) + 1e-8)
+                self.p[k] -= 0.02 * (1 - 0.9 * s / steps) * (m[k] / (1 - 0.9**s)) / (np.sqrt(v[k] / (1 - 0.99**s)) + 1e-8)
         return losses
 
     def decode(self, x: np.ndarray) -> np.ndarray:
@@ -201,27 +213,42 @@ class Tagger:
         return out
 
 
-def variants(rng: np.random.Generator) -> tuple[str, int]:
-    """A written span and its kind; kind -1 is a number or sign that is no personal data."""
+def variants(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """A written passage and the spans (start, kind, end) in it; numbers and signs that are no personal data have none."""
     num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    word = lambda: "".join(rng.choice(list("abcdefghilmnoprstu"), int(rng.integers(2, 9))))
-    kind, way = int(rng.integers(-2, 4)), int(rng.integers(0, 4))
+    of = lambda letters, n: "".join(rng.choice(list(letters), n))
+    word = lambda: of("abcdefghilmnoprstu", int(rng.integers(2, 9)))
+    kind, way = int(rng.integers(-2, len(KINDS))), int(rng.integers(0, 4))
     if kind == 0:
-        return f"{word()}.{num(2)}{['@', '@', ' @ ', '(at)'][way]}{word()}.{word()}.com", 0
-    if kind == 1:
-        return ".".join(str(i) for i in rng.integers(0, 256, 4)), 1
-    if kind == 2:
+        name = [f"{word()}.{num(2)}", word(), f"{word()}_{word()}", f"{word()}.{word()}"][int(rng.integers(0, 4))]
+        span = f"{name}{['@', '[at]', ' @ ', '(at)'][way]}{word()}.{word()}.com"
+    elif kind == 1:
+        span = [".", ".", " . ", "."][way].join(str(i) for i in rng.integers(0, 256, 4))
+    elif kind == 2:
         d = num(15)
         d += next(c for c in "0123456789" if luhn(d + c))
-        return ["", " ", "-", "."][way].join(d[i : i + 4] for i in range(0, 16, 4)), 2
-    if kind == 3:
+        span = ["", " ", "-", "."][way].join(d[i : i + 4] for i in range(0, 16, 4))
+    elif kind == 3:
         a, b, c = num(3), num(3), num(4)
-        return [f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"][way], 3
-    return [num(int(rng.integers(1, 9))), f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(3)}abc{num(5)}f{num(3)}e"][way], -1
-
-
-def training_windows(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of character classes and tags: each text's base spans, and two written spans set into it."""
+        span = [f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"][way]
+    elif kind == 4:
+        hexes, mixed_ = of("0123456789abcdef", int(rng.choice([32, 40, 64]))), of("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", int(rng.integers(20, 44)))
+        span = str(rng.choice([hexes, hexes, mixed_])) + "7a3"
+        named = str(rng.choice(["token", "secret", "api_key", "apikey", "access_key", "password", "auth token", "client_secret", "API key", "SECRET_KEY"]))
+        before = named + [' = "', ": ", "=", " = '"][way]
+        return before + span + ['"', "", "", "'"][way], [(len(before), 4, len(before) + len(span))]
+    else:
+        digest = of("0123456789abcdef", int(rng.choice([32, 40, 64])))
+        other = [num(int(rng.integers(1, 9))), f"{num(4)}-{num(2)}-{num(2)}", f"version {num(1)}.{num(1)}.{num(1)}", f"{num(3)}abc{num(5)}f{num(3)}e", f"commit {digest}", f"sha1 {digest}", f"file {digest}.txt", f"{word()} {digest}"]
+        return other[int(rng.integers(0, len(other)))], []
+    return span, [(0, kind, len(span))]
+
+
+def training_windows(texts: list[str], seed: int = 11, most: int = SAMPLE_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of character classes and tags: each text's base spans, and written passages set into it, `most` of either at most.
+
+    Which windows of a text are taken is drawn over the whole text.
+    """
     rng, xs, ys = np.random.default_rng(seed), [], []
 
     def add(text: str, spans: list[tuple[int, int, int]], near: int) -> None:
@@ -235,42 +262,91 @@ def training_windows(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.n
         ys.append(np.pad(y, (0, WINDOW - len(y))))
 
     for text in texts:
-        for m in list(_TRIGGER.finditer(text))[:200:20]:
-            lo = max(0, m.start() - 2 * WINDOW)
-            part = text[lo : m.start() + 2 * WINDOW]
-            add(part, base_spans(part), m.start() - lo)
-        for _ in range(4):
+        spans = base_spans(text)
+        # Words with a digit or a sign that no base span holds may be secrets, so no window teaches what they are.
+        unsure = [m.span() for m in _SECRET.finditer(text) if any("0" <= c <= "9" for c in m.group()) and all(e <= m.start() or m.end() <= s for s, _, e in spans)]
+        triggers = [m.start() for m in _TRIGGER.finditer(text)]
+        for at in sorted(rng.choice(len(triggers), min(most, len(triggers)), replace=False).tolist()) if triggers else []:
+            near = triggers[at]
+            lo, hi = max(0, near - WINDOW), near + WINDOW
+            if all(e <= lo or hi <= s for s, e in unsure):
+                add(text[lo:hi], [(max(s, lo) - lo, k, min(e, hi) - lo) for s, k, e in spans if s < hi and lo < e], near - lo)
+        for _ in range(most):
             lo = int(rng.integers(0, max(1, len(text) - 2 * WINDOW)))
             part = text[lo : lo + 2 * WINDOW]
             cut = next((i + 1 for i in range(len(part) // 2, len(part)) if part[i] in " \n"), len(part))
-            written, kind = variants(rng)
-            spans = base_spans(part[:cut])
-            if kind >= 0:
-                spans.append((cut, kind, cut + len(written)))
-            add(part[:cut] + written + " " + part[cut:], spans, cut)
-    return np.array(xs).reshape(-1, WINDOW), np.array(ys).reshape(-1, WINDOW)
+            if any(s < lo + len(part) and lo < e for s, e in unsure):
+                continue
+            written, own = variants(rng)
+            add(part[:cut] + written + " " + part[cut:], [*base_spans(part[:cut]), *((cut + s, k, cut + e) for s, k, e in own)], cut)
+    return np.array(xs, dtype=np.int64).reshape(-1, WINDOW), np.array(ys, dtype=np.int64).reshape(-1, WINDOW)
 
 
 def fit_tagger(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
-    """A tagger fitted on at most `sample` documents with a digit or an @, chosen by a hash of their text."""
-    rows = docs.where(F.col("text").rlike(TRIGGER)).orderBy(F.xxhash64("text"), "text").limit(sample).select(F.substring("text", 1, 20000).alias("text")).collect()
+    """A tagger fitted on windows of at most `sample` texts with a digit or an @, those of the least hashes.
+
+    Only hashes and windows come to the driver, SAMPLE_WINDOWS of either sort for a text at most, and the texts stay
+    on the executors. Rows of equal texts count once.
+    """
+    hashed = docs.where(F.col("text").rlike(TRIGGER)).select("text", F.xxhash64("text").alias("h"))
+    known = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    cut = known[-1] if known else -(2**63)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if h not in seen:
+                    seen.add(h)
+                    x, y = training_windows([text.as_py()], seed=h & (2**63 - 1))
+                    yield pa.RecordBatch.from_arrays([pa.array([h], pa.int64()), pa.array([x.astype(np.int8).tobytes()], pa.binary()), pa.array([y.astype(np.int8).tobytes()], pa.binary())], names=["h", "x", "y"])
+
+    rows = map_texts(hashed.where(F.col("h") <= cut).select("h", "text"), run, "h bigint, x binary, y binary").dropDuplicates(["h"]).toPandas().sort_values("h")
     tagger = Tagger()
-    x, y = training_windows([r.text for r in rows] or ["no text has a trigger here, so the tagger learns written spans only. " * 9] * 50)
+    if len(rows):
+        x, y = (np.frombuffer(b"".join(rows[c]), dtype=np.int8).astype(np.int64).reshape(-1, WINDOW) for c in "xy")
+    if not len(rows) or not len(x):
+        x, y = training_windows(["no text has a trigger here, so the tagger learns written spans only. " * 9] * 50)
     tagger.fit(x, y)
     return tagger
 
 
+def regions(text: str) -> list[tuple[int, int]]:
+    """What of a text is tagged: the unbroken words around each digit, @ or (at), one space over, and MARGIN characters on."""
+    out: list[list[int]] = []
+    for m in _TRIGGER.finditer(text):
+        if out and m.end() + MARGIN <= out[-1][1]:
+            continue  # the words around it are already in
+        lo, hi, least = m.start(), m.end(), out[-1][1] if out else 0
+        for _ in range(2):  # the word, and the next one
+            lo -= lo > least and text[lo - 1] == " "
+            while lo > least and text[lo - 1] in _INSIDE:
+                lo -= 1
+            hi += hi < len(text) and text[hi] == " "
+            while hi < len(text) and text[hi] in _INSIDE:
+                hi += 1
+        lo, hi = max(least, lo - MARGIN), min(len(text), hi + MARGIN)
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(hi, out[-1][1])
+        else:
+            out.append([lo, hi])
+    return [(a, b) for a, b in out]
+
+
 def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """Spans (start, kind, end) that the tagger proposes for each text, windows reconciled, and that pass their check."""
     margin, windows = (WINDOW - CORE) // 2, []
     for number, text in enumerate(texts):
-        until = -1
-        for m in _TRIGGER.finditer(text):
-            # Cores cover everything within a core's half of a trigger.
-            while until < min(len(text), m.end() + CORE // 2):
-                core = max(until, m.start() - CORE // 2, 0)
-                windows.append((number, core))
+        until = 0
+        for lo, hi in regions(text):
+            core = max(lo, until)
+            while core < hi:  # a core ends before a word rather than in it
                 until = core + CORE
+                while until > core + CORE // 4 and until < len(text) and text[until - 1] in _INSIDE:
+                    until -= 1
+                until = until if until > core + CORE // 4 else core + CORE
+                windows.append((number, core, until))
+                core = until
     if not windows:
         return [[] for _ in texts]
     coded = {n: np.pad(classes(texts[n]), (margin, WINDOW), constant_values=CLASSES - 1) for n in {w[0] for w in windows}}
@@ -282,9 +358,9 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
         if open_span:
             number, start, kind, end = open_span
             text = texts[number]
-            while end > start and text[end - 1] in " \n,;:.-[":
+            while end > start and text[end - 1] in " \n,;:.-[\"'":
                 end -= 1
-            while start < end and text[start] in " \n,;:.-])":
+            while start < end and text[start] in " \n,;:.-])=\"'":
                 start += 1
             if plausible(kind, text[start:end]):
                 out[number].append((start, kind, end))
@@ -292,11 +368,12 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
 
     for first in range(0, len(windows), 1024):
         part = windows[first : first + 1024]
-        tags = tagger.decode(np.stack([coded[n][c : c + WINDOW] for n, c in part]))[:, margin : margin + CORE]
-        for (number, core), row in zip(part, tags):
+        tags = tagger.decode(np.stack([coded[n][c : c + WINDOW] for n, c, _ in part]))[:, margin : margin + CORE]
+        for (number, core, until), row in zip(part, tags):
+            row = row[: until - core]
             if open_span and (open_span[0] != number or open_span[3] != core):
                 close()
-            for i in np.flatnonzero(row) if not open_span else range(CORE):
+            for i in np.flatnonzero(row) if not open_span else range(len(row)):
                 tag, at = int(row[i]), core + int(i)
                 if at >= len(texts[number]):
                     continue
@@ -311,16 +388,17 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
 def find_pii(docs: DataFrame, tagger: Tagger, key: str = "doc_id") -> DataFrame:
     """docs(key, text) -> key, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    Counts and the digest are of the base spans; spans lists kind:start:end of all, by start, then kind. Offsets are code points.
+    Counts and the digest are of the base spans; spans lists kind:start:end of all, by start, then kind (secret last). Offsets are
+    code points.
     Tagger spans that overlap a base span or an earlier one are dropped. Null and empty texts have none. Repeated rows
     and null keys are rows; other columns are ignored.
     """
     kind = docs.schema[key].dataType.simpleString()
     listed = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
-    names = [f"n_{k}" for k in KINDS] + ["base_sha256", "spans"]
+    names = [f"n_{k}" for k in BASE] + ["base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = ((0,) * len(KINDS)) + (hashlib.sha256(b"").hexdigest(), "")
+        none = ((0,) * len(BASE)) + (hashlib.sha256(b"").hexdigest(), "")
         for batch in batches:
             rows = [none] * batch.num_rows
             hot = np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring_regex(batch.column(1), TRIGGER), False)))
@@ -334,12 +412,12 @@ def find_pii(docs: DataFrame, tagger: Tagger, key: str = "doc_id") -> DataFrame:
                         if all(b <= c or d <= a for c, d in taken):
                             spans.append((a, k, b))
                             taken.append((a, b))
-                    counts = tuple(sum(k == j for _, k, _ in base) for j in range(len(KINDS)))
+                    counts = tuple(sum(k == j for _, k, _ in base) for j in range(len(BASE)))
                     rows[i] = (*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(spans)))
-            columns = [pa.array([r[i] for r in rows], pa.int64() if i < len(KINDS) else pa.string()) for i in range(len(names))]
+            columns = [pa.array([r[i] for r in rows], pa.int64() if i < len(BASE) else pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["key", *names])
 
-    counts = ", ".join(f"{n} bigint" for n in names[: len(KINDS)])
+    counts = ", ".join(f"{n} bigint" for n in names[: len(BASE)])
     return map_texts(docs.select(key, "text"), run, f"key {kind}, {counts}, base_sha256 string, spans string").withColumnRenamed("key", key)
 
 
