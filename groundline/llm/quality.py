@@ -1,15 +1,16 @@
 """Quality classifier by co-training (Blum and Mitchell, 1998): two views teach each other.
 
 One view sees the text (statistics of its characters, words and lines), the other the page's metadata (source, language,
-length). Both are logistic regressions fitted in numpy on a bounded sample of labelled rows. Over rounds each view
-labels the unlabelled pool's rows that it is most sure of, in the labels' own proportion, and these join the other's
-training rows. Each view is then calibrated on held-out labelled rows (Platt scaling), the calibrated views
-are combined by a last logistic regression, and every document is scored on Spark.
+length and their pairs). Both are logistic regressions in numpy, first fitted on a bounded sample of labelled rows. In each round Spark
+scores all documents by both views, and the rows that a view is surest of, of either class and in bounded number, join
+the other's training rows, where that view has been right about such rows on held-out labels. Then each view is calibrated on
+held-out labelled rows (Platt scaling), the calibrated views are combined by a last logistic regression on other held-out rows,
+and every document is scored on Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, spool, table
 from .text_hash import ALNUM, SPACED, slices, word_hashes
 
-#: Labelled rows and pool rows that fitting sees at most; rounds; pool rows that a view labels in a round, as a share.
-LABELLED, POOL, ROUNDS, SHARE = 6000, 6000, 4, 0.08
+#: Labelled rows that fitting sees at most; rounds; rows that a view teaches in a round at most; held-out precision that it needs for that.
+LABELLED, ROUNDS, TAUGHT, SURE = 6000, 3, 400, 0.8
 _KIND = np.array([0 if c in (9, 10, 11, 12, 13, 32) else 1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c >= 128 else 6 if c in b".,;:'\"-?" else 5 for c in range(256)], dtype=np.uint8)
-TEXT_FEATURES, SOURCES = 20, 64
+TEXT_FEATURES, SOURCES, PAIRS = 20, 64, 128
 
 
 def text_features(texts: list[bytes]) -> np.ndarray:
@@ -59,11 +60,12 @@ def text_features(texts: list[bytes]) -> np.ndarray:
 
 
 def metadata_features(source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> np.ndarray:
-    """Hashed one-hot source and language, and the given length on several scales."""
+    """Hashed one-hot source, language and source with language, and the given length on several scales. Documents have no address."""
     code = lambda s, m: (pd.util.hash_array(s.fillna("").astype(str).to_numpy(dtype=object)) % np.uint64(m)).astype(np.int64)
     log = np.log1p(np.maximum(pd.to_numeric(n_chars).fillna(0).to_numpy(dtype=np.float64), 0))
     bins = np.clip((log * 1.5).astype(np.int64), 0, 23)
-    return np.concatenate([np.eye(SOURCES)[code(source, SOURCES)], np.eye(16)[code(lang, 16)], np.eye(24)[bins], (log / 10)[:, None]], axis=1)
+    pair = source.fillna("").astype(str) + "\t" + lang.fillna("").astype(str)
+    return np.concatenate([np.eye(SOURCES)[code(source, SOURCES)], np.eye(16)[code(lang, 16)], np.eye(PAIRS)[code(pair, PAIRS)], np.eye(24)[bins], (log / 10)[:, None]], axis=1)
 
 
 @dataclass
@@ -116,89 +118,135 @@ class CoTrained:
         return probability(self.last.logit(self.logits(text, meta)))
 
 
-def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, share: float = SHARE) -> CoTrained:
-    """Views of the labelled rows and of the pool -> the combined classifier. A fifth of the labelled rows calibrates."""
-    held = np.arange(len(y)) % 5 == 0 if len(y) >= 20 else np.ones(len(y), dtype=bool)
-    fit = ~held if len(y) >= 20 else held
-    xs, ys = [[v[fit]] for v in labelled], [[y[fit]], [y[fit]]]
-    make = lambda: (Logistic(squares=True), Logistic())
-    views, open_rows, good = make(), np.arange(len(pool[0])), float(y[fit].mean())
-    for r in range(rounds + 1):
-        views = make()
-        for k in (0, 1):
-            views[k].fit(np.concatenate(xs[k]), np.concatenate(ys[k]))
-        if r == rounds or not len(open_rows):
-            break
-        n, gone = max(2, int(share * len(pool[0]))), []
-        for k in (0, 1):  # what a view is sure of is taught to the other
-            p = probability(views[k].logit(pool[k][open_rows]))
-            order = np.argsort(p, kind="stable")
-            low, high = order[: max(1, int(n * (1 - good)))], order[::-1][: max(1, int(n * good))]
-            low, high = low[p[low] < 0.2], high[p[high] > 0.8]
-            rows = open_rows[np.concatenate([low, high])]
-            xs[1 - k].append(pool[1 - k][rows])
-            ys[1 - k].append(np.concatenate([np.zeros(len(low)), np.ones(len(high))]))
-            gone.append(rows)
-        open_rows = np.setdiff1d(open_rows, np.concatenate(gone))
-    scales = tuple(Logistic(ridge=1e-2).fit(v.logit(x[held])[:, None], y[held]) for v, x in zip(views, labelled))
-    model = CoTrained(views, scales, Logistic())
-    model.last = Logistic(ridge=1e-1).fit(model.logits(labelled[0][held], labelled[1][held]), y[held])
-    return model
+def surest(p: np.ndarray, y: np.ndarray, good: bool, precision: float = SURE) -> float:
+    """The least sureness at which held-out rows (probabilities p, labels y) are of the class good or bad with `precision`.
+
+    A class that is common anyway needs more: half of the way from its share to certainty. Infinite where there is none.
+    """
+    sure, right = (p, y > 0.5) if good else (1 - p, y < 0.5)
+    need = max(precision, (1 + right.mean()) / 2)
+    order = np.argsort(-sure, kind="stable")
+    held = np.cumsum(right[order]) / np.arange(1, len(y) + 1)
+    ok = np.flatnonzero((held >= need) & (np.arange(len(y)) >= min(9, len(y) - 1)))
+    return float(sure[order][ok[-1]]) if len(ok) else float("inf")
+
 
+class CoTraining:
+    """Training rows of both views. Of five labelled rows three fit the views, one calibrates them, one combines them."""
 
-def _sample(docs: DataFrame, rows: int) -> DataFrame:
-    """About `rows` rows, at most twice as many, by a hash of their content."""
-    total = docs.count()
-    share = min(1.0, rows / max(total, 1))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", "source", "n_chars"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    return picked.limit(2 * rows)
+    def __init__(self, labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray):
+        part = np.arange(len(y)) % 5 if len(y) >= 20 else np.full(len(y), -1)
+        pick = lambda n: (part == n) if len(y) >= 20 else np.ones(len(y), dtype=bool)
+        fit = part < 3 if len(y) >= 20 else pick(0)
+        self.scale, self.join, self.labelled, self.y = pick(3), pick(4), labelled, y
+        self.xs, self.ys = [[v[fit]] for v in labelled], [[y[fit]], [y[fit]]]
+        self.refit()
 
+    def refit(self) -> None:
+        self.views = tuple(view.fit(np.concatenate(x), np.concatenate(y)) for view, x, y in zip((Logistic(squares=True), Logistic()), self.xs, self.ys))
 
-_FEATURES = "text_view array<double>, meta_view array<double>"
+    def bars(self) -> list[tuple[float, float]]:
+        """For each view how sure it must be of bad and of good rows to teach them."""
+        held = self.scale | self.join
+        return [tuple(surest(probability(v.logit(x[held])), self.y[held], good) for good in (False, True)) for v, x in zip(self.views, self.labelled)]
 
+    def teach(self, view: int, rows: np.ndarray, label: float) -> None:
+        """rows, in the other view's features, which `view` is sure of."""
+        self.xs[1 - view].append(rows)
+        self.ys[1 - view].append(np.full(len(rows), label))
 
-def _featured(docs: DataFrame, extra: str = "") -> DataFrame:
-    """docs(text, source, lang, n_chars, quality) -> both views and quality."""
+    def finish(self) -> CoTrained:
+        scales = tuple(Logistic(ridge=1e-2).fit(v.logit(x[self.scale])[:, None], self.y[self.scale]) for v, x in zip(self.views, self.labelled))
+        model = CoTrained(self.views, scales, Logistic())
+        model.last = Logistic(ridge=1e-1).fit(model.logits(*(x[self.join] for x in self.labelled)), self.y[self.join])
+        return model
+
+
+_FEATURES = "text_view array<double>, source string, lang string, n_chars bigint"
+
+
+def text_views(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """docs(keys, text, source, lang, n_chars) -> the same with text_view, the text's features, for text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, meta = _views(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(text.tolist(), pa.list_(pa.float64())), pa.array(meta.tolist(), pa.list_(pa.float64())), batch.column("quality").cast(pa.float64())], names=["text_view", "meta_view", "quality"])
+            columns = [*(batch.column(k) for k in keys), pa.array(_text_features(batch).tolist(), pa.list_(pa.float64())), batch.column("source").cast(pa.string()), batch.column("lang").cast(pa.string()), batch.column("n_chars").cast(pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "text_view", "source", "lang", "n_chars"])
 
-    return map_texts(docs.select("text", "source", "lang", "n_chars", F.col("quality").cast("double").alias("quality")), run, f"{_FEATURES}, quality double")
+    fields = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keys)
+    return map_texts(docs.select(*keys, "text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")), run, fields + _FEATURES)
 
 
-def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _text_features(batch: pa.RecordBatch) -> np.ndarray:
     text = [text_features(texts) for _, texts in slices(batch.column("text"))]
-    meta = metadata_features(*(batch.column(c).to_pandas() for c in ("source", "lang", "n_chars")))
-    return (np.concatenate(text) if text else np.zeros((0, TEXT_FEATURES))), meta
+    return np.concatenate(text) if text else np.zeros((0, TEXT_FEATURES))
 
 
-def _fixed_order(rows: pd.DataFrame) -> np.ndarray:
-    """An order by content, the same however the rows arrive."""
-    return np.lexsort((rows["quality"], rows["meta_view"].map(lambda v: hash(tuple(v))), rows["text_view"].map(lambda v: hash(tuple(v)))))
+def _both(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    text = np.array(rows["text_view"].tolist(), dtype=np.float64).reshape(-1, TEXT_FEATURES)
+    return text, metadata_features(rows["source"], rows["lang"], rows["n_chars"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained | None:
-    """The classifier from at most `labelled` labelled rows (labels: doc_id, quality 0 or 1) and a pool of about `pool` documents.
+def _sure_rows(pool: DataFrame, views: tuple[Logistic, Logistic], bars: list[tuple[float, float]], taught: DataFrame, rows: int) -> pd.DataFrame:
+    """(view, good, id and features) of at most `rows` rows for each view and class that are surest, bars met and not yet taught."""
 
-    Labels of null ids or values, and of ids that no document has, are not used; repeated labels count once each (least
-    quality). None where fewer than two labelled rows or only one class remain.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, (view, x) in enumerate(zip(views, _both(batch))):
+                p = probability(view.logit(x))
+                for good, sure in enumerate((1 - p, p)):
+                    ok = sure >= bars[k][good]
+                    yield pd.DataFrame({"view": np.full(ok.sum(), k), "good": np.full(ok.sum(), good), "sure": sure[ok], "id": batch["id"].to_numpy()[ok]})
+
+    # Rows of equal content have one id. Sureness in steps of a thousandth, then the id, which is a hash.
+    found = pool.mapInPandas(run, "view int, good int, sure double, id long").groupBy("view", "good", "id").agg(F.max("sure").alias("sure"))
+    found = spool(found.join(F.broadcast(taught), "id", "left_anti"), "sure")
+    best = [found.where(f"view = {k} and good = {g}").orderBy(F.desc(F.floor(F.col("sure") * 1000)), "id").limit(rows).select("view", "good", "id") for k in (0, 1) for g in (0, 1)]
+    chosen = spool(best[0].unionAll(best[1]).unionAll(best[2]).unionAll(best[3]), "chosen")
+    # At most 4 * rows rows of three numbers.
+    return pool.join(F.broadcast(chosen), "id").dropDuplicates(["view", "good", "id"]).toPandas().sort_values(["view", "good", "id"])
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, taught: int = TAUGHT) -> CoTrained | None:
+    """The classifier from at most `labelled` labelled rows (labels: doc_id, quality 0 or 1) and all documents.
+
+    Every document may be taught in each of the `rounds`; at most 4 * `taught` rows a round join the training rows. Labels of null ids or
+    values, and of ids that no document has, are not used; repeated labels count once each (least quality); of repeated
+    doc_ids the row of the least hash counts. None where fewer than two labelled rows or only one class remain.
     """
+    pool = docs.select(F.xxhash64("text", "source", "lang", "n_chars").alias("id"), "doc_id", "text", "source", "lang", "n_chars")
+    pool = spool(text_views(pool, ["id", "doc_id"]), "views")
+    return _fitted(pool, labels, labelled, rounds, taught)
+
+
+def _fitted(pool: DataFrame, labels: DataFrame, labelled: int, rounds: int, taught: int) -> CoTrained | None:
+    """fit_quality from pool(id, doc_id, text_view, source, lang, n_chars)."""
     named = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    documents = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    # At most `labelled` rows of two numbers, so this side is bounded.
-    known = _featured(documents.join(F.broadcast(named), "doc_id").limit(2 * labelled)).toPandas()
+    named = spool(named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "labelled")
+    # At most `labelled` rows of two numbers, so this side is bounded; a row for each comes back.
+    known = pool.join(F.broadcast(named), "doc_id")
+    least = known.groupBy("doc_id").agg(F.min("id").alias("id"))
+    known = known.join(least, ["doc_id", "id"]).dropDuplicates(["doc_id"]).toPandas().sort_values(["id", "doc_id"])
     y = known["quality"].to_numpy(dtype=float)
     if len(y) < 2 or len(set(y)) < 2:
         return None
-    order = _fixed_order(known)
-    views = tuple(np.stack(known[c].to_numpy())[order] for c in ("text_view", "meta_view"))
-    free = _featured(_sample(documents, pool).withColumn("quality", F.lit(0.0))).toPandas()
-    free = free.iloc[_fixed_order(free)]
-    extra = tuple(np.stack(free[c].to_numpy()) if len(free) else np.zeros((0, v.shape[1])) for c, v in zip(("text_view", "meta_view"), views))
-    return co_train(views, y[order], extra)
+    training, done = CoTraining(_both(known), y), {int(i) for i in known["id"]}
+    for _ in range(rounds):
+        bars = training.bars()
+        if not np.isfinite(bars).any():
+            break
+        ids = pool.sparkSession.createDataFrame([(i,) for i in sorted(done)], "id long")
+        rows = _sure_rows(pool, training.views, bars, ids, taught)
+        if not len(rows):
+            break
+        features = _both(rows)
+        for k in (0, 1):
+            for good in (0, 1):
+                own = ((rows["view"] == k) & (rows["good"] == good)).to_numpy()
+                training.teach(k, features[1 - k][own], float(good))
+        done |= {int(i) for i in rows["id"]}
+        training.refit()
+    return training.finish()
 
 
 SCORES = ("content_score", "metadata_score", "score")
@@ -216,20 +264,31 @@ def score_quality(docs: DataFrame, model: CoTrained | None, whole: bool = False,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if model is None:
-                out = [np.full(batch.num_rows, 0.5)] * 3
-            else:
-                text, meta = _views(batch)
-                both = probability(model.logits(text, meta))
-                out = [both[:, 0], both[:, 1], model.score(text, meta)]
+            out = _scores(model, lambda: (_text_features(batch), metadata_features(*(batch.column(c).to_pandas() for c in ("source", "lang", "n_chars")))), batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(o) for o in out)], names=[*kept, *scores])
 
     fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{c} double" for c in scores)])
-    return map_texts(docs.select(*inner), run, fields)
+    return map_texts(docs.select(*[F.col(f"`{c}`") for c in inner]), run, fields)
+
+
+def _scores(model: CoTrained | None, views: Callable[[], tuple[np.ndarray, np.ndarray]], rows: int) -> list[np.ndarray]:
+    if model is None:
+        return [np.full(rows, 0.5)] * 3
+    text, meta = views()
+    both = probability(model.logits(text, meta))
+    return [both[:, 0], both[:, 1], model.score(text, meta)]
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
     """doc_id, both calibrated views, score and keep (score of at least a half) of every document."""
-    docs = table(spark, sf_dir, "documents")
-    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    # Texts are read once: the rows that are scored are those that the fit has seen.
+    pool = spool(text_views(docs.withColumn("id", F.xxhash64("text", "source", "lang", "n_chars")), ["id", "doc_id"]), "views")
+    model = _fitted(pool, table(spark, sf_dir, "labels"), LABELLED, ROUNDS, TAUGHT)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], **dict(zip(SCORES, _scores(model, lambda: _both(batch), len(batch))))})
+
+    scored = pool.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, content_score double, metadata_score double, score double")
     return scored.withColumn("keep", F.col("score") >= 0.5)

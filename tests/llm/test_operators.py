@@ -538,6 +538,37 @@ def test_quality_held_out_accuracy(spark, empty):
     assert quality.fit_quality(df, labels.where("doc_id < 0")) is None and quality.score_quality(odd, None).first().score == 0.5
 
 
+def test_quality_views_teach_each_other(spark, monkeypatch):
+    """Metadata that tells quality, and few labels: each view and the exchange change the scores, for the better on the whole."""
+    rng = random.Random(16)
+    made = []
+    for i in range(3000):
+        bad = rng.random() < 0.3
+        text = junk(rng) if bad != (rng.random() < 0.15) else words(rng, rng.randrange(20, 90))
+        made.append((i, text, "en", f"src{rng.randrange(10) + 10 * (bad != (rng.random() < 0.1))}", 5, int(not bad)))
+    df = spark.createDataFrame([r[:5] for r in made], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(r[0], r[5]) for r in made[:150]], "doc_id long, quality int")
+    truth = np.array([r[5] for r in made[150:]])
+
+    def scores(model):
+        rows = {r.doc_id: (r.content_score, r.metadata_score, r.score) for r in quality.score_quality(df, model).collect()}
+        return np.array([rows[i] for i in range(150, 3000)])
+
+    taught = scores(quality.fit_quality(df, labels))
+    alone = scores(quality.fit_quality(df, labels, rounds=0))
+    right = lambda p: ((p >= 0.5) == truth).mean()
+    assert np.abs(taught - alone).max(0).min() > 0.05
+    # The views alone are right about 0.85 and 0.9 of the rows at best.
+    assert right(taught[:, 2]) > max(right(taught[:, 0]), right(taught[:, 1])) and right(taught[:, 2]) > 0.88
+    assert right(taught[:, 1]) > right(alone[:, 1]) - 0.01 and right(taught[:, 2]) >= right(alone[:, 2]) - 0.005
+
+
+def test_sureness_needs_held_out_precision():
+    y = np.array([0, 1] * 50)
+    assert quality.surest(np.full(100, 0.9), y, True) == np.inf
+    assert quality.surest(np.linspace(0, 1, 100), (np.arange(100) >= 40).astype(int), True) == 25 / 99  # 60 of 75 are right
+
+
 def test_crc_and_sizes(spark, tmp_path, rows):
     spark.createDataFrame([r for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     out = hilbert.op4_hilbert(spark, str(tmp_path)).collect()
