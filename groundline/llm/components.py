@@ -12,18 +12,18 @@ from pyspark.sql import functions as F
 from .common import spool
 
 
-#: Nodes with at least this many links, and this share of all links, are hubs. Links have two ends, so at most 2 / HUB_SHARE
+#: Nodes with at least this many links, and this share of all links' ends, are hubs. So at most 1 / HUB_SHARE
 #: nodes are hubs, however many links there are, and a broadcast of them is bounded.
 HUB_LINKS, HUB_SHARE = 256, 1 / 5000
 
 
-def _starred(directed: DataFrame, links: int) -> DataFrame:
-    """(u, v, m): each link with the least node next to u, u itself included. A hub's links stay where they are."""
+def _starred(directed: DataFrame, most: int | None = None) -> DataFrame:
+    """(u, v, m): each link with the least node next to u, u itself included. Links of nodes with `most` or more stay where they are."""
     least = directed.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
-    most = max(HUB_LINKS, int(links * HUB_SHARE))
-    hubs = F.broadcast(least.where(F.col("n") >= most).select("u", "m"))
-    rest = least.where(F.col("n") < most).select("u", "m")
-    return directed.join(hubs, "u").unionAll(directed.join(hubs, "u", "left_anti").join(rest, "u"))
+    if most is None:
+        return directed.join(least.drop("n"), "u")
+    hubs = F.broadcast(least.where(F.col("n") >= most).drop("n"))
+    return directed.join(hubs, "u").unionAll(directed.join(hubs, "u", "left_anti").join(least.where(F.col("n") < most).drop("n"), "u"))
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -33,20 +33,24 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = links.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = spool(edges, "links")
-    digest = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    seen = digest(edges)
+
+    def summed(both: DataFrame):
+        """Ends of links, a digest of these, and the links of the node that has the most."""
+        nodes = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
+        return nodes.agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.max("n").alias("most")).first()
+
+    seen = None
     for _ in range(most_rounds):
-        if not seen.n:
-            break
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _starred(both, seen.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _starred(large, seen.n)
-        small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).distinct()
-        edges = spool(small, "links")
-        now = digest(edges)
-        if now == seen:
+        now = summed(both)
+        if not now.n or now == seen:
             break
         seen = now
+        hub = max(HUB_LINKS, int(now.n * HUB_SHARE))
+        large = _starred(both, hub if now.most >= hub else None).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _starred(large)
+        small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).distinct()
+        edges = spool(small, "links")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

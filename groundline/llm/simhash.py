@@ -180,7 +180,7 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 4, words
 
 #: Of the shingles of about SAMPLED texts the most frequent, at most HOT, come last in the order of shingles. Any order
 #: finds the same pairs; this one keeps common lines out of the blocks.
-SAMPLED, HOT = 20000, 1 << 15
+SAMPLED, HOT = 4000, 1 << 15
 #: Entries of a shared shingle prefer one of as many centres.
 CENTRES = 4
 
@@ -255,7 +255,7 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """
     every = -(-docs.count() // SAMPLED)
     sample = docs.where(F.pmod(F.xxhash64("text_key"), F.lit(max(1, every))) == 0)
-    counted = shingle_sets(sample, shingle).dropDuplicates(["text_key"]).select(F.explode("shingles").alias("h")).groupBy("h").count().where("count >= 8")
+    counted = shingle_sets(sample, shingle).dropDuplicates(["text_key"]).select(F.explode("shingles").alias("h")).groupBy("h").count().where("count >= 4")
     hot = np.array(sorted((r.h, r["count"]) for r in counted.orderBy(F.desc("count"), "h").limit(HOT).collect()), dtype=np.int64).reshape(-1, 2)
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
