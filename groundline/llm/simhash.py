@@ -246,12 +246,32 @@ def shingle_sets(docs: DataFrame, shingle: int, key: str = "text_key", wanted: C
     return map_texts(docs.select(key, "text"), run, f"{key} {docs.schema[key].dataType.simpleString()}, shingles array<bigint>")
 
 
+def parities(h: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit words, their number for each owner): which of an owner's classes hold an odd number of its n shingles h. Owners ascend."""
+    words = np.maximum(4, 1 << np.ceil(np.log2(np.maximum(4 * n, 1)) - 6 - 1e-9).clip(0).astype(np.int64))
+    first = np.cumsum(words) - words
+    place = (first * 64)[owner] + (h & (64 * words[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * int(words.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64), words
+
+
+def gaps(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """In how many classes the parities of each of the first and each of the second differ; of unequal lengths the longer is folded."""
+    words = min(len(x) for x in [*first, *second])
+
+    def folded(rows: list[np.ndarray]) -> np.ndarray:
+        return np.stack([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in rows])
+
+    a, b = folded(first), folded(second)
+    return sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.int32) for w in range(words))
+
+
 def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """docs(text_key, text), distinct or not -> (id, n, bits, wide, prefix), a row for each distinct text.
+    """docs(text_key, text), distinct or not -> (id, n, bits, prefix), a row for each distinct text.
 
     n is the number of distinct shingles. prefix is the first n - ceil(similarity * n) + 1 of them in one order for all
-    texts: two texts that are alike share one of these. bits are the parities of the shingles in 256 classes, wide those in
-    2048: two sets differ in at least as many shingles as their bits differ.
+    texts: two texts that are alike share one of these. bits are the parities of the shingles in 4 to 8 classes a shingle
+    (a power of two of them, 256 at least): two sets differ in at least as many shingles as their bits differ.
     """
     every = -(-docs.count() // SAMPLED)
     sample = docs.where(F.pmod(F.xxhash64("text_key"), F.lit(max(1, every))) == 0)
@@ -267,9 +287,7 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             for first, texts in slices(batch.column(1)):
                 h, owner = shingle_sets_of(texts, shingle)
                 n = np.bincount(owner, minlength=len(texts))
-                odd = (np.bincount(owner * 2048 + (h & np.uint64(2047)).astype(np.int64), minlength=2048 * len(texts)) & 1).astype(np.uint8)
-                wide = np.packbits(odd.reshape(-1, 2048), axis=1).view(np.int64).reshape(-1, 32)
-                bits = np.bitwise_xor.reduce(wide.reshape(-1, 8, 4), axis=1)
+                bits, sizes = parities(h, owner, n)
                 rank = np.zeros(len(h), dtype=np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h.view(np.int64)), len(known) - 1)
@@ -277,11 +295,10 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 order = np.lexsort((h.view(np.int64), rank, owner))
                 place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 front = place < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[owner]
-                own = np.arange(len(texts))
-                columns = [pa.array(n, pa.int32()), _rows_of(bits.ravel(), own.repeat(4), len(texts)), _rows_of(wide.ravel(), own.repeat(32), len(texts)), _rows_of(h[order][front], owner[front], len(texts))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *columns], names=["text_key", "n", "bits", "wide", "prefix"])
+                columns = [pa.array(n, pa.int32()), _rows_of(bits, np.repeat(np.arange(len(texts)), sizes), len(texts)), _rows_of(h[order][front], owner[front], len(texts))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *columns], names=["text_key", "n", "bits", "prefix"])
 
-    rows = map_texts(docs.select("text_key", "text"), run, "text_key binary, n int, bits array<bigint>, wide array<bigint>, prefix array<bigint>")
+    rows = map_texts(docs.select("text_key", "text"), run, "text_key binary, n int, bits array<bigint>, prefix array<bigint>")
     return rows.dropDuplicates(["text_key"]).withColumn("id", F.xxhash64("text_key"))
 
 
@@ -308,7 +325,7 @@ def _shared(texts: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
-    """entries(slot, tiles, id, n, bits, root) -> pairs (a, b) of one slot and two roots that sizes and bits let be alike.
+    """entries(slot, tiles, id, n, bits, root) -> pairs (a, b, cell) of one slot and two roots that sizes and bits let be alike.
 
     All pairs are looked at. A slot of more than BLOCK entries is dealt into `tiles`, each pair of which is one cell.
     """
@@ -316,55 +333,94 @@ def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.asarray(batch.column(0).value_lengths())
-            ids, n, bits, root, tile = batch.column(0).flatten().flatten()
-            ids, n, root, tile = (np.asarray(x) for x in (ids, n, root, tile))
-            bits = np.asarray(bits.flatten()).view(np.uint64).reshape(-1, 4)
+            sizes, cells = np.asarray(batch.column(1).value_lengths()), np.asarray(batch.column(0))
+            fields = batch.column(1).flatten()
+            ids, n, root, tile = (np.asarray(fields.field(c)) for c in ("id", "n", "root", "tile"))
+            lists = fields.field("bits")
+            flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()))))
             at, found = 0, []
-            for size in sizes.tolist():
-                own = at + np.argsort(tile[at : at + size], kind="stable")
+            for cell, size in zip(cells.tolist(), sizes.tolist()):
+                own = np.arange(at, at + size)
                 at += size
-                first = own[tile[own] == tile[own[0]]]
-                second = own[len(first) :] if len(first) < size else first
-                total = n[first][:, None] + n[second][None, :]
-                gap = sum(np.bitwise_count(bits[first][:, None, w] ^ bits[second][None, :, w]).astype(np.int16) for w in range(4))
-                ok = (root[first][:, None] != root[second][None, :]) & (gap <= most * total + 1e-9)
-                ok &= np.minimum(n[first][:, None], n[second][None, :]) >= similarity * np.maximum(n[first][:, None], n[second][None, :]) - 1e-9
-                i, j = np.nonzero(ok)
-                if len(i):
-                    found.append(np.stack([ids[first][i], ids[second][j]]))
+                two = tile[own].min() != tile[own].max()
+                words = np.diff(ends)[own]
+                for w in np.unique(words).tolist():  # sets that can be alike have as long parities or twice as long ones
+                    first, second = own[words == w], own[(words == w) | (words == 2 * w)]
+                    gap = gaps(*([flat[ends[i] : ends[i + 1]] for i in x.tolist()] for x in (first, second)))
+                    a, b = n[first][:, None], n[second][None, :]
+                    ok = (root[first][:, None] != root[second][None, :]) & (gap <= most * (a + b) + 1e-9) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
+                    if two:
+                        ok &= tile[first][:, None] != tile[second][None, :]
+                    i, j = np.nonzero(ok)
+                    if len(i):
+                        found.append(np.stack([ids[first][i], ids[second][j], np.full(len(i), cell)]))
             if found:
-                pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                pairs = np.concatenate(found, axis=1)
+                pairs[:2] = np.sort(pairs[:2], axis=0)
+                pairs = np.unique(pairs, axis=1)
+                new = np.ones(pairs.shape[1], dtype=bool)
+                new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(0)
+                yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in pairs], names=["a", "b", "cell"])
 
     mixed_ = entries.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("slot")
     dealt = entries.join(mixed_, "slot", "left_semi").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     dealt = dealt.select("slot", "id", "n", "bits", "root", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    cells = dealt.groupBy("slot", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).agg(F.collect_list(F.struct("id", "n", "bits", "root", "tile")).alias("e"))
+    cell = F.xxhash64("slot", F.least("tile", "other"), F.greatest("tile", "other")).alias("cell")
+    cells = dealt.groupBy(cell).agg(F.collect_list(F.struct("id", "n", "bits", "root", "tile")).alias("e"))
     cells = cells.where(F.array_min("e.root") != F.array_max("e.root"))
-    return map_texts(cells.select("e"), run, "a bigint, b bigint").distinct()
+    return map_texts(cells.select("cell", "e"), run, "a bigint, b bigint, cell bigint").groupBy("a", "b").agg(F.min("cell").alias("cell"))
 
 
-def _fitting(pairs: DataFrame, texts: DataFrame, bits: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) that sizes and the parities `bits` let be alike."""
+def _fitting(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, cell) that sizes and parities let be alike."""
     for x in "ab":
-        pairs = pairs.join(texts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col(bits).alias(f"bits_{x}")), x)
+        pairs = pairs.join(texts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
     fits = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return pairs.where(fits & (differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9)).select("a", "b")
+    # Parities of twice as many classes are folded.
+    short = lambda own, other: F.when(F.size(own) > F.size(other), F.zip_with(F.slice(own, F.lit(1), F.size(other)), F.slice(own, F.size(other) + 1, F.size(other)), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(own))
+    differ = F.aggregate(F.zip_with(short("bits_a", "bits_b"), short("bits_b", "bits_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return pairs.where(fits).where(differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9).select("a", "b", "cell")
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`."""
-    pairs = spool(_fitting(pairs, texts, "wide", similarity), "fitting")
-    wanted = spool(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "wanted")
+def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) whose components are those of the pairs (a, b, cell) with a Jaccard similarity of at least `similarity`.
+
+    The sets of a cell's texts meet once, however many pairs it has; a pair that a cell's links join already isn't compared.
+    """
+    ids = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = spool(ids.select("id").distinct(), "wanted")
     # A bitmap of fixed size keeps most other texts out of the shuffle; the join is exact.
     held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("id").alias("gram"))))
     sets = shingle_sets(docs.select(F.xxhash64("text_key").alias("id"), "text"), shingle, "id", lambda ids: in_bitmap(held.value, ids.view(np.uint64)))
     sets = spool(sets.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "shingles")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
-    shared = F.size(F.array_intersect("s", "t"))
-    return spool(both.where(shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared) - 1e-9).select("a", "b"), "alike")
+    met = ids.join(sets, "id").groupBy("cell").agg(F.collect_list(F.struct("id", "shingles")).alias("e"))
+    asked = pairs.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for entries, own in zip(batch.column(0), batch.column(1)):
+                held = entries.values
+                ids = np.asarray(held.field("id")).tolist()
+                sets = dict(zip(ids, (np.asarray(x.values) for x in held.field("shingles"))))
+                root = dict.fromkeys(ids)
+
+                def top(x: int) -> int:
+                    while root[x] is not None:
+                        x = root[x]
+                    return x
+
+                for a, b in sorted(zip(np.asarray(own.values.field("a")).tolist(), np.asarray(own.values.field("b")).tolist())):
+                    i, j = top(a), top(b)
+                    if i != j:
+                        s, t = sets[a], sets[b]
+                        shared = len(np.intersect1d(s, t, assume_unique=True))
+                        if shared >= similarity * (len(s) + len(t) - shared) - 1e-9:
+                            root[max(i, j)] = min(i, j)
+                            links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return spool(map_texts(met.join(asked, "cell").select("e", "p"), run, "a bigint, b bigint"), "alike")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -379,15 +435,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     docs = docs.select(*row_keys(), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = spool(_prefixes(docs.select("text_key", "text"), shingle, similarity), "texts")
     entries = spool(_shared(texts), "entries")
-    stars = entries.where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    stars = spool(_fitting(stars, texts, "bits", similarity), "stars")
-    links = _alike(stars, texts, docs, shingle, similarity)
+    tiles = F.ceil(F.col("m") / BLOCK)
+    cell = F.xxhash64("slot", F.pmod(F.xxhash64("id"), tiles))
+    stars = entries.where("id != centre").groupBy(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).agg(F.min(cell).alias("cell"))
+    stars = spool(_fitting(stars, texts, similarity), "stars")
+    links = _alike(stars, docs, shingle, similarity)
     roots = spool(connected_components(links), "roots")
     rooted = texts.select("id", "n", "bits").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # Two entries of one slot are a centre and its partner, so they have been compared.
-    crowded = entries.where("m > 2").select("slot", F.ceil(F.col("m") / BLOCK).alias("tiles"), "id").join(rooted, "id")
-    pairs = spool(_cross_pairs(crowded, similarity).join(stars, ["a", "b"], "left_anti"), "pairs")
-    groups = connected_components(links.unionAll(_alike(pairs, texts, docs, shingle, similarity)))
+    crowded = entries.where("m > 2").select("slot", tiles.alias("tiles"), "id").join(rooted, "id")
+    pairs = spool(_cross_pairs(crowded, similarity).join(stars, ["a", "b"], "left_anti").select("a", "b", "cell"), "pairs")
+    groups = connected_components(links.unionAll(_alike(pairs, docs, shingle, similarity)))
     rows = docs.select("row_key", "doc_id", F.xxhash64("text_key").alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left")
     rows = rows.select(F.coalesce("root", "id").alias("group"), "row_key", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key").alias("order"))
     first = rows.groupBy("group").agg(F.min("order").alias("first"))
