@@ -181,8 +181,8 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 4, words
 #: Of the shingles of about SAMPLED texts the most frequent, at most HOT, come last in the order of shingles. Any order
 #: finds the same pairs; this one keeps common lines out of the blocks.
 SAMPLED, HOT = 4000, 1 << 15
-#: Entries of a shared shingle prefer one of as many centres.
-CENTRES = 4
+#: Entries of a shared shingle prefer one of as many centres. Classes of a text's parities that go with each of its entries at most.
+CENTRES, SMALL = 4, 2048
 
 
 def shingle_sets_of(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,11 +267,12 @@ def gaps(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """docs(text_key, text), distinct or not -> (id, n, bits, prefix), a row for each distinct text.
+    """docs(text_key, text), distinct or not -> (id, n, small, bits, prefix), a row for each distinct text.
 
     n is the number of distinct shingles. prefix is the first n - ceil(similarity * n) + 1 of them in one order for all
     texts: two texts that are alike share one of these. bits are the parities of the shingles in 4 to 8 classes a shingle
-    (a power of two of them, 256 at least): two sets differ in at least as many shingles as their bits differ.
+    (a power of two of them, 256 at least): two sets differ in at least as many shingles as their bits differ. small is bits folded to
+    SMALL classes; bits are null where there are no more of them.
     """
     every = -(-docs.count() // SAMPLED)
     sample = docs.where(F.pmod(F.xxhash64("text_key"), F.lit(max(1, every))) == 0)
@@ -295,10 +296,13 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 order = np.lexsort((h.view(np.int64), rank, owner))
                 place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 front = place < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[owner]
-                columns = [pa.array(n, pa.int32()), _rows_of(bits, np.repeat(np.arange(len(texts)), sizes), len(texts)), _rows_of(h[order][front], owner[front], len(texts))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *columns], names=["text_key", "n", "bits", "prefix"])
+                own = np.split(bits, np.cumsum(sizes)[:-1])
+                small = [np.bitwise_xor.reduce(x.reshape(-1, min(len(x), SMALL // 64)), axis=0) for x in own]
+                longs = pa.list_(pa.int64())
+                columns = [pa.array(n, pa.int32()), pa.array(small, longs), pa.array([x if len(x) > SMALL // 64 else None for x in own], longs), _rows_of(h[order][front], owner[front], len(texts))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *columns], names=["text_key", "n", "small", "bits", "prefix"])
 
-    rows = map_texts(docs.select("text_key", "text"), run, "text_key binary, n int, bits array<bigint>, prefix array<bigint>")
+    rows = map_texts(docs.select("text_key", "text"), run, "text_key binary, n int, small array<bigint>, bits array<bigint>, prefix array<bigint>")
     return rows.dropDuplicates(["text_key"]).withColumn("id", F.xxhash64("text_key"))
 
 
@@ -325,7 +329,7 @@ def _shared(texts: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
-    """entries(slot, tiles, id, n, bits, root) -> pairs (a, b, cell) of one slot and two roots that sizes and bits let be alike.
+    """entries(slot, tiles, id, n, small, root) -> pairs (a, b, cell) of one slot and two roots that sizes and parities let be alike.
 
     All pairs are looked at. A slot of more than BLOCK entries is dealt into `tiles`, each pair of which is one cell.
     """
@@ -336,7 +340,7 @@ def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
             sizes, cells = np.asarray(batch.column(1).value_lengths()), np.asarray(batch.column(0))
             fields = batch.column(1).flatten()
             ids, n, root, tile = (np.asarray(fields.field(c)) for c in ("id", "n", "root", "tile"))
-            lists = fields.field("bits")
+            lists = fields.field("small")
             flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()))))
             at, found = 0, []
             for cell, size in zip(cells.tolist(), sizes.tolist()):
@@ -364,63 +368,72 @@ def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
 
     mixed_ = entries.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("slot")
     dealt = entries.join(mixed_, "slot", "left_semi").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
-    dealt = dealt.select("slot", "id", "n", "bits", "root", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("slot", "id", "n", "small", "root", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     cell = F.xxhash64("slot", F.least("tile", "other"), F.greatest("tile", "other")).alias("cell")
-    cells = dealt.groupBy(cell).agg(F.collect_list(F.struct("id", "n", "bits", "root", "tile")).alias("e"))
+    cells = dealt.groupBy(cell).agg(F.collect_list(F.struct("id", "n", "small", "root", "tile")).alias("e"))
     cells = cells.where(F.array_min("e.root") != F.array_max("e.root"))
     return map_texts(cells.select("cell", "e"), run, "a bigint, b bigint, cell bigint").groupBy("a", "b").agg(F.min("cell").alias("cell"))
 
 
-def _fitting(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b, cell) that sizes and parities let be alike."""
-    for x in "ab":
-        pairs = pairs.join(texts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
-    fits = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9
-    # Parities of twice as many classes are folded.
-    short = lambda own, other: F.when(F.size(own) > F.size(other), F.zip_with(F.slice(own, F.lit(1), F.size(other)), F.slice(own, F.size(other) + 1, F.size(other)), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(own))
-    differ = F.aggregate(F.zip_with(short("bits_a", "bits_b"), short("bits_b", "bits_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return pairs.where(fits).where(differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9).select("a", "b", "cell")
-
-
-def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) whose components are those of the pairs (a, b, cell) with a Jaccard similarity of at least `similarity`.
+def _in_cells(pairs: DataFrame, values: DataFrame, same: Callable[[tuple, tuple], bool], forest: bool) -> DataFrame:
+    """The pairs (a, b, cell) for which `same` holds of the values (id, n, x array<bigint>) of a and b.
 
-    The sets of a cell's texts meet once, however many pairs it has; a pair that a cell's links join already isn't compared.
+    The values of a cell's texts meet once, however many pairs it has. With `forest` a pair that a cell's links join already
+    is left out: the components are those of all.
     """
     ids = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = spool(ids.select("id").distinct(), "wanted")
-    # A bitmap of fixed size keeps most other texts out of the shuffle; the join is exact.
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("id").alias("gram"))))
-    sets = shingle_sets(docs.select(F.xxhash64("text_key").alias("id"), "text"), shingle, "id", lambda ids: in_bitmap(held.value, ids.view(np.uint64)))
-    sets = spool(sets.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "shingles")
-    met = ids.join(sets, "id").groupBy("cell").agg(F.collect_list(F.struct("id", "shingles")).alias("e"))
+    met = ids.join(values, "id").groupBy("cell").agg(F.collect_list(F.struct("id", "n", "x")).alias("e"))
     asked = pairs.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links = []
-            for entries, own in zip(batch.column(0), batch.column(1)):
-                held = entries.values
-                ids = np.asarray(held.field("id")).tolist()
-                sets = dict(zip(ids, (np.asarray(x.values) for x in held.field("shingles"))))
-                root = dict.fromkeys(ids)
+            found = []
+            for cell, entries, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                fields = entries.values
+                known = {i: (n, np.asarray(x.values)) for i, n, x in zip(fields.field("id").to_pylist(), fields.field("n").to_pylist(), fields.field("x"))}
+                root: dict[int, int] = {}
 
                 def top(x: int) -> int:
-                    while root[x] is not None:
+                    while x in root:
                         x = root[x]
                     return x
 
-                for a, b in sorted(zip(np.asarray(own.values.field("a")).tolist(), np.asarray(own.values.field("b")).tolist())):
-                    i, j = top(a), top(b)
-                    if i != j:
-                        s, t = sets[a], sets[b]
-                        shared = len(np.intersect1d(s, t, assume_unique=True))
-                        if shared >= similarity * (len(s) + len(t) - shared) - 1e-9:
+                for a, b in sorted(zip(own.values.field("a").to_pylist(), own.values.field("b").to_pylist())):
+                    i, j = (top(a), top(b)) if forest else (0, 1)
+                    if i != j and same(known[a], known[b]):
+                        found.append((a, b, cell))
+                        if forest:
                             root[max(i, j)] = min(i, j)
-                            links.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], names=["a", "b", "cell"])
+
+    return map_texts(met.join(asked, "cell").select("cell", "e", "p"), run, "a bigint, b bigint, cell bigint")
+
+
+def _fitting(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, cell) that sizes and all parities let be alike."""
+    most = (1 - similarity) / (1 + similarity)
+
+    def fits(a: tuple, b: tuple) -> bool:
+        if min(a[0], b[0]) < similarity * max(a[0], b[0]) - 1e-9:
+            return False
+        return bool(gaps([a[1].view(np.uint64)], [b[1].view(np.uint64)])[0, 0] <= most * (a[0] + b[0]) + 1e-9)
+
+    return _in_cells(pairs, texts.select("id", "n", F.coalesce("bits", "small").alias("x")), fits, False)
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) whose components are those of the pairs (a, b, cell) with a Jaccard similarity of at least `similarity`."""
+    wanted = spool(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    # A bitmap of fixed size keeps most other texts out of the shuffle; the join is exact.
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("id").alias("gram"))))
+    sets = shingle_sets(docs.select(F.xxhash64("text_key").alias("id"), "text"), shingle, "id", lambda ids: in_bitmap(held.value, ids.view(np.uint64)))
+    sets = sets.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", F.size("shingles").alias("n"), F.col("shingles").alias("x"))
+
+    def alike(a: tuple, b: tuple) -> bool:
+        shared = len(np.intersect1d(a[1], b[1], assume_unique=True))
+        return shared >= similarity * (a[0] + b[0] - shared) - 1e-9
 
-    return spool(map_texts(met.join(asked, "cell").select("e", "p"), run, "a bigint, b bigint"), "alike")
+    return spool(_in_cells(pairs, sets, alike, True).select("a", "b"), "alike")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -441,10 +454,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     stars = spool(_fitting(stars, texts, similarity), "stars")
     links = _alike(stars, docs, shingle, similarity)
     roots = spool(connected_components(links), "roots")
-    rooted = texts.select("id", "n", "bits").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = texts.select("id", "n", "small").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # Two entries of one slot are a centre and its partner, so they have been compared.
     crowded = entries.where("m > 2").select("slot", tiles.alias("tiles"), "id").join(rooted, "id")
     pairs = spool(_cross_pairs(crowded, similarity).join(stars, ["a", "b"], "left_anti").select("a", "b", "cell"), "pairs")
+    pairs = spool(_fitting(pairs, texts, similarity), "fitting")
     groups = connected_components(links.unionAll(_alike(pairs, docs, shingle, similarity)))
     rows = docs.select("row_key", "doc_id", F.xxhash64("text_key").alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left")
     rows = rows.select(F.coalesce("root", "id").alias("group"), "row_key", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key").alias("order"))
