@@ -181,8 +181,8 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 4, words
 #: Of the shingles of about SAMPLED texts the most frequent, at most HOT, come last in the order of shingles. Any order
 #: finds the same pairs; this one keeps common lines out of the blocks.
 SAMPLED, HOT = 4000, 1 << 15
-#: Entries of a shared shingle prefer one of as many centres. Classes of a text's parities that go with each of its entries at most.
-CENTRES, SMALL = 4, 2048
+#: Entries of a shared shingle prefer one of as many centres, in each of as many turns. Classes of a text's parities that go with each of its entries at most.
+CENTRES, TURNS, SMALL = 4, 3, 2048
 
 
 def shingle_sets_of(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -307,15 +307,17 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
 
 def _shared(texts: DataFrame) -> DataFrame:
-    """texts(id, prefix) -> (slot, m, centre, id): the entries of each prefix shingle that m > 1 texts have.
+    """texts(id, prefix) -> (slot, m, centres, id): the entries of each prefix shingle that m > 1 texts have.
 
-    Counts and centres are partial aggregates, so that no task holds all entries of a shingle. The centre of a slot is its
-    entry that comes first in one of CENTRES orders.
+    Counts and centres are partial aggregates, so that no task holds all entries of a shingle. The centre of a slot in each of
+    TURNS turns is its entry that comes first in one of CENTRES orders.
     """
     entries = texts.select("id", F.explode("prefix").alias("slot"))
-    turn = F.get(F.array(*[F.lit(int(x)) for x in np.random.default_rng(9).integers(-(2**63), 2**63, CENTRES)]), F.pmod("slot", F.lit(CENTRES)).cast("int"))
-    slots = entries.groupBy("slot").agg(F.count(F.lit(1)).alias("m"), F.min(F.col("id").bitwiseXOR(turn)).alias("least")).where("m > 1")
-    slots = spool(slots.select("slot", "m", F.col("least").bitwiseXOR(turn).alias("centre")), "slots")
+    orders = np.random.default_rng(9).integers(-(2**63), 2**63, (TURNS, CENTRES))
+    turns = [F.get(F.array(*[F.lit(int(x)) for x in own]), F.pmod("slot", F.lit(CENTRES)).cast("int")) for own in orders]
+    least = [F.min(F.col("id").bitwiseXOR(turn)).alias(f"least{k}") for k, turn in enumerate(turns)]
+    slots = entries.groupBy("slot").agg(F.count(F.lit(1)).alias("m"), *least).where("m > 1")
+    slots = spool(slots.select("slot", "m", F.array(*[F.col(f"least{k}").bitwiseXOR(turn) for k, turn in enumerate(turns)]).alias("centres")), "slots")
     # A bitmap of fixed size keeps most shingles of one text out of the shuffle; the join is exact.
     held = texts.sparkSession.sparkContext.broadcast(bitmap(slots.select(F.col("slot").alias("gram"))))
 
@@ -325,7 +327,7 @@ def _shared(texts: DataFrame) -> DataFrame:
             keep = in_bitmap(held.value, np.asarray(flat).view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0)).repeat(size)[keep]), flat.filter(pa.array(keep))], names=["id", "slot"])
 
-    return map_texts(texts.select("id", "prefix"), run, "id bigint, slot bigint").join(slots, "slot").select("slot", "m", "centre", "id")
+    return map_texts(texts.select("id", "prefix"), run, "id bigint, slot bigint").join(slots, "slot").select("slot", "m", "centres", "id")
 
 
 def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
@@ -442,7 +444,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     Groups are the components of all pairs of texts whose sets of distinct shingles have a Jaccard similarity of at least
     `similarity`; every link is verified on the sets (of 64-bit hashes). A 4-bit difference of SimHashes finds few such pairs and
     repeated lines spoil it, so pairs are found by a prefix join of shingles, which misses none. Texts that share a shingle are first compared
-    with one of a few centres; then all pairs of three or more that these links leave in two groups. Null texts count as empty; a null
+    with one of a few centres, in a few turns; then all pairs of three or more that these links leave in two groups. Null texts count as empty; a null
     doc_id is kept only where its group has no other. row_key is xxhash64(doc_id, text_key), text_key the MD5 of the text.
     """
     docs = docs.select(*row_keys(), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -450,14 +452,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     entries = spool(_shared(texts), "entries")
     tiles = F.ceil(F.col("m") / BLOCK)
     cell = F.xxhash64("slot", F.pmod(F.xxhash64("id"), tiles))
-    stars = entries.where("id != centre").groupBy(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).agg(F.min(cell).alias("cell"))
-    stars = spool(_fitting(stars, texts, similarity), "stars")
-    links = _alike(stars, docs, shingle, similarity)
-    roots = spool(connected_components(links), "roots")
+    roots = links = seen = None
+    for turn in range(TURNS):
+        met = entries.select("m", "id", F.col("centres")[turn].alias("centre"), cell.alias("cell")).where("id != centre" if roots is None else "id != centre and m > 2")
+        stars = met.groupBy(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).agg(F.min("cell").alias("cell"))
+        if roots is not None:  # only what the turns before leave in two groups
+            for x in "ab":
+                stars = stars.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+            stars = stars.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "cell")
+        stars = spool(_fitting(stars, texts, similarity), "stars")
+        found = _alike(stars, docs, shingle, similarity)
+        links, seen = (found, stars) if links is None else (links.unionAll(found), seen.unionAll(stars))
+        roots = spool(connected_components(links), "roots")
     rooted = texts.select("id", "n", "small").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # Two entries of one slot are a centre and its partner, so they have been compared.
     crowded = entries.where("m > 2").select("slot", tiles.alias("tiles"), "id").join(rooted, "id")
-    pairs = spool(_cross_pairs(crowded, similarity).join(stars, ["a", "b"], "left_anti").select("a", "b", "cell"), "pairs")
+    pairs = spool(_cross_pairs(crowded, similarity).join(seen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "cell"), "pairs")
     pairs = spool(_fitting(pairs, texts, similarity), "fitting")
     groups = connected_components(links.unionAll(_alike(pairs, docs, shingle, similarity)))
     rows = docs.select("row_key", "doc_id", F.xxhash64("text_key").alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left")
