@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,16 +26,45 @@ def _marked(text: Column) -> Column:
     return F.regexp_replace(closed, "\n", "\n" + _E)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _starts(sizes: Column) -> Column:
+    """For each number of an array the sum of those before it, in chunks, so that long arrays aren't copied for each number."""
+    grow = lambda done, n: F.array_append(done, F.element_at(done, F.lit(-1)) + n)
+    zero = F.array(F.lit(0).cast("long"))
+    chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(256)), lambda i: F.slice(sizes, i, F.lit(256)))
+
+    def joined(sums: Column) -> Column:
+        before = F.aggregate(F.transform(sums, lambda s: F.element_at(s, F.lit(-1))), zero, grow)
+        return F.flatten(F.zip_with(sums, F.slice(before, F.lit(1), F.size(sums)), lambda s, base: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x: x + base)))
+
+    return _let(F.transform(chunks, lambda c: F.aggregate(c, zero, grow)), joined)
+
+
 def split_claims(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """texts(keys, text) -> keys, claim_idx, claim, start, end: each sentence and its byte range; nothing without a letter or digit."""
-    pieces = texts.select(*keys, text, F.posexplode(F.split(_marked(F.col(text)), _E)).alias("_pos", "_piece"))
-    before = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.coalesce(F.sum(F.octet_length("_piece")).over(before), F.lit(0))
-    trimmed = F.btrim("_piece", F.lit(" \t\n\r"))
-    left = F.octet_length("_piece") - F.octet_length(F.ltrim("_piece", F.lit(" \t\n\r")))
-    found = pieces.select("*", (base + left).alias("_start"), (base + left + F.octet_length(trimmed)).alias("_end")).where(F.col("_piece").rlike(r"[\p{L}\p{Nd}]"))
-    numbered = found.withColumn("_idx", F.row_number().over(Window.partitionBy(*keys).orderBy("_pos")) - 1)
-    return numbered.select(*keys, F.col("_idx").alias("claim_idx"), slice_bytes(F.col(text), F.col("_start"), F.col("_end")).alias("claim"), F.col("_start").cast("long").alias("start"), F.col("_end").cast("long").alias("end"))
+    """texts(keys, text) -> keys, claim_idx, claim, start, end: each sentence and its byte range; nothing without a letter or digit.
+
+    Each row is split by itself, so rows of equal or null keys stay apart. Null and empty texts have no claim.
+    """
+    blank = F.lit(" \t\n\r")
+    own = F.col(text)
+
+    def placed(piece: Column, start: Column, marked: Column) -> Column:
+        first = start + F.octet_length(piece) - F.octet_length(F.ltrim(piece, blank))
+        end = first + F.octet_length(F.btrim(piece, blank))
+        # Marks that the text holds itself were changed in the piece.
+        claim = F.when(marked, slice_bytes(own, first.cast("int"), end.cast("int"))).otherwise(F.btrim(piece, blank))
+        return F.struct(claim.alias("claim"), first.cast("long").alias("start"), end.cast("long").alias("end"), piece.rlike(r"[\p{L}\p{Nd}]").alias("says"))
+
+    def claims_of(pieces: Column, marked: Column) -> Column:
+        sizes = F.transform(pieces, lambda p: F.octet_length(p).cast("long"))
+        return F.filter(F.zip_with(pieces, _let(sizes, _starts), lambda piece, start: placed(piece, start, marked)), lambda x: x["says"])
+
+    found = _let(F.split(_marked(own), _E), lambda pieces: _let(own.rlike(f"[{_S}{_E}]"), lambda marked: claims_of(pieces, marked)))
+    return texts.select(*keys, F.posexplode(found).alias("claim_idx", "_c")).select(*keys, "claim_idx", "_c.claim", "_c.start", "_c.end")
 
 
 def match_findings_to_candidates(findings: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -59,8 +59,13 @@ def archive_outcome(archives: DataFrame, staged: DataFrame) -> DataFrame:
 
 
 def settle_uploads(events: DataFrame, pending: DataFrame) -> DataFrame:
-    """Upload events (upload_id, size) that meet a pending record which has not failed; others are no-ops. Redeliveries count once."""
-    once = events.dropDuplicates(["upload_id"]).withColumnRenamed("size", "real_size")
+    """Upload events (upload_id, size) that meet a pending record which has not failed; others are no-ops.
+
+    Redeliveries count once; of such that differ always the same one does.
+    """
+    others = [c for c in events.columns if c != "upload_id"]
+    once = events.groupBy("upload_id").agg(F.max_by(F.struct(*others), F.xxhash64(*others)).alias("_e")).select("upload_id", "_e.*") if others else events.distinct()
+    once = once.withColumnRenamed("size", "real_size")
     return once.join(pending.where("status != 'failed'"), once.upload_id == pending.id)
 
 

@@ -10,22 +10,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, failed_file_ids, file_key, parse_answer, sidecar_json, tokens, verbatim_matches
+from ..functions.text import content_hash, detect_content_type, failed_file_ids, file_key, needs_transcription, parse_answer, sidecar_json, tokens, verbatim_matches
 from ..operators import answers, claims, files, search
 from ..sources.tables import written
 
+#: Types other than text/* whose bytes are texts (fixed values).
+TEXT_TYPES = ["application/json", "application/xml"]
 MODEL_TRIES, BACKOFF_S, MOST_BACKOFF_S = 4, 0.5, 8.0
 
 
-def ingest(uploads: DataFrame, pending: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+def ingest(uploads: DataFrame, pending: DataFrame, as_of: str, transcribe: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """uploads(upload_id, content), pending(id, owner_id, name, content_type, status, created_at) -> landed files, their knowledge sources.
 
-    Redelivered uploads and those without an open pending record change nothing. Equal bytes are one file, the last settler's.
+    Redelivered uploads and those without an open pending record change nothing. Equal bytes are one file, the last settler's. A file's
+    type is the declared one, or what its bytes show. Texts in UTF-8 are searchable; images and PDFs are where `transcribe`,
+    (file_id, content_type, content) -> (file_id, text), gives them a text. Others land without a knowledge source (searchable is false), and
+    no upload's bytes can stop the job.
     """
     settled = files.settle_uploads(uploads, pending)
+    settled = settled.withColumn("content_type", detect_content_type(F.col("content_type"), F.col("content")))
     landed = files.dedupe_content(settled).withColumns({"status": F.lit("landed"), "updated_at": F.lit(as_of).cast("timestamp")})
-    texts = settled.select(content_hash(F.col("content")).alias("file_id"), F.decode("content", "UTF-8").alias("text")).dropDuplicates(["file_id"])
+    bodies = settled.groupBy(content_hash(F.col("content")).alias("file_id")).agg(F.max("content_type").alias("content_type"), F.first("content").alias("content"))
+    as_text = F.col("content").cast("string")
+    plain = F.col("content_type").startswith("text/") | F.col("content_type").isin(*TEXT_TYPES)
+    texts = bodies.where(plain & F.is_valid_utf8(as_text)).select("file_id", as_text.alias("text"))
+    if transcribe:
+        texts = texts.unionByName(transcribe(bodies.where(needs_transcription(F.col("content_type")))).select("file_id", "text"))
     kb = landed.select(F.col("id").alias("file_id"), F.col("name").alias("file_name"), "owner_id", sidecar_json(F.col("id"), F.col("name")).alias("sidecar")).join(texts, "file_id")
+    known = bodies.select("file_id", "content_type").join(texts.select("file_id", F.lit(True).alias("has")), "file_id", "left")
+    landed = landed.join(known.select(F.col("file_id").alias("id"), "content_type", F.coalesce("has", F.lit(False)).alias("searchable")), "id")
     return landed.withColumn("key", file_key(F.col("id"))), kb
 
 

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir), or in one of our own where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    """A new path in the cluster's shared folder (spark.checkpoint.dir), or in one of our own where that is unset and Spark runs on this machine alone."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return f"{named.rstrip('/')}/groundline/{name}-{uuid.uuid4().hex}"
 
 

@@ -126,20 +126,42 @@ def stream_into(stream: DataFrame, each: Callable[[DataFrame, int], None], check
 
 
 class VersionedTable:
-    """A table of whole records at `root`, a new folder per micro-batch: repeated batches replace their own version."""
+    """A table of whole records at `root`, a new folder per micro-batch: repeated batches replace their own version.
 
-    def __init__(self, spark: SparkSession, root: str, schema: str, keys: list[str], version: list[str]):
-        self.spark, self.root, self.schema, self.keys, self.version, self.latest = spark, root, schema, keys, version, -1
+    What is on disk says which versions are complete, so the table outlives the process. A batch that is handed over again
+    starts from the version before it, which is why two versions are kept.
+    """
 
-    def read(self) -> DataFrame:
-        if self.latest < 0:
+    def __init__(self, spark: SparkSession, root: str, schema: str, keys: list[str], version: list[str]):
+        self.spark, self.root, self.schema, self.keys, self.version = spark, root, schema, keys, version
+
+    def _folder(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def versions(self) -> list[int]:
+        """Numbers of the complete versions, ascending."""
+        system, target = self._folder(self.root)
+        if not system.exists(target):
+            return []
+        named = [f.getPath().getName() for f in system.listStatus(target)]
+        found = sorted(int(n[2:]) for n in named if n.startswith("v=") and n[2:].isdigit())
+        return [n for n in found if system.exists(self._folder(f"{self.root}/v={n}/_SUCCESS")[1])]
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The latest complete version, or the latest before a number."""
+        known = [n for n in self.versions() if before is None or n < before]
+        if not known:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={self.latest}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={known[-1]}")
 
     def upsert(self, changes: DataFrame, number: int) -> None:
-        merged = upsert_records(self.read(), changes.select(*self.read().columns), self.keys, self.version)
+        old = self.read(before=number)
+        merged = upsert_records(old, changes.select(*old.columns), self.keys, self.version)
         merged.write.mode("overwrite").parquet(f"{self.root}/v={number}")
-        self.latest = number
+        for n in [n for n in self.versions() if n < number][:-1]:
+            system, target = self._folder(f"{self.root}/v={n}")
+            system.delete(target, True)
 
 
 def guarded(each: Callable[[DataFrame], DataFrame], failed: Callable[[DataFrame, str], DataFrame]) -> Callable[[DataFrame], DataFrame]:
