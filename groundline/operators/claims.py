@@ -21,7 +21,8 @@ def _marked(text: Column) -> Column:
     runs = F.regexp_replace(plain, r"([.!?][.!?\"')\]]*[”’»›]*)", f"{_S}$1{_E}")
     words = "|".join(a.replace(".", rf"{_S}?\.{_E}?") for a in ABBREVIATIONS)
     dot = rf"{_S}(\.[^{_E}]*){_E}"
-    keeps_on = rf"(?i:(?<=(?:^|[ \t\n(\"]{_E}?)(?:{words}|[a-z])){dot})|(?<=[0-9]){dot}(?=[0-9])|{dot}(?=[ \t]*\p{{Ll}})"
+    # Only where a dot is marked are the costlier looks back taken.
+    keeps_on = rf"(?={_S}\.)(?:(?i:(?<=(?:^|[ \t\n(\"]{_E}?)(?:{words}|[a-z])){dot})|(?<=[0-9]){dot}(?=[0-9])|{dot}(?=[ \t]*\p{{Ll}}))"
     closed = F.regexp_replace(F.regexp_replace(runs, keeps_on, "$1$2$3"), _S, "")
     return F.regexp_replace(closed, "\n", "\n" + _E)
 
