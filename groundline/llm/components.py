@@ -6,7 +6,7 @@ grouped minima on Spark; no link or label passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import spool
@@ -26,6 +26,11 @@ def _starred(directed: DataFrame, most: int | None = None) -> DataFrame:
     return directed.join(hubs, "u").unionAll(directed.join(hubs, "u", "left_anti").join(least.where(F.col("n") < most).drop("n"), "u"))
 
 
+def _rows(*pairs: tuple[str, str]) -> Column:
+    """A row (u, v) for each named pair of columns."""
+    return F.inline(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs]))
+
+
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links(a, b) of any one orderable type -> (node, root): the least node reachable, for every linked node.
 
@@ -41,17 +46,15 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     seen = None
     for _ in range(most_rounds):
-        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(_rows(("u", "v"), ("v", "u")))
         now = summed(both)
         if not now.n or now == seen:
             break
         seen = now
         hub = max(HUB_LINKS, int(now.n * HUB_SHARE))
         large = _starred(both, hub if now.most >= hub else None).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _starred(large)
-        small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).distinct()
-        edges = spool(small, "links")
+        # Both links of a row come from one pass, so that a round's plan holds each star once.
+        edges = spool(_starred(large).select(_rows(("v", "m"), ("u", "m"))).where("u != v").distinct(), "links")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return edges.select(_rows(("u", "v"), ("v", "v"))).distinct().toDF("node", "root")

@@ -438,6 +438,10 @@ def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -
     return spool(_in_cells(pairs, sets, alike, True).select("a", "b"), "alike")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row_key, keep): one row for each distinct (doc_id, text) of docs; keep marks the least doc_id of each group.
 
@@ -452,7 +456,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     entries = spool(_shared(texts), "entries")
     tiles = F.ceil(F.col("m") / BLOCK)
     cell = F.xxhash64("slot", F.pmod(F.xxhash64("id"), tiles))
-    roots = links = seen = None
+    roots = seen = None
     for turn in range(TURNS):
         met = entries.select("m", "id", F.col("centres")[turn].alias("centre"), cell.alias("cell")).where("id != centre" if roots is None else "id != centre and m > 2")
         stars = met.groupBy(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).agg(F.min("cell").alias("cell"))
@@ -462,14 +466,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
             stars = stars.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "cell")
         stars = spool(_fitting(stars, texts, similarity), "stars")
         found = _alike(stars, docs, shingle, similarity)
-        links, seen = (found, stars) if links is None else (links.unionAll(found), seen.unionAll(stars))
-        roots = spool(connected_components(links), "roots")
+        # Components so far stand for their links, so that only what is new has to settle.
+        roots = spool(connected_components(found if roots is None else _joined(roots, found)), "roots")
+        seen = stars if seen is None else seen.unionAll(stars)
     rooted = texts.select("id", "n", "small").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # Two entries of one slot are a centre and its partner, so they have been compared.
     crowded = entries.where("m > 2").select("slot", tiles.alias("tiles"), "id").join(rooted, "id")
     pairs = spool(_cross_pairs(crowded, similarity).join(seen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "cell"), "pairs")
     pairs = spool(_fitting(pairs, texts, similarity), "fitting")
-    groups = connected_components(links.unionAll(_alike(pairs, docs, shingle, similarity)))
+    groups = connected_components(_joined(roots, _alike(pairs, docs, shingle, similarity)))
     rows = docs.select("row_key", "doc_id", F.xxhash64("text_key").alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left")
     rows = rows.select(F.coalesce("root", "id").alias("group"), "row_key", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key").alias("order"))
     first = rows.groupBy("group").agg(F.min("order").alias("first"))
