@@ -110,3 +110,21 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks and queries: benchmark texts; the owner is a source."""
     b = table(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("check_id"), F.col("item_id").alias("query_id"), "text", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("owner_id"))
+
+
+def zipped(entries: DataFrame) -> DataFrame:
+    """entries(id, path, body) -> (id, content): a zip for each id, packed in tasks."""
+
+    def pack(x):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for path, body in sorted(zip(x["path"], x["body"])):
+                z.writestr(zipfile.ZipInfo(path), body)
+        return pd.DataFrame({"id": [x["id"].iloc[0]], "content": [held.getvalue()]})
+
+    return entries.groupBy("id").applyInPandas(pack, "id string, content binary")

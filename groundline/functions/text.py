@@ -201,8 +201,16 @@ def detect_content_type(declared: Column, content: Column) -> Column:
 ARCHIVE_CAP = 512 << 20
 
 
+def is_archive_type(content_type: Column) -> Column:
+    return content_type.isin("application/zip", "application/x-zip-compressed")
+
+
+def has_archive_magic(content: Column) -> Column:
+    return F.hex(F.substring(content, 1, 4)) == "504B0304"
+
+
 def is_archive(content_type: Column, content: Column) -> Column:
-    return content_type.isin("application/zip", "application/x-zip-compressed") & (F.hex(F.substring(content, 1, 4)) == "504B0304")
+    return is_archive_type(content_type) & has_archive_magic(content)
 
 
 def archive_over_cap(size: Column) -> Column:

@@ -15,15 +15,19 @@ _S, _E = "\ue000", "\ue001"
 MOST_CLAIMS, MOST_CANDIDATES, MOST_REFERENCES = 500, 3, 5
 
 
+#: Sentence ends: a run of enders; then, of the marked runs, those that close no sentence. Only where a dot is marked are the costlier looks back taken.
+RUNS = r"([.!?][.!?\"')\]]*[”’»›]*)"
+_DOT = rf"{_S}(\.[^{_E}]*){_E}"
+_WORDS = "|".join(a.replace(".", rf"{_S}?\.{_E}?") for a in ABBREVIATIONS)
+KEEPS_ON = rf"(?={_S}\.)(?:(?i:(?<=(?:^|[ \t\n(\"]{_E}?)(?:{_WORDS}|[a-z])){_DOT})|(?<=[0-9]){_DOT}(?=[0-9])|{_DOT}(?=[ \t]*\p{{Ll}}))"
+#: Marks that a text holds itself become others of the same width.
+MARKS, OTHER_MARKS = _S + _E, "\ue010\ue011"
+
+
 def _marked(text: Column) -> Column:
-    """The text with an end mark after each sentence and line. Marks that it holds itself become others of the same width."""
-    plain = F.translate(text, _S + _E, "\ue010\ue011")
-    runs = F.regexp_replace(plain, r"([.!?][.!?\"')\]]*[”’»›]*)", f"{_S}$1{_E}")
-    words = "|".join(a.replace(".", rf"{_S}?\.{_E}?") for a in ABBREVIATIONS)
-    dot = rf"{_S}(\.[^{_E}]*){_E}"
-    # Only where a dot is marked are the costlier looks back taken.
-    keeps_on = rf"(?={_S}\.)(?:(?i:(?<=(?:^|[ \t\n(\"]{_E}?)(?:{words}|[a-z])){dot})|(?<=[0-9]){dot}(?=[0-9])|{dot}(?=[ \t]*\p{{Ll}}))"
-    closed = F.regexp_replace(F.regexp_replace(runs, keeps_on, "$1$2$3"), _S, "")
+    """The text with an end mark after each sentence and line."""
+    runs = F.regexp_replace(F.translate(text, MARKS, OTHER_MARKS), RUNS, f"{_S}$1{_E}")
+    closed = F.regexp_replace(F.regexp_replace(runs, KEEPS_ON, "$1$2$3"), _S, "")
     return F.regexp_replace(closed, "\n", "\n" + _E)
 
 

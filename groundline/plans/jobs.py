@@ -5,13 +5,15 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, detect_content_type, failed_file_ids, file_key, needs_transcription, parse_answer, sidecar_json, tokens, verbatim_matches
+from ..functions.text import archive_over_cap, base_name, child_upload_id, content_hash, content_type_for_name, detect_content_type, failed_file_ids, file_key, has_archive_magic, is_archive_type, needs_transcription, parse_answer, sidecar_json, tokens, verbatim_matches
 from ..operators import answers, claims, files, search
+from ..sources import io
 from ..sources.tables import written
 
 #: Types other than text/* whose bytes are texts (fixed values).
@@ -19,27 +21,92 @@ TEXT_TYPES = ["application/json", "application/xml"]
 MODEL_TRIES, BACKOFF_S, MOST_BACKOFF_S = 4, 0.5, 8.0
 
 
-def ingest(uploads: DataFrame, pending: DataFrame, as_of: str, transcribe: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """uploads(upload_id, content), pending(id, owner_id, name, content_type, status, created_at) -> landed files, their knowledge sources.
+class Ingested(NamedTuple):
+    """files: landed records by content; kb_source: their searchable texts; failed: archives that gave no file; settled: upload ids that are done."""
 
-    Redelivered uploads and those without an open pending record change nothing. Equal bytes are one file, the last settler's. A file's
-    type is the declared one, or what its bytes show. Texts in UTF-8 are searchable; images and PDFs are where `transcribe`,
-    (file_id, content_type, content) -> (file_id, text), gives them a text. Others land without a knowledge source (searchable is false), and
-    no upload's bytes can stop the job.
+    files: DataFrame
+    kb_source: DataFrame
+    failed: DataFrame
+    settled: DataFrame
+
+
+def _seen(uploads: DataFrame) -> DataFrame:
+    """What ingest needs to know of each upload's bytes: all but upload_id, size and content is read from them once, and no bytes go on."""
+    content = F.col("content")
+    size = F.col("size").cast("long") if "size" in uploads.columns else F.octet_length("content").cast("long")
+    return uploads.select("upload_id", size.alias("size"), content_hash(content).alias("hash"), F.octet_length(content).cast("long").alias("bytes"), detect_content_type(F.lit(None).cast("string"), content).alias("sniffed"), has_archive_magic(content).alias("magic"), F.is_valid_utf8(content.cast("string")).alias("utf8"))
+
+
+def _once(seen: DataFrame) -> DataFrame:
+    """One delivery of each upload, of such that differ always the same."""
+    rest = F.struct(*[c for c in seen.columns if c != "upload_id"])
+    return seen.groupBy("upload_id").agg(F.max_by(rest, F.struct("hash", "size")).alias("r")).select("upload_id", "r.*")
+
+
+def ingest(uploads: DataFrame, pending: DataFrame, as_of: str, transcribe: Callable[[DataFrame], DataFrame] | None = None) -> Ingested:
+    """uploads(upload_id, content[, size]), pending(id, owner_id, name, content_type, status, created_at) -> Ingested.
+
+    Redelivered uploads and those without an open pending record change nothing. Equal bytes are one file, the last settler's with its declared
+    type, or what the bytes show. size is the object's real size (as `read_uploads` and events give it); an archive beyond the cap fails by it
+    without its bytes being unpacked, and `uploads` are filtered on size first, so that a source that pushes filters down doesn't load
+    larger objects unless one of them is no archive. Archives are expanded into child uploads, whose ids come from the archive's hash and the entry's path, and
+    these settle like any other at as_of for the archive's owner; an archive itself is never a file. One that is too large, can't be opened
+    or holds no file fails. Texts in UTF-8 are searchable; images and PDFs are where `transcribe`, (file_id, content_type, content) ->
+    (file_id, text), gives them a text. Others land without a knowledge source (searchable is false), and no upload's bytes can stop the job.
+    Contents are hashed where they are read; only those of archives and of searchable files move, once.
     """
-    settled = files.settle_uploads(uploads, pending)
-    settled = settled.withColumn("content_type", detect_content_type(F.col("content_type"), F.col("content")))
-    landed = files.dedupe_content(settled).withColumns({"status": F.lit("landed"), "updated_at": F.lit(as_of).cast("timestamp")})
-    bodies = settled.groupBy(content_hash(F.col("content")).alias("file_id")).agg(F.max("content_type").alias("content_type"), F.first("content").alias("content"))
-    as_text = F.col("content").cast("string")
-    plain = F.col("content_type").startswith("text/") | F.col("content_type").isin(*TEXT_TYPES)
-    texts = bodies.where(plain & F.is_valid_utf8(as_text)).select("file_id", as_text.alias("text"))
+    now = F.lit(as_of).cast("timestamp")
+    if "size" not in uploads.columns:
+        uploads = uploads.withColumn("size", F.octet_length("content").cast("long"))
+    open_ = pending.where("status != 'failed'").select(F.col("id").alias("upload_id"), "owner_id", "name", "content_type", F.col("created_at"))
+    zipped = is_archive_type(F.col("content_type"))
+    large = uploads.where(archive_over_cap(F.col("size")))
+    over = large.select("upload_id").distinct().join(open_.where(zipped), "upload_id")
+    loaded = uploads.where(~archive_over_cap(F.col("size"))).unionByName(large.join(open_.where(~zipped | zipped.isNull()), "upload_id", "left_semi").select(*uploads.columns))
+
+    settled = written(_once(_seen(loaded)).join(open_, "upload_id"), "settled")
+    packed = zipped & F.col("magic")
+    direct = settled.where(~packed | packed.isNull())
+    archives = settled.where(packed)
+
+    # Equal archives are expanded once, for the last settler's owner.
+    last = archives.groupBy("hash").agg(F.max_by(F.struct("owner_id", "upload_id"), F.struct("created_at", "upload_id")).alias("r")).select("hash", "r.*")
+    bytes_of = loaded.select("upload_id", content_hash(F.col("content")).alias("hash"), "content").join(last, ["upload_id", "hash"]).dropDuplicates(["hash"])
+    entries = written(io.expand_archives(bytes_of.select(F.col("hash").alias("archive_id"), "content")), "entries")
+    staged = entries.where("path is not null").join(last.select(F.col("hash").alias("archive_id"), "owner_id"), "archive_id")
+    children = staged.select(child_upload_id(F.col("archive_id"), F.col("path")).alias("upload_id"), "size", "content", "owner_id", base_name(F.col("path")).alias("name"), content_type_for_name(F.col("path")).alias("content_type"))
+    born = _once(_seen(children)).join(children.select("upload_id", "owner_id", "name", "content_type").dropDuplicates(["upload_id"]), "upload_id")
+
+    # Whoever settles last gives a file its record. Children settle at as_of, after all that was pending before.
+    both = direct.withColumn("late", F.lit(0)).unionByName(born.withColumns({"late": F.lit(1), "created_at": F.lit(None).cast(settled.schema["created_at"].dataType)}))
+    specific = F.when(~F.col("content_type").isin("", "application/octet-stream"), F.col("content_type"))
+    record = F.struct("owner_id", "name", "upload_id", "created_at", "late", F.coalesce(specific, "sniffed").alias("content_type"), "bytes", "utf8")
+    landed = both.groupBy(F.col("hash").alias("id")).agg(F.max_by(record, F.struct("late", "created_at", "upload_id")).alias("r"), F.count(F.lit(1)).alias("copies")).select("id", "r.*", "copies")
+    landed = written(landed, "landed")
+
+    kind = F.col("content_type")
+    plain = (kind.startswith("text/") | kind.isin(*TEXT_TYPES)) & F.col("utf8")
+    wanted = landed.where(plain | needs_transcription(kind) if transcribe else plain).select("id", "upload_id", "content_type")
+    bodies = loaded.select("upload_id", "content").unionByName(children.select("upload_id", "content")).join(wanted, "upload_id").where(content_hash(F.col("content")) == F.col("id"))
+    bodies = bodies.dropDuplicates(["upload_id"]).select(F.col("id").alias("file_id"), "content_type", "content")
+    texts = bodies.where(~needs_transcription(kind)).select("file_id", F.col("content").cast("string").alias("text"))
     if transcribe:
-        texts = texts.unionByName(transcribe(bodies.where(needs_transcription(F.col("content_type")))).select("file_id", "text"))
+        texts = written(texts.unionByName(transcribe(bodies.where(needs_transcription(kind))).select("file_id", "text")), "texts")
+        landed = landed.join(texts.select(F.col("file_id").alias("id"), F.lit(True).alias("searchable")), "id", "left").withColumn("searchable", F.coalesce("searchable", F.lit(False)))
+    else:
+        landed = landed.withColumn("searchable", F.coalesce(plain, F.lit(False)))
+    landed = landed.withColumns({"size": F.col("bytes"), "created_at": F.when(F.col("late") == 1, now.cast(settled.schema["created_at"].dataType)).otherwise(F.col("created_at")), "key": file_key(F.col("id")), "status": F.lit("landed"), "updated_at": now})
     kb = landed.select(F.col("id").alias("file_id"), F.col("name").alias("file_name"), "owner_id", sidecar_json(F.col("id"), F.col("name")).alias("sidecar")).join(texts, "file_id")
-    known = bodies.select("file_id", "content_type").join(texts.select("file_id", F.lit(True).alias("has")), "file_id", "left")
-    landed = landed.join(known.select(F.col("file_id").alias("id"), "content_type", F.coalesce("has", F.lit(False)).alias("searchable")), "id")
-    return landed.withColumn("key", file_key(F.col("id"))), kb
+
+    outcome = files.archive_outcome(archives.select(F.col("hash").alias("archive_id"), F.lit(True).alias("readable")).distinct(), staged)
+    broken = entries.where("error is not null").select("archive_id").distinct().withColumn("broken", F.lit(True))
+    empty = outcome.where("status = 'failed'").join(broken, "archive_id", "left").select(F.col("archive_id").alias("hash"), F.when(F.col("broken"), "archive could not be opened").otherwise("archive holds no file").alias("reason"))
+    lost = archives.join(empty, "hash").select("upload_id", "owner_id", "name", "content_type", "created_at", "reason")
+    lost = lost.unionByName(over.select("upload_id", "owner_id", "name", "content_type", "created_at", F.lit("archive is too large").alias("reason")))
+    failed = lost.withColumnRenamed("upload_id", "id").withColumns({"status": F.lit("failed"), "updated_at": now})
+    done = settled.select("upload_id").join(lost.select("upload_id"), "upload_id", "left_anti")
+    names = ["id", "owner_id", "key", "name", "content_type", "size", "status", "searchable", "copies", "upload_id", "created_at", "updated_at"]
+    return Ingested(landed.select(*names), kb, failed, done)
 
 
 def build_index(kb_source: DataFrame) -> dict[str, DataFrame]:

@@ -84,6 +84,17 @@ def _f5(spark, sf):
 _REL = "['verbatim','paraphrase','contradicts','supports'][item_id % 4 + 1]"
 
 
+@query("F1_to_F5_in_sql", f"""WITH {claims_cte('benchmark', 'item_id', 'c')} SELECT item_id, claim_idx, claim, start, "end", TRUE AS found, FALSE AS shifted, {_NORM.format('claim')} AS norm, TRUE AS same FROM c""")
+def _f1_sql(spark, sf):
+    """Claims of all items in plain SQL; a claim stands at its own range, and nowhere beyond the text."""
+    from .functions.sql import register
+
+    register(spark)
+    return spark.sql("""SELECT item_id, pos AS claim_idx, c.claim, c.start, c.end, verify_span(text, c.claim, c.start, c.end) AND locate_span(text, c.claim).start <= c.start AS found,
+ verify_span(text, c.claim, c.start, c.end + octet_length(text)) AS shifted, normalize_for_match(c.claim) AS norm, verbatim_matches(c.claim, concat(' "', c.claim, '!" ')) AS same
+ FROM (SELECT item_id, text, split_claims(text) AS all FROM {items}) LATERAL VIEW posexplode(all) AS pos, c""", items=fx.table(spark, sf, "benchmark"))
+
+
 @query("F6_gate_relation", f"""SELECT item_id, CASE WHEN r = 'verbatim' AND item_id % 3 = 0 THEN 'paraphrase' WHEN r IN ('verbatim','paraphrase','contradicts') THEN r END AS relation
 FROM (SELECT item_id, {_REL} AS r FROM benchmark)""")
 def _f6(spark, sf):
@@ -693,25 +704,26 @@ def _s4(spark, sf):
     """The documents of each owner and hundred as archives, packed in tasks and expanded again."""
     from .sources import io
 
-    def pack(x):
-        import io as bytes_io
-        import zipfile
-
-        import pandas as pd
-
-        held = bytes_io.BytesIO()
-        with zipfile.ZipFile(held, "w") as z:
-            for path, body in zip(x["path"], x["body"]):
-                z.writestr(path, body)
-        return pd.DataFrame({"archive_id": [x["archive_id"].iloc[0]], "content": [held.getvalue()]})
-
     texts = fx.table(spark, sf, "documents").select("doc_id", "text")
     tree = _tree(spark, sf).join(texts, "doc_id").select(F.concat_ws("-", "archive_id", F.floor(F.col("doc_id") / 100).cast("string")).alias("archive_id"), F.col("path"), F.when(F.col("size") > 0, F.encode("text", "UTF-8")).otherwise(F.encode(F.lit(""), "UTF-8")).alias("body"))
-    archives = tree.groupBy("archive_id").applyInPandas(pack, "archive_id string, content binary")
+    archives = fx.zipped(tree.withColumnRenamed("archive_id", "id")).withColumnRenamed("id", "archive_id")
     found = io.expand_archives(archives).where("path is not null")
     return found.groupBy(F.regexp_replace("archive_id", "-[0-9]+$", "").alias("archive_id")).agg(F.count(F.lit(1)).alias("n_entries"), F.sum("size").alias("n_bytes"))
 
 
+@query("S4_unpack_sql", f"WITH {_TREE} SELECT archive_id || '-' || (doc_id // 100) AS archive_id, path, size, sha256(text) AS hash FROM tree JOIN documents USING (doc_id) WHERE {_USABLE}")
+def _s4_sql(spark, sf):
+    """The same archives in plain SQL: a lateral join with the table function."""
+    from .functions.sql import register
+
+    register(spark)
+    texts = fx.table(spark, sf, "documents").select("doc_id", "text")
+    tree = _tree(spark, sf).join(texts, "doc_id")
+    body = F.when(F.col("size") > 0, F.encode("text", "UTF-8")).otherwise(F.encode(F.lit(""), "UTF-8"))
+    archives = fx.zipped(tree.select(F.concat_ws("-", "archive_id", F.floor(F.col("doc_id") / 100).cast("string")).alias("id"), "path", body.alias("body")))
+    return spark.sql("SELECT a.id AS archive_id, e.path, e.size, sha2(e.content, 256) AS hash FROM {archives} a, LATERAL unpack_archive(a.content) e WHERE e.path IS NOT NULL", archives=archives)
+
+
 @query("S6_metric_lines", f"""WITH {fx.EVENTS} SELECT '{{"timestamp":' || (us // 1000) || ',"namespace":"app","dimensions":["event","user"],"labels":{{"event":"' || event_type || '","user":"' || user_id || '"}},"metrics":{{"count":"1"}}}}' AS value FROM ev WHERE event_type <> 'view'""")
 def _s6(spark, sf):
     e = fx.events(spark, sf)
@@ -741,10 +753,52 @@ def _c1(spark, sf):
     d = fx.drops(spark, sf)
     pending = d.select(F.col("upload_id").alias("id"), "owner_id", "name", "content_type", F.when(F.col("doc_id") % 4 == 3, "failed").otherwise("pending").alias("status"), F.col("created_s").alias("created_at"))
     uploads = d.select("upload_id", F.encode("text", "UTF-8").alias("content"))
-    landed, _ = jobs.ingest(uploads.unionAll(uploads), pending, fx.AS_OF)
+    landed = jobs.ingest(uploads.unionAll(uploads), pending, fx.AS_OF).files
     return landed.select("id", "owner_id", "name", "size", "status")
 
 
+def _zips(spark, sf):
+    """Four of five documents as zips of an owner's in a hundred: some are broken, some too large by what the store says, some hold no file."""
+    tree = _tree(spark, sf).where("doc_id % 5 != 0").join(fx.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    hundred = F.floor(F.col("doc_id") / 100)
+    body = F.when(F.col("size") > 0, F.encode("text", "UTF-8")).otherwise(F.encode(F.lit(""), "UTF-8"))
+    zips = fx.zipped(tree.select(F.concat_ws("-", "archive_id", hundred.cast("string")).alias("id"), "path", body.alias("body")))
+    n = F.substring_index("id", "-", -1).cast("long") % 7
+    content = F.when(n == 3, F.concat(F.unhex(F.lit("504B0304")), F.encode(F.lit("no archive"), "UTF-8"))).otherwise(F.col("content"))
+    return zips.select("id", F.substring_index("id", "-", 1).alias("owner_id"), content.alias("content"), F.when(n == 5, fn.ARCHIVE_CAP + 1).otherwise(F.octet_length("content")).cast("long").alias("size"))
+
+
+def _ingested_zips(spark, sf):
+    from .plans import jobs
+
+    alone = fx.drops(spark, sf).where("doc_id % 5 = 0").select(F.col("upload_id").alias("id"), "owner_id", "name", F.lit("text/plain").alias("content_type"), F.encode("text", "UTF-8").alias("content"), F.octet_length("text").cast("long").alias("size"), F.col("created_s").alias("created_at"))
+    zips = _zips(spark, sf).select("id", "owner_id", F.concat("id", F.lit(".zip")).alias("name"), F.lit("application/zip").alias("content_type"), "content", "size", F.lit(fx.EPOCH).cast("long").alias("created_at"))
+    both = alone.unionByName(zips)
+    uploads = both.select(F.col("id").alias("upload_id"), "content", "size")
+    return jobs.ingest(uploads.unionAll(uploads), both.select("id", "owner_id", "name", "content_type", F.lit("pending").alias("status"), "created_at"), fx.AS_OF)
+
+
+_ZIPS = f"""{_TREE}, zips AS (SELECT t.*, d.text, archive_id || '-' || (doc_id // 100) AS zip_id, (doc_id // 100) % 7 AS n FROM tree t JOIN documents d USING (doc_id) WHERE doc_id % 5 <> 0),
+inner_files AS (SELECT text, doc_id || '.txt' AS name, archive_id AS owner_id FROM zips WHERE n NOT IN (3, 5) AND {_USABLE}),
+outer_files AS (SELECT text, 'doc_' || doc_id || '.txt' AS name, source AS owner_id FROM documents WHERE doc_id % 5 = 0 AND text IS NOT NULL)"""
+
+
+@query("C1_ingest_archives", f"""WITH {_ZIPS.replace("doc_id % 5 = 0 AND", "doc_id % 5 = 0 AND doc_id % 17 <> 3 AND")}, f AS (SELECT * FROM inner_files UNION ALL SELECT * FROM outer_files UNION ALL SELECT text, '', source FROM documents WHERE doc_id % 5 = 0 AND doc_id % 17 = 3 AND text IS NOT NULL)
+SELECT sha256(text) AS id, any_value(strlen(text)) AS size, count(*) AS copies, CASE WHEN count(*) = 1 THEN any_value(name) END AS name, CASE WHEN count(*) = 1 THEN any_value(owner_id) END AS owner_id, 'text/plain' AS content_type, any_value(length(text)) AS n_chars FROM f GROUP BY sha256(text)""")
+def _c1_zips(spark, sf):
+    """Archives and single files, each delivered twice; entries settle as files of their own, with their searchable texts."""
+    got = _ingested_zips(spark, sf)
+    once = F.col("copies") == 1
+    texts = got.kb_source.select(F.col("file_id").alias("id"), F.char_length("text").cast("long").alias("n_chars"))
+    return got.files.join(texts, "id", "left").select("id", "size", "copies", F.when(once, F.col("name")).alias("name"), F.when(once, F.col("owner_id")).alias("owner_id"), "content_type", "n_chars")
+
+
+@query("C1_ingest_failed", f"""WITH {_ZIPS} SELECT zip_id AS id, any_value(archive_id) AS owner_id, 'failed' AS status, CASE any_value(n) WHEN 5 THEN 'archive is too large' WHEN 3 THEN 'archive could not be opened' ELSE 'archive holds no file' END AS reason
+FROM zips GROUP BY zip_id HAVING any_value(n) IN (3, 5) OR count(*) FILTER (WHERE {_USABLE}) = 0""")
+def _c1_failed(spark, sf):
+    return _ingested_zips(spark, sf).failed.select("id", "owner_id", "status", "reason")
+
+
 @query("C2_build_index", f"WITH {_INDEX} SELECT passage_id, file_id, any_value(length) AS length, count(*) AS terms, sum(tf)::BIGINT AS words FROM postings GROUP BY passage_id, file_id")
 def _c2(spark, sf):
     return _index(spark, sf)["postings"].groupBy("passage_id", "file_id").agg(F.first("length").alias("length"), F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("words"))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from ..operators.files import ENTRIES_CAP, ENTRY_CAP, TOTAL_CAP
 from ..operators.metrics import metric_lines
@@ -44,36 +48,72 @@ def classify_event(raw: Column) -> Column:
     )
 
 
+def entries_of(content: bytes) -> Iterator[tuple[int, str, bytes]]:
+    """(place, path, bytes) of the usable entries of a zip within the caps, one at a time; ValueError where it can't be opened.
+
+    An entry that can't be read or that is larger than it says is left out; what counts is the bytes that were read.
+    """
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except (zipfile.BadZipFile, TypeError, NotImplementedError, EOFError, OSError, ValueError) as e:
+        raise ValueError(str(e)) from e
+    kept = total = 0
+    with archive:
+        for pos, entry in enumerate(archive.infolist()):
+            name = entry.filename.rsplit("/", 1)[-1]
+            unusable = entry.is_dir() or not entry.file_size or entry.filename.startswith("__MACOSX/") or name == ".DS_Store" or name.startswith("._") or name.lower().endswith(".zip")
+            if unusable:
+                continue
+            try:
+                with archive.open(entry) as f:
+                    data = f.read(ENTRY_CAP + 1)
+            except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, OSError, zlib.error):
+                continue
+            if len(data) > ENTRY_CAP:
+                continue
+            total += len(data)
+            if kept == ENTRIES_CAP or total > TOTAL_CAP:
+                return
+            kept += 1
+            yield pos, entry.filename, data
+
+
+@udtf(returnType="pos int, path string, size bigint, content binary, error string")
+class UnpackArchive:
+    """SQL's `LATERAL unpack_archive(content)`: a row for each usable entry, or one with an error. It holds one archive's entries at a time."""
+
+    def eval(self, content: bytes):
+        try:
+            for pos, path, data in entries_of(content):
+                yield pos, path, len(data), data, None
+        except ValueError as e:
+            yield None, None, None, None, str(e)
+
+
 def expand_archives(archives: DataFrame) -> DataFrame:
     """archives(archive_id, content) -> archive_id, pos, path, size, content of usable entries within the caps; error for an unreadable archive.
 
-    One entry is in memory at a time. An unreadable archive gives one row without a path.
+    One entry is in memory at a time, which a lateral UDTF can't do (`UnpackArchive` is the form for SQL). An unreadable archive gives one row without
+    a path. Archives reach a task in batches of 64 MB or single ones: the session's limit is set to that and stays so.
     """
+    kind = archives.schema["archive_id"].dataType
+    schema = StructType([StructField("archive_id", kind), *StructType.fromDDL("pos int, path string, size bigint, content binary, error string")])
+    arrow = [f.type for f in to_arrow_schema(schema)]
 
-    def usable(path: str, size: int) -> bool:
-        name = path.rsplit("/", 1)[-1]
-        return not (path.endswith("/") or not size or path.startswith("__MACOSX/") or name == ".DS_Store" or name.startswith("._") or path.lower().endswith(".zip"))
+    def row(key: pa.Scalar, *values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key.as_py()], arrow[0]), *(pa.array([v], t) for v, t in zip(values, arrow[1:]))], names=schema.names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive_id, content in zip(batch["archive_id"], batch["content"]):
-                kept = total = 0
+            for key, content in zip(batch.column(0), batch.column(1)):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for pos, entry in enumerate(z.infolist()):
-                            if not usable(entry.filename, entry.file_size) or entry.file_size > ENTRY_CAP:
-                                continue
-                            total += entry.file_size
-                            if kept == ENTRIES_CAP or total > TOTAL_CAP:
-                                break
-                            kept += 1
-                            data = z.read(entry)
-                            yield pd.DataFrame({"archive_id": [archive_id], "pos": [pos], "path": [entry.filename], "size": [len(data)], "content": [data], "error": [None]})
-                except (zipfile.BadZipFile, TypeError, NotImplementedError, RuntimeError, EOFError) as e:
-                    yield pd.DataFrame({"archive_id": [archive_id], "pos": [None], "path": [None], "size": [None], "content": [None], "error": [str(e)]})
-
-    kind = archives.schema["archive_id"].dataType.simpleString()
-    return archives.select("archive_id", "content").mapInPandas(run, f"archive_id {kind}, pos int, path string, size long, content binary, error string")
+                    for pos, path, data in entries_of(content.as_py()):
+                        yield row(key, pos, path, len(data), data, None)
+                except ValueError as e:
+                    yield row(key, None, None, None, None, str(e))
+
+    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    return archives.select("archive_id", "content").mapInArrow(run, schema)
 
 
 def read_golden_cases(spark: SparkSession, path: str) -> DataFrame:

@@ -25,10 +25,10 @@ def test_binary_uploads_land_without_stopping_the_job(spark):
     png, text, broken = b"\x89PNG\r\n\x1a\n\xff\x00", "good text é".encode(), b"caf\xe9 \xff"
     uploads = spark.createDataFrame([("u1", png), ("u2", text), ("u3", broken), ("u2", text)], "upload_id string, content binary")
     pending = spark.createDataFrame([(u, "o", n, t, "pending", 1) for u, n, t in (("u1", "a.png", "application/octet-stream"), ("u2", "b.txt", None), ("u3", "c.txt", "text/plain"))], "id string, owner_id string, name string, content_type string, status string, created_at long")
-    landed, kb = jobs.ingest(uploads, pending, "2024-01-01")
+    landed, kb, *_ = jobs.ingest(uploads, pending, "2024-01-01")
     assert {(r.name, r.content_type, r.searchable) for r in landed.collect()} == {("a.png", "image/png", False), ("b.txt", "text/plain", True), ("c.txt", "text/plain", False)}
     assert [(r.file_name, r.text) for r in kb.collect()] == [("b.txt", "good text é")]
-    read = jobs.ingest(uploads, pending, "2024-01-01", lambda x: x.select("file_id", F.lit("seen").alias("text")))[1]
+    read = jobs.ingest(uploads, pending, "2024-01-01", lambda x: x.select("file_id", F.lit("seen").alias("text"))).kb_source
     assert {(r.file_name, r.text) for r in read.collect()} == {("b.txt", "good text é"), ("a.png", "seen")}
 
 
