@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import archive_over_cap, base_name, child_upload_id, content_hash, content_type_for_name, detect_content_type, failed_file_ids, file_key, has_archive_magic, is_archive_type, needs_transcription, parse_answer, sidecar_json, tokens, verbatim_matches
-from ..operators import answers, claims, files, search
+from ..operators import answers, claims, files, near, search
 from ..sources import io
 from ..sources.tables import written
 
@@ -109,25 +109,46 @@ def ingest(uploads: DataFrame, pending: DataFrame, as_of: str, transcribe: Calla
     return Ingested(landed.select(*names), kb, failed, done)
 
 
-def build_index(kb_source: DataFrame) -> dict[str, DataFrame]:
-    """passages, postings, stats and frequencies, each written once, so that searches don't cut and count the texts again."""
+def build_index(kb_source: DataFrame, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
+    """passages, postings, stats and frequencies, each written once, so that searches don't cut and count the texts again.
+
+    With vectors(passage_id, vector) also their inverted-file index: `centroids` and `lists` (see `near.vector_index`).
+    """
     passages = written(search.passages_of(kb_source), "passages")
     postings = written(search.postings_of(passages), "postings")
-    stats, _ = search.index_stats(passages)
-    return {"passages": passages, "postings": postings, "stats": stats, "frequencies": written(search.frequencies_of(postings), "frequencies")}
+    stats = written(search.stats_of(passages), "stats")
+    index = {"passages": passages, "postings": postings, "stats": stats, "frequencies": written(search.frequencies_of(postings, stats), "frequencies")}
+    if vectors is not None:
+        centroids, lists = near.vector_index(vectors)
+        index |= {"centroids": written(centroids, "centroids"), "lists": written(lists, "lists")}
+    return index
+
+
+def _best_passages(queries: DataFrame, index: dict[str, DataFrame], k: int) -> DataFrame:
+    return search.lexical_top(queries, index["postings"], index["stats"], index["frequencies"], k, written)
 
 
 def lexical_search(queries: DataFrame, index: dict[str, DataFrame], k: int) -> DataFrame:
     """The k best passages of each query by BM25, with their texts."""
-    hits = search.top_passages(search.lexical_match(queries, index["postings"], index["stats"], index["frequencies"]), k)
-    return hits.join(index["passages"].select("passage_id", "file_name", "text"), "passage_id")
+    return _best_passages(queries, index, k).join(index["passages"].select("passage_id", "file_name", "text"), "passage_id")
+
+
+def hybrid_search(queries: DataFrame, index: dict[str, DataFrame], query_vectors: DataFrame, k: int, depth: int = 50, probes: int | None = near.PROBES) -> DataFrame:
+    """BM25 and vector rankings of `depth` each, fused: query_id, rank, passage_id, file_id, file_name, text, score.
+
+    query_vectors(query_id, vector); a query without one has the lexical half only. `probes` lists of the vector index are searched for each query,
+    None all of them, which is exact.
+    """
+    lexical = _best_passages(queries, index, depth)
+    vector = near.vector_search(query_vectors, index["centroids"], index["lists"], depth, probes)
+    return search.fuse(lexical, vector, k).join(index["passages"], "passage_id").select("query_id", "rank", "passage_id", "file_id", "file_name", "text", "score")
 
 
-def hybrid_search(queries: DataFrame, index: dict[str, DataFrame], query_vectors: DataFrame, vectors: DataFrame, k: int, depth: int = 50) -> DataFrame:
-    """BM25 and vector rankings of `depth` each, fused: query_id, rank, passage_id, file_id, score."""
-    lexical = search.top_passages(search.lexical_match(queries, index["postings"], index["stats"], index["frequencies"]), depth)
-    near = search.vector_match(query_vectors, vectors, depth)
-    return search.fuse(lexical, near, k).join(index["passages"].select("passage_id", "file_id"), "passage_id").select("query_id", "rank", "passage_id", "file_id", "score")
+def find(queries: DataFrame, index: dict[str, DataFrame], k: int, embed: Callable[[DataFrame], DataFrame] | None, probes: int | None = near.PROBES) -> DataFrame:
+    """Hybrid search where there is `embed`, (query_id, text) -> (query_id, vector), and the index has vectors; else by BM25 alone."""
+    if embed is None or "lists" not in index:
+        return lexical_search(queries, index, k)
+    return hybrid_search(queries, index, embed(queries.select("query_id", "text")), k, probes=probes)
 
 
 def owned_candidates(hits: DataFrame, requests: DataFrame, owners: DataFrame, most: int = claims.MOST_CANDIDATES) -> DataFrame:
@@ -158,18 +179,18 @@ def propose_lexical(claim_rows: DataFrame, candidates: DataFrame, overlap: float
     return found.select("check_id", F.col("_claim").alias("claim_idx"), idx.alias("idx"), "file_id", "span", "relation")
 
 
-def check(requests: DataFrame, index: dict[str, DataFrame], owners: DataFrame, propose: Callable[[DataFrame, DataFrame], DataFrame] = propose_lexical, k: int = 12) -> dict[str, DataFrame]:
+def check(requests: DataFrame, index: dict[str, DataFrame], owners: DataFrame, propose: Callable[[DataFrame, DataFrame], DataFrame] = propose_lexical, k: int = 12, embed: Callable[[DataFrame], DataFrame] | None = None, probes: int | None = near.PROBES) -> dict[str, DataFrame]:
     """requests(check_id, owner_id, text) -> claims with verdicts, capped references, failed checks.
 
     The verdict is of all gated references, the cap comes after. Checks of blank or overlong text or of more than
-    500 claims fail. A reference's span stands in its candidate's text byte for byte.
+    500 claims fail. A reference's span stands in its candidate's text byte for byte. Candidates come from `find`; with `embed` it is hybrid.
     """
     valid, bad = answers.validate_checks(requests)
     rows = claims.split_claims(valid.select("check_id", "text"), ["check_id"])
     many = rows.groupBy("check_id").count().where(F.col("count") > claims.MOST_CLAIMS).select("check_id")
     rows = written(rows.join(many, "check_id", "left_anti"), "claims")
     asked = rows.join(requests.select("check_id", "owner_id"), "check_id").select(F.struct("check_id", "claim_idx").alias("query_id"), F.col("claim").alias("text"), "owner_id")
-    hits = lexical_search(asked, index, k)
+    hits = find(asked, index, k, embed, probes)
     offered = owned_candidates(hits, asked, owners).select("query_id.check_id", "query_id.claim_idx", "file_id", F.col("text").alias("candidate_text"), "pos")
     offered = written(offered, "candidates")
     matched = claims.match_findings_to_candidates(propose(rows, offered), offered.drop("pos"))
@@ -204,12 +225,12 @@ def model_map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], op: str
     return spread.mapInPandas(run, f"id {kind}, op string, model string, prompt string, attempt int, reply string, input_tokens long, output_tokens long, ok boolean, error string")
 
 
-def ask(requests: DataFrame, index: dict[str, DataFrame], owners: DataFrame, replies: Callable[[DataFrame], DataFrame], k: int = 20) -> tuple[DataFrame, DataFrame]:
+def ask(requests: DataFrame, index: dict[str, DataFrame], owners: DataFrame, replies: Callable[[DataFrame], DataFrame], k: int = 20, embed: Callable[[DataFrame], DataFrame] | None = None, probes: int | None = near.PROBES) -> tuple[DataFrame, DataFrame]:
     """requests(query_id, owner_id, text) -> answers(query_id, answer, file_ids) and their cited files that the owner has.
 
     `replies` maps (query_id, owner_id, text, passages) to (query_id, reply): a model by `model_map` or a table of scripted replies.
     """
-    hits = lexical_search(requests, index, k).join(requests.select("query_id", "owner_id"), "query_id")
+    hits = find(requests, index, k, embed, probes).join(requests.select("query_id", "owner_id"), "query_id")
     seen = answers.passages_json(search.scope_to_owner(hits, owners))
     prompts = requests.join(seen, "query_id", "left").withColumn("passages", F.coalesce("passages", F.lit("[]")))
     parsed = replies(prompts).select("query_id", parse_answer(F.col("reply")).alias("a")).join(requests.select("query_id", "owner_id"), "query_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .claims_sql import claims_cte
 from .functions import text as fn
-from .operators import answers, claims, files, metrics, search
+from .operators import answers, claims, files, metrics, near, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -456,6 +456,17 @@ def _j8_lsh(spark, sf):
     return search.vector_match_lsh(queries, vectors, 12)
 
 
+@query("J8_vector_match_ivf")
+def _j8_ivf(spark, sf):
+    """The nearest few lists of the inverted file for each of the stated queries; a test holds its recall against the exact search."""
+    from .sources.tables import written
+
+    queries, vectors = _vectors(spark, sf)
+    centroids, lists = near.vector_index(vectors.withColumn("passage_id", F.col("passage_id").cast("string")))
+    found = near.vector_search(queries, written(centroids, "centroids"), written(lists, "lists"), 12)
+    return found.select("query_id", F.col("passage_id").cast("long").alias("passage_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
 _DECISIONS = "decisions AS (SELECT 'f' || lpad(doc_id::VARCHAR, 8, '0') AS id, CASE WHEN toxic = 1 THEN 'failed' ELSE 'ingested' END AS to_ FROM labels)"
 
 
@@ -807,25 +818,61 @@ def _c2(spark, sf):
 _PVEC = "pvec AS (SELECT passage_id, embedding FROM passages JOIN embeddings ON vec_id = doc_id WHERE line = 0 AND off = 0)"
 
 
-@query("C3_hybrid_search", f"""WITH {_INDEX}, {fx.BM25}, {_PVEC},
-lex AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM bm),
-vd AS (SELECT q.vec_id AS query_id, passage_id, sqrt(list_sum(list_transform(generate_series(1, len(v.embedding)), lambda i: (q.embedding[i]::DOUBLE - v.embedding[i]) * (q.embedding[i]::DOUBLE - v.embedding[i])))) AS d FROM embeddings q JOIN benchmark ON item_id = q.vec_id, pvec v),
-vec AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY d, passage_id) AS rank FROM vd),
-fused AS (SELECT query_id, passage_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM lex WHERE rank <= 50 UNION ALL SELECT * FROM vec WHERE rank <= 50) GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM fused) SELECT query_id, rank, passage_id, split_part(passage_id, ':', 1) AS file_id, score FROM ranked WHERE rank <= 12""")
+def _fused_sql(asked: str, keys: str, k: int) -> str:
+    """CTEs over bm and pvec up to hits: 50 best by BM25 and by vector each, fused; asked(keys, embedding) are the queries' vectors."""
+    gap = "sqrt(list_sum(list_transform(generate_series(1, len(v.embedding)), lambda i: (q.embedding[i]::DOUBLE - v.embedding[i]) * (q.embedding[i]::DOUBLE - v.embedding[i]))))"
+    return f"""asked_vec AS ({asked}),
+lex AS (SELECT {keys}, passage_id, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, passage_id) AS rank FROM bm),
+vd AS (SELECT q.* EXCLUDE (embedding), passage_id, {gap} AS d FROM asked_vec q, pvec v),
+vec AS (SELECT {keys}, passage_id, row_number() OVER (PARTITION BY {keys} ORDER BY d, passage_id) AS rank FROM vd),
+fused AS (SELECT {keys}, passage_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM lex WHERE rank <= 50 UNION ALL SELECT * FROM vec WHERE rank <= 50) GROUP BY ALL),
+franked AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, passage_id) AS rank FROM fused),
+hits AS (SELECT {keys}, rank, passage_id, p.file_id, file_name, owner_id AS file_owner, text, score FROM franked JOIN passages p USING (passage_id) WHERE rank <= {k})"""
+
+
+_ITEM_VECTORS = "SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id"
+
+
+def _hybrid_sql(k: int) -> str:
+    return f"{_INDEX}, {fx.BM25}, {_PVEC}, {_fused_sql(_ITEM_VECTORS, 'query_id', k)}"
+
+
+def _hybrid_index(spark, sf):
+    """The index with vectors: that of a document's number stands for its first passage."""
+    from .plans import jobs
+
+    kb = fx.kb_source(spark, sf)
+    first = search.passages_of(kb).where(F.col("passage_id").endswith(":000000:000000")).select("passage_id", "file_id").join(kb.select("file_id", "doc_id"), "file_id")
+    return jobs.build_index(kb, first.join(_embedding(spark, sf, "doc_id"), "doc_id").select("passage_id", "vector"))
+
+
+def _embedding(spark, sf, name):
+    return fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias(name), F.col("embedding").alias("vector"))
+
+
+def _embed(spark, sf):
+    """The vector of an item's number is the query's."""
+    return lambda asked: asked.select("query_id").join(_embedding(spark, sf, "query_id"), "query_id")
+
+
+@query("C2_vector_lists", f"WITH {fx.KB}, {fx.PASSAGES}, {_PVEC} SELECT passage_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM pvec")
+def _c2_vectors(spark, sf):
+    """Every vector stands in one list of the inverted file."""
+    lists = _hybrid_index(spark, sf)["lists"]
+    rows = lists.select(F.explode(F.arrays_zip("ids", "vectors")).alias("r")).select(F.col("r.ids").alias("passage_id"), F.col("r.vectors").alias("v"))
+    return rows.select("passage_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+
+
+@query("C3_hybrid_search", f"WITH {_hybrid_sql(12)} SELECT query_id, rank, passage_id, file_id, score FROM hits")
 def _c3(spark, sf):
-    """The vector of a document with its number stands for its first passage, and that of an item with its number for the query."""
+    """All lists of the vector index are read, so that the result is exact."""
     from .plans import jobs
 
-    index, kb = _index(spark, sf), fx.kb_source(spark, sf)
-    first = kb.select("file_id", "doc_id").join(fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
-    vectors = index["passages"].where(F.col("passage_id").endswith(":000000:000000")).join(first, "file_id").select("passage_id", "vector")
     asked = fx.requests(spark, sf)
-    query_vectors = asked.select("query_id").join(fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
-    return jobs.hybrid_search(asked, index, query_vectors, vectors, 12)
+    return jobs.hybrid_search(asked, _hybrid_index(spark, sf), _embed(spark, sf)(asked), 12, probes=None).select("query_id", "rank", "passage_id", "file_id", "score")
 
 
-@query("C4_ask", f"""WITH {_hits_sql(20)}, mine AS (SELECT query_id, file_id, min(rank) AS rank FROM hits WHERE file_owner = 'src' || (query_id % 20) GROUP BY query_id, file_id),
+@query("C4_ask", f"""WITH {_hybrid_sql(20)}, mine AS (SELECT query_id, file_id, min(rank) AS rank FROM hits WHERE file_owner = 'src' || (query_id % 20) GROUP BY query_id, file_id),
 best AS (SELECT query_id, arg_min(file_id, rank) AS file_id FROM mine GROUP BY query_id) SELECT query_id, 0 AS pos, file_id, kb.file_name AS name FROM best JOIN kb USING (file_id)""")
 def _c4(spark, sf):
     """The scripted model cites the first passage that it sees, and a file that nobody has."""
@@ -838,7 +885,7 @@ def _c4(spark, sf):
         ids = F.array_compact(F.array(first, F.lit("nobody")))
         return prompts.select("query_id", F.concat(F.lit("Found: "), F.to_json(F.struct(F.lit("see source").alias("answer"), ids.alias("fileIds")))).alias("reply"))
 
-    _, cited = jobs.ask(fx.requests(spark, sf), _index(spark, sf), owners, scripted)
+    _, cited = jobs.ask(fx.requests(spark, sf), _hybrid_index(spark, sf), owners, scripted, embed=_embed(spark, sf), probes=None)
     return cited
 
 
@@ -853,15 +900,25 @@ def _c5(spark, sf):
     return answers.fill_answers(forms, results)
 
 
-def _check_sql(last: str) -> str:
+def _check_sql(last: str, hybrid: bool = False) -> str:
+    """With `hybrid` each claim also has the vector of three times its item's number and its own, where there is one."""
+    ranked = "rk AS (SELECT *, row_number() OVER (PARTITION BY item_id, claim_idx ORDER BY score DESC, passage_id) AS rank FROM bm)"
+    merged = "mg AS (SELECT item_id, claim_idx, r.file_id, any_value(owner_id) AS o, string_agg(text, chr(10) ORDER BY rank) AS candidate, min(rank) AS rank FROM rk r JOIN passages USING (passage_id) WHERE rank <= 12 GROUP BY item_id, claim_idx, r.file_id)"
+    if hybrid:
+        ranked = f"{_PVEC}, {_fused_sql('SELECT item_id, claim_idx, embedding FROM c JOIN embeddings ON vec_id = item_id * 3 + claim_idx', 'item_id, claim_idx', 12)}"
+        merged = "mg AS (SELECT item_id, claim_idx, file_id, any_value(file_owner) AS o, string_agg(text, chr(10) ORDER BY rank) AS candidate, min(rank) AS rank FROM hits GROUP BY item_id, claim_idx, file_id)"
+    return _check_sql_of(last, ranked, merged)
+
+
+def _check_sql_of(last: str, ranked: str, merged: str) -> str:
     toks = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{Nd}}]+'))"
     mine, theirs = toks.format("claim"), toks.format("span")
     neg = "list_has_any({0}, ['not','no','never','none','nor'])"
     return f"""WITH {fx.KB}, {fx.PASSAGES}, {fx.POSTINGS}, {claims_cte('benchmark', 'item_id', 'c')},
 qterms AS (SELECT DISTINCT item_id, claim_idx, unnest(regexp_extract_all(lower(claim), '[\\p{{L}}\\p{{Nd}}]+')) AS term FROM c),
 bm AS (SELECT item_id, claim_idx, passage_id, file_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM qterms JOIN freq USING (term) JOIN postings USING (term), stats GROUP BY ALL),
-rk AS (SELECT *, row_number() OVER (PARTITION BY item_id, claim_idx ORDER BY score DESC, passage_id) AS rank FROM bm),
-mg AS (SELECT item_id, claim_idx, r.file_id, any_value(owner_id) AS o, string_agg(text, chr(10) ORDER BY rank) AS candidate, min(rank) AS rank FROM rk r JOIN passages USING (passage_id) WHERE rank <= 12 GROUP BY item_id, claim_idx, r.file_id),
+{ranked},
+{merged},
 cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, claim_idx ORDER BY rank) AS pos FROM mg WHERE o = 'src' || (item_id % 20)) WHERE pos <= 3),
 ck AS (SELECT item_id || '/' || claim_idx || '/' || file_id AS ckey, * FROM cand), src AS (SELECT ckey, candidate AS text FROM ck),
 {claims_cte('src', 'ckey', 's')},
@@ -877,15 +934,17 @@ def _check(spark, sf):
     from .plans import jobs
 
     owners = fx.kb_source(spark, sf).select(F.col("file_id").alias("id"), "owner_id")
-    return jobs.check(fx.requests(spark, sf).select("check_id", "owner_id", "text"), _index(spark, sf), owners)
+    number = (F.col("query_id.check_id") * 3 + F.col("query_id.claim_idx")).alias("n")
+    embed = lambda asked: asked.select("query_id", number).join(_embedding(spark, sf, "n"), "n").select("query_id", "vector")
+    return jobs.check(fx.requests(spark, sf).select("check_id", "owner_id", "text"), _hybrid_index(spark, sf), owners, embed=embed, probes=None)
 
 
-@query("C6_check", _check_sql('SELECT check_id, claim_idx, claim, start, "end", verdict, n_refs FROM verdicts'))
+@query("C6_check", _check_sql('SELECT check_id, claim_idx, claim, start, "end", verdict, n_refs FROM verdicts', hybrid=True))
 def _c6(spark, sf):
     return _check(spark, sf)["verdicts"]
 
 
-@query("C6_check_references", _check_sql('SELECT check_id, claim_idx, ref_idx, file_id, span_text, start, "end", relation FROM capped'))
+@query("C6_check_references", _check_sql('SELECT check_id, claim_idx, ref_idx, file_id, span_text, start, "end", relation FROM capped', hybrid=True))
 def _c6_refs(spark, sf):
     return _check(spark, sf)["references"].drop("idx")
 

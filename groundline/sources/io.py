@@ -16,6 +16,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..operators.files import ENTRIES_CAP, ENTRY_CAP, TOTAL_CAP
 from ..operators.metrics import metric_lines
+from .tables import bounded_batches
 
 MESSAGE = "struct<Records: array<struct<eventSource: string, body: string>>>"
 OBJECT_EVENT = "struct<Records: array<struct<s3: struct<object: struct<key: string, size: bigint>>>>>"
@@ -112,7 +113,7 @@ def expand_archives(archives: DataFrame) -> DataFrame:
                 except ValueError as e:
                     yield row(key, None, None, None, None, str(e))
 
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    bounded_batches(archives.sparkSession)
     return archives.select("archive_id", "content").mapInArrow(run, schema)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,7 +20,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet and read back: it cuts lineage and outlives lost executors."""
+    """df written once as Parquet and read back: it cuts lineage and outlives lost executors. The table is deleted when the driver's process ends."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    atexit.register(_drop, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session has ended; the folder's owner clears it
+        pass
+
+
+def bounded_batches(spark: SparkSession, most_bytes: int = 64 << 20) -> None:
+    """Rows reach Python in batches of at most so many bytes, or single ones: for rows that hold archives or blocks of vectors. The session keeps the limit."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
