@@ -118,14 +118,22 @@ def verdict_tally(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("check_id", "verdict").agg(F.count(F.lit(1)).alias("n")).select("check_id", pos.alias("pos"), "verdict", "n")
 
 
-def assemble_checks(verdicts: DataFrame, references: DataFrame) -> DataFrame:
-    """(check_id, status, claims array<struct<..., references>>): one document per check, claims and references in order."""
+def assemble_checks(verdicts: DataFrame, references: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """(check_id, status, claims array<struct<..., references>>): one document per check, claims and references in order.
+
+    Checks of failed(check_id) are failed and have no claims.
+    """
     ref = F.struct("ref_idx", "file_id", "span_text", "start", "end", "relation")
     listed = references.groupBy("check_id", "claim_idx").agg(F.sort_array(F.collect_list(ref)).alias("references"))
     none = F.array().cast(listed.schema["references"].dataType)
     full = verdicts.join(listed, ["check_id", "claim_idx"], "left").withColumn("references", F.coalesce("references", none))
     claim = F.struct("claim_idx", "claim", "start", "end", "verdict", "references")
-    return full.groupBy("check_id").agg(F.sort_array(F.collect_list(claim)).alias("claims")).select("check_id", F.lit("done").alias("status"), "claims")
+    done = full.groupBy("check_id").agg(F.sort_array(F.collect_list(claim)).alias("claims")).select("check_id", F.lit("done").alias("status"), "claims")
+    if failed is None:
+        return done
+    lost = failed.select("check_id").distinct()
+    empty = F.array().cast(done.schema["claims"].dataType)
+    return done.join(lost, "check_id", "left_anti").unionByName(lost.select("check_id", F.lit("failed").alias("status"), empty.alias("claims")))
 
 
 def grounding_coverage(verdicts: DataFrame) -> DataFrame:

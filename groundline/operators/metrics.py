@@ -5,20 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import is_retryable
+
 MOST_MS = 600_000
+#: Accuracy of percentile sketches: ranks are off by one in so many at most.
+ACCURACY = 10_000
+
+
+def _percentiles(column: str, exact: bool) -> list[Column]:
+    """p50 and p95: exact ones hold all distinct values of a group; the others are mergeable sketches of a bounded size."""
+    at = (lambda p: F.percentile(column, p)) if exact else (lambda p: F.percentile_approx(column, p, ACCURACY))
+    return [at(0.5).alias(f"p50_{column}"), at(0.95).alias(f"p95_{column}")]
 
 
-def red_metrics(requests: DataFrame, *more: Column) -> DataFrame:
-    """requests(route, method, status_class, ms, failed) -> counts, errors and mean duration; `more` are further group columns."""
-    return requests.groupBy(*more, "route", "method", "status_class").agg(F.count(F.lit(1)).alias("request_count"), F.count_if("failed").alias("error_count"), F.avg("ms").alias("avg_ms"))
+def red_metrics(requests: DataFrame, *more: Column, exact: bool = False) -> DataFrame:
+    """requests(route, method, status_class, ms, failed) -> counts, errors, mean, median and 95th percentile of duration; `more` are further group columns."""
+    counts = F.count(F.lit(1)).alias("request_count"), F.count_if("failed").alias("error_count"), F.avg("ms").alias("avg_ms")
+    return requests.groupBy(*more, "route", "method", "status_class").agg(*counts, *_percentiles("ms", exact))
 
 
-def call_metrics(calls: DataFrame, *more: Column) -> DataFrame:
-    """calls(op, ok, latency_ms, input_tokens, output_tokens) by op."""
+def call_metrics(calls: DataFrame, *more: Column, exact: bool = False) -> DataFrame:
+    """calls(op, ok, status, latency_ms, input_tokens, output_tokens) by op; transient errors are those that a retry can mend."""
     return calls.groupBy(*more, "op").agg(
         F.count(F.lit(1)).alias("calls"),
         F.count_if(~F.col("ok")).alias("errors"),
+        F.count_if(~F.col("ok") & F.coalesce(is_retryable(F.col("status")), F.lit(False))).alias("transient_errors"),
         F.avg("latency_ms").alias("avg_latency_ms"),
+        *_percentiles("latency_ms", exact),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
     )
@@ -30,8 +43,7 @@ def validate_time_to_file(df: DataFrame) -> DataFrame:
 
 def time_to_file_stats(df: DataFrame, exact: bool = False) -> DataFrame:
     """Per source: count, median and 95th percentile of valid times; exact percentiles hold all distinct values of a group."""
-    at = (lambda p: F.percentile("ms", p)) if exact else (lambda p: F.percentile_approx("ms", p, 10000))
-    return validate_time_to_file(df).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("ms").alias("avg_ms"), at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"))
+    return validate_time_to_file(df).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("ms").alias("avg_ms"), *_percentiles("ms", exact))
 
 
 def recent_calls(calls: DataFrame, n: int) -> DataFrame:

@@ -7,11 +7,12 @@ import time
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import archive_over_cap, base_name, child_upload_id, content_hash, content_type_for_name, detect_content_type, failed_file_ids, file_key, has_archive_magic, is_archive_type, needs_transcription, parse_answer, sidecar_json, tokens, verbatim_matches
+from ..functions.text import archive_over_cap, base_name, child_upload_id, content_hash, content_type_for_name, detect_content_type, failed_file_ids, file_key, has_archive_magic, is_archive_type, needs_transcription, parse_answer, search_text, sidecar_json, tokens, verbatim_matches
 from ..operators import answers, claims, files, near, search
 from ..sources import io
 from ..sources.tables import written
@@ -144,6 +145,12 @@ def hybrid_search(queries: DataFrame, index: dict[str, DataFrame], query_vectors
     return search.fuse(lexical, vector, k).join(index["passages"], "passage_id").select("query_id", "rank", "passage_id", "file_id", "file_name", "text", "score")
 
 
+def find_owned(queries: DataFrame, index: dict[str, DataFrame], owners: DataFrame, k: int) -> DataFrame:
+    """The k best passages by BM25 among those that the query's owner has: foreign ones don't use up the limit."""
+    matched = search.lexical_match(queries, index["postings"], index["stats"], index["frequencies"])
+    return search.owned_top(queries, matched, owners, k).drop("owner_id").join(index["passages"].select("passage_id", "file_name", "text"), "passage_id")
+
+
 def find(queries: DataFrame, index: dict[str, DataFrame], k: int, embed: Callable[[DataFrame], DataFrame] | None, probes: int | None = near.PROBES) -> DataFrame:
     """Hybrid search where there is `embed`, (query_id, text) -> (query_id, vector), and the index has vectors; else by BM25 alone."""
     if embed is None or "lists" not in index:
@@ -202,42 +209,141 @@ def check(requests: DataFrame, index: dict[str, DataFrame], owners: DataFrame, p
 def model_map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], op: str, model: str = "scripted", tries: int = MODEL_TRIES, partitions: int | None = None) -> DataFrame:
     """Batches of df(id, prompt) through `fn`, which returns id, reply, input_tokens, output_tokens -> one row per attempt.
 
-    A batch that raises is tried again, with full jitter; every attempt is a row (ok, error, attempt). The last attempt's rows
-    carry the replies. `partitions` bounds how many batches run at once. Attempts are not deterministic in time, so latency
-    is 0 where `fn` gives none.
+    A batch that raises is tried again, with full jitter; every attempt is a row (ok, error, attempt). If it never works, its halves are tried
+    once each, and so on, so that a prompt which a model can't take fails alone. The last attempt's rows carry the replies.
+    `partitions` bounds how many batches run at once.
     """
 
+    def attempt(batch: pd.DataFrame, number: int) -> pd.DataFrame:
+        base = pd.DataFrame({"id": batch["id"], "op": op, "model": model, "prompt": batch["prompt"], "attempt": number})
+        try:
+            got = batch[["id"]].merge(fn(batch).drop_duplicates("id"), on="id", how="left")
+            there = got["reply"].notna().to_numpy()
+            counts = {c: got[c].fillna(0).astype(int).to_numpy() for c in ("input_tokens", "output_tokens")}
+            return base.assign(reply=got["reply"].to_numpy(), **counts, ok=there, error=np.where(there, None, "no reply"))
+        except Exception as e:  # the model is the caller's; any failure of it is a failed attempt
+            return base.assign(reply=None, input_tokens=0, output_tokens=0, ok=False, error=f"{type(e).__name__}: {e}")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for attempt in range(1, tries + 1):
-                base = pd.DataFrame({"id": batch["id"], "op": op, "model": model, "prompt": batch["prompt"], "attempt": attempt})
-                try:
-                    got = batch[["id"]].merge(fn(batch), on="id", how="left")
-                    yield base.assign(reply=got["reply"].to_numpy(), input_tokens=got["input_tokens"].fillna(0).astype(int).to_numpy(), output_tokens=got["output_tokens"].fillna(0).astype(int).to_numpy(), ok=got["reply"].notna().to_numpy(), error=None)
-                    break
-                except Exception as e:  # the model is the caller's; any failure of it is a failed attempt
-                    yield base.assign(reply=None, input_tokens=0, output_tokens=0, ok=False, error=f"{type(e).__name__}: {e}")
-                    if attempt < tries:
-                        time.sleep(random.uniform(0, min(MOST_BACKOFF_S, BACKOFF_S * 2 ** (attempt - 1))))
+            waiting = [(batch.reset_index(drop=True), 1, tries)]
+            while waiting:
+                part, number, left = waiting.pop(0)
+                out = attempt(part, number)
+                yield out
+                if out["ok"].any() or not len(part):
+                    continue
+                if left > 1:
+                    time.sleep(random.uniform(0, min(MOST_BACKOFF_S, BACKOFF_S * 2 ** (number - 1))))
+                    waiting.append((part, number + 1, left - 1))
+                elif len(part) > 1:
+                    half = len(part) // 2
+                    waiting += [(part.iloc[:half].reset_index(drop=True), number + 1, 1), (part.iloc[half:].reset_index(drop=True), number + 1, 1)]
 
     kind = df.schema["id"].dataType.simpleString()
     spread = df.select("id", "prompt").repartition(partitions) if partitions else df.select("id", "prompt")
     return spread.mapInPandas(run, f"id {kind}, op string, model string, prompt string, attempt int, reply string, input_tokens long, output_tokens long, ok boolean, error string")
 
 
-def ask(requests: DataFrame, index: dict[str, DataFrame], owners: DataFrame, replies: Callable[[DataFrame], DataFrame], k: int = 20, embed: Callable[[DataFrame], DataFrame] | None = None, probes: int | None = near.PROBES) -> tuple[DataFrame, DataFrame]:
-    """requests(query_id, owner_id, text) -> answers(query_id, answer, file_ids) and their cited files that the owner has.
+def ask(requests: DataFrame, index: dict[str, DataFrame], owners: DataFrame, replies: Callable[[DataFrame], DataFrame], k: int = 20, embed: Callable[[DataFrame], DataFrame] | None = None, probes: int | None = near.PROBES, scope: str = "post") -> tuple[DataFrame, DataFrame]:
+    """requests(query_id, owner_id, text) -> answers(query_id, owner_id, answer, file_ids, error) and their cited files that the owner has.
 
-    `replies` maps (query_id, owner_id, text, passages) to (query_id, reply): a model by `model_map` or a table of scripted replies.
+    `replies` maps (query_id, owner_id, text, passages) to (query_id, reply[, error]): a model by `by_model` or a table of scripted replies. A query
+    whose reply failed has an error and no answer. scope "post" drops foreign passages after the limit, "pre" before it (BM25 alone).
     """
-    hits = find(requests, index, k, embed, probes).join(requests.select("query_id", "owner_id"), "query_id")
+    hits = find_owned(requests, index, owners, k) if scope == "pre" else find(requests, index, k, embed, probes)
+    hits = hits.join(requests.select("query_id", "owner_id"), "query_id")
     seen = answers.passages_json(search.scope_to_owner(hits, owners))
     prompts = requests.join(seen, "query_id", "left").withColumn("passages", F.coalesce("passages", F.lit("[]")))
-    parsed = replies(prompts).select("query_id", parse_answer(F.col("reply")).alias("a")).join(requests.select("query_id", "owner_id"), "query_id")
-    out = parsed.select("query_id", "owner_id", "a.answer", "a.file_ids")
+    said = replies(prompts)
+    if "error" not in said.columns:
+        said = said.withColumn("error", F.lit(None).cast("string"))
+    said = written(said.select("query_id", "reply", "error"), "replies")  # a model is asked once, however often its replies are read
+    parsed = said.select("query_id", F.when(F.col("error").isNull(), parse_answer(F.col("reply"))).alias("a"), "error").join(requests.select("query_id", "owner_id"), "query_id")
+    out = parsed.select("query_id", "owner_id", "a.answer", "a.file_ids", "error")
     return out, answers.load_cited(out, owners)
 
 
+def by_model(fn: Callable[[pd.DataFrame], pd.DataFrame], op: str, prompt: Callable[[DataFrame], Column], **more) -> Callable[[DataFrame], DataFrame]:
+    """`replies` for `ask` and `fill` by a model: prompt(df) is the text of a row; the last attempt's reply stands, or its error."""
+
+    def replies(prompts: DataFrame) -> DataFrame:
+        key = F.to_json(F.struct("query_id"))
+        trace = model_map(prompts.select(key.alias("id"), prompt(prompts).alias("prompt")), fn, op, **more)
+        last = trace.groupBy("id").agg(F.max_by(F.struct("reply", "error"), F.struct("ok", "attempt")).alias("r"))
+        error = F.when(F.col("r.reply").isNull(), F.coalesce("r.error", F.lit("no reply")))
+        return prompts.select("query_id", key.alias("id")).join(last, "id").select("query_id", "r.reply", error.alias("error"))
+
+    return replies
+
+
+def fill(forms: DataFrame, index: dict[str, DataFrame], owners: DataFrame, replies: Callable[[DataFrame], DataFrame], k: int = 20, embed: Callable[[DataFrame], DataFrame] | None = None, probes: int | None = near.PROBES) -> tuple[DataFrame, DataFrame]:
+    """forms(form_id, owner_id, fields) -> a row per field in the form's order, and rejected forms.
+
+    Every field is a question of its own to `ask`; rows are form_id, pos, field, value, found, error, sources (ids of the cited files that the owner has, in
+    citation order). A field without such a source has no value; one whose reply failed has an error, which is no miss, and fails no other field.
+    """
+    good, bad = answers.validate_fields(forms)
+    good = written(good.select("form_id", "owner_id", "fields"), "forms")
+    asked = good.select(F.posexplode("fields").alias("pos", "text"), "form_id", "owner_id").select(F.struct("form_id", "pos").alias("query_id"), "owner_id", "text")
+    said, cited = ask(asked, index, owners, replies, k, embed, probes)
+    listed = cited.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "file_id"))), lambda x: x["file_id"]).alias("sources"))
+    none = F.array().cast("array<string>")
+    results = said.join(listed, "query_id", "left").select("query_id.form_id", "query_id.pos", F.col("answer").alias("value"), F.coalesce("sources", none).alias("sources"), "error")
+    rows = answers.fill_answers(good, results)
+    return rows.join(results.select("form_id", "pos", "sources"), ["form_id", "pos"], "left").withColumn("sources", F.coalesce("sources", none)), bad
+
+
+def run_evals(cases: DataFrame, replies: Callable[[DataFrame], DataFrame] | None = None, k: int = 20) -> DataFrame:
+    """Golden cases (`io.read_golden_cases`) -> case, n_expected, n_cited, passed.
+
+    Each case's files are seeded as its owner's, in a world of their own, and its query goes through `ask` with the case's scripted final reply, or with
+    `replies`. It passes where all expected files are among the cited ones that the owner has and the answer holds all expected texts.
+    """
+    owner = F.to_json(F.struct("name", "owner"))  # cases don't see each other's files
+    own = F.concat_ws("/", "name", "file.id")
+    files_ = cases.select("name", owner.alias("owner_id"), F.explode("files").alias("file")).select(own.alias("file_id"), F.col("file.name").alias("file_name"), "owner_id", search_text(F.col("file.name"), F.coalesce(F.col("file.meta"), F.create_map().cast("map<string,string>"))).alias("text"))
+    files_ = written(files_, "seeds")
+    asked = cases.select(F.col("name").alias("query_id"), owner.alias("owner_id"), F.col("query").alias("text"), F.col("script.final").alias("final"))
+
+    def scripted(prompts: DataFrame) -> DataFrame:
+        return prompts.select("query_id", F.coalesce("final", F.lit("")).alias("reply"))
+
+    said, _ = ask(asked, build_index(files_), files_.select(F.col("file_id").alias("id"), "owner_id", F.col("file_name").alias("name")), replies or scripted, k)
+    # Replies name a case's files by their own ids.
+    named = said.withColumn("file_ids", F.transform("file_ids", lambda i: F.concat_ws("/", "query_id", i)))
+    held = files_.select(F.col("file_id").alias("id"), "owner_id", F.col("file_name").alias("name"))
+    cited = answers.load_cited(named, held).groupBy("query_id").agg(F.collect_list(F.expr("substring(file_id, length(query_id) + 2)")).alias("cited"))
+    given = said.join(cited, "query_id", "left").select(F.col("query_id").alias("case"), "answer", F.coalesce("cited", F.array().cast("array<string>")).alias("cited"))
+    none = F.array().cast("array<string>")
+    expected = cases.select(F.col("name").alias("case"), F.coalesce("expect.fileIds", none).alias("expected_ids"), F.coalesce("expect.answerContains", none).alias("contains"))
+    return answers.eval_report(expected, given)
+
+
+def verify(tasks: DataFrame, checks: DataFrame, index: dict[str, DataFrame], owners: DataFrame, as_of: str, **more) -> DataFrame:
+    """tasks(check_id, owner_id, deadline), checks(id, owner_id, text) -> check_id, status, reason, claim_idx, verdict, n_refs: a row per claim, or one of a failed check.
+
+    A task for a check that isn't there or is another owner's is refused: no row of the check changes, its row has the status refused. A task
+    whose deadline has passed at as_of, and a check that `check` refuses, fail with a reason. A check without claims is done with a row without verdict.
+    `more` goes to `check`.
+    """
+    held = checks.select(F.col("id").alias("check_id"), F.col("owner_id").alias("_owner"), "text", F.lit(True).alias("_there"))
+    joined = tasks.dropDuplicates(["check_id", "owner_id"]).join(held, "check_id", "left")
+    refused = F.when(F.col("_there").isNull(), "no such check").when(~F.col("owner_id").eqNullSafe(F.col("_owner")), "the check is another owner's")
+    late = F.when(F.col("deadline") <= F.lit(as_of).cast("timestamp"), "the deadline has passed")
+    judged = written(joined.withColumns({"refused": refused, "late": late}), "tasks")
+    run = judged.where("refused is null and late is null").select("check_id", "owner_id", "text")
+    out = check(run, index, owners, **more)
+    none = [F.lit(None).cast("int").alias("claim_idx"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("long").alias("n_refs")]
+    say = lambda status, reason: [F.lit(status).alias("status"), reason.alias("reason")]
+    nothing = F.lit(None).cast("string")
+    verdicts = written(out["verdicts"].select("check_id", *say("done", nothing), "claim_idx", "verdict", "n_refs"), "verdicts")
+    failed = out["failed"].select("check_id", *say("failed", F.col("reason")), *none)
+    idle = run.select("check_id").join(verdicts, "check_id", "left_anti").join(failed, "check_id", "left_anti").select("check_id", *say("done", nothing), *none)
+    stopped = judged.where("refused is not null or late is not null").select("check_id", F.when(F.col("refused").isNotNull(), "refused").otherwise("failed").alias("status"), F.coalesce("refused", "late").alias("reason"), *none)
+    return verdicts.unionByName(failed).unionByName(idle).unionByName(stopped)
+
+
 def sync_landed(records: DataFrame, reasons: DataFrame, completed: bool = True, batch: int = 100) -> DataFrame:
     """records after an index run: up to `batch` landed files become ingested, or failed where a reason names them."""
     if not completed:

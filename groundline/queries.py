@@ -384,6 +384,15 @@ def _j4(spark, sf):
     return search.scope_to_owner(hits, owners).select("query_id", "rank", "passage_id")
 
 
+@query("J4_scope_before_limit", f"""WITH {_INDEX}, {fx.BM25}, own AS (SELECT bm.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM bm JOIN passages USING (passage_id) WHERE owner_id = 'src' || (query_id % 20))
+SELECT query_id, rank, passage_id, file_id, score FROM own WHERE rank <= 12""")
+def _j4_pre(spark, sf):
+    from .plans import jobs
+
+    owners = fx.kb_source(spark, sf).select(F.col("file_id").alias("id"), "owner_id")
+    return jobs.find_owned(fx.requests(spark, sf), _index(spark, sf), owners, 12).select("query_id", "rank", "passage_id", "file_id", "score")
+
+
 @query("J5_load_cited", f"""WITH {fx.FILES}, cited AS (SELECT conv_id AS query_id, list('f' || lpad((turn * 7 + conv_id)::VARCHAR, 8, '0') ORDER BY turn) AS ids, 'src' || (conv_id % 20) AS owner_id FROM conversations GROUP BY conv_id),
 flat AS (SELECT query_id, owner_id, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM cited) SELECT query_id, pos, id AS file_id, name FROM flat JOIN files USING (id, owner_id)""")
 def _j5(spark, sf):
@@ -525,16 +534,24 @@ def _a4(spark, sf):
 
 
 @query("A5_assemble_checks", f"""{_REFS}, r AS (SELECT check_id, claim_idx, string_agg(ref_idx || file_id || start || relation, ',' ORDER BY ref_idx) AS rs FROM capped GROUP BY ALL)
-SELECT check_id, 'done' AS status, string_agg(claim_idx || verdict || coalesce(rs, ''), ';' ORDER BY claim_idx) AS digest FROM verdicts LEFT JOIN r USING (check_id, claim_idx) GROUP BY check_id""")
+SELECT check_id, CASE WHEN check_id % 7 = 2 THEN 'failed' ELSE 'done' END AS status, CASE WHEN check_id % 7 = 2 THEN '' ELSE string_agg(claim_idx || verdict || coalesce(rs, ''), ';' ORDER BY claim_idx) END AS digest FROM verdicts LEFT JOIN r USING (check_id, claim_idx) GROUP BY check_id""")
 def _a5(spark, sf):
     rows, matched = _findings(spark, sf)
     refs = claims.gate_findings(matched)
-    done = claims.assemble_checks(claims.claim_verdict(rows, refs), claims.cap_references(refs))
+    failed = rows.where("check_id % 7 = 2").select("check_id")
+    done = claims.assemble_checks(claims.claim_verdict(rows, refs), claims.cap_references(refs), failed)
     ref = lambda r: F.concat(r["ref_idx"].cast("string"), r["file_id"], r["start"].cast("string"), r["relation"])
     part = F.transform("claims", lambda c: F.concat(c["claim_idx"].cast("string"), c["verdict"], F.array_join(F.transform(c["references"], ref), ",")))
     return done.select("check_id", "status", F.array_join(part, ";").alias("digest"))
 
 
+_MS_SQL = "round(avg(ms), 6) AS avg_ms, round(quantile_cont(ms, 0.5), 6) AS p50_ms, round(quantile_cont(ms, 0.95), 6) AS p95_ms"
+
+
+def _rounded(df, column):
+    return df.withColumns({c: F.round(c, 6) for c in (f"avg_{column}", f"p50_{column}", f"p95_{column}")})
+
+
 def _requests_log(spark, sf):
     e = fx.events(spark, sf)
     return e.select("ts", fn.route_label(F.col("method"), F.col("path")).alias("route"), fn.method_label(F.col("method")).alias("method"), fn.status_class(F.col("code")).alias("status_class"), F.col("value").alias("ms"), (F.col("code") >= 400).alias("failed"))
@@ -543,22 +560,29 @@ def _requests_log(spark, sf):
 _LOG = f"log AS (SELECT ts, {fx.ROUTE_SQL} AS route, {fx.METHOD_SQL} AS method, (code // 100) || 'xx' AS status_class, value AS ms, code >= 400 AS failed FROM ev)"
 
 
-@query("A6_red_metrics", f"WITH {fx.EVENTS}, {_LOG} SELECT route, method, status_class, count(*) AS request_count, count(*) FILTER (WHERE failed) AS error_count, round(avg(ms), 6) AS avg_ms FROM log GROUP BY ALL")
+@query("A6_red_metrics", f"WITH {fx.EVENTS}, {_LOG} SELECT route, method, status_class, count(*) AS request_count, count(*) FILTER (WHERE failed) AS error_count, {_MS_SQL} FROM log GROUP BY ALL")
 def _a6(spark, sf):
-    return metrics.red_metrics(_requests_log(spark, sf)).withColumn("avg_ms", F.round("avg_ms", 6))
+    return _rounded(metrics.red_metrics(_requests_log(spark, sf), exact=True), "ms")
 
 
 def _calls(spark, sf):
     e = fx.events(spark, sf)
-    return e.select(F.col("event_type").alias("op"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency_ms"), F.col("k").alias("input_tokens"), (F.col("k") * 2).alias("output_tokens"), F.col("ts").alias("created_at"), "ts", F.col("event_id").alias("sk"))
+    return e.select(F.col("event_type").alias("op"), (F.col("event_type") != "error").alias("ok"), F.col("code").alias("status"), F.col("value").alias("latency_ms"), F.col("k").alias("input_tokens"), (F.col("k") * 2).alias("output_tokens"), F.col("ts").alias("created_at"), "ts", F.col("event_id").alias("sk"))
 
 
-_CALLS = "SELECT event_type AS op, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 6) AS avg_latency_ms, sum(k)::BIGINT AS input_tokens, sum(k * 2)::BIGINT AS output_tokens FROM ev GROUP BY event_type"
+_CALL_COLUMNS = """event_type AS op, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type = 'error' AND code >= 500) AS transient_errors, round(avg(value), 6) AS avg_latency_ms,
+ round(quantile_cont(value, 0.5), 6) AS p50_latency_ms, round(quantile_cont(value, 0.95), 6) AS p95_latency_ms, sum(k)::BIGINT AS input_tokens, sum(k * 2)::BIGINT AS output_tokens"""
 
 
-@query("A7_call_metrics", f"WITH {fx.EVENTS} {_CALLS}")
+@query("A7_call_metrics", f"WITH {fx.EVENTS} SELECT {_CALL_COLUMNS} FROM ev GROUP BY event_type")
 def _a7(spark, sf):
-    return metrics.call_metrics(_calls(spark, sf)).withColumn("avg_latency_ms", F.round("avg_latency_ms", 6))
+    return _rounded(metrics.call_metrics(_calls(spark, sf), exact=True), "latency_ms")
+
+
+@query("A6_red_sketches")
+def _a6_sketches(spark, sf):
+    """The same with mergeable percentile sketches, as at scale; a test holds them against the exact ones."""
+    return metrics.red_metrics(_requests_log(spark, sf))
 
 
 @query("A8_time_to_file", f"WITH {fx.EVENTS}, t AS (SELECT event_type AS source, value * 100 AS ms FROM ev) SELECT source, count(*) AS n, round(avg(ms), 6) AS avg_ms, round(quantile_cont(ms, 0.5), 6) AS p50_ms, round(quantile_cont(ms, 0.95), 6) AS p95_ms FROM t WHERE ms BETWEEN 0 AND 600000 GROUP BY source")
@@ -735,6 +759,68 @@ def _s4_sql(spark, sf):
     return spark.sql("SELECT a.id AS archive_id, e.path, e.size, sha2(e.content, 256) AS hash FROM {archives} a, LATERAL unpack_archive(a.content) e WHERE e.path IS NOT NULL", archives=archives)
 
 
+def _upload_files(spark, sf):
+    """Every item as an object in a folder of its upload's name, and every third a second time; the path of the folder."""
+    from .sources.tables import shared_path
+
+    path = shared_path(spark, "objects")
+    b = fx.table(spark, sf, "benchmark").select(F.concat(F.lit("upl "), F.col("item_id").cast("string")).alias("upload_id"), "item_id", "text")
+    rows = b.select("upload_id", "text", F.lit(0).alias("n")).unionAll(b.where("item_id % 3 = 0").select("upload_id", "text", F.lit(1)))
+    rows.repartition(4, "n").select("upload_id", "text").write.option("maxRecordsPerFile", 1).partitionBy("upload_id").text(path)
+    return path
+
+
+@query("S1_read_uploads", "SELECT 'upl ' || item_id AS upload_id, strlen(text) + 1 AS size, sha256(text || chr(10)) AS hash, count(*) AS n FROM (SELECT * FROM benchmark UNION ALL SELECT * FROM benchmark WHERE item_id % 3 = 0) GROUP BY ALL")
+def _s1(spark, sf):
+    """Objects as they lie in the store: a line of text each."""
+    from .sources import io
+
+    df = io.read_uploads(spark, _upload_files(spark, sf))
+    return df.select(io.upload_id_of(F.col("path")).alias("upload_id"), F.col("length").alias("size"), fn.content_hash(F.col("content")).alias("hash")).groupBy("upload_id", "size", "hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CASES = """cases AS (SELECT item_id, 'case-' || lpad(item_id::VARCHAR, 6, '0') AS name, 'src' || (item_id % 20) AS owner, 'f' || item_id AS own, item_id % 3 = 1 AS wrong, item_id % 5 = 2 AS silent FROM benchmark)"""
+
+
+def _golden_cases(spark, sf):
+    """A file for each item: its case has two files of its own; some scripts cite what isn't theirs, some don't say what is expected."""
+    from .sources import io
+    from .sources.tables import shared_path
+
+    path = shared_path(spark, "cases")
+    n = F.col("item_id").cast("string")
+    file = lambda letter, meta: F.struct(F.concat(F.lit(letter), n).alias("id"), F.concat(F.lit(letter), n, F.lit(".txt")).alias("name"), F.create_map(F.lit("about"), meta).alias("meta"))
+    cited = F.when(F.col("item_id") % 3 == 1, F.concat(F.lit("f"), (F.col("item_id") + 1).cast("string"))).otherwise(F.concat(F.lit("f"), n))
+    said = F.when(F.col("item_id") % 5 == 2, "I can't tell.").otherwise(F.concat(F.lit("It is number "), n, F.lit(".")))
+    final = F.concat(F.lit("Done. "), F.to_json(F.struct(said.alias("answer"), F.array(cited, F.concat(F.lit("g"), n)).alias("fileIds"))))
+    call = F.struct(F.lit("search_by_meaning").alias("tool"), F.col("text").alias("input"))
+    case = fx.table(spark, sf, "benchmark").select(
+        F.concat(F.lit("case-"), F.lpad(n, 6, "0")).alias("name"), F.col("text").alias("query"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("owner"),
+        F.array(file("f", F.col("text")), file("g", F.lit("nothing"))).alias("files"), F.struct(F.array(call).alias("calls"), final.alias("final")).alias("script"),
+        F.struct(F.array(F.concat(F.lit("f"), n)).alias("fileIds"), F.array(F.concat(F.lit("number "), n)).alias("answerContains")).alias("expect"),
+    )
+    case.write.option("maxRecordsPerFile", 1).json(path)
+    return io.read_golden_cases(spark, path)
+
+
+@query("S5_golden_cases", f"WITH {_CASES} SELECT name, owner, 2 AS n_files, own AS first_file, 'number ' || item_id AS phrase FROM cases")
+def _s5(spark, sf):
+    return _golden_cases(spark, sf).select("name", "owner", F.size("files").alias("n_files"), F.col("files")[0]["id"].alias("first_file"), F.col("expect.answerContains")[0].alias("phrase"))
+
+
+@query("S7_write_kb_source", f"WITH {fx.KB} SELECT owner_id, count(*) AS files, sum(length(text))::BIGINT AS n_chars FROM kb GROUP BY owner_id")
+def _s7(spark, sf):
+    """Sources by owner, bucketed by file: written, and read back from the table."""
+    import uuid
+
+    from .sources import io
+    from .sources.tables import shared_path
+
+    name = f"kb_source_{uuid.uuid4().hex}"
+    io.write_kb_source(fx.kb_source(spark, sf).select("file_id", "file_name", "owner_id", "text"), name, shared_path(spark, name))
+    return spark.table(name).groupBy("owner_id").agg(F.count(F.lit(1)).alias("files"), F.sum(F.char_length("text")).alias("n_chars"))
+
+
 @query("S6_metric_lines", f"""WITH {fx.EVENTS} SELECT '{{"timestamp":' || (us // 1000) || ',"namespace":"app","dimensions":["event","user"],"labels":{{"event":"' || event_type || '","user":"' || user_id || '"}},"metrics":{{"count":"1"}}}}' AS value FROM ev WHERE event_type <> 'view'""")
 def _s6(spark, sf):
     e = fx.events(spark, sf)
@@ -889,15 +975,30 @@ def _c4(spark, sf):
     return cited
 
 
-@query("C5_fill", f"""WITH {_FORMS}, f AS (SELECT form_id, unnest(raw) AS field, unnest(range(len(raw))) AS pos FROM forms) SELECT form_id, pos, field, CASE WHEN pos % 2 = 0 THEN 'value of ' || left(field, 10) ELSE '' END AS value, pos % 2 = 0 AS found, '' AS error FROM f""")
+@query("C5_fill", f"""WITH {_INDEX}, {_FORMS}, f AS (SELECT form_id, unnest(list_transform(list_filter(raw, lambda x: trim(x, ' ') <> ''), lambda x: trim(x, ' '))) AS field, unnest(range(len(list_filter(raw, lambda x: trim(x, ' ') <> '')))) AS pos FROM forms),
+g AS (SELECT * FROM f WHERE form_id IN (SELECT form_id FROM f GROUP BY form_id HAVING count(*) BETWEEN 1 AND 50)),
+qterms AS (SELECT DISTINCT form_id, pos, unnest(regexp_extract_all(lower(field), '[\\p{{L}}\\p{{Nd}}]+')) AS term FROM g),
+bm AS (SELECT form_id, pos, passage_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM qterms JOIN freq USING (term) JOIN postings USING (term), stats GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY form_id, pos ORDER BY score DESC, passage_id) AS rank FROM bm),
+own AS (SELECT form_id, pos, arg_min(file_id, rank) AS file_id FROM r JOIN passages USING (passage_id) WHERE rank <= 20 AND owner_id = 'src' || (form_id % 20) GROUP BY form_id, pos),
+j AS (SELECT g.*, file_id, form_id % 5 = 0 AND g.pos % 3 = 1 AS broken, g.pos % 2 = 0 AND file_id IS NOT NULL AS cites FROM g LEFT JOIN own USING (form_id, pos))
+SELECT form_id, pos, field, CASE WHEN cites AND NOT broken THEN 'value of ' || left(field, 10) ELSE '' END AS value, cites AND NOT broken AS found, CASE WHEN broken THEN 'timeout' ELSE '' END AS error, CASE WHEN cites AND NOT broken THEN file_id END AS source FROM j""")
 def _c5(spark, sf):
-    """Each field is a question; the scripted model has a sourced answer for every other one."""
-    forms, _ = answers.validate_fields(_forms(spark, sf))
-    asked = forms.select("form_id", F.posexplode("fields").alias("pos", "field"))
-    reply = F.when(F.col("pos") % 2 == 0, F.to_json(F.struct(F.concat(F.lit("value of "), F.substring("field", 1, 10)).alias("answer"), F.array(F.lit("f1")).alias("fileIds")))).otherwise("nothing was found")
-    parsed = asked.select("form_id", "pos", fn.parse_answer(reply).alias("a"))
-    results = parsed.select("form_id", "pos", F.col("a.answer").alias("value"), F.col("a.file_ids").alias("sources"), F.lit(None).cast("string").alias("error"))
-    return answers.fill_answers(forms, results)
+    """Each user turn is a field of its conversation's form. The scripted model cites the first passage that it sees for every other field; some replies fail."""
+    from .plans import jobs
+
+    owners = fx.kb_source(spark, sf).select(F.col("file_id").alias("id"), "owner_id", F.col("file_name").alias("name"))
+
+    def scripted(prompts):
+        pos, form = F.col("query_id.pos"), F.col("query_id.form_id")
+        ids = F.array_compact(F.array(F.get_json_object("passages", "$[0].fileId"), F.lit("nobody")))
+        reply = F.when(pos % 2 == 0, F.to_json(F.struct(F.concat(F.lit("value of "), F.substring("text", 1, 10)).alias("answer"), ids.alias("fileIds")))).otherwise("nothing was found")
+        broken = (form % 5 == 0) & (pos % 3 == 1)
+        return prompts.select("query_id", F.when(~broken, reply).alias("reply"), F.when(broken, "timeout").alias("error"))
+
+    forms = _forms(spark, sf).withColumn("owner_id", F.concat(F.lit("src"), (F.col("form_id") % 20).cast("string")))
+    rows, _ = jobs.fill(forms, _index(spark, sf), owners, scripted)
+    return rows.select("form_id", "pos", "field", "value", "found", "error", F.get("sources", F.lit(0)).alias("source"))
 
 
 def _check_sql(last: str, hybrid: bool = False) -> str:
@@ -986,25 +1087,12 @@ def _c9(spark, sf):
     return jobs.sync_landed(fx.files(spark, sf), reasons).select("id", "status")
 
 
-@query("C11_run_evals", f"""WITH {_hits_sql(20)}, own AS (SELECT check_id, file_id FROM (SELECT query_id AS check_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM hits WHERE file_owner = 'src' || (query_id % 20)) WHERE n = 1)
-SELECT item_id AS "case", 1 AS n_expected, CASE WHEN check_id IS NULL THEN 0 ELSE 1 END AS n_cited, check_id IS NOT NULL AND item_id % 2 = 0 AS passed FROM benchmark LEFT JOIN own ON check_id = item_id""")
+@query("C11_run_evals", f"""WITH {_CASES} SELECT name AS "case", 1 AS n_expected, CASE WHEN wrong THEN 1 ELSE 2 END AS n_cited, NOT wrong AND NOT silent AS passed FROM cases""")
 def _c11(spark, sf):
-    """Golden cases: every item must cite the owner's best file and say its number, which the script does for even ones."""
+    """Cases from files: a wrong citation is another case's file, so it doesn't count; what is expected doesn't come from the answers."""
     from .plans import jobs
 
-    owners = fx.kb_source(spark, sf).select(F.col("file_id").alias("id"), "owner_id", F.col("file_name").alias("name"))
-    asked = fx.requests(spark, sf)
-
-    def scripted(prompts):
-        ids = F.array_compact(F.array(F.get_json_object("passages", "$[0].fileId")))
-        said = F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("no. "), F.col("query_id").cast("string"))).otherwise("unknown")
-        return prompts.select("query_id", F.to_json(F.struct(said.alias("answer"), ids.alias("fileIds"))).alias("reply"))
-
-    said, _ = jobs.ask(asked, _index(spark, sf), owners, scripted)
-    given = said.select(F.col("query_id").alias("case"), "answer", F.col("file_ids").alias("cited"))
-    best = given.select("case", F.when(F.size("cited") == 0, F.array(F.lit("missing"))).otherwise(F.col("cited")).alias("expected_ids"))
-    cases = best.withColumn("contains", F.array(F.concat(F.lit("no. "), F.col("case").cast("string"))))
-    return answers.eval_report(cases, given)
+    return jobs.run_evals(_golden_cases(spark, sf))
 
 
 @query("F20_passages_json", f"""WITH {_hits_sql(5)} SELECT query_id, '[' || string_agg('{{"fileId":"' || file_id || '","fileName":"' || file_name || '","text":' || CAST(to_json(text) AS VARCHAR) || '}}', ',' ORDER BY rank) || ']' AS passages FROM hits GROUP BY query_id""")
@@ -1038,6 +1126,31 @@ def _t1(spark, sf):
     return records.read().select("id", "event_id")
 
 
+_ONE_UPLOAD = "up AS (SELECT text || chr(10) AS content, item_id FROM benchmark)"
+
+
+@query("T1_stream_ingest", f"""WITH {_ONE_UPLOAD} SELECT sha256(content) AS id, CASE WHEN count(*) = 1 THEN any_value('item_' || item_id || '.txt') END AS name, any_value(strlen(content)) AS size, 'landed' AS status, any_value(length(content)) AS n_chars FROM up WHERE item_id % 7 <> 4 GROUP BY sha256(content)""")
+def _t1_ingest(spark, sf):
+    """Objects arrive as files, some twice, some for records that had failed; micro-batches of a few ingest them and upsert what they gave."""
+    from .sources import io
+    from .sources.tables import shared_path
+    from .streaming import flows
+
+    path, root = _upload_files(spark, sf), shared_path(spark, "ingested")
+    table = lambda name, schema, keys, version: flows.VersionedTable(spark, f"{root}/{name}", schema, keys, version, buckets=8)
+    records = table("records", "id string, owner_id string, name string, content_type string, size long, status string, created_at long", ["id"], ["created_at", "name"])
+    texts = table("texts", "file_id string, file_name string, owner_id string, text string", ["file_id"], ["file_name"])
+    settled = table("settled", "upload_id string, batch long", ["upload_id"], ["batch"])
+    b = fx.table(spark, sf, "benchmark")
+    n = F.col("item_id").cast("string")
+    pending = b.select(F.concat(F.lit("upl "), n).alias("id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("owner_id"), F.concat(F.lit("item_"), n, F.lit(".txt")).alias("name"), F.lit("text/plain").alias("content_type"), F.when(F.col("item_id") % 7 == 4, "failed").otherwise("pending").alias("status"), (F.lit(fx.EPOCH) + F.col("item_id")).cast("long").alias("created_at"))
+    files_ = b.count() * 4 // 3
+    flows.stream_ingest(io.stream_uploads(spark, path, max(1, files_ // 3)), pending, records, texts, settled, fx.AS_OF, f"{root}/state").awaitTermination()
+    twice = b.groupBy(fn.content_hash(F.concat("text", F.lit("\n"))).alias("id")).agg((F.count_if(F.col("item_id") % 7 != 4) == 1).alias("once"))
+    joined = records.read().join(texts.read().select(F.col("file_id").alias("id"), F.char_length("text").cast("long").alias("n_chars")), "id").join(twice, "id")
+    return joined.select("id", F.when(F.col("once"), F.col("name")).alias("name"), "size", "status", "n_chars")
+
+
 @query("T2_stream_dedupe", f"WITH {fx.EVENTS} SELECT DISTINCT k AS upload_id FROM ev")
 def _t2(spark, sf):
     from .streaming import flows
@@ -1065,9 +1178,10 @@ def _t3(spark, sf):
     return spark.read.schema("id string, status string").parquet(f"{root}/rows/n=*")
 
 
-@query("T4_stream_checks", _check_sql("SELECT check_id, claim_idx, verdict, n_refs FROM verdicts"))
+@query("T4_stream_checks", _check_sql("""SELECT check_id, 'done' AS status, NULL::VARCHAR AS reason, claim_idx, verdict, n_refs FROM verdicts WHERE check_id % 10 NOT IN (3, 5, 7) UNION ALL
+SELECT item_id, CASE item_id % 10 WHEN 3 THEN 'refused' ELSE 'failed' END, CASE item_id % 10 WHEN 3 THEN 'the check is another owner''s' WHEN 5 THEN 'text is required' ELSE 'the deadline has passed' END, NULL, NULL, NULL FROM benchmark WHERE item_id % 10 IN (3, 5, 7)"""))
 def _t4(spark, sf):
-    """Check tasks as a stream of benchmark items; a failing batch would record failed rows instead."""
+    """Check tasks as a stream: some come from another than the check's owner, some too late, some checks are blank; the others are checked all the same."""
     from .plans import jobs
     from .sources.tables import shared_path
     from .streaming import flows
@@ -1075,19 +1189,24 @@ def _t4(spark, sf):
     root = shared_path(spark, "checks")
     kb = fx.kb_source(spark, sf)
     index, owners = jobs.build_index(kb), kb.select(F.col("file_id").alias("id"), "owner_id")
-    tasks = flows.read_files(spark, f"{sf}/benchmark.parquet").select(F.col("item_id").alias("check_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("owner_id"), "text")
-    failed = lambda batch, error: batch.select("check_id", F.lit(-1).alias("claim_idx"), F.lit("failed: " + error).alias("verdict"), F.lit(0).cast("long").alias("n_refs"))
-    verify = flows.guarded(lambda batch: jobs.check(batch, index, owners)["verdicts"].select("check_id", "claim_idx", "verdict", "n_refs"), failed)
-    flows.stream_into(tasks, lambda batch, n: verify(batch).write.mode("overwrite").parquet(f"{root}/rows/n={n}"), f"{root}/state").awaitTermination()
-    return spark.read.schema("check_id long, claim_idx int, verdict string, n_refs long").parquet(f"{root}/rows/n=*")
-
-
-@query("T5_stream_red_metrics", f"WITH {fx.EVENTS}, {_LOG} SELECT epoch_us(date_trunc('minute', ts)) // 1000000 AS window_s, route, method, status_class, count(*) AS request_count, count(*) FILTER (WHERE failed) AS error_count, round(avg(ms), 6) AS avg_ms FROM log GROUP BY ALL")
+    n, owner = F.col("item_id") % 10, F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
+    checks = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), owner.alias("owner_id"), F.when(n == 5, " ").otherwise(F.col("text")).alias("text"))
+    deadline = F.when(n == 7, "2024-01-01").otherwise("2024-06-01").cast("timestamp")
+    tasks = flows.read_files(spark, f"{sf}/benchmark.parquet").select(F.col("item_id").alias("check_id"), F.when(n == 3, "somebody").otherwise(owner).alias("owner_id"), deadline.alias("deadline"))
+    columns = "check_id long, status string, reason string, claim_idx int, verdict string, n_refs long"
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("claim_idx", "int"), ("verdict", "string"), ("n_refs", "long"))]
+    failed = lambda batch, error: batch.select("check_id", F.lit("failed").alias("status"), F.lit(error).alias("reason"), *none)
+    run = flows.isolated(lambda batch: jobs.verify(batch, checks, index, owners, fx.AS_OF), failed, "check_id")
+    flows.stream_into(tasks, lambda batch, n: run(batch).write.mode("overwrite").parquet(f"{root}/rows/n={n}"), f"{root}/state").awaitTermination()
+    return spark.read.schema(columns).parquet(f"{root}/rows/n=*")
+
+
+@query("T5_stream_red_metrics", f"WITH {fx.EVENTS}, {_LOG} SELECT epoch_us(date_trunc('minute', ts)) // 1000000 AS window_s, route, method, status_class, count(*) AS request_count, count(*) FILTER (WHERE failed) AS error_count, {_MS_SQL} FROM log GROUP BY ALL")
 def _t5(spark, sf):
     from .streaming import flows
 
-    out = flows.drain(flows.stream_red_metrics(_log_stream(spark, sf)), "red", "complete")
-    return out.select(F.col("window_start").cast("long").alias("window_s"), "route", "method", "status_class", "request_count", "error_count", F.round("avg_ms", 6).alias("avg_ms"))
+    out = flows.drain(flows.stream_red_metrics(_log_stream(spark, sf), exact=True), "red", "complete")
+    return _rounded(out, "ms").select(F.col("window_start").cast("long").alias("window_s"), "route", "method", "status_class", "request_count", "error_count", "avg_ms", "p50_ms", "p95_ms")
 
 
 def _log_stream(spark, sf):
@@ -1099,13 +1218,14 @@ def _log_stream(spark, sf):
 
 
 @query("T6_stream_call_metrics", f"""WITH {fx.EVENTS}, w AS (SELECT *, unnest([us // 300000000 * 300, us // 300000000 * 300 - 300]) AS window_s FROM ev)
-SELECT window_s, event_type AS op, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 6) AS avg_latency_ms, sum(k)::BIGINT AS input_tokens, sum(k * 2)::BIGINT AS output_tokens FROM w GROUP BY window_s, event_type""")
+SELECT window_s, {_CALL_COLUMNS} FROM w GROUP BY window_s, event_type""")
 def _t6(spark, sf):
     from .streaming import flows
 
-    calls = _stream(spark, sf).select("ts", F.col("event_type").alias("op"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency_ms"), _k().alias("input_tokens"), (_k() * 2).alias("output_tokens"))
-    out = flows.drain(flows.stream_call_metrics(calls), "calls", "complete")
-    return out.select(F.col("window_start").cast("long").alias("window_s"), "op", "calls", "errors", F.round("avg_latency_ms", 6).alias("avg_latency_ms"), "input_tokens", "output_tokens")
+    status = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, 503).otherwise(404)).otherwise(200)
+    calls = _stream(spark, sf).select("ts", F.col("event_type").alias("op"), (F.col("event_type") != "error").alias("ok"), status.alias("status"), F.col("value").alias("latency_ms"), _k().alias("input_tokens"), (_k() * 2).alias("output_tokens"))
+    out = flows.drain(flows.stream_call_metrics(calls, exact=True), "calls", "complete")
+    return _rounded(out, "latency_ms").withColumn("window_s", F.col("window_start").cast("long")).drop("window_start")
 
 
 @query("T7_stream_lifecycle", ORACLES["W9_latest_state"])
@@ -1115,15 +1235,16 @@ def _t7(spark, sf):
     t, k = F.col("event_type"), _k()
     status = F.when((t == "purchase") & (k > 95), "done").when((t == "error") & (k > 95), "failed").when(t == "signup", "pending").otherwise("running")
     updates = _stream(spark, sf).select(F.col("user_id").alias("id"), F.expr("unix_micros(ts)").alias("us"), "event_id", status.alias("status"))
-    return flows.drain(flows.stream_lifecycle_state(updates), "lifecycle", "update", ["id"]).select("id", "status", "event_id")
+    return flows.drain(flows.stream_lifecycle_state(updates, delay="60 days", ttl="120 days"), "lifecycle", "update", ["id"]).select("id", "status", "event_id")
 
 
-@query("T8_stream_dead_letters", f"WITH {fx.EVENTS} SELECT k AS upload_id, count(*) AS failures FROM ev WHERE event_type = 'error' GROUP BY k HAVING count(*) >= 5")
+@query("T8_stream_dead_letters", f"WITH {fx.EVENTS} SELECT k AS upload_id, 5 AS failures FROM ev WHERE event_type = 'error' GROUP BY k HAVING count(*) >= 5")
 def _t8(spark, sf):
+    """In append mode, each upload once; it is remembered for longer than the events go on."""
     from .streaming import flows
 
-    deliveries = _stream(spark, sf).select(_k().alias("upload_id"), (F.col("event_type") == "error").alias("failed"))
-    return flows.drain(flows.stream_dead_letters(deliveries), "dead", "update", ["upload_id"])
+    deliveries = _stream(spark, sf).select(_k().alias("upload_id"), "ts", (F.col("event_type") == "error").alias("failed"))
+    return flows.drain(flows.stream_dead_letters(deliveries, delay="60 days", retention="120 days"), "dead")
 
 
 @query("T9_stream_ask_sessions", """WITH e AS (SELECT user_id AS owner_id, epoch_us(ts) AS us FROM events), g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY owner_id ORDER BY us) < 1800000000 THEN 0 ELSE 1 END AS new FROM e),

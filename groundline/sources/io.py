@@ -29,6 +29,18 @@ def read_uploads(spark: SparkSession, path: str, contents: bool = True) -> DataF
     return df if contents else df.select("path", "length", "modificationTime")
 
 
+def stream_uploads(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The objects under a folder as a stream of uploads: upload_id (the last part of the path, or `name` of a folder upload_id=name), size, content."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    df = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(path)
+    return df.select(upload_id_of(F.col("path")).alias("upload_id"), F.col("length").alias("size"), "content")
+
+
+def upload_id_of(path: Column) -> Column:
+    folder = F.regexp_extract(path, "/upload_id=([^/]*)/[^/]*$", 1)
+    return F.url_decode(F.when(folder != "", folder).otherwise(F.element_at(F.split(path, "/"), -1)))
+
+
 def parse_upload_events(messages: DataFrame) -> DataFrame:
     """messages(raw) -> upload_key, real_size of each record: both JSON layers decoded, keys unescaped. Malformed layers give no row."""
     outer = messages.select("*", F.explode(F.from_json("raw", MESSAGE)["Records"]).alias("_m"))
@@ -126,6 +138,7 @@ def write_metric_lines(points: DataFrame, path: str) -> None:
     metric_lines(points).write.text(path)
 
 
-def write_kb_source(kb_source: DataFrame, path: str) -> None:
-    """Partitioned by owner, so that an owner's retrieval reads its own files only."""
-    kb_source.write.partitionBy("owner_id").parquet(path)
+def write_kb_source(kb_source: DataFrame, name: str, path: str, buckets: int = 32) -> None:
+    """The table `name` at `path`: partitioned by owner, so that an owner's retrieval reads its own files only, and bucketed by file within."""
+    rows = kb_source.repartition(buckets, "file_id")  # each bucket of an owner is one file
+    rows.write.partitionBy("owner_id").bucketBy(buckets, "file_id").sortBy("file_id").option("path", path).mode("overwrite").saveAsTable(name)
