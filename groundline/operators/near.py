@@ -26,6 +26,8 @@ def centroids_of(vectors: DataFrame, lists: int, seed: int = 1) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    if lists < 2:  # any centre will do
+        return vectors.limit(1).select(F.lit(0).alias("list"), F.col("vector").cast("array<double>").alias("vector"))
     every = max(1, vectors.count() // SAMPLE)
     sample = vectors.where(F.pmod(F.xxhash64("passage_id"), F.lit(every)) == 0)
     model = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="v").fit(sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("v")))

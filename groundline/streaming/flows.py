@@ -131,7 +131,7 @@ def stream_lifecycle_state(updates: DataFrame, terminal: tuple[str, ...] = ("don
             self.held.update((*best, later))
             yield pd.DataFrame({"id": [key[0]], "us": [best[0]], "event_id": [best[1]], "status": [best[2]]})
 
-        def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:  # noqa: N802
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
             self.held.clear()
             return iter(())
 
@@ -171,7 +171,7 @@ def stream_dead_letters(deliveries: DataFrame, most: int = 5, delay: str = "10 m
             if before < most <= failures:
                 yield pd.DataFrame({"upload_id": [key[0]], "failures": [most]})
 
-        def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:  # noqa: N802
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
             self.held.clear()
             return iter(())
 
