@@ -30,7 +30,7 @@ def centroids_of(vectors: DataFrame, lists: int, seed: int = 1) -> DataFrame:
         return vectors.limit(1).select(F.lit(0).alias("list"), F.col("vector").cast("array<double>").alias("vector"))
     every = max(1, vectors.count() // SAMPLE)
     sample = vectors.where(F.pmod(F.xxhash64("passage_id"), F.lit(every)) == 0)
-    model = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="v").fit(sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("v")))
+    model = KMeans(k=lists, seed=seed, maxIter=5, initMode="random", featuresCol="v").fit(sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("v")))
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return vectors.sparkSession.createDataFrame(rows, "list int, vector array<double>")
 
@@ -66,7 +66,8 @@ def _nearest_lists(vectors: DataFrame, centroids: DataFrame, key: str, n: int) -
 def vector_index(vectors: DataFrame, lists: int | None = None) -> tuple[DataFrame, DataFrame]:
     """vectors(passage_id, vector) of one dimension -> centroids(list, vector), blocks(list, ids, vectors).
 
-    Every vector is in the list of its nearest centroid. There are about as many lists as vectors in a list, LISTS at most. Rows whose id or vector is null
+    Every vector is in the list of its nearest centroid. There are about as many lists as vectors in a list, LISTS at most, and
+    one where a block holds all. Rows whose id or vector is null
     take no part; no vectors give no lists.
     """
     some = vectors.where("passage_id is not null and vector is not null")
@@ -74,7 +75,7 @@ def vector_index(vectors: DataFrame, lists: int | None = None) -> tuple[DataFram
     if not n:
         spark = vectors.sparkSession
         return spark.createDataFrame([], "list int, vector array<double>"), spark.createDataFrame([], "list int, ids array<string>, vectors array<array<double>>")
-    centroids = centroids_of(some, lists or max(1, min(LISTS, round(n**0.5))))
+    centroids = centroids_of(some, lists or (min(LISTS, round(n**0.5)) if n > BLOCK else 1))
     placed = _nearest_lists(some, centroids, "passage_id", 1)
     # A list is dealt into as many blocks as it needs by a hash; sizes are counted first.
     sizes = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_n"))

@@ -111,22 +111,21 @@ def ingest(uploads: DataFrame, pending: DataFrame, as_of: str, transcribe: Calla
 
 
 def build_index(kb_source: DataFrame, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
-    """passages, postings, stats and frequencies, each written once, so that searches don't cut and count the texts again.
+    """passages, segments, stats and frequencies, each written once, so that searches don't cut and count the texts again; postings are the segments as rows.
 
     With vectors(passage_id, vector) also their inverted-file index: `centroids` and `lists` (see `near.vector_index`).
     """
     passages = written(search.passages_of(kb_source), "passages")
-    postings = written(search.postings_of(passages), "postings")
-    stats = written(search.stats_of(passages), "stats")
-    index = {"passages": passages, "postings": postings, "stats": stats, "frequencies": written(search.frequencies_of(postings, stats), "frequencies")}
+    segments = written(search.segments_of(passages), "segments")
+    index = {"passages": passages, "segments": segments, "postings": search.postings_of(segments), "stats": written(search.stats_of(segments), "stats"), "frequencies": written(search.frequencies_of(segments), "frequencies")}
     if vectors is not None:
-        centroids, lists = near.vector_index(vectors)
+        centroids, lists = near.vector_index(written(vectors, "vectors"))
         index |= {"centroids": written(centroids, "centroids"), "lists": written(lists, "lists")}
     return index
 
 
 def _best_passages(queries: DataFrame, index: dict[str, DataFrame], k: int) -> DataFrame:
-    return search.lexical_top(queries, index["postings"], index["stats"], index["frequencies"], k, written)
+    return search.lexical_top(queries, index["segments"], index["stats"], index["frequencies"], k)
 
 
 def lexical_search(queries: DataFrame, index: dict[str, DataFrame], k: int) -> DataFrame:

@@ -7,6 +7,7 @@ import zipfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,23 +93,35 @@ def index(spark):
 def test_bounds_give_the_same_passages(spark, index, monkeypatch, hot):
     index, _, asked = index
     monkeypatch.setattr(search, "HOT", hot)  # common terms are dealt into several keys
-    parts = index["postings"], index["stats"], index["frequencies"]
-    want = search.top_passages(search.lexical_match(asked, *parts), 7).select("query_id", "rank", "passage_id", "file_id", "score")
-    written = []
-
-    def keep(df, name):
-        written.append((name, df.persist()))
-        return written[-1][1]
-
-    got = search.lexical_top(asked, *parts, 7, keep)
+    want = search.top_passages(search.lexical_match(asked, index["postings"], index["stats"], index["frequencies"]), 7)
     rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "rank", "passage_id", "file_id", "score").collect())
-    assert rows(got) == rows(want) and all(r[3].startswith("s3:file") for r in rows(want))  # ids with a colon stay whole
-    sizes = {name: df.count() for name, df in written}
-    everything = search.lexical_match(asked, *parts).count()
-    # Passages with nothing but common words aren't matched, and few are completed.
-    assert sizes["partial"] < everything * 0.8 and sizes["candidates"] < everything / 4
-    for _, df in written:
-        df.unpersist()
+    assert all(r[3].startswith("s3:file") for r in rows(want))  # ids with a colon stay whole
+    for terms in (1 << 18, 50):  # in one block of queries, and in several
+        monkeypatch.setattr(search, "TERMS_PER_BLOCK", terms)
+        assert rows(search.lexical_top(asked, index["segments"], index["stats"], index["frequencies"], 7)) == rows(want)
+    assert search.lexical_top(asked.where("false"), index["segments"], index["stats"], index["frequencies"], 7).count() == 0
+    assert jobs.lexical_search(asked, jobs.build_index(spark.createDataFrame([], "file_id string, file_name string, text string")), 7).count() == 0
+
+
+def test_common_terms_are_hardly_read():
+    rng = np.random.default_rng(3)
+    n = 100_000
+    lists = []
+    for share, top in [(0.8, 0.3), (0.6, 0.4), (0.5, 0.5), (0.001, 6.0), (0.001, 7.0)]:
+        at = np.flatnonzero(rng.random(n) < share)
+        parts = rng.random(len(at)) * top
+        lists.append((at, parts, float(parts.max())))
+    total = np.zeros(n)
+    for at, parts, _ in lists:
+        total[at] += parts
+    ids = pa.array([f"p{i:06d}" for i in range(n)])
+    best = search.Best(20)
+    for cut in np.array_split(np.arange(n), 10):  # segments
+        own = [(at[(at >= cut[0]) & (at <= cut[-1])] - cut[0], parts[(at >= cut[0]) & (at <= cut[-1])], bound) for at, parts, bound in lists]
+        best.add(search.best_scores(own, len(cut), best), ids.slice(int(cut[0]), len(cut)), ids.slice(int(cut[0]), len(cut)))
+    want = sorted(zip((-np.round(total, 6)).tolist(), ids.to_pylist()))[:20]
+    assert [r[:2] for r in best.rows] == want
+    assert best.counted < sum(len(x[0]) for x in lists) / 5  # the first segment reads all, the others next to nothing of the common terms
 
 
 def test_owner_scope_before_and_after_the_limit(spark, index):
@@ -127,7 +140,7 @@ def test_vector_index_finds_nine_neighbours_in_ten(spark):
     x = np.concatenate([centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 16)), rng.normal(size=(1000, 16))])
     df = spark.createDataFrame([(f"p{i:05d}", v.tolist()) for i, v in enumerate(x)] + [("same", x[0].tolist()), ("none", None)], "passage_id string, vector array<double>").repartition(4)
     queries = spark.createDataFrame([(i, x[i * 80].tolist()) for i in range(50)] + [(99, None)], "query_id long, vector array<double>")
-    centroids, lists = near.vector_index(df)
+    centroids, lists = near.vector_index(df, 60)
     centroids, lists = centroids.persist(), lists.persist()
     assert lists.select(F.explode("ids")).count() == 4001 and lists.agg(F.max(F.size("ids"))).first()[0] <= near.BLOCK
     exact = {(r.query_id, r.passage_id): r.distance for r in near.vector_search(queries, centroids, lists, 12, None).collect()}
