@@ -1,8 +1,8 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-1. One scan of the texts keeps the n-grams whose hash passes a bitmap of all benchmark n-grams. The bitmap has a
+1. One scan of the texts keeps the runs of two to four words (by the item's length) whose hash passes a bitmap of all those of the benchmark. The bitmap has a
    fixed size, so it is broadcast whatever the benchmark's size; what wrongly passes falls out in the equi-join.
-2. Every n-gram that a text shares with an item is a seed, however many texts hold it.
+2. Every run of words that a text shares with an item is a seed, however many texts hold it.
 3. Each text is aligned with each such item around its seeds' diagonals. A text is contaminated where the best
    local alignment scores at least `threshold` of the item's words (match 1, mismatch and gap -1). Windows that hold
    fewer of the item's words than that can't score it and are not aligned.
@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -24,34 +23,38 @@ from pyspark.sql import functions as F
 from .common import map_texts, spool, table
 from .text_hash import grams, slices, word_hashes
 
-NGRAM = 5
 THRESHOLD = 0.6
+#: Words of a seed for items of at least so many words. Of an item of n words with e of them changed n - 1 - (e + 1) (k - 1) - e k-grams or more are left
+#: whole, and at the threshold e is a fifth of n at most, so an edited copy that scores it shares a seed.
+SEED_WORDS = {20: 4, 8: 3, 3: 2, 1: 1}
 #: The bitmap's size: 2**BITS bits, 2 MB, for two probes a hash.
 BITS = 24
 
 
-def text_grams(rows: DataFrame, key: str, n: int = NGRAM) -> DataFrame:
-    """rows(key, text) -> (key, gram, at, words): hashes of n-grams of lower-cased words, their first word and the text's words.
+def seed_words(words: np.ndarray) -> np.ndarray:
+    """The length of the seeds of items with so many words."""
+    return np.select([words >= least for least in SEED_WORDS], list(SEED_WORDS.values()), 0)
 
-    A text with 1 to n - 1 words has one gram of all its words.
-    """
+
+def text_grams(rows: DataFrame, key: str) -> DataFrame:
+    """rows(key, text) -> (key, gram, at, n): hashes of the runs of n lower-cased words of each text (n by `seed_words`) and their first word."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in slices(pc.utf8_lower(batch.column(1))):
                 words, text, *_ = word_hashes(texts)
-                gram, whole = grams(words, text, n)
                 begin = np.searchsorted(text, np.arange(len(texts) + 1))
-                count = np.diff(begin)
-                at = np.flatnonzero(whole)
-                short = np.flatnonzero((count > 0) & (count < n))
-                h = np.concatenate([gram[at], *(grams(words[begin[i] : begin[i + 1]], text[begin[i] : begin[i + 1]], int(count[i]))[0] for i in short)])
-                own = np.concatenate([text[at], short])
-                place = np.concatenate([at - begin[text[at]], np.zeros(len(short), dtype=np.int64)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + own)), pa.array(h.view(np.int64)), pa.array(place, pa.int32()), pa.array(count[own], pa.int32())], names=["key", "gram", "at", "words"])
+                length = seed_words(np.diff(begin))
+                found = [(np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 3)]
+                for n in sorted(set(SEED_WORDS.values())):
+                    gram, whole = grams(words, text, n)
+                    at = np.flatnonzero(whole & (length[text[: len(gram)]] == n))
+                    found.append((gram[at], text[at], at - begin[text[at]], np.full(len(at), n)))
+                h, own, place, n = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + own)), pa.array(h.view(np.int64)), pa.array(place, pa.int32()), pa.array(n, pa.int32())], names=["key", "gram", "at", "n"])
 
-    return map_texts(rows.select(key, "text"), run, f"key {kind}, gram bigint, at int, words int")
+    return map_texts(rows.select(key, "text"), run, f"key {kind}, gram bigint, at int, n int")
 
 
 def bitmap(grams_: DataFrame) -> np.ndarray:
@@ -87,9 +90,7 @@ def scan(docs: DataFrame, items: DataFrame) -> DataFrame:
                 words, text, *_ = word_hashes(texts)
                 begin = np.searchsorted(text, np.arange(len(texts) + 1))
                 found = []
-                for n in range(1, NGRAM + 1):  # shorter grams only where they are a whole item
-                    if n < NGRAM and n not in lengths:
-                        continue
+                for n in lengths:
                     gram, whole = grams(words, text, n)
                     at = np.flatnonzero(whole & in_bitmap(bits, gram)) if len(gram) else np.zeros(0, dtype=np.int64)
                     found.append((text[at], gram[at], at - begin[text[at]]))
@@ -103,7 +104,9 @@ def scan(docs: DataFrame, items: DataFrame) -> DataFrame:
                 take = pa.array(first + rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), hits], names=["digest", "text", "hits"])
 
-    lengths = {r.words for r in items.where(F.col("words") < NGRAM).select("words").distinct().collect()}
+    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # four at most
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], "digest binary, text string, hits array<struct<gram: bigint, at: int>>")
     return map_texts(docs.select("digest", "text"), run, "digest binary, text string, hits array<struct<gram: bigint, at: int>>")
 
 
@@ -125,10 +128,10 @@ def align(pairs: DataFrame, threshold: float) -> DataFrame:
     The score is 0 where no window holds `threshold` of the item's words.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             scores = []
-            for text, item, diagonals in zip(x["text"], x["item"], x["at"]):
+            for text, item, diagonals in zip(*(x.column(c).to_pylist() for c in ("text", "item", "at"))):
                 a, b = (word_hashes([t.as_py().encode()])[0] for t in pc.utf8_lower(pa.array([text, item])))
                 # Seeds within an item's length of each other share a window of the text.
                 best, end, spans = 0, None, []
@@ -143,9 +146,10 @@ def align(pairs: DataFrame, threshold: float) -> DataFrame:
                         continue
                     best = max(best, local_alignment(b, a[lo:hi]))
                 scores.append(best / len(b))
-            yield pd.DataFrame({"digest": x["digest"], "item_id": x["item_id"], "score": np.array(scores, dtype=float)})
+            # Ids pass as they are: in pandas a null would turn the others into doubles.
+            yield pa.RecordBatch.from_arrays([x.column("digest"), x.column("item_id"), pa.array(scores, pa.float64())], names=["digest", "item_id", "score"])
 
-    return pairs.mapInPandas(run, "digest binary, item_id long, score double")
+    return map_texts(pairs.select("digest", "text", "item_id", "item", "at"), run, f"digest binary, item_id {pairs.schema['item_id'].dataType.simpleString()}, score double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

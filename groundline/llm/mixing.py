@@ -122,13 +122,39 @@ def slots_of(code: int, size: int, words: int, seed: int) -> int:
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    """How many of `sample` draws without return are good; by the normal law of equal mean and variance above a thousand million."""
+    """How many of `sample` draws without return are good, by one law at every size: numpy's generator stops at a thousand million, beyond it the law is inverted."""
     total = good + bad
-    if total <= 10**9:
+    if total < 10**9:
         return int(rng.hypergeometric(good, bad, sample))
-    p = good / total
-    spread = np.sqrt(sample * p * (1 - p) * (total - sample) / (total - 1))
-    return int(np.clip(round(rng.normal(sample * p, spread)), max(0, sample - bad), min(sample, good)))
+    return hypergeometric_quantile(rng.random(), good, bad, sample)
+
+
+def hypergeometric_quantile(u: float, good: int, bad: int, sample: int) -> int:
+    """The inverse of the hypergeometric law: chances over the mode's, by ratios of neighbours, out to where they can't count."""
+    low, high = max(0, sample - bad), min(sample, good)
+    mode = min(high, max(low, (sample + 1) * (good + 1) // (good + bad + 2)))
+
+    def tail(step: int) -> np.ndarray:
+        """Chances of mode + step, mode + 2 step, ... over the mode's, until the rest is nothing."""
+        out, at, logs = [np.zeros(0)], mode, np.zeros(1)
+        while logs[-1] > -60:
+            k = np.arange(at, at + step * (1 << 16), step)
+            k = k[(k < high) if step > 0 else (k > low)].astype(np.float64)
+            if not len(k):
+                break
+            if step > 0:
+                ratio = (good - k) * (sample - k) / ((k + 1) * (bad - sample + k + 1))
+            else:
+                ratio = k * (bad - sample + k) / ((good - k + 1) * (sample - k + 1))
+            logs = logs[-1] + np.cumsum(np.log(ratio))
+            out.append(np.exp(logs))
+            at += step * len(k)
+        return np.concatenate(out)
+
+    below, above = tail(-1), tail(1)
+    chances = np.concatenate([below[::-1], [1.0], above])
+    sums = np.cumsum(chances)
+    return int(mode - len(below) + min(np.searchsorted(sums, u * sums[-1], side="right"), len(chances) - 1))
 
 
 class ShardDraws:

@@ -13,11 +13,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import map_texts, table
 
@@ -117,23 +118,26 @@ def pack_tokens(docs: DataFrame, row: int = ROW, path: str = VOCABULARY, shard_b
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
-    def pack(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["n", "doc_id", "piece", "ids"], ascending=[False, True, True, True], kind="stable")
+    schema = f"shard bigint, row int, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, segments array<struct<doc_id: {kind}, piece: int, offset: bigint, n: int>>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def pack(x: pa.Table) -> pa.Table:
+        # Ids stay what they are: in pandas a null would turn the others into doubles.
+        pieces = sorted(x.to_pylist(), key=lambda p: (-p["n"], p["doc_id"] is None, p["doc_id"] or 0, p["piece"], p["ids"]))
         members: dict[int, list] = {}
-        for number, piece in zip(best_fit(x["n"].tolist(), row), x.itertuples(index=False)):
+        for number, piece in zip(best_fit([p["n"] for p in pieces], row), pieces):
             members.setdefault(number, []).append(piece)
         out = []
         for number, own in members.items():
-            ids = b"".join(p.ids for p in own)
-            ends = np.cumsum([0] + [p.n for p in own]).tolist()
-            segments = [{"doc_id": None if pd.isna(p.doc_id) else int(p.doc_id), "piece": p.piece, "offset": p.offset, "n": p.n} for p in own]
+            ids = b"".join(p["ids"] for p in own)
+            ends = np.cumsum([0] + [p["n"] for p in own]).tolist()
+            segments = [{c: p[c] for c in ("doc_id", "piece", "offset", "n")} for p in own]
             fill = np.full(row - ends[-1], FILL, dtype="<u2").tobytes()
-            out.append((int(x["shard"].iloc[0]), number, ends[-1], ids + fill, ends, ends[:-1], segments))
-        return pd.DataFrame(out, columns=["shard", "row", "n_tokens", "ids", "cu_seqlens", "position_resets", "segments"])
+            out.append({"shard": own[0]["shard"], "row": number, "n_tokens": ends[-1], "ids": ids + fill, "cu_seqlens": ends, "position_resets": ends[:-1], "segments": segments})
+        return pa.Table.from_pylist(out, arrow)
 
     pieces = token_pieces(docs, row, path).withColumn("shard", F.pmod(F.xxhash64("doc_id", "again", "piece", "ids"), F.lit(shards)))
-    schema = f"shard bigint, row int, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, segments array<struct<doc_id: {kind}, piece: int, offset: bigint, n: int>>"
-    return pieces.groupBy("shard").applyInPandas(pack, schema)
+    return pieces.groupBy("shard").applyInArrow(pack, schema)
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:

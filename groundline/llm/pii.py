@@ -52,6 +52,7 @@ def luhn(digits: str) -> bool:
 
 
 _SECRET = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _INSIDE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+/=-")
 
 
@@ -233,7 +234,8 @@ def variants(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]
         span = [f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"][way]
     elif kind == 4:
         hexes, mixed_ = of("0123456789abcdef", int(rng.choice([32, 40, 64]))), of("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", int(rng.integers(20, 44)))
-        span = str(rng.choice([hexes, hexes, mixed_])) + "7a3"
+        span, at = str(rng.choice([hexes, hexes, mixed_])), int(rng.integers(0, 20))
+        span = span[:at] + "7a3" + span[at:]  # letters and digits in each
         named = str(rng.choice(["token", "secret", "api_key", "apikey", "access_key", "password", "auth token", "client_secret", "API key", "SECRET_KEY"]))
         before = named + [' = "', ": ", "=", " = '"][way]
         return before + span + ['"', "", "", "'"][way], [(len(before), 4, len(before) + len(span))]
@@ -362,6 +364,11 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
                 end -= 1
             while start < end and text[start] in " \n,;:.-])=\"'":
                 start += 1
+            if KINDS[kind] == "secret":  # a secret is a whole run of letters and digits
+                while start > 0 and text[start - 1] in _ALNUM:
+                    start -= 1
+                while end < len(text) and text[end] in _ALNUM:
+                    end += 1
             if plausible(kind, text[start:end]):
                 out[number].append((start, kind, end))
         open_span = None

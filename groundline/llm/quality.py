@@ -24,6 +24,8 @@ from .text_hash import ALNUM, SPACED, slices, word_hashes
 
 #: Labelled rows that fitting sees at most; rounds; rows that a view teaches in a round at most; held-out precision that it needs for that.
 LABELLED, ROUNDS, TAUGHT, SURE = 6000, 3, 400, 0.8
+#: Held-out rows at a bar that must be right, too.
+LAST = 20
 _KIND = np.array([0 if c in (9, 10, 11, 12, 13, 32) else 1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c >= 128 else 6 if c in b".,;:'\"-?" else 5 for c in range(256)], dtype=np.uint8)
 TEXT_FEATURES, SOURCES, PAIRS = 20, 64, 128
 
@@ -127,7 +129,11 @@ def surest(p: np.ndarray, y: np.ndarray, good: bool, precision: float = SURE) ->
     need = max(precision, (1 + right.mean()) / 2)
     order = np.argsort(-sure, kind="stable")
     held = np.cumsum(right[order]) / np.arange(1, len(y) + 1)
-    ok = np.flatnonzero((held >= need) & (np.arange(len(y)) >= min(9, len(y) - 1)))
+    # At the bar itself, too: of the last rows down to it as many are right, and none is likelier to be of the other class.
+    sums = np.concatenate(([0], np.cumsum(right[order])))
+    first = np.maximum(np.arange(1, len(y) + 1) - LAST, 0)
+    near = (sums[1:] - sums[first]) / (np.arange(1, len(y) + 1) - first)
+    ok = np.flatnonzero((held >= need) & (near >= need) & (sure[order] >= 0.5) & (np.arange(len(y)) >= min(9, len(y) - 1)))
     return float(sure[order][ok[-1]]) if len(ok) else float("inf")
 
 
@@ -150,13 +156,30 @@ class CoTraining:
         held = self.scale | self.join
         return [tuple(surest(probability(v.logit(x[held])), self.y[held], good) for good in (False, True)) for v, x in zip(self.views, self.labelled)]
 
+    def _calibrated(self) -> list[Logistic]:
+        return [Logistic(ridge=1e-2).fit(v.logit(x[self.scale])[:, None], self.y[self.scale]) for v, x in zip(self.views, self.labelled)]
+
+    def losses(self) -> np.ndarray:
+        """The log loss of both views, calibrated on other rows, on each row of the last held-out part."""
+        y, out = self.y[self.join], 0.0
+        for view, scale, x in zip(self.views, self._calibrated(), self.labelled):
+            p = np.clip(probability(scale.logit(view.logit(x[self.join])[:, None])), 1e-9, 1 - 1e-9)
+            out = out - np.where(y > 0.5, np.log(p), np.log(1 - p))
+        return out
+
+    def state(self) -> tuple:
+        return [list(x) for x in self.xs], [list(y) for y in self.ys], self.views
+
+    def restore(self, state: tuple) -> None:
+        self.xs, self.ys, self.views = state
+
     def teach(self, view: int, rows: np.ndarray, label: float) -> None:
         """rows, in the other view's features, which `view` is sure of."""
         self.xs[1 - view].append(rows)
         self.ys[1 - view].append(np.full(len(rows), label))
 
     def finish(self) -> CoTrained:
-        scales = tuple(Logistic(ridge=1e-2).fit(v.logit(x[self.scale])[:, None], self.y[self.scale]) for v, x in zip(self.views, self.labelled))
+        scales = tuple(self._calibrated())
         model = CoTrained(self.views, scales, Logistic())
         model.last = Logistic(ridge=1e-1).fit(model.logits(*(x[self.join] for x in self.labelled)), self.y[self.join])
         return model
@@ -237,8 +260,10 @@ def _fitted(pool: DataFrame, labels: DataFrame, labelled: int, rounds: int, taug
             break
         ids = pool.sparkSession.createDataFrame([(i,) for i in sorted(done)], "id long")
         rows = _sure_rows(pool, training.views, bars, ids, taught)
+        rows = rows[rows.groupby("id")["good"].transform("nunique") == 1]  # a row that the views disagree on teaches nothing
         if not len(rows):
             break
+        before, loss = training.state(), training.losses()
         features = _both(rows)
         for k in (0, 1):
             for good in (0, 1):
@@ -246,6 +271,10 @@ def _fitted(pool: DataFrame, labels: DataFrame, labelled: int, rounds: int, taug
                 training.teach(k, features[1 - k][own], float(good))
         done |= {int(i) for i in rows["id"]}
         training.refit()
+        rise = training.losses() - loss
+        if rise.mean() > rise.std() / len(rise) ** 0.5:  # what was exchanged harms on held-out rows, by more than chance
+            training.restore(before)
+            break
     return training.finish()
 
 
@@ -286,9 +315,11 @@ def op1_quality(spark, sf_dir: str) -> DataFrame:
     pool = spool(text_views(docs.withColumn("id", F.xxhash64("text", "source", "lang", "n_chars")), ["id", "doc_id"]), "views")
     model = _fitted(pool, table(spark, sf_dir, "labels"), LABELLED, ROUNDS, TAUGHT)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], **dict(zip(SCORES, _scores(model, lambda: _both(batch), len(batch))))})
+            # Ids pass as they are: in pandas a null would turn the others into doubles.
+            scores = _scores(model, lambda: _both(batch.to_pandas()), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in scores)], names=["doc_id", *SCORES])
 
-    scored = pool.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, content_score double, metadata_score double, score double")
+    scored = map_texts(pool, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, content_score double, metadata_score double, score double")
     return scored.withColumn("keep", F.col("score") >= 0.5)
