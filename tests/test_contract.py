@@ -15,7 +15,7 @@ def test_every_oracle_has_a_query():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
-@pytest.mark.parametrize("name", ["F1_split_claims", "P2_apply_patches", "A5_assemble_checks", "W8_claim_segments", "J11_fill_answers", "C1_ingest", "T2_stream_dedupe"])
+@pytest.mark.parametrize("name", ["F1_split_claims", "P2_apply_patches", "A5_assemble_checks", "W8_claim_segments", "J11_fill_answers", "C1_ingest", "C1_ingest_archives", "C1_ingest_failed", "F1_to_F5_in_sql", "C11_run_evals", "T2_stream_dedupe", "T8_stream_dead_letters"])
 def test_matches_sql(spark, name):
     import duckdb
 
