@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,13 +23,35 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet and read back: it cuts lineage and outlives lost executors. The table is deleted when the driver's process ends."""
+    """df written once as Parquet and read back: it cuts lineage and outlives lost executors.
+
+    The table is deleted when the `scratch` around it ends, or else when the driver's process does.
+    """
     path = shared_path(df.sparkSession, name)
+    scopes = getattr(_own, "scopes", None)
+    if scopes:
+        scopes[-1].append(path)
+    else:
+        atexit.register(_drop, df.sparkSession, path)
     df.write.parquet(path)
-    atexit.register(_drop, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_own = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What this thread writes with `written` in here is deleted at the end: for work whose results are stored elsewhere by then, like a micro-batch."""
+    scopes = _own.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            _drop(spark, path)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)

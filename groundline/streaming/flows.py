@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import metrics
 from ..operators.files import upsert_records
-from ..sources.tables import shared_path
+from ..sources.tables import scratch, shared_path
 
 
 @contextmanager
@@ -186,10 +186,16 @@ def stream_dead_letters(deliveries: DataFrame, most: int = 5, delay: str = "10 m
 def stream_into(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
     """Start a query that hands each micro-batch to `each`: ingesting (jobs.ingest and upsert), checks (jobs.check), index syncs.
 
-    `each` must be safe to repeat, as a batch is handed over again after a failure. Without `every` it ends with what there is now.
+    `each` must be safe to repeat, as a batch is handed over again after a failure, and have stored what it gives when it returns: tables that it wrote on
+    the way are deleted then. Without `every` it ends with what there is now.
     """
+
+    def step(batch: DataFrame, number: int) -> None:
+        with scratch(batch.sparkSession):
+            each(batch, number)
+
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return stream.writeStream.trigger(**trigger).option("checkpointLocation", checkpoint).foreachBatch(each).start()
+    return stream.writeStream.trigger(**trigger).option("checkpointLocation", checkpoint).foreachBatch(step).start()
 
 
 class VersionedTable:

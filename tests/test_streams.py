@@ -116,3 +116,20 @@ def test_uploads_arrive_as_files(spark, tmp_path):
     (tmp_path / "in" / "upload_id=u2" / "part-1.txt").write_text("changed later")  # a redelivery of what has settled
     run()
     assert {r.text for r in tables[1].read().collect()} == {"first", "second", "third"} and tables[2].read().count() == 3
+
+
+def test_what_a_batch_wrote_on_its_way_is_deleted(spark, tmp_path):
+    from groundline.sources import tables
+
+    seen = []
+
+    def each(batch, number):
+        held = tables.written(batch, "held")
+        seen.append(held.inputFiles()[0])
+        held.write.mode("overwrite").parquet(f"{tmp_path}/out/n={number}")
+
+    flows.stream_into(batches(spark, tmp_path, "id long", [(1,)], [(2,)]), each, f"{tmp_path}/state").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2 and len(seen) == 2
+    from pathlib import Path
+
+    assert not any(Path(f.removeprefix("file://")).exists() for f in seen)
