@@ -155,8 +155,10 @@ def near_links(prints: DataFrame, words: int, segments: int, radius: int, most:
     near = lambda x: (distance(x["fps"], F.col("p.fp"), words) <= most) & (x["parts"] != F.col("p.id"))
     entries = F.arrays_zip("t.fps", "t.parts")
     found = probes.alias("p").join(blocks.alias("t"), (F.col("p.slot") == F.col("t.slot")) & F.exists(entries, near))
-    # What a probe finds hangs on its least part, the other parts too: links of few parts repeat from probe to probe, those of a probe with each part don't.
-    parts = found.select(F.col("p.id").alias("id"), F.array_sort(F.array_distinct(F.transform(F.filter(entries, near), lambda x: x["parts"]))).alias("parts"))
+    # What a fingerprint's probes find hangs on the least part of all, the other parts too: links of parts repeat from one fingerprint to the next, a
+    # link of each fingerprint with each part it finds would not. There are some parts for each of its slots' blocks.
+    each = found.select(F.col("p.id").alias("id"), F.explode(F.array_distinct(F.transform(F.filter(entries, near), lambda x: x["parts"]))).alias("part"))
+    parts = each.groupBy("id").agg(F.array_sort(F.collect_set("part")).alias("parts"))
     link = F.transform("parts", lambda x: F.struct(F.when(x == F.get("parts", F.lit(0)), F.col("id")).otherwise(x).alias("a"), F.get("parts", F.lit(0)).alias("b")))
     return inside.unionAll(parts.select(F.inline(link)).distinct())
 
