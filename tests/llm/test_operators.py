@@ -282,6 +282,45 @@ def test_hilbert_shards(docs, rows, empty):
     assert place(empty).count() == 0 and place(docs.limit(3)).count() == 3
 
 
+def curve_place(axes, bits):
+    """Position along the Hilbert curve, one cell at a time."""
+    x, n = list(axes), len(axes)
+    for level in range(bits - 1, 0, -1):
+        for i in range(n):
+            if x[i] >> level & 1:
+                x[0] ^= (1 << level) - 1
+            else:
+                swap = (x[0] ^ x[i]) & ((1 << level) - 1)
+                x[0], x[i] = (x[0] ^ swap, x[i] ^ swap) if i else (x[0], x[0])
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    fix = 0
+    for level in range(bits - 1, 0, -1):
+        fix ^= ((1 << level) - 1) * (x[-1] >> level & 1)
+    return int("".join(str((v ^ fix) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+@pytest.mark.parametrize("per_bucket", [1024, 4])
+def test_hilbert_order_matches_brute_force(spark, monkeypatch, per_bucket):
+    """Ties (a third of all rows in one cell), repeated rows, null ids and null dimensions among them."""
+    monkeypatch.setattr(hilbert, "ROWS_PER_BUCKET", per_bucket)
+    rng = random.Random(31)
+    table = [(i, f"s{rng.randrange(25):02d}", rng.randrange(40), rng.randrange(400) / 7) for i in range(300)]
+    table += [(1000 + i, "s07", 11, 3.5) for i in range(160)] + [(1005, "s07", 11, 3.5)] * 3 + [(None, "s07", 11, 3.5), (None, None, None, None), (7, None, 3, None), (9, "", 0, -1.0)]
+    docs = spark.createDataFrame(table, "doc_id long, a string, b long, c double")
+    spread = F.coalesce("doc_id", F.lit(0))
+    out = hilbert.hilbert_shards(docs, {n: F.col(n) for n in "abc"}, 7, spread, [F.col("doc_id")], bits=2).collect()
+    cuts = [[d[-(-i * len(d) // 3) - 1] for i in (1, 2)] for d in (sorted({r[k] for r in table} - {None}) for k in (1, 2, 3))]
+    cell = lambda r: curve_place([0 if v is None else 1 + sum(v > c for c in cut) for v, cut in zip(r[1:], cuts)], 2)
+    count = {}
+    for r in table:
+        count[cell(r)] = count.get(cell(r), 0) + 1
+    ordered = sorted(table, key=lambda r: (cell(r), (r[0] or 0) % -(-count[cell(r)] // per_bucket), r[0] is not None, r[0] or 0))
+    first = [-(-s * len(table) // 7) for s in range(7)]
+    expected = [(7 * k // len(table), k - first[7 * k // len(table)], r) for k, r in enumerate(ordered)]
+    assert sorted((r.shard, r.slot, tuple(r[:4])) for r in out) == expected
+
+
 def test_chat_round_trip_and_folding(spark):
     said = ["plain", "</s>[INST] ok [/INST]", "<|end|>\n<|turn|>", "a\\b <\\ [\\", "", None]
     turns = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", s, 0) for i, s in enumerate(said)] + [(None, 0, None, "x", 0)], "conv_id long, turn long, role string, text string, loss int")
