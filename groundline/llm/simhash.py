@@ -185,8 +185,10 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 4, words
 #: Of the shingles of about SAMPLED texts the most frequent, at most HOT, come last in the order of shingles. Any order
 #: finds the same pairs; this one keeps common lines out of the blocks.
 SAMPLED, HOT = 4000, 1 << 15
-#: Entries of a shared shingle prefer one of as many centres, in each of as many turns. Classes of a text's parities that go with each of its entries at most.
-CENTRES, TURNS, SMALL = 4, 3, 2048
+#: Entries of a shared shingle prefer one of as many centres. Classes of a text's parities that go with each of its entries at most.
+CENTRES, SMALL = 4, 2048
+#: Segments of the 64 bits of a set's fingerprint, and the radius around each that is looked up: finds all that differ in at most NEAR_BITS.
+NEAR_SEGMENTS, NEAR_RADIUS, NEAR_BITS = 3, 1, 5
 
 
 def shingle_sets_of(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,9 +273,9 @@ def gaps(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """docs(text_key, text), distinct or not -> (id, n, small, bits, prefix), a row for each distinct text.
+    """docs(text_key, text), distinct or not -> (id, n, fp, small, bits, prefix), a row for each distinct text.
 
-    n is the number of distinct shingles. prefix is the first n - ceil(similarity * n) + 1 of them in one order for all
+    n is the number of distinct shingles, fp their SimHash fingerprint. prefix is the first n - ceil(similarity * n) + 1 of them in one order for all
     texts: two texts that are alike share one of these. bits are the parities of the shingles in 4 to 8 classes a shingle
     (a power of two of them, 256 at least): two sets differ in at least as many shingles as their bits differ. small is bits folded to
     SMALL classes; bits are null where there are no more of them.
@@ -301,27 +303,27 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 front = place < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[owner]
                 own = np.split(bits, np.cumsum(sizes)[:-1])
+                prints = np.concatenate([fingerprint(x, 1) for x in np.split(h, np.cumsum(n)[:-1])]).view(np.int64)
                 small = [np.bitwise_xor.reduce(x.reshape(-1, min(len(x), SMALL // 64)), axis=0) for x in own]
                 longs = pa.list_(pa.int64())
-                columns = [pa.array(n, pa.int32()), pa.array(small, longs), pa.array([x if len(x) > SMALL // 64 else None for x in own], longs), _rows_of(h[order][front], owner[front], len(texts))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *columns], names=["text_key", "n", "small", "bits", "prefix"])
+                columns = [pa.array(n, pa.int32()), pa.array(prints), pa.array(small, longs), pa.array([x if len(x) > SMALL // 64 else None for x in own], longs), _rows_of(h[order][front], owner[front], len(texts))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *columns], names=["text_key", "n", "fp", "small", "bits", "prefix"])
 
-    rows = map_texts(docs.select("text_key", "text"), run, "text_key binary, n int, small array<bigint>, bits array<bigint>, prefix array<bigint>")
+    rows = map_texts(docs.select("text_key", "text"), run, "text_key binary, n int, fp bigint, small array<bigint>, bits array<bigint>, prefix array<bigint>")
     return rows.dropDuplicates(["text_key"]).withColumn("id", F.xxhash64("text_key"))
 
 
 def _shared(texts: DataFrame) -> DataFrame:
-    """texts(id, prefix) -> (slot, m, centres, id): the entries of each prefix shingle that m > 1 texts have.
+    """texts(id, prefix) -> (slot, m, centre, id): the entries of each prefix shingle that m > 1 texts have.
 
-    Counts and centres are partial aggregates, so that no task holds all entries of a shingle. The centre of a slot in each of
-    TURNS turns is its entry that comes first in one of CENTRES orders.
+    Counts and centres are partial aggregates, so that no task holds all entries of a shingle. The centre of a slot is its entry that comes
+    first in one of CENTRES orders.
     """
     entries = texts.select("id", F.explode("prefix").alias("slot"))
-    orders = np.random.default_rng(9).integers(-(2**63), 2**63, (TURNS, CENTRES))
-    turns = [F.get(F.array(*[F.lit(int(x)) for x in own]), F.pmod("slot", F.lit(CENTRES)).cast("int")) for own in orders]
-    least = [F.min(F.col("id").bitwiseXOR(turn)).alias(f"least{k}") for k, turn in enumerate(turns)]
-    slots = entries.groupBy("slot").agg(F.count(F.lit(1)).alias("m"), *least).where("m > 1")
-    slots = spool(slots.select("slot", "m", F.array(*[F.col(f"least{k}").bitwiseXOR(turn) for k, turn in enumerate(turns)]).alias("centres")), "slots")
+    orders = np.random.default_rng(9).integers(-(2**63), 2**63, CENTRES)
+    order = F.get(F.array(*[F.lit(int(x)) for x in orders]), F.pmod("slot", F.lit(CENTRES)).cast("int"))
+    slots = entries.groupBy("slot").agg(F.count(F.lit(1)).alias("m"), F.min(F.col("id").bitwiseXOR(order)).alias("least")).where("m > 1")
+    slots = spool(slots.select("slot", "m", F.col("least").bitwiseXOR(order).alias("centre")), "slots")
     # A bitmap of fixed size keeps most shingles of one text out of the shuffle; the join is exact.
     held = texts.sparkSession.sparkContext.broadcast(bitmap(slots.select(F.col("slot").alias("gram"))))
 
@@ -331,7 +333,7 @@ def _shared(texts: DataFrame) -> DataFrame:
             keep = in_bitmap(held.value, np.asarray(flat).view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0)).repeat(size)[keep]), flat.filter(pa.array(keep))], names=["id", "slot"])
 
-    return map_texts(texts.select("id", "prefix"), run, "id bigint, slot bigint").join(slots, "slot").select("slot", "m", "centres", "id")
+    return map_texts(texts.select("id", "prefix"), run, "id bigint, slot bigint").join(slots, "slot").select("slot", "m", "centre", "id")
 
 
 def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
@@ -442,6 +444,17 @@ def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -
     return spool(_in_cells(pairs, sets, alike, True).select("a", "b"), "alike")
 
 
+def _near_prints(texts: DataFrame) -> DataFrame:
+    """texts(id, fp) -> pairs (a, b, cell): by multi-index hashing, texts of equal fingerprints, and a text of each of two near ones."""
+    prints = spool(texts.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    links = near_links(prints.select(F.col("fp").alias("id"), F.array("fp").alias("fp")), 1, NEAR_SEGMENTS, NEAR_RADIUS, NEAR_BITS)
+    for x in "ab":
+        links = links.join(prints.select(F.col("fp").alias(x), F.col("least").alias(f"id_{x}")), x)
+    equal = texts.join(prints, "fp").select("id", "least").where("id != least")
+    pairs = links.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).unionAll(equal.select(F.least("id", "least"), F.greatest("id", "least")))
+    return pairs.select("a", "b", F.xxhash64("a", "b").alias("cell"))
+
+
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links)
 
@@ -450,39 +463,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """(row_key, keep): one row for each distinct (doc_id, text) of docs; keep marks the least doc_id of each group.
 
     Groups are the components of all pairs of texts whose sets of distinct shingles have a Jaccard similarity of at least
-    `similarity`; every link is verified on the sets (of 64-bit hashes). A 4-bit difference of SimHashes finds few such pairs and
-    repeated lines spoil it, so pairs are found by a prefix join of shingles, which misses none. Texts that share a shingle are first compared
-    with one of a few centres, in a few turns; then all pairs of three or more that these links leave in two groups. Null texts count as empty; a null
-    doc_id is kept only where its group has no other. row_key is xxhash64(doc_id, text_key), text_key the MD5 of the text.
+    `similarity`; every link is verified on the sets (of 64-bit hashes). SimHash fingerprints of the sets say first, by multi-index hashing, which texts
+    can be alike. Few of all such pairs are within NEAR_BITS (a seventh of the bits differ at 0.8), so a prefix join of shingles, which misses none, finds
+    the rest: texts that share a shingle are compared with one of a few centres; then all pairs of three or more that these links leave in two groups.
+    Null texts count as empty; a null doc_id is kept only where its group has no other. row_key is xxhash64(doc_id, text_key), text_key the
+    MD5 of the text.
     """
     docs = docs.select(*row_keys(), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = spool(_prefixes(docs.select("text_key", "text"), shingle, similarity), "texts")
     entries = spool(_shared(texts), "entries")
     tiles = F.ceil(F.col("m") / BLOCK)
     cell = F.xxhash64("slot", F.pmod(F.xxhash64("id"), tiles))
-    roots = seen = None
-    for turn in range(TURNS):
-        met = entries.select("m", "id", F.col("centres")[turn].alias("centre"), cell.alias("cell")).where("id != centre" if roots is None else "id != centre and m > 2")
-        stars = met.groupBy(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).agg(F.min("cell").alias("cell"))
-        if roots is not None:  # only what the turns before leave in two groups
-            for x in "ab":
-                stars = stars.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
-            stars = stars.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "cell")
-        stars = spool(_fitting(stars, texts, similarity), "stars")
-        found = _alike(stars, docs, shingle, similarity)
-        # Components so far stand for their links, so that only what is new has to settle.
-        roots = spool(connected_components(found if roots is None else _joined(roots, found)), "roots")
-        seen = stars if seen is None else seen.unionAll(stars)
+    stars = entries.where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), cell.alias("cell"))
+    first = _near_prints(texts.select("id", "fp")).unionAll(stars).groupBy("a", "b").agg(F.min("cell").alias("cell"))
+    first = spool(_fitting(first, texts, similarity), "first")
+    roots = spool(connected_components(_alike(first, docs, shingle, similarity)), "roots")
     rooted = texts.select("id", "n", "small").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # Two entries of one slot are a centre and its partner, so they have been compared.
     crowded = entries.where("m > 2").select("slot", tiles.alias("tiles"), "id").join(rooted, "id")
-    pairs = spool(_cross_pairs(crowded, similarity).join(seen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "cell"), "pairs")
+    pairs = spool(_cross_pairs(crowded, similarity).join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "cell"), "pairs")
     pairs = spool(_fitting(pairs, texts, similarity), "fitting")
     groups = connected_components(_joined(roots, _alike(pairs, docs, shingle, similarity)))
     rows = docs.select("row_key", "doc_id", F.xxhash64("text_key").alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left")
     rows = rows.select(F.coalesce("root", "id").alias("group"), "row_key", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key").alias("order"))
-    first = rows.groupBy("group").agg(F.min("order").alias("first"))
-    return rows.join(first, "group").select("row_key", (F.col("order") == F.col("first")).alias("keep")).distinct()
+    least = rows.groupBy("group").agg(F.min("order").alias("first"))
+    return rows.join(least, "group").select("row_key", (F.col("order") == F.col("first")).alias("keep")).distinct()
 
 
 def row_keys() -> list[Column]:

@@ -126,6 +126,24 @@ def test_near_duplicates_finds_pairs_inside_a_family(spark, monkeypatch, block):
     assert kept_of(spark, texts) == want
 
 
+def test_near_duplicates_finds_near_copies_by_multi_index_hashing(spark, monkeypatch):
+    """Without any shared shingle from the prefix join, fingerprints alone say which texts are compared."""
+    rng = random.Random(23)
+    bases = [words(rng, 600).split() for _ in range(8)]
+    copies = [b[:-1] + ["other"] for b in bases]
+    equal = [b + b[:4] + b for b in copies[:2]]  # repeats change a set a little
+    texts = [" ".join(t) for t in bases + copies + equal]
+    h, owner = simhash.shingle_sets_of([t.encode() for t in texts], 5)
+    prints = [int(simhash.fingerprint(h[owner == i], 1)[0]) for i in range(len(texts))]
+    assert all((prints[i] ^ prints[8 + i]).bit_count() <= simhash.NEAR_BITS for i in range(8))
+    shared = simhash._shared
+    monkeypatch.setattr(simhash, "_shared", lambda x: shared(x).where("false"))
+    kept = kept_of(spark, texts)
+    assert kept & set(range(16)) == set(range(8))
+    monkeypatch.undo()
+    assert kept_of(spark, texts) == first_of_groups(texts)
+
+
 def test_near_duplicates_keeps_texts_that_share_only_a_repeated_line(spark):
     rng = random.Random(22)
     line, own = words(rng, 11), lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(150))
