@@ -210,3 +210,13 @@ def test_sources_by_owner_and_bucket(spark, tmp_path):
     assert folders == ["owner_id=o0", "owner_id=o1"] and all(len(list((tmp_path / "kb" / f).glob("*.parquet"))) == 4 for f in folders)
     plan = spark.table("kb_by_owner").alias("a").join(spark.table("kb_by_owner").alias("b").hint("merge"), "file_id")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_routing_to_many_lists_goes_out_in_small_batches(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(50, 4)))], "query_id long, vector array<double>").repartition(1)
+    centroids = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(9, 4)))], "list int, vector array<double>")
+    rows = lambda: sorted((r.query_id, r.list, tuple(r.vector)) for r in near._nearest_lists(vectors, centroids, "query_id", 3).collect())
+    whole = rows()
+    monkeypatch.setattr(near, "ROUTED", 20)
+    assert rows() == whole and len(whole) == 150
