@@ -212,6 +212,14 @@ def test_sources_by_owner_and_bucket(spark, tmp_path):
     assert "Exchange hashpartitioning" not in plan
 
 
+def test_texts_are_split_once_and_passages_stay_where_they_are(spark, index):
+    index, kb, asked = index
+    plan = search.passages_of(kb)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"split(") == 2  # into lines, into words
+    found = jobs.lexical_search(asked, index, 5)
+    assert "Exchange hashpartitioning(passage_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_routing_to_many_lists_goes_out_in_small_batches(spark, monkeypatch):
     rng = np.random.default_rng(6)
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(50, 4)))], "query_id long, vector array<double>").repartition(1)
