@@ -212,6 +212,27 @@ def test_sources_by_owner_and_bucket(spark, tmp_path):
     assert "Exchange hashpartitioning" not in plan
 
 
+@pytest.mark.parametrize("pairs, added", [(1 << 20, 1 << 20), (500, 300)])
+def test_segments_score_many_queries_at_once_as_one_by_one(monkeypatch, pairs, added):
+    monkeypatch.setattr(search, "PAIRS", pairs)
+    monkeypatch.setattr(search, "ADDED", added)
+    rng = np.random.default_rng(5)
+    n, terms = 300, 60
+    held = [np.flatnonzero(rng.random(n) < 1 / (1 + t)) for t in range(terms)]
+    sizes, at = np.array([len(x) for x in held]), np.concatenate(held)
+    kept = sizes > 0
+    columns = [pa.array([f"p{i:03d}" for i in range(n)]), pa.array(["f"] * n), pa.array(rng.integers(5, 90, n)), pa.array([f"t{t}" for t in np.flatnonzero(kept)]), pa.array(sizes[kept]), pa.array(at), pa.array(rng.integers(1, 5, len(at)))]
+    words = [rng.choice(terms + 5, rng.integers(1, 12), replace=False) for _ in range(40)]
+    asked = (pa.array(range(40)), pa.array([f"t{t}" for t in range(terms + 5)]), np.concatenate(words), rng.random(sum(map(len, words))) * 5, np.cumsum([len(w) for w in words]), [])
+    segment = search.Segment(columns, asked, 40.0)
+    got = [b.to_pylist() for b in search._best_of(7)(iter([segment, segment]))]
+    for q in range(40):
+        best = search.Best(7)
+        for _ in range(2):
+            best.add(search.best_scores(segment.lists_of(q), n, best), segment.ids, segment.files)
+        assert [(r["score"], r["passage_id"]) for b in got for r in b if r["query_id"] == q] == [(-s, p) for s, p, _ in best.rows]
+
+
 def test_texts_are_split_once_and_passages_stay_where_they_are(spark, index):
     index, kb, asked = index
     plan = search.passages_of(kb)._jdf.queryExecution().optimizedPlan().toString()
