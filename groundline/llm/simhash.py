@@ -187,6 +187,8 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 4, words
 SAMPLED, HOT = 4000, 1 << 15
 #: Entries of a shared shingle prefer one of as many centres. Classes of a text's parities that go with each of its entries at most.
 CENTRES, SMALL = 4, 2048
+#: Shingles of all entries in a tile, about; pairs that a cell may give for each of its entries before its entries are compared where their sets meet.
+SHINGLES, PAIRS = 1 << 21, 32
 #: Segments of the 64 bits of a set's fingerprint, and the radius around each that is looked up: finds all that differ in at most NEAR_BITS.
 NEAR_SEGMENTS, NEAR_RADIUS, NEAR_BITS = 3, 1, 5
 
@@ -337,9 +339,11 @@ def _shared(texts: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
-    """entries(slot, tiles, id, n, small, root) -> pairs (a, b, cell) of one slot and two roots that sizes and parities let be alike.
+    """entries(slot, id, n, small, root) -> (a, b, cell, root, tile): what of each slot has to be compared on the sets.
 
-    All pairs are looked at. A slot of more than BLOCK entries is dealt into `tiles`, each pair of which is one cell.
+    A row with b is a pair of two roots that sizes and parities let be alike. All pairs are looked at. A slot of many entries or shingles is dealt into
+    tiles, each pair of which is one cell. A cell with more than PAIRS such pairs an entry gives no pairs but its entries that are in one (b is null):
+    so rows grow with the entries, not with the pairs of a family whose texts are all nearly alike.
     """
     most = (1 - similarity) / (1 + similarity)
 
@@ -350,12 +354,13 @@ def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
             ids, n, root, tile = (np.asarray(fields.field(c)) for c in ("id", "n", "root", "tile"))
             lists = fields.field("small")
             flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()))))
-            at, found = 0, []
+            at, pairs, members = 0, [], []
             for cell, size in zip(cells.tolist(), sizes.tolist()):
                 own = np.arange(at, at + size)
                 at += size
                 two = tile[own].min() != tile[own].max()
                 words = np.diff(ends)[own]
+                found = []
                 for w in np.unique(words).tolist():  # sets that can be alike have as long parities or twice as long ones
                     first, second = own[words == w], own[(words == w) | (words == 2 * w)]
                     gap = gaps(*([flat[ends[i] : ends[i + 1]] for i in x.tolist()] for x in (first, second)))
@@ -363,24 +368,30 @@ def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
                     ok = (root[first][:, None] != root[second][None, :]) & (gap <= most * (a + b) + 1e-9) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
                     if two:
                         ok &= tile[first][:, None] != tile[second][None, :]
+                    ok &= (words[first - own[0]][:, None] != words[second - own[0]][None, :]) | (ids[first][:, None] < ids[second][None, :])
                     i, j = np.nonzero(ok)
-                    if len(i):
-                        found.append(np.stack([ids[first][i], ids[second][j], np.full(len(i), cell)]))
-            if found:
-                pairs = np.concatenate(found, axis=1)
-                pairs[:2] = np.sort(pairs[:2], axis=0)
-                pairs = np.unique(pairs, axis=1)
-                new = np.ones(pairs.shape[1], dtype=bool)
-                new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(0)
-                yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in pairs], names=["a", "b", "cell"])
-
-    mixed_ = entries.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("slot")
-    dealt = entries.join(mixed_, "slot", "left_semi").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+                    found.append(np.stack([first[i], second[j]]))
+                found = np.concatenate(found, axis=1)
+                if found.shape[1] <= PAIRS * size:
+                    pairs.append(np.concatenate([np.sort(ids[found], axis=0), np.full((1, found.shape[1]), cell)]))
+                else:
+                    met = np.unique(found)
+                    members.append(np.stack([ids[met], np.full(len(met), cell), root[met], tile[met]]))
+            a, b, cell = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), dtype=np.int64)
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (a, b, cell)), none, none], names=names)
+            for own in members:
+                yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.nulls(own.shape[1], pa.int64()), *map(pa.array, own[1:])], names=names)
+
+    names = ["a", "b", "cell", "root", "tile"]
+    tiles = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES))
+    mixed_ = entries.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high"), tiles.alias("tiles")).where("low != high").select("slot", "tiles")
+    dealt = entries.join(mixed_, "slot").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     dealt = dealt.select("slot", "id", "n", "small", "root", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     cell = F.xxhash64("slot", F.least("tile", "other"), F.greatest("tile", "other")).alias("cell")
     cells = dealt.groupBy(cell).agg(F.collect_list(F.struct("id", "n", "small", "root", "tile")).alias("e"))
     cells = cells.where(F.array_min("e.root") != F.array_max("e.root"))
-    return map_texts(cells.select("cell", "e"), run, "a bigint, b bigint, cell bigint").groupBy("a", "b").agg(F.min("cell").alias("cell"))
+    return map_texts(cells.select("cell", "e"), run, "a bigint, b bigint, cell bigint, root bigint, tile bigint")
 
 
 def _in_cells(pairs: DataFrame, values: DataFrame, same: Callable[[tuple, tuple], bool], forest: bool) -> DataFrame:
@@ -417,6 +428,47 @@ def _in_cells(pairs: DataFrame, values: DataFrame, same: Callable[[tuple, tuple]
     return map_texts(met.join(asked, "cell").select("cell", "e", "p"), run, "a bigint, b bigint, cell bigint")
 
 
+def joins(ids: np.ndarray, root: np.ndarray, tile: np.ndarray, n: np.ndarray, flat: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of alike sets that join the roots as all pairs of two roots (and of two tiles, where there are two) would; flat are the n shingles of each id."""
+    _, place = np.unique(flat, return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+    label = np.unique(root, return_inverse=True)[1]
+    two = tile.min() != tile.max()
+    has = np.zeros(place.max() + 1, dtype=bool)
+    found = []
+    for i in range(len(ids) - 1):
+        rest = slice(i + 1, None)
+        asked = (label[rest] != label[i]) & (np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]) - 1e-9)
+        if two:
+            asked &= tile[rest] != tile[i]
+        if not asked.any():
+            continue
+        has[own := place[starts[i] : starts[i] + n[i]]] = True
+        shared = np.add.reduceat(has[place[starts[i + 1] :]], starts[rest] - starts[i + 1], dtype=np.int64)
+        has[own] = False
+        alike = np.flatnonzero(asked & (shared >= similarity * (n[rest] + n[i] - shared) - 1e-9)) + i + 1
+        if len(alike):
+            labels, first = np.unique(label[alike], return_index=True)
+            found += [(int(ids[i]), int(ids[j])) for j in alike[first]]
+            label[np.isin(label, labels)] = label[i]
+    return found
+
+
+def _inside(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """members(id, cell, root, tile), sets(id, n, x) -> links (a, b) whose components with the roots are those of all alike pairs inside the cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for entries in batch.column(0):
+                fields = entries.values
+                ids, root, tile, n = (np.asarray(fields.field(c)) for c in ("id", "root", "tile", "n"))
+                found = np.array(joins(ids, root, tile, n, np.asarray(fields.field("x").flatten()), similarity), dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(2)], names=["a", "b"])
+
+    met = members.join(sets, "id").groupBy("cell").agg(F.collect_list(F.struct("id", "root", "tile", "n", "x")).alias("e"))
+    return map_texts(met.select("e"), run, "a bigint, b bigint")
+
+
 def _fitting(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b, cell) that sizes and all parities let be alike."""
     most = (1 - similarity) / (1 + similarity)
@@ -429,9 +481,13 @@ def _fitting(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return _in_cells(pairs, texts.select("id", "n", F.coalesce("bits", "small").alias("x")), fits, False)
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) whose components are those of the pairs (a, b, cell) with a Jaccard similarity of at least `similarity`."""
-    wanted = spool(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float, members: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) whose components are those of the pairs (a, b, cell) with a Jaccard similarity of at least `similarity`.
+
+    With members(id, cell, root, tile) also of all such pairs of two roots inside a cell of theirs.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    wanted = spool((wanted if members is None else wanted.unionAll(members.select("id"))).distinct(), "wanted")
     # A bitmap of fixed size keeps most other texts out of the shuffle; the join is exact.
     held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("id").alias("gram"))))
     sets = shingle_sets(docs.select(F.xxhash64("text_key").alias("id"), "text"), shingle, "id", lambda ids: in_bitmap(held.value, ids.view(np.uint64)))
@@ -441,7 +497,10 @@ def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -
         shared = len(np.intersect1d(a[1], b[1], assume_unique=True))
         return shared >= similarity * (a[0] + b[0] - shared) - 1e-9
 
-    return spool(_in_cells(pairs, sets, alike, True).select("a", "b"), "alike")
+    if members is None:
+        return spool(_in_cells(pairs, sets, alike, True).select("a", "b"), "alike")
+    sets = spool(sets, "sets")
+    return spool(_in_cells(pairs, sets, alike, True).select("a", "b").unionAll(_inside(members, sets, similarity)), "alike")
 
 
 def _near_prints(texts: DataFrame) -> DataFrame:
@@ -465,25 +524,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     Groups are the components of all pairs of texts whose sets of distinct shingles have a Jaccard similarity of at least
     `similarity`; every link is verified on the sets (of 64-bit hashes). SimHash fingerprints of the sets say first, by multi-index hashing, which texts
     can be alike. Few of all such pairs are within NEAR_BITS (a seventh of the bits differ at 0.8), so a prefix join of shingles, which misses none, finds
-    the rest: texts that share a shingle are compared with one of a few centres; then all pairs of three or more that these links leave in two groups.
+    the rest: texts that share a shingle are compared with one of a few centres; then all pairs of three or more that these links leave in two groups,
+    one by one, or, where they are many for their texts, where the sets of the texts meet.
     Null texts count as empty; a null doc_id is kept only where its group has no other. row_key is xxhash64(doc_id, text_key), text_key the
     MD5 of the text.
     """
     docs = docs.select(*row_keys(), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = spool(_prefixes(docs.select("text_key", "text"), shingle, similarity), "texts")
     entries = spool(_shared(texts), "entries")
-    tiles = F.ceil(F.col("m") / BLOCK)
-    cell = F.xxhash64("slot", F.pmod(F.xxhash64("id"), tiles))
+    cell = F.xxhash64("slot", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)))
     stars = entries.where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), cell.alias("cell"))
     first = _near_prints(texts.select("id", "fp")).unionAll(stars).groupBy("a", "b").agg(F.min("cell").alias("cell"))
     first = spool(_fitting(first, texts, similarity), "first")
     roots = spool(connected_components(_alike(first, docs, shingle, similarity)), "roots")
     rooted = texts.select("id", "n", "small").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # Two entries of one slot are a centre and its partner, so they have been compared.
-    crowded = entries.where("m > 2").select("slot", tiles.alias("tiles"), "id").join(rooted, "id")
-    pairs = spool(_cross_pairs(crowded, similarity).join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "cell"), "pairs")
-    pairs = spool(_fitting(pairs, texts, similarity), "fitting")
-    groups = connected_components(_joined(roots, _alike(pairs, docs, shingle, similarity)))
+    crowded = entries.where("m > 2").select("slot", "id").join(rooted, "id")
+    crossed = spool(_cross_pairs(crowded, similarity), "crossed")
+    pairs = crossed.where("b is not null").groupBy("a", "b").agg(F.min("cell").alias("cell"))
+    pairs = spool(_fitting(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), texts, similarity), "fitting")
+    members = crossed.where("b is null").select(F.col("a").alias("id"), "cell", "root", "tile")
+    groups = connected_components(_joined(roots, _alike(pairs, docs, shingle, similarity, None if members.isEmpty() else members)))
     rows = docs.select("row_key", "doc_id", F.xxhash64("text_key").alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left")
     rows = rows.select(F.coalesce("root", "id").alias("group"), "row_key", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key").alias("order"))
     least = rows.groupBy("group").agg(F.min("order").alias("first"))

@@ -126,6 +126,44 @@ def test_near_duplicates_finds_pairs_inside_a_family(spark, monkeypatch, block):
     assert kept_of(spark, texts) == want
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_near_duplicates_compares_a_family_where_its_sets_meet(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "PAIRS", 0)
+    rng = random.Random(22)
+    base = words(rng, 430).split()
+    family = [edited(rng, base, 6) for _ in range(50)]  # about 0.77 to each other, some 0.8
+    pairs = [edited(rng, family[i], 7) for i in range(20)]
+    texts = [" ".join(t) for t in family + pairs]
+    want = first_of_groups(texts)
+    assert 5 < len(want) < 65
+    assert kept_of(spark, texts) == want
+
+
+def test_cross_pairs_give_rows_by_entries_not_by_pairs(spark):
+    rows = [(7, i, 100, [5, 0, 0, 0], i) for i in range(300)] + [(8, i, 100, [5, 0, 0, 0], i) for i in range(3)]
+    got = simhash._cross_pairs(spark.createDataFrame(rows, "slot long, id long, n int, small array<long>, root long"), 0.8).collect()
+    assert sorted(r.a for r in got if r.b is None) == list(range(300))
+    assert sorted((r.a, r.b) for r in got if r.b is not None) == [(0, 1), (0, 2), (1, 2)]
+
+
+@pytest.mark.parametrize("tiles", [1, 2])
+def test_links_inside_a_cell_join_what_all_pairs_join(tiles):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.concatenate([np.arange(60), rng.integers(1000, 1030, 12)])) for _ in range(80)]
+    n, tile, root = np.array([len(x) for x in sets]), np.arange(80) % tiles, np.arange(80) // 3
+    got = simhash.joins(np.arange(80), root, tile, n, np.concatenate(sets), 0.8)
+
+    def groups(links):
+        label = root.copy()
+        for i, j in links:
+            label[label == label[j]] = label[i]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in set(label.tolist())}
+
+    alike = [(i, j) for i in range(80) for j in range(i) if (tiles == 1 or tile[i] != tile[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert groups(got) == groups(alike) and len(got) < 27 < len(alike)
+
+
 def test_near_duplicates_finds_near_copies_by_multi_index_hashing(spark, monkeypatch):
     """Without any shared shingle from the prefix join, fingerprints alone say which texts are compared."""
     rng = random.Random(23)
