@@ -249,3 +249,13 @@ def test_routing_to_many_lists_goes_out_in_small_batches(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(near, "ROUTED", 20)
     assert rows() == whole and len(whole) == 150
+
+
+def test_archives_are_packed_once_however_often_ingest_reads_them(spark, monkeypatch):
+    from groundline import queries
+    from groundline.plans import jobs
+
+    seen = []
+    monkeypatch.setattr(jobs, "ingest", lambda uploads, pending, as_of: seen.append(uploads))
+    queries._ingested_zips(spark, "/root/testdata/sf0.001")
+    assert seen[0].count() and all("/uploads-" in path for path in seen[0].inputFiles())
