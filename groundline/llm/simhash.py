@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, spool
@@ -187,8 +187,8 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 4, words
 SAMPLED, HOT = 4000, 1 << 15
 #: Entries of a shared shingle prefer one of as many centres. Classes of a text's parities that go with each of its entries at most.
 CENTRES, SMALL = 4, 2048
-#: Shingles of all entries in a tile, about; pairs that a cell may give for each of its entries before its entries are compared where their sets meet.
-SHINGLES, PAIRS = 1 << 21, 32
+#: Shingles of all entries in a tile, about; pairs that a cell may give for each of its entries before it gives these entries.
+SHINGLES, PAIRS = 1 << 21, 2
 #: Segments of the 64 bits of a set's fingerprint, and the radius around each that is looked up: finds all that differ in at most NEAR_BITS.
 NEAR_SEGMENTS, NEAR_RADIUS, NEAR_BITS = 3, 1, 5
 
@@ -339,11 +339,11 @@ def _shared(texts: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
-    """entries(slot, id, n, small, root) -> (a, b, cell, root, tile): what of each slot has to be compared on the sets.
+    """entries(slot, id, n, small, root) -> (a, b, cell, root, tile, least): what of each slot has to be compared on the sets.
 
     A row with b is a pair of two roots that sizes and parities let be alike. All pairs are looked at. A slot of many entries or shingles is dealt into
-    tiles, each pair of which is one cell. A cell with more than PAIRS such pairs an entry gives no pairs but its entries that are in one (b is null):
-    so rows grow with the entries, not with the pairs of a family whose texts are all nearly alike.
+    tiles, each pair of which is one cell. A cell with more than PAIRS such pairs an entry gives no pairs but its entries that are in one (b is null)
+    and the least of these: so rows grow with the entries, not with the pairs of a family whose texts are all nearly alike.
     """
     most = (1 - similarity) / (1 + similarity)
 
@@ -376,14 +376,14 @@ def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
                     pairs.append(np.concatenate([np.sort(ids[found], axis=0), np.full((1, found.shape[1]), cell)]))
                 else:
                     met = np.unique(found)
-                    members.append(np.stack([ids[met], np.full(len(met), cell), root[met], tile[met]]))
+                    members.append(np.stack([ids[met], np.full(len(met), cell), root[met], tile[met], np.full(len(met), ids[met].min())]))
             a, b, cell = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), dtype=np.int64)
             none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (a, b, cell)), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (a, b, cell)), none, none, none], names=names)
             for own in members:
                 yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.nulls(own.shape[1], pa.int64()), *map(pa.array, own[1:])], names=names)
 
-    names = ["a", "b", "cell", "root", "tile"]
+    names = ["a", "b", "cell", "root", "tile", "least"]
     tiles = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES))
     mixed_ = entries.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high"), tiles.alias("tiles")).where("low != high").select("slot", "tiles")
     dealt = entries.join(mixed_, "slot").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
@@ -391,7 +391,20 @@ def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
     cell = F.xxhash64("slot", F.least("tile", "other"), F.greatest("tile", "other")).alias("cell")
     cells = dealt.groupBy(cell).agg(F.collect_list(F.struct("id", "n", "small", "root", "tile")).alias("e"))
     cells = cells.where(F.array_min("e.root") != F.array_max("e.root"))
-    return map_texts(cells.select("cell", "e"), run, "a bigint, b bigint, cell bigint, root bigint, tile bigint")
+    return map_texts(cells.select("cell", "e"), run, "a bigint, b bigint, cell bigint, root bigint, tile bigint, least bigint")
+
+
+def _families(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """members(a, root, least) -> (slot, id, n, small, root): entries whose slots hold all members of each cell, a text once a slot; small are all its parities.
+
+    Cells of one least text, and those that share a text with others of a lesser one, become one slot. So a text of a family meets
+    the others once and not for each shingle that they share.
+    """
+    entries = members.select("a", "root", "least").distinct().withColumn("near", F.min("least").over(Window.partitionBy("a")))
+    entries = spool(entries, "near")
+    slots = entries.groupBy("least").agg(F.min("near").alias("slot"))
+    entries = entries.join(slots, "least").select("slot", F.col("a").alias("id"), "root").distinct()
+    return entries.join(texts.select("id", "n", F.coalesce("bits", "small").alias("small")), "id")
 
 
 def _in_cells(pairs: DataFrame, values: DataFrame, same: Callable[[tuple, tuple], bool], forest: bool) -> DataFrame:
@@ -541,9 +554,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     # Two entries of one slot are a centre and its partner, so they have been compared.
     crowded = entries.where("m > 2").select("slot", "id").join(rooted, "id")
     crossed = spool(_cross_pairs(crowded, similarity), "crossed")
-    pairs = crossed.where("b is not null").groupBy("a", "b").agg(F.min("cell").alias("cell"))
+    pairs, members = crossed.where("b is not null"), crossed.where("b is null")
+    if not members.isEmpty():
+        again = spool(_cross_pairs(_families(members, texts), similarity), "again")
+        pairs, members = pairs.unionAll(again.where("b is not null")), again.where("b is null")
+    pairs = pairs.groupBy("a", "b").agg(F.min("cell").alias("cell"))
     pairs = spool(_fitting(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), texts, similarity), "fitting")
-    members = crossed.where("b is null").select(F.col("a").alias("id"), "cell", "root", "tile")
+    members = members.select(F.col("a").alias("id"), "cell", "root", "tile")
     groups = connected_components(_joined(roots, _alike(pairs, docs, shingle, similarity, None if members.isEmpty() else members)))
     rows = docs.select("row_key", "doc_id", F.xxhash64("text_key").alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left")
     rows = rows.select(F.coalesce("root", "id").alias("group"), "row_key", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key").alias("order"))

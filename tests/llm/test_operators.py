@@ -147,6 +147,32 @@ def test_cross_pairs_give_rows_by_entries_not_by_pairs(spark):
     assert sorted((r.a, r.b) for r in got if r.b is not None) == [(0, 1), (0, 2), (1, 2)]
 
 
+def test_cells_of_one_family_become_one_slot(spark):
+    """Each cell has under 32 pairs an entry, yet all cells together would give the pairs of the whole family."""
+    slots = [[(s + k) % 60 for k in range(40)] for s in range(20)]
+    rows = [(s, i, 100, [5, 0, 0, 0], i) for s, ids in enumerate(slots) for i in ids] + [(100, i, 100, [5, 0, 0, 0], i) for i in range(70, 80)]
+    members = simhash._cross_pairs(spark.createDataFrame(rows, "slot long, id long, n int, small array<long>, root long"), 0.8)
+    assert members.where("b is not null").count() == 0 and members.count() == len(rows)
+    texts = spark.createDataFrame([(i, 100, [5, 0, 0, 0], [i, 1] if i == 7 else None) for i in range(80)], "id long, n int, small array<long>, bits array<long>")
+    got = simhash._families(members, texts).collect()
+    assert sorted((r.slot, r.id) for r in got) == [(0, i) for i in range(59)] + [(70, i) for i in range(70, 80)]
+    assert all(r.small == ([7, 1] if r.id == 7 else [5, 0, 0, 0]) and r.root == r.id for r in got)
+
+
+def test_near_duplicates_joins_a_family_of_long_texts_by_all_parities(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 1)
+    monkeypatch.setattr(simhash, "SMALL", 256)
+    rng = random.Random(24)
+    base = words(rng, 600).split()
+    family = [edited(rng, base, 8) for _ in range(30)]  # about 0.77 to each other
+    pairs = [edited(rng, family[i], 9) for i in range(15)]
+    far = [base[:200] + words(rng, 400).split() for _ in range(12)]  # folded parities tell little of these
+    texts = [" ".join(t) for t in family + pairs + far]
+    want = first_of_groups(texts)
+    assert 10 < len(want) < 57
+    assert kept_of(spark, texts) == want
+
+
 @pytest.mark.parametrize("tiles", [1, 2])
 def test_links_inside_a_cell_join_what_all_pairs_join(tiles):
     rng = np.random.default_rng(5)
