@@ -47,6 +47,24 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows of a table of a few numbers that a join may broadcast, where Spark takes it to be small enough.
+BROADCAST_ROWS = 1 << 18
+
+
+def merging(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, whose joins shuffle and sort and broadcast neither side; with `rows` only from so many rows on.
+
+    Spark takes a table's size from its compressed files, and rows that an explode or a task makes of one row don't count at all, so that what it
+    broadcasts can be a hundred times as large and fill the driver.
+    """
+    return df.hint("merge") if rows is None or rows > BROADCAST_ROWS else df
+
+
+def by_size(spooled: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, `merging` where it has more than BROADCAST_ROWS (a count from its footers)."""
+    return merging(spooled, spooled.count())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

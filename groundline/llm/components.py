@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import merging, spool
 
 
 #: Nodes with at least this many links, and this share of all links' ends, are hubs. So at most 1 / HUB_SHARE
@@ -17,13 +17,16 @@ from .common import spool
 HUB_LINKS, HUB_SHARE = 256, 1 / 5000
 
 
-def _starred(directed: DataFrame, most: int | None = None) -> DataFrame:
-    """(u, v, m): each link with the least node next to u, u itself included. Links of nodes with `most` or more stay where they are."""
+def _starred(directed: DataFrame, ends: int, most: int | None = None) -> DataFrame:
+    """(u, v, m): each link with the least node next to u, u itself included. Links of nodes with `most` or more stay where they are.
+
+    `ends` are the links' rows: Spark doesn't see that each link has two.
+    """
     least = directed.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
     if most is None:
-        return directed.join(least.drop("n"), "u")
+        return directed.join(merging(least.drop("n"), ends), "u")
     hubs = F.broadcast(least.where(F.col("n") >= most).drop("n"))
-    return directed.join(hubs, "u").unionAll(directed.join(hubs, "u", "left_anti").join(least.where(F.col("n") < most).drop("n"), "u"))
+    return directed.join(hubs, "u").unionAll(directed.join(hubs, "u", "left_anti").join(merging(least.where(F.col("n") < most).drop("n"), ends), "u"))
 
 
 def _rows(*pairs: tuple[str, str]) -> Column:
@@ -52,9 +55,9 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         seen = now
         hub = max(HUB_LINKS, int(now.n * HUB_SHARE))
-        large = _starred(both, hub if now.most >= hub else None).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _starred(both, now.n, hub if now.most >= hub else None).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Both links of a row come from one pass, so that a round's plan holds each star once.
-        edges = spool(_starred(large).select(_rows(("v", "m"), ("u", "m"))).where("u != v").distinct(), "links")
+        edges = spool(_starred(large, now.n).select(_rows(("v", "m"), ("u", "m"))).where("u != v").distinct(), "links")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return edges.select(_rows(("u", "v"), ("v", "v"))).distinct().toDF("node", "root")
+    return merging(edges.select(_rows(("u", "v"), ("v", "v"))).distinct().toDF("node", "root"), now.n or 0)

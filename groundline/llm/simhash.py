@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, spool
+from .common import by_size, map_texts, merging, spool
 from .components import connected_components
 from .decontam import bitmap, in_bitmap
 from .text_hash import SPACED, grams, mixed, powers, slices, word_hashes
@@ -150,7 +150,7 @@ def near_links(prints: DataFrame, words: int, segments: int, radius: int, most:
         raise ValueError("radius is 0 or 1, and each 64-bit word has equally many segments")
     blocks = spool(_join_blocks(_blocks(prints, words, segments), words, most), "blocks")
     inside = blocks.where(F.size("ids") > 1).select(F.explode(F.arrays_zip("ids", "parts")).alias("x")).select(F.col("x.ids").alias("a"), F.col("x.parts").alias("b")).where("a != b")
-    probes = _slots(prints.select("id", "fp"), words, segments, radius)
+    probes = merging(_slots(prints.select("id", "fp"), words, segments, radius))
     # Complete distances are verified in the join's own condition, so that only blocks with a near fingerprint come out.
     near = lambda x: (distance(x["fps"], F.col("p.fp"), words) <= most) & (x["parts"] != F.col("p.id"))
     entries = F.arrays_zip("t.fps", "t.parts")
@@ -176,10 +176,11 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 4, words
     # A fingerprint of one word is its own id; longer ones get a hash of 64 bits.
     distinct = spool(distinct.select(F.col("fp")[0].alias("id") if words == 1 else F.xxhash64("fp").alias("id"), "fp", "least"), "distinct")
     roots = connected_components(near_links(distinct, words, segments, radius, most_bits))
+    distinct = by_size(distinct)
     named = distinct.join(roots, distinct.id == roots.node, "left").select("fp", "least", F.coalesce("root", "id").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     labels = named.join(least, "root").select("fp", "component")
-    return prints.join(labels, "fp").select(F.col("key").alias(key), "fp", "component")
+    return merging(prints).join(labels, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
 #: Of the shingles of about SAMPLED texts the most frequent, at most HOT, come last in the order of shingles. Any order

@@ -78,6 +78,13 @@ def test_simhash_blocks_split_when_hot(docs, monkeypatch):
     assert sorted((str(r.doc_id), str(r.component)) for r in simhash.simhash_groups(docs).collect()) == whole
 
 
+def test_near_links_do_not_broadcast_what_they_look_up(spark):
+    """A fingerprint has 67 values to look up; the size of its file says nothing of them, and they filled the driver."""
+    prints = simhash.spool(spark.range(2000).select(F.xxhash64("id").alias("id"), F.array(F.xxhash64("id")).alias("fp")), "prints")
+    plan = simhash.near_links(prints, 1, 3, 1, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [slot" in plan and "BroadcastHashJoin [slot" not in plan
+
+
 def test_near_duplicates_keeps_one_of_each_group(spark, empty):
     rng = random.Random(8)
     base = words(rng, 200).split()
