@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundline.llm.common import fresh, spool, table
+from groundline.llm.common import fresh, merging, spool, table
 from groundline.llm.decontam import contaminated
 from groundline.llm.hilbert import document_dimensions, hilbert_shards
 from groundline.llm.mixing import mix_sources
@@ -69,7 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = F.floor(times) + (F.pmod(F.xxhash64(F.lit("mix"), "key"), F.lit(1 << 20)) / float(1 << 20) < times - F.floor(times)).cast("long")
     # Equal rows share a key; each gets the mean of theirs.
     copies = taken.withColumn("n", F.when(F.col("size") == 0, F.lit(1)).otherwise(whole)).groupBy("key").agg(F.round(F.avg("n")).cast("int").alias("n"))
-    joined = docs.select(_whole(docs), key).join(copies.where("n > 0"), "key")
+    joined = merging(docs.select(_whole(docs), key)).join(copies.where("n > 0"), "key")
     return joined.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n")))).select("row.*")
 
 

@@ -336,7 +336,7 @@ def _shared(texts: DataFrame) -> DataFrame:
             keep = in_bitmap(held.value, np.asarray(flat).view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0)).repeat(size)[keep]), flat.filter(pa.array(keep))], names=["id", "slot"])
 
-    return map_texts(texts.select("id", "prefix"), run, "id bigint, slot bigint").join(slots, "slot").select("slot", "m", "centre", "id")
+    return merging(map_texts(texts.select("id", "prefix"), run, "id bigint, slot bigint")).join(slots, "slot").select("slot", "m", "centre", "id")
 
 
 def _cross_pairs(entries: DataFrame, similarity: float) -> DataFrame:
@@ -402,10 +402,10 @@ def _families(members: DataFrame, texts: DataFrame) -> DataFrame:
     the others once and not for each shingle that they share.
     """
     entries = members.select("a", "root", "least").distinct().withColumn("near", F.min("least").over(Window.partitionBy("a")))
-    entries = spool(entries, "near")
+    entries = by_size(spool(entries, "near"))
     slots = entries.groupBy("least").agg(F.min("near").alias("slot"))
     entries = entries.join(slots, "least").select("slot", F.col("a").alias("id"), "root").distinct()
-    return entries.join(texts.select("id", "n", F.coalesce("bits", "small").alias("small")), "id")
+    return entries.join(merging(texts.select("id", "n", F.coalesce("bits", "small").alias("small"))), "id")
 
 
 def _in_cells(pairs: DataFrame, values: DataFrame, same: Callable[[tuple, tuple], bool], forest: bool) -> DataFrame:
@@ -415,7 +415,7 @@ def _in_cells(pairs: DataFrame, values: DataFrame, same: Callable[[tuple, tuple]
     is left out: the components are those of all.
     """
     ids = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
-    met = ids.join(values, "id").groupBy("cell").agg(F.collect_list(F.struct("id", "n", "x")).alias("e"))
+    met = ids.join(merging(values), "id").groupBy("cell").agg(F.collect_list(F.struct("id", "n", "x")).alias("e"))
     asked = pairs.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +439,7 @@ def _in_cells(pairs: DataFrame, values: DataFrame, same: Callable[[tuple, tuple]
                             root[max(i, j)] = min(i, j)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], names=["a", "b", "cell"])
 
-    return map_texts(met.join(asked, "cell").select("cell", "e", "p"), run, "a bigint, b bigint, cell bigint")
+    return map_texts(met.join(merging(asked), "cell").select("cell", "e", "p"), run, "a bigint, b bigint, cell bigint")
 
 
 def joins(ids: np.ndarray, root: np.ndarray, tile: np.ndarray, n: np.ndarray, flat: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -479,7 +479,7 @@ def _inside(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 found = np.array(joins(ids, root, tile, n, np.asarray(fields.field("x").flatten()), similarity), dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(2)], names=["a", "b"])
 
-    met = members.join(sets, "id").groupBy("cell").agg(F.collect_list(F.struct("id", "root", "tile", "n", "x")).alias("e"))
+    met = members.join(merging(sets), "id").groupBy("cell").agg(F.collect_list(F.struct("id", "root", "tile", "n", "x")).alias("e"))
     return map_texts(met.select("e"), run, "a bigint, b bigint")
 
 
@@ -505,7 +505,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float, m
     # A bitmap of fixed size keeps most other texts out of the shuffle; the join is exact.
     held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("id").alias("gram"))))
     sets = shingle_sets(docs.select(F.xxhash64("text_key").alias("id"), "text"), shingle, "id", lambda ids: in_bitmap(held.value, ids.view(np.uint64)))
-    sets = sets.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", F.size("shingles").alias("n"), F.col("shingles").alias("x"))
+    sets = sets.join(by_size(wanted), "id", "left_semi").dropDuplicates(["id"]).select("id", F.size("shingles").alias("n"), F.col("shingles").alias("x"))
 
     def alike(a: tuple, b: tuple) -> bool:
         shared = len(np.intersect1d(a[1], b[1], assume_unique=True))
@@ -519,7 +519,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float, m
 
 def _near_prints(texts: DataFrame) -> DataFrame:
     """texts(id, fp) -> pairs (a, b, cell): by multi-index hashing, texts of equal fingerprints, and a text of each of two near ones."""
-    prints = spool(texts.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    prints = by_size(spool(texts.groupBy("fp").agg(F.min("id").alias("least")), "prints"))
     links = near_links(prints.select(F.col("fp").alias("id"), F.array("fp").alias("fp")), 1, NEAR_SEGMENTS, NEAR_RADIUS, NEAR_BITS)
     for x in "ab":
         links = links.join(prints.select(F.col("fp").alias(x), F.col("least").alias(f"id_{x}")), x)
@@ -549,11 +549,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     cell = F.xxhash64("slot", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)))
     stars = entries.where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), cell.alias("cell"))
     first = _near_prints(texts.select("id", "fp")).unionAll(stars).groupBy("a", "b").agg(F.min("cell").alias("cell"))
-    first = spool(_fitting(first, texts, similarity), "first")
-    roots = spool(connected_components(_alike(first, docs, shingle, similarity)), "roots")
+    first = by_size(spool(_fitting(first, texts, similarity), "first"))
+    roots = by_size(spool(connected_components(_alike(first, docs, shingle, similarity)), "roots"))
     rooted = texts.select("id", "n", "small").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # Two entries of one slot are a centre and its partner, so they have been compared.
-    crowded = entries.where("m > 2").select("slot", "id").join(rooted, "id")
+    crowded = merging(entries.where("m > 2").select("slot", "id")).join(rooted, "id")
     crossed = spool(_cross_pairs(crowded, similarity), "crossed")
     pairs, members = crossed.where("b is not null"), crossed.where("b is null")
     if not members.isEmpty():
