@@ -87,7 +87,7 @@ def test_near_links_do_not_broadcast_what_they_look_up(spark):
 
 def test_shared_shingles_are_not_broadcast(spark):
     """A row of texts holds the entries of all its prefix, which Spark takes for one."""
-    texts = spark.createDataFrame([(i, [i, 1, 2, i // 3 + 10**6]) for i in range(60)], "id long, prefix array<long>")
+    texts = spark.createDataFrame([(i, [i + 100, 1, 2, i // 3 + 10**6]) for i in range(60)], "id long, prefix array<long>")
     shared = simhash._shared(texts)
     plan = shared._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [slot" in plan and "BroadcastHashJoin" not in plan
